@@ -1,0 +1,27 @@
+"""Size-checked broadcasting.
+
+A side is broadcast only after a bounded count proves it has at most
+``max_rows`` rows (the count stops reading once the bound is exceeded for
+plain scans).  Beyond the bound the join is left to a shuffle join, where AQE
+(enabled in every session) can still switch to a broadcast after measuring
+the shuffled side, or split skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def fixed_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast of a lookup built from constants (its size is fixed)."""
+    return F.broadcast(df)
