@@ -25,3 +25,13 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 def fixed_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast of a lookup built from constants (its size is fixed)."""
     return F.broadcast(df)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small, reused intermediate once and cut its lineage.
+
+    Uses a reliable checkpoint into ``spark.checkpoint.dir`` (shared storage
+    on a cluster), so a lost executor does not force recomputation of the
+    whole upstream plan.
+    """
+    return df.checkpoint(eager=True)

@@ -9,10 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle_sql as O
 from ..sources import fixtures as FX
+from ..operators import documents as D
+from ..operators import kb as K
 from ..operators import match as M
+from ..sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +25,58 @@ def _match_summary(spark, sf):
     return M.match_summary(FX.pairs(spark, sf), FX.resume_skills(spark, sf), FX.job_skills(spark, sf))
 
 
+def _docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _assemble_pages(spark, sf):
+    out = D.assemble_pages(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return out.select("doc_id", "n_pages", "n_text_pages", F.md5("text").alias("text_md5"),
+                      F.char_length("text").cast("bigint").alias("text_chars"), "status")
+
+
+def _kb(spark, sf):
+    return K.build_kb(spark, FX.software_records(spark, sf), FX.essential_records(spark, sf))
+
+
+def _kb_software(spark, sf):
+    s = K.software_kb(FX.software_records(spark, sf))
+    return s.select("skill_key", "name", "category", "hot_technology", "in_demand", "occupations_count",
+                    F.array_join("soc_codes", "|").alias("soc_codes"), "importance_score")
+
+
+def _kb_essential(spark, sf):
+    e = K.essential_kb(FX.essential_records(spark, sf))
+    return e.select("skill_key", "name", "occupations_count", "in_demand", "importance_score")
+
+
+def _kb_merge(spark, sf):
+    return _kb(spark, sf).select("skill_key", "name", "category", "skill_type", "hot_technology", "in_demand",
+                                 "occupations_count", F.array_join("soc_codes", "|").alias("soc_codes"),
+                                 "importance_score")
+
+
+def _alias_variants(spark, sf):
+    return K.alias_map(spark, _kb(spark, sf))
+
+
+def _kb_totals(spark, sf):
+    kb = _kb(spark, sf)
+    return K.kb_totals(kb, K.alias_map(spark, kb))
+
+
 QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "match_summary": (_match_summary, O.match_summary_sql),
+    "clean_documents": (lambda s, d: D.clean_documents(_docs(s, d)), O.clean_documents_sql),
+    "sentence_counts": (lambda s, d: D.sentence_counts(_docs(s, d)), O.sentence_counts_sql),
+    "word_tokens": (lambda s, d: D.word_tokens(_docs(s, d)), O.word_tokens_sql),
+    "lemma_text": (lambda s, d: D.lemma_text(_docs(s, d)), O.lemma_text_sql),
+    "assemble_pages": (_assemble_pages, O.assemble_pages_sql),
+    "kb_software": (_kb_software, O.kb_software_sql),
+    "kb_essential": (_kb_essential, O.kb_essential_sql),
+    "kb_merge": (_kb_merge, O.kb_merge_sql),
+    "alias_variants": (_alias_variants, O.alias_variants_sql),
+    "kb_totals": (_kb_totals, O.kb_totals_sql),
 }
 
 

@@ -148,3 +148,275 @@ SELECT resume_id, job_id, total_required, total_resume, total_matched, total_mis
        matched_skills, missing_skills
 FROM summary
 """
+
+
+# ---------------------------------------------------------------------------
+# Skill string helpers in SQL
+# ---------------------------------------------------------------------------
+
+def squash(x: str) -> str:
+    return f"array_to_string({pysplit(x)}, ' ')"
+
+
+def valid(x: str) -> str:
+    """FLT-02 in SQL."""
+    s = strip(f"lower({x})")
+    s_sp = f"replace({s}, '-', ' ')"
+    toks = pysplit(s)
+    n, n_sp = f"len({toks})", f"len({pysplit(s_sp)})"
+    req, allowed, block = inlist(L.REQUIRED_MULTI), inlist(L.ALLOWED_SINGLE), inlist(L.BLOCKLIST)
+    return (f"(CASE WHEN {x} IS NULL OR {s} = '' THEN false "
+            f"WHEN ({n} > 1 AND {s} IN {req}) OR ({n_sp} > 1 AND {s_sp} IN {req}) THEN true "
+            f"WHEN ({n} = 1 AND {s} IN {allowed}) OR ({n_sp} = 1 AND {s_sp} IN {allowed}) THEN true "
+            f"WHEN {n} = 1 AND {s} IN {block} THEN false "
+            f"WHEN {n} > 1 THEN len(list_filter({toks}, lambda t: NOT (t IN {block}))) > 0 "
+            f"ELSE false END)")
+
+
+CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
+def title(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '[{CASED}]+|[^{CASED}]+'), "
+            f"lambda r: CASE WHEN regexp_matches(r, '^[{CASED}]') THEN upper(substring(r, 1, 1)) || "
+            f"lower(substring(r, 2)) ELSE r END), '')")
+
+
+def display(x: str) -> str:
+    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.DISPLAY_OVERRIDES)
+    return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE coalesce((CASE {canon(x)} {cases} END), "
+            f"{title(strip(x))}) END)")
+
+
+def curated_values() -> str:
+    rows = []
+    for i, (n, c, t, h, d) in enumerate(L.curated_skills()):
+        rows.append(f"({i}, {q(n)}, {q(c)}, {q(t)}, {str(h).lower()}, {str(d).lower()})")
+    return "(VALUES " + ", ".join(rows) + ") cur(cur_ord, cur_name, cur_category, cur_type, cur_hot, cur_demand)"
+
+
+def defaults_values() -> str:
+    rows = [f"({q(a)}, {q(c)})" for a, c in L.DEFAULT_ALIASES]
+    return "(VALUES " + ", ".join(rows) + ") da(alias, canonical)"
+
+
+# ---------------------------------------------------------------------------
+# F2 + PL-05
+# ---------------------------------------------------------------------------
+
+def kb_ctes() -> str:
+    block = inlist(L.BLOCKLIST)
+    extra = lst(["Problem Solving", "Critical Thinking", "Machine Learning", "cold gear"])
+    return f"""
+sw AS (
+  SELECT p.p_brand AS soc_code,
+         CASE WHEN l.l_linenumber % 2 = 0 THEN upper(p.p_name) ELSE p.p_name END AS we,
+         p.p_type AS en,
+         CASE WHEN l.l_returnflag = 'R' THEN 'Y' ELSE 'N' END AS hot,
+         CASE WHEN l.l_discount > 0.05::DOUBLE THEN 'Y' ELSE 'N' END AS dem,
+         l.l_orderkey * 1000 + l.l_linenumber AS ord
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+swr AS (
+  SELECT {strip("coalesce(we, 'nan')")} AS raw,
+         upper({strip("coalesce(hot, 'nan')")}) = 'Y' AS hot,
+         upper({strip("coalesce(dem, 'nan')")}) = 'Y' AS dem,
+         {strip("coalesce(en, 'nan')")} AS category,
+         {strip("coalesce(soc_code, '')")} AS soc, ord
+  FROM sw),
+swf AS (SELECT *, lower(raw) AS skill_key FROM swr
+        WHERE raw <> '' AND lower(raw) <> 'nan' AND lower(raw) NOT IN {block}),
+swk AS (
+  SELECT skill_key, arg_min(raw, ord) AS name, arg_min(category, ord) AS category,
+         bool_or(hot) AS hot_technology, bool_or(dem) AS in_demand, count(*) AS occupations_count,
+         min(ord) AS first_ord
+  FROM swf GROUP BY skill_key),
+socs AS (
+  SELECT skill_key, list(soc ORDER BY o) AS soc_codes
+  FROM (SELECT skill_key, soc, min(ord) AS o FROM swf WHERE soc <> '' GROUP BY skill_key, soc) GROUP BY skill_key),
+swkb AS (
+  SELECT s.skill_key, s.name, s.category, 'software' AS skill_type, s.hot_technology, s.in_demand,
+         s.occupations_count, coalesce(c.soc_codes, []::VARCHAR[]) AS soc_codes, 0.0::DOUBLE AS importance_score,
+         s.first_ord
+  FROM swk s LEFT JOIN socs c ON c.skill_key = s.skill_key),
+ess AS (
+  SELECT unnest([o.o_orderpriority,
+                 CASE WHEN o.o_orderkey % 3 = 0 THEN lower(c.c_mktsegment) || ' planning'
+                      ELSE c.c_mktsegment || ' Planning' END,
+                 {extra}[o.o_orderkey % 4 + 1]]) AS element_name,
+         CAST(1 + o.o_orderkey % 5 AS DOUBLE) AS data_value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+eg AS (SELECT element_name, avg(data_value) AS mean, count(data_value) AS cnt FROM ess
+       WHERE element_name IS NOT NULL GROUP BY element_name),
+eg2 AS (SELECT element_name, {strip('element_name')} AS raw, mean, cnt, lower({strip('element_name')}) AS skill_key
+        FROM eg),
+eg3 AS (SELECT * FROM eg2 WHERE raw <> '' AND skill_key <> 'nan' AND skill_key NOT IN {block}
+        AND {valid('skill_key')}),
+ek AS (
+  SELECT skill_key, arg_min(raw, element_name) AS name, arg_min(mean, element_name) AS mean,
+         arg_min(cnt, element_name) AS occupations_count, arg_max(mean, element_name) AS last_mean,
+         min(element_name) AS first_element
+  FROM eg3 GROUP BY skill_key),
+ekb AS (SELECT skill_key, name, occupations_count, mean >= 4.0 AS in_demand,
+               round_even(last_mean, 2) AS importance_score, first_element FROM ek),
+merged AS (
+  SELECT coalesce(s.skill_key, e.skill_key) AS skill_key,
+    CASE WHEN s.skill_key IS NOT NULL THEN s.name ELSE e.name END AS name,
+    CASE WHEN s.skill_key IS NOT NULL THEN s.category ELSE {q(L.ESSENTIAL_CATEGORY)} END AS category,
+    CASE WHEN s.skill_key IS NOT NULL THEN 'software' ELSE 'essential' END AS skill_type,
+    CASE WHEN s.skill_key IS NOT NULL THEN s.hot_technology ELSE false END AS hot_technology,
+    CASE WHEN s.skill_key IS NOT NULL THEN s.in_demand ELSE e.in_demand END AS in_demand,
+    CASE WHEN s.skill_key IS NOT NULL THEN s.occupations_count ELSE e.occupations_count END AS occupations_count,
+    CASE WHEN s.skill_key IS NOT NULL THEN s.soc_codes ELSE []::VARCHAR[] END AS soc_codes,
+    coalesce(e.importance_score, s.importance_score) AS importance_score,
+    CASE WHEN s.skill_key IS NOT NULL THEN 0 ELSE 1 END AS src_rank,
+    CASE WHEN s.skill_key IS NOT NULL THEN lpad(CAST(s.first_ord AS VARCHAR), 40, '0') ELSE e.first_element END
+      AS src_key
+  FROM swkb s FULL OUTER JOIN ekb e ON s.skill_key = e.skill_key),
+kb AS (
+  SELECT coalesce(m.skill_key, lower(cur.cur_name)) AS skill_key,
+    CASE WHEN m.skill_key IS NULL THEN
+      (CASE WHEN length(cur.cur_name) > 4 THEN {title('cur.cur_name')} ELSE upper(cur.cur_name) END)
+      ELSE m.name END AS name,
+    CASE WHEN m.skill_key IS NULL THEN cur.cur_category ELSE m.category END AS category,
+    CASE WHEN m.skill_key IS NULL THEN cur.cur_type ELSE m.skill_type END AS skill_type,
+    CASE WHEN m.skill_key IS NULL THEN cur.cur_hot ELSE m.hot_technology OR coalesce(cur.cur_hot, false) END
+      AS hot_technology,
+    CASE WHEN m.skill_key IS NULL THEN cur.cur_demand ELSE m.in_demand OR coalesce(cur.cur_demand, false) END
+      AS in_demand,
+    CASE WHEN m.skill_key IS NULL THEN 10 ELSE m.occupations_count END AS occupations_count,
+    CASE WHEN m.skill_key IS NULL THEN []::VARCHAR[] ELSE m.soc_codes END AS soc_codes,
+    CASE WHEN m.skill_key IS NULL THEN (CASE WHEN cur.cur_demand THEN 4.5 ELSE 3.5 END)
+      ELSE m.importance_score END::DOUBLE AS importance_score,
+    CASE WHEN m.skill_key IS NULL THEN 2 ELSE m.src_rank END AS src_rank,
+    CASE WHEN m.skill_key IS NULL THEN cur.cur_ord ELSE 0 END AS cur_ord,
+    coalesce(m.src_key, '') AS src_key
+  FROM merged m FULL OUTER JOIN {curated_values()} ON m.skill_key = lower(cur.cur_name)),
+variants AS (
+  SELECT skill_key, {squash("translate(skill_key, '-./', '   ')")} AS alias, src_rank, cur_ord, src_key FROM kb),
+gen AS (
+  SELECT alias, arg_min(skill_key, {{'a': src_rank, 'b': cur_ord, 'c': src_key}}) AS canonical
+  FROM variants WHERE alias <> skill_key GROUP BY alias),
+aliases AS (
+  SELECT alias, canonical, 'default' AS source FROM {defaults_values()}
+  UNION ALL
+  SELECT alias, canonical, 'generated' AS source FROM gen
+  WHERE alias NOT IN (SELECT alias FROM {defaults_values()}))
+"""
+
+
+def kb_software_sql() -> str:
+    return "WITH " + kb_ctes() + """
+SELECT skill_key, name, category, hot_technology, in_demand, occupations_count,
+       array_to_string(soc_codes, '|') AS soc_codes, importance_score FROM swkb"""
+
+
+def kb_essential_sql() -> str:
+    return "WITH " + kb_ctes() + """
+SELECT skill_key, name, occupations_count, in_demand, CAST(importance_score AS DOUBLE) AS importance_score FROM ekb"""
+
+
+def kb_merge_sql() -> str:
+    return "WITH " + kb_ctes() + """
+SELECT skill_key, name, category, skill_type, hot_technology, in_demand, occupations_count,
+       array_to_string(soc_codes, '|') AS soc_codes, CAST(importance_score AS DOUBLE) AS importance_score FROM kb"""
+
+
+def alias_variants_sql() -> str:
+    return "WITH " + kb_ctes() + "\nSELECT alias, canonical, source FROM aliases"
+
+
+def kb_totals_sql() -> str:
+    return "WITH " + kb_ctes() + """
+SELECT 'total_skills' AS metric, count(*) AS value FROM kb
+UNION ALL SELECT 'hot_skills', count(*) FILTER (WHERE hot_technology) FROM kb
+UNION ALL SELECT 'in_demand_skills', count(*) FILTER (WHERE in_demand) FROM kb
+UNION ALL SELECT 'total_aliases', count(*) FROM aliases"""
+
+
+# ---------------------------------------------------------------------------
+# Documents (SC-01..04, SRC-03)
+# ---------------------------------------------------------------------------
+
+NL = "chr(10)"
+
+
+def clean(x: str) -> str:
+    t = f"translate(coalesce({x}, ''), {q('‘’“”–—' + chr(9))}, {q(chr(39) * 2 + '\"\"-- ')})"
+    t = f"regexp_replace({t}, '[•‣◦]', ' - ', 'g')"
+    t = f"regexp_replace({t}, '[^\\x20-\\x7E\\n]', ' ', 'g')"
+    t = f"regexp_replace({t}, ' {{2,}}', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\n{{3,}}', {NL} || {NL}, 'g')"
+    return f"trim({t}, ' ' || {NL})"
+
+
+def clean_documents_sql() -> str:
+    return f"""
+SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS raw_chars, CAST(length(c) AS BIGINT) AS clean_chars,
+       c = '' AS blank, md5(c) AS clean_md5
+FROM (SELECT doc_id, text, {clean('text')} AS c FROM documents)"""
+
+
+def sentence_counts_sql() -> str:
+    return f"""
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, {NL})) AS sentences_md5
+FROM (SELECT doc_id, list_filter(list_transform(string_split_regex({clean('text')}, '[.!?]+(?:\\s+|\\n)'),
+        lambda x: trim(x, ' ' || {NL})), lambda x: x <> '') AS s FROM documents)"""
+
+
+def content(toks: str) -> str:
+    return f"list_filter({toks}, lambda t: NOT (t IN {inlist(L.STOP_WORDS)}) AND length(t) > 1)"
+
+
+def word_tokens_expr(x: str) -> str:
+    return f"regexp_extract_all(lower({clean(x)}), '\\b[a-z0-9+#.-]+\\b')"
+
+
+def word_tokens_sql() -> str:
+    return f"""
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(c) AS BIGINT) AS n_content,
+       md5(array_to_string(t, ' ')) AS tokens_md5, md5(array_to_string(c, ' ')) AS content_md5
+FROM (SELECT doc_id, t, {content('t')} AS c FROM (SELECT doc_id, {word_tokens_expr('text')} AS t FROM documents))"""
+
+
+NOUN_RULES = [("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
+              ("shes", "sh"), ("men", "man"), ("ies", "y")]
+
+
+def lemma_ctes(docs: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
+    cands = ["{'r': 0, 'c': term}"] + [
+        f"{{'r': {i + 1}, 'c': CASE WHEN suffix(term, {q(o)}) THEN "
+        f"substring(term, 1, length(term) - {len(o)}) || {q(n)} END}}"
+        for i, (o, n) in enumerate(NOUN_RULES)]
+    return f"""
+lt AS (SELECT {id_col} AS doc_id, {content(word_tokens_expr(text_col))} AS toks FROM {docs}),
+lex AS (SELECT doc_id, unnest(range(0, len(toks))) AS pos, unnest(toks) AS term FROM lt),
+vocab AS (SELECT DISTINCT term FROM lex),
+lcand AS (SELECT term, unnest([{', '.join(cands)}]) AS k FROM vocab),
+lhit AS (SELECT term, k.r AS r, k.c AS c FROM lcand WHERE k.c IS NOT NULL AND k.c IN (SELECT term FROM vocab)),
+lmap AS (SELECT v.term, coalesce(b.c, v.term) AS lemma FROM vocab v LEFT JOIN
+         (SELECT term, min({{'n': length(c), 'r': r, 'c': c}}).c AS c FROM lhit GROUP BY term) b ON b.term = v.term),
+lemmas AS (SELECT x.doc_id, x.pos, m.lemma FROM lex x JOIN lmap m ON m.term = x.term)
+"""
+
+
+def lemma_text_sql() -> str:
+    return "WITH " + lemma_ctes() + """,
+per_doc AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lt FROM lemmas GROUP BY doc_id),
+j AS (SELECT d.doc_id, coalesce(p.lt, '') AS lt FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id)
+SELECT doc_id, CAST(length(lt) AS BIGINT) AS lemma_chars, md5(lt) AS lemma_md5,
+       substring(lt, 1, 300) || '...' AS preview FROM j"""
+
+
+def assemble_pages_sql() -> str:
+    ok = "'Successfully extracted text from ' || CAST(n_pages AS VARCHAR) || ' page(s).'"
+    return f"""
+WITH p AS (SELECT conv_id AS doc_id, turn AS page_no, coalesce(text, '') AS t FROM conversations),
+g AS (SELECT doc_id, count(*) AS n_pages,
+             coalesce(list(t ORDER BY page_no, t) FILTER (WHERE {strip('t')} <> ''), []::VARCHAR[]) AS kept
+      FROM p GROUP BY doc_id),
+o AS (SELECT doc_id, n_pages, CAST(len(kept) AS BIGINT) AS n_text_pages,
+             {strip(f"array_to_string(kept, {NL})")} AS text FROM g)
+SELECT doc_id, n_pages, n_text_pages, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_chars,
+       CASE WHEN n_pages = 0 THEN {q(L.STATUS_NO_PAGES)} WHEN text = '' THEN {q(L.STATUS_NO_TEXT)} ELSE {ok} END
+         AS status
+FROM o"""

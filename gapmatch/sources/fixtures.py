@@ -77,3 +77,48 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(p, li.l_partkey == p.p_partkey)
             .select(F.col("o_custkey").alias("resume_id"), F.col("p_brand").alias("job_id"))
             .distinct())
+
+
+# ---------------------------------------------------------------------------
+# occupational records derived from orders / lineitem / part / customer
+# ---------------------------------------------------------------------------
+
+# FIXED VALUES: extra essential element names chosen by o_orderkey % 4.
+ESSENTIAL_EXTRA = ["Problem Solving", "Critical Thinking", "Machine Learning", "cold gear"]
+DISCOUNT_CUT = 0.05
+
+
+def software_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 software rows: one per lineitem, in (l_orderkey, l_linenumber) order.
+
+    Columns follow the software CSV: soc_code, title, workplace_example,
+    element_id, element_name, hot_technology, in_demand, plus ``ord``.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
+                                                  "l_discount")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    return j.select(
+        F.col("p_brand").alias("soc_code"),
+        F.col("p_type").alias("title"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("workplace_example"),
+        F.col("p_type").alias("element_id"),
+        F.col("p_type").alias("element_name"),
+        F.when(F.col("l_returnflag") == "R", F.lit("Y")).otherwise(F.lit("N")).alias("hot_technology"),
+        F.when(F.col("l_discount") > DISCOUNT_CUT, F.lit("Y")).otherwise(F.lit("N")).alias("in_demand"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("ord"),
+    )
+
+
+def essential_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 essential rows: three per order (priority, segment planning, fixed extra)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    dv = (F.lit(1) + F.col("o_orderkey") % 5).cast("double")
+    extra = F.element_at(F.array(*[F.lit(x) for x in ESSENTIAL_EXTRA]),
+                         (F.col("o_orderkey") % len(ESSENTIAL_EXTRA) + 1).cast("int"))
+    seg = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lower("c_mktsegment"), F.lit(" planning"))) \
+        .otherwise(F.concat(F.col("c_mktsegment"), F.lit(" Planning")))
+    names = F.array(F.col("o_orderpriority"), seg, extra)
+    return j.select(F.explode(names).alias("element_name"), dv.alias("data_value"))
