@@ -155,8 +155,7 @@ def alias_map(spark: SparkSession, kb: DataFrame, extra: DataFrame | None = None
     v = v.filter(F.col("alias") != F.col("skill_key"))
     # insertion order: software by first row, essential by sorted name, curated by list position
     order = F.struct("src_rank", F.coalesce("cur_ord", F.lit(0)).alias("c"),
-                     F.coalesce(F.when(F.col("src_rank") == 0, F.lpad("src_key", 40, "0"))
-                                .otherwise(F.col("src_key")), F.lit("")).alias("k"))
+                     F.coalesce(F.col("src_key"), F.lit("")).alias("k"))
     gen = (v.groupBy("alias").agg(F.min_by("skill_key", order).alias("canonical"))
            .join(F.broadcast(defaults.select("alias")), "alias", "left_anti")
            .select("alias", "canonical", F.lit("generated").alias("source")))

@@ -214,7 +214,7 @@ sw AS (
          p.p_type AS en,
          CASE WHEN l.l_returnflag = 'R' THEN 'Y' ELSE 'N' END AS hot,
          CASE WHEN l.l_discount > 0.05::DOUBLE THEN 'Y' ELSE 'N' END AS dem,
-         l.l_orderkey * 1000 + l.l_linenumber AS ord
+         lpad(CAST(l.l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l.l_linenumber AS VARCHAR), 4, '0') || lpad(CAST(l.l_partkey AS VARCHAR), 12, '0') AS ord
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 swr AS (
   SELECT {strip("coalesce(we, 'nan')")} AS raw,
@@ -269,7 +269,7 @@ merged AS (
     CASE WHEN s.skill_key IS NOT NULL THEN s.soc_codes ELSE []::VARCHAR[] END AS soc_codes,
     coalesce(e.importance_score, s.importance_score) AS importance_score,
     CASE WHEN s.skill_key IS NOT NULL THEN 0 ELSE 1 END AS src_rank,
-    CASE WHEN s.skill_key IS NOT NULL THEN lpad(CAST(s.first_ord AS VARCHAR), 40, '0') ELSE e.first_element END
+    CASE WHEN s.skill_key IS NOT NULL THEN s.first_ord ELSE e.first_element END
       AS src_key
   FROM swkb s FULL OUTER JOIN ekb e ON s.skill_key = e.skill_key),
 kb AS (

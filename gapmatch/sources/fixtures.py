@@ -89,7 +89,7 @@ DISCOUNT_CUT = 0.05
 
 
 def software_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 software rows: one per lineitem, in (l_orderkey, l_linenumber) order.
+    """F2 software rows: one per lineitem, in (l_orderkey, l_linenumber, l_partkey) order.
 
     Columns follow the software CSV: soc_code, title, workplace_example,
     element_id, element_name, hot_technology, in_demand, plus ``ord``.
@@ -106,7 +106,9 @@ def software_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("element_name"),
         F.when(F.col("l_returnflag") == "R", F.lit("Y")).otherwise(F.lit("N")).alias("hot_technology"),
         F.when(F.col("l_discount") > DISCOUNT_CUT, F.lit("Y")).otherwise(F.lit("N")).alias("in_demand"),
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("ord"),
+        F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"),
+                 F.lpad(F.col("l_linenumber").cast("string"), 4, "0"),
+                 F.lpad(F.col("l_partkey").cast("string"), 12, "0")).alias("ord"),
     )
 
 
