@@ -80,7 +80,11 @@ def vector_tokens(text, stop_words) -> Column:
 
 
 def unigrams_bigrams(tokens) -> Column:
-    """SC-11: unigrams followed by bigrams of a token array."""
+    """SC-11: unigrams followed by bigrams of a token array.
+
+    Pass a column reference (not a computed expression): the array is read
+    once per element inside the lambda.
+    """
     t = col(tokens)
     bigrams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))),

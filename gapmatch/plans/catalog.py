@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from . import oracle_sql as O
 from ..sources import fixtures as FX
 from ..operators import documents as D
+from ..operators import extract as X
+from ..operators import sections as S
+from ..operators import similarity as SIM
+from ..functions import text as T
+from ..functions import skills as SK
 from ..operators import kb as K
 from ..operators import match as M
 from ..sources.tables import table
@@ -65,6 +70,81 @@ def _kb_totals(spark, sf):
     return K.kb_totals(kb, K.alias_map(spark, kb))
 
 
+def _profiles(spark, sf):
+    return FX.profiles(spark, sf)
+
+
+def _prepared(spark, sf):
+    kb = _kb(spark, sf)
+    return kb, X.prepare(kb.select("skill_key"), K.alias_map(spark, kb))
+
+
+def _section_spans(spark, sf):
+    d = _profiles(spark, sf).select("doc_id", T.clean_text("text").alias("clean")).filter(F.col("clean") != "")
+    return S.section_spans(d)
+
+
+def _special_terms(spark, sf):
+    d = X._doc_rows(_profiles(spark, sf))
+    st = X.special_terms(d)
+    return st.groupBy("doc_id", F.col("raw").alias("term"), F.col("line_no").cast("bigint").alias("line_no"),
+                      "section").agg(F.count("*").alias("n_matches"))
+
+
+def _phrase_matches(spark, sf):
+    _, (al, dic) = _prepared(spark, sf)
+    ln = X._line_rows(X._doc_rows(_profiles(spark, sf)))
+    sp = X.phrase_spans(ln, dic)
+    return sp.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
+                     F.col("start").cast("bigint").alias("start"), F.col("n").cast("bigint").alias("n"), "raw",
+                     "section")
+
+
+def _longest_spans(spark, sf):
+    _, (al, dic) = _prepared(spark, sf)
+    ln = X._line_rows(X._doc_rows(_profiles(spark, sf)))
+    sp = X.longest_spans(X.phrase_spans(ln, dic))
+    return sp.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
+                     F.col("start").cast("bigint").alias("start"), F.col("n").cast("bigint").alias("n"), "raw")
+
+
+def _extract(spark, sf):
+    kb, prep = _prepared(spark, sf)
+    return kb, X.extract_skills(_profiles(spark, sf), kb.select("skill_key"), None, prep)
+
+
+def _extract_skills(spark, sf):
+    _, ex = _extract(spark, sf)
+    return ex.select("doc_id", "skill", "display_name", "evidence")
+
+
+def _skill_details(spark, sf):
+    kb, ex = _extract(spark, sf)
+    return X.skill_details(ex, kb).select("doc_id", "skill_key", "display_name", "category", "hot_technology",
+                                          "in_demand", "importance_score", "evidence")
+
+
+def _context_reject(spark, sf):
+    return X.context_rejections(_profiles(spark, sf))
+
+
+def _valid_skills(spark, sf):
+    d = _profiles(spark, sf).select(T.word_tokens(T.clean_text("text")).alias("t"))
+    terms = d.select(F.explode(T.unigrams_bigrams("t")).alias("term")).distinct()
+    return terms.select("term", SK.is_valid_skill("term").alias("valid"))
+
+
+def _tfidf(spark, sf, cap):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    n = bench.count()  # one scalar: pairs are doc_id % n = item_id
+    pairs = docs.select(F.col("id").alias("resume_id"), (F.col("id") % n).alias("job_id"))
+    return SIM.similarity(docs, bench, pairs, max_features=cap)
+
+
+TFIDF_SMALL_CAP = 300
+
+
 QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "match_summary": (_match_summary, O.match_summary_sql),
     "clean_documents": (lambda s, d: D.clean_documents(_docs(s, d)), O.clean_documents_sql),
@@ -77,6 +157,17 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "kb_merge": (_kb_merge, O.kb_merge_sql),
     "alias_variants": (_alias_variants, O.alias_variants_sql),
     "kb_totals": (_kb_totals, O.kb_totals_sql),
+    "section_spans": (_section_spans, O.section_spans_sql),
+    "special_terms": (_special_terms, O.special_terms_sql),
+    "phrase_matches": (_phrase_matches, O.phrase_matches_sql),
+    "longest_spans": (_longest_spans, O.longest_spans_sql),
+    "extract_skills": (_extract_skills, O.extract_skills_sql),
+    "skill_details": (_skill_details, O.skill_details_sql),
+    "context_reject": (_context_reject, O.context_reject_sql),
+    "valid_skills": (_valid_skills, O.valid_skills_sql),
+    "tfidf_similarity": (lambda s, d: _tfidf(s, d, 5000)[0], lambda: O.tfidf_scores_sql(5000)),
+    "tfidf_capped": (lambda s, d: _tfidf(s, d, TFIDF_SMALL_CAP)[0], lambda: O.tfidf_scores_sql(TFIDF_SMALL_CAP)),
+    "top_shared_terms": (lambda s, d: _tfidf(s, d, 5000)[1], lambda: O.tfidf_top_sql(5000)),
 }
 
 

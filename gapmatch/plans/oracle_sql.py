@@ -420,3 +420,294 @@ SELECT doc_id, n_pages, n_text_pages, md5(text) AS text_md5, CAST(length(text) A
        CASE WHEN n_pages = 0 THEN {q(L.STATUS_NO_PAGES)} WHEN text = '' THEN {q(L.STATUS_NO_TEXT)} ELSE {ok} END
          AS status
 FROM o"""
+
+
+# ---------------------------------------------------------------------------
+# F1 + PL-01 (extraction)
+# ---------------------------------------------------------------------------
+
+TOKEN_PIECE_RE = r"\s*(?:(?:https?://|www\.)\S+|\S+@\S+|[\pL\pN_]+(?:\.[\pL\pN_]+)*(?:\+\+|#)?|\S)"
+
+
+def section_classes_sql(x: str) -> str:
+    parts = " ".join(f"WHEN regexp_matches({x}, {q(rx)}) THEN {q(c)}" for c, rx in L.section_classes())
+    return f"(CASE {parts} END)"
+
+
+def section_display_sql(x: str) -> str:
+    parts = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.SECTION_DISPLAY.items())
+    return f"coalesce((CASE {x} {parts} END), {q(L.SECTION_DISPLAY['body'])})"
+
+
+def section_rank_sql(x: str) -> str:
+    parts = " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(L.SECTION_ORDER))
+    return f"coalesce((CASE {x} {parts} END), 99)"
+
+
+def profile_ctes() -> str:
+    blocks = lst(PROFILE_BLOCKS)
+    return f"""
+prof AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN blk || {NL} || coalesce(text, '')
+                      ELSE coalesce(text, '') || {NL} || blk END AS text
+  FROM (SELECT doc_id, text, {blocks}[doc_id % {len(PROFILE_BLOCKS)} + 1] AS blk FROM documents)),
+d AS (SELECT doc_id, c AS clean FROM (SELECT doc_id, {clean('text')} AS c FROM prof) WHERE c <> ''),
+lines AS (
+  SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(clean, {NL}) AS ls FROM d)),
+lsec AS (
+  SELECT doc_id, line_no, line,
+         coalesce(last_value(cls IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'summary') AS section
+  FROM (SELECT doc_id, line_no, line, {section_classes_sql("trim(line)")} AS cls FROM lines))
+"""
+
+
+def _special_rows() -> str:
+    """One SELECT per special pattern, emulating its look-arounds by
+    inspecting the characters around every occurrence of the literal."""
+    word = "'[a-z0-9_]'"
+    specs = [
+        ("c++", "[a-z0-9_#]", "[a-z0-9_+]", None, "c++"),
+        ("c#", "[a-z0-9_#]", "[a-z0-9_#]", None, "c#"),
+        (".net", "[a-z0-9_]", "[a-z0-9_]", None, ".net"),
+        ("node.js", "[a-z0-9_]", "[a-z0-9_]", None, "node.js"),
+        ("react.js", "[a-z0-9_]", "[a-z0-9_]", None, "react"),
+        ("vue.js", "[a-z0-9_]", "[a-z0-9_]", None, "vue.js"),
+        ("r", "[a-z0-9_]", "[a-z0-9_]", r"^\s*(?:programming|language|script|code|studio|,|$)", "r"),
+        ("c", "[a-z0-9_]", "[a-z0-9_]", r"^\s*(?:programming|language|compiler|,|$)", "c"),
+    ]
+    del word
+    sels = []
+    for core, left, right, ahead, term in specs:
+        cq = q(core)
+        prev = (f"CASE WHEN pc[i] <> '' THEN right(pc[i], 1) WHEN i = 1 THEN '' ELSE right({cq}, 1) END")
+        nxt = (f"CASE WHEN pc[i + 1] <> '' THEN left(pc[i + 1], 1) WHEN i + 1 = len(pc) THEN '' "
+               f"ELSE left({cq}, 1) END")
+        before = f"array_to_string(list_slice(pc, 1, i), {cq})"
+        cond = f"NOT regexp_matches({prev}, {q(left)}) AND NOT regexp_matches({nxt}, {q(right)})"
+        if ahead:
+            cond += f" AND regexp_matches(array_to_string(list_slice(pc, i + 1, len(pc)), {cq}), {q(ahead)})"
+        sels.append(f"""
+  SELECT doc_id, {q(term)} AS term,
+         length({before}) - length(replace({before}, {NL}, '')) AS line_no
+  FROM (SELECT doc_id, pc, unnest(range(1, len(pc))) AS i
+        FROM (SELECT doc_id, string_split(lower(clean), {cq}) AS pc FROM d))
+  WHERE {cond}""")
+    return " UNION ALL ".join(sels)
+
+
+def extract_ctes() -> str:
+    tokens_p = f"list_transform(regexp_extract_all(lower(p), {q(TOKEN_PIECE_RE)}), lambda x: ltrim(x))"
+    acr_all = " ".join(L.ACRONYM_CANDIDATES)
+    return kb_ctes() + "," + profile_ctes() + f""",
+specials AS ({_special_rows()}),
+dict0 AS (SELECT DISTINCT p FROM (SELECT skill_key AS p FROM kb UNION ALL SELECT alias AS p FROM aliases)),
+dict1 AS (SELECT p, trim(lower(p), ' ' || chr(9) || {NL} || chr(13) || chr(11) || chr(12)) AS ps FROM dict0),
+dictionary AS (
+  SELECT DISTINCT array_to_string({tokens_p}, ' ') AS key, len({tokens_p}) AS n
+  FROM dict1 WHERE length(ps) >= 2 AND ps NOT IN {inlist(L.BLOCKLIST)} AND {valid('ps')}),
+toks AS (
+  SELECT doc_id, line_no, section, pc, list_transform(pc, lambda x: ltrim(x)) AS tk
+  FROM (SELECT doc_id, line_no, section, regexp_extract_all(lower(line), {q(TOKEN_PIECE_RE)}) AS pc FROM lsec)),
+grams AS (
+  SELECT t.doc_id, t.line_no, t.section, t.pc, t.tk, n.n, unnest(range(1, len(t.tk) - n.n + 2)) AS start
+  FROM toks t, (SELECT DISTINCT n FROM dictionary) n WHERE len(t.tk) >= n.n),
+spans AS (
+  SELECT g.doc_id, g.line_no, g.section, g.start, g.n,
+         ltrim(array_to_string(list_slice(g.pc, g.start, g.start + g.n - 1), '')) AS raw
+  FROM grams g JOIN dictionary k
+    ON k.n = g.n AND k.key = array_to_string(list_slice(g.tk, g.start, g.start + g.n - 1), ' ')),
+kept AS (
+  SELECT doc_id, line_no, u.k.s AS start, u.k.n AS n, u.k.raw AS raw, u.k.sec AS section
+  FROM (SELECT doc_id, line_no, unnest(list_reduce(
+          list_sort(list({{'neg': -n, 's': start, 'e': start + n, 'n': n, 'raw': raw, 'sec': section}})),
+          lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.s < x.e AND x.s < k.e)) > 0 THEN acc
+                              ELSE list_append(acc, x) END,
+          []::STRUCT(neg INTEGER, s BIGINT, e BIGINT, n INTEGER, raw VARCHAR, sec VARCHAR)[])) AS k
+        FROM spans GROUP BY doc_id, line_no) u),
+acr_keys AS (SELECT alias FROM aliases WHERE alias IN {inlist(L.ACRONYM_CANDIDATES)}),
+acronyms AS (
+  SELECT DISTINCT doc_id, line_no, section, unnest(regexp_extract_all(lower(line),
+         '\\b(' || (SELECT string_agg(a, '|' ORDER BY list_position({lst(L.ACRONYM_CANDIDATES)}, a))
+                    FROM (SELECT alias AS a FROM acr_keys)) || ')\\b', 1)) AS raw
+  FROM lsec WHERE (SELECT count(*) FROM acr_keys) > 0),
+cands AS (
+  SELECT s.doc_id, s.term AS raw, l.section FROM specials s JOIN lsec l ON l.doc_id = s.doc_id AND l.line_no = s.line_no
+  UNION ALL SELECT doc_id, trim(raw), section FROM kept
+  UNION ALL SELECT doc_id, raw, section FROM acronyms),
+cv AS (SELECT doc_id, raw, section,
+              regexp_replace({strip('lower(raw)')}, '^[^\\pL\\pN_+#]+|[^\\pL\\pN_+#]+$', '', 'g') AS s
+       FROM cands WHERE {valid('raw')}),
+norm AS (
+  SELECT cv.doc_id, cv.section,
+         CASE WHEN cv.s = '' THEN '' ELSE coalesce(a0.canonical, a1.canonical, a2.canonical, cv.s) END AS skill
+  FROM cv
+  LEFT JOIN aliases a0 ON a0.alias = cv.s
+  LEFT JOIN aliases a1 ON a1.alias = replace(cv.s, '-', ' ')
+  LEFT JOIN aliases a2 ON a2.alias = {squash("translate(cv.s, './', '  ')")}),
+det AS (SELECT DISTINCT doc_id, skill, {section_display_sql('section')} AS section FROM norm
+        WHERE skill <> '' AND {valid('skill')}),
+extracted AS (
+  SELECT doc_id, skill, {display('skill')} AS display_name,
+         array_to_string(list_transform(list_sort(list({{'r': {section_rank_sql('section')}, 's': section}})),
+                                        lambda x: x.s), ' + ') AS evidence
+  FROM det GROUP BY doc_id, skill)
+"""
+
+
+def section_spans_sql() -> str:
+    return "WITH " + profile_ctes() + f""",
+ll AS (SELECT doc_id, line_no, length(line) + 1 AS len,
+              {section_classes_sql("trim(line)")} AS cls FROM lines),
+pos AS (SELECT doc_id, line_no, cls, coalesce(sum(len) OVER (PARTITION BY doc_id ORDER BY line_no
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+        sum(len) OVER (PARTITION BY doc_id) AS total FROM ll),
+b AS (SELECT doc_id, -1 AS line_no, 'summary' AS section, 0 AS start, max(total) AS total FROM pos GROUP BY doc_id
+      UNION ALL SELECT doc_id, line_no, cls, start, total FROM pos WHERE cls IS NOT NULL)
+SELECT doc_id, section, CAST(start AS BIGINT) AS start,
+       CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY line_no), total) AS BIGINT) AS "end"
+FROM b"""
+
+
+def special_terms_sql() -> str:
+    return "WITH " + profile_ctes() + f""",
+specials AS ({_special_rows()})
+SELECT s.doc_id, s.term, CAST(s.line_no AS BIGINT) AS line_no, l.section, count(*) AS n_matches
+FROM specials s JOIN lsec l ON l.doc_id = s.doc_id AND l.line_no = s.line_no
+GROUP BY s.doc_id, s.term, s.line_no, l.section"""
+
+
+def phrase_matches_sql() -> str:
+    return "WITH " + extract_ctes() + """
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n, raw,
+       section FROM spans"""
+
+
+def longest_spans_sql() -> str:
+    return "WITH " + extract_ctes() + """
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n, raw
+FROM kept"""
+
+
+def extract_skills_sql() -> str:
+    return "WITH " + extract_ctes() + "\nSELECT doc_id, skill, display_name, evidence FROM extracted"
+
+
+def skill_details_sql() -> str:
+    return "WITH " + extract_ctes() + f"""
+SELECT e.doc_id, e.skill AS skill_key, e.display_name,
+       coalesce(k.category, {q(L.DEFAULT_CATEGORY_EXTRACTED)}) AS category,
+       coalesce(k.hot_technology, false) AS hot_technology, coalesce(k.in_demand, false) AS in_demand,
+       CAST(coalesce(k.importance_score, 0.0) AS DOUBLE) AS importance_score, e.evidence
+FROM extracted e LEFT JOIN kb k ON k.skill_key = e.skill"""
+
+
+def context_reject_sql() -> str:
+    names = sorted(L.COMPANY_PLATFORM_NAMES)
+    rx = r"\b(?:" + "|".join(names) + r")\b"
+    contact = "|".join("(?:" + p + ")" for p in L.CONTACT_INDICATORS)
+    return "WITH " + profile_ctes() + f""",
+m AS (SELECT doc_id, clean, regexp_split_to_array(lower(clean), {q(rx)}) AS pc,
+             regexp_extract_all(lower(clean), {q(rx)}) AS ms FROM d),
+x AS (SELECT doc_id, clean, pc, ms, unnest(range(1, len(ms) + 1)) AS k FROM m WHERE len(ms) > 0),
+y AS (SELECT doc_id, clean, ms[k] AS term,
+             length(array_to_string(list_slice(pc, 1, k), '')) + length(array_to_string(list_slice(ms, 1, k - 1), ''))
+               AS off FROM x)
+SELECT doc_id, term, CAST(off AS BIGINT) AS "offset",
+       CAST(len(string_split(substring(clean, 1, off), {NL})) - 1 AS BIGINT) AS line_no,
+       regexp_matches(lower(substring(clean, greatest(0, off - {L.CONTEXT_WINDOW}) + 1,
+                      least(length(clean), off + length(term) + {L.CONTEXT_WINDOW}) - greatest(0, off - {L.CONTEXT_WINDOW}))),
+                      {q(contact)}) AS rejected
+FROM y"""
+
+
+def valid_skills_sql() -> str:
+    return "WITH " + profile_ctes() + f""",
+t AS (SELECT regexp_extract_all(lower(clean), '\\b[a-z0-9+#.-]+\\b') AS t FROM d),
+terms AS (
+  SELECT DISTINCT term FROM (
+    SELECT unnest(t) AS term FROM t
+    UNION ALL
+    SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM t))
+SELECT term, {valid('term')} AS valid FROM terms"""
+
+
+# ---------------------------------------------------------------------------
+# PL-03 (direct TF-IDF formula, independent of the closed form)
+# ---------------------------------------------------------------------------
+
+def tfidf_ctes(cap: int) -> str:
+    from ..operators.similarity import vectorizer_stop_words
+    stops2 = inlist(vectorizer_stop_words())
+    cands = ["{'r': 0, 'c': term}"] + [
+        f"{{'r': {i + 1}, 'c': CASE WHEN suffix(term, {q(o)}) THEN "
+        f"substring(term, 1, length(term) - {len(o)}) || {q(n)} END}}"
+        for i, (o, n) in enumerate(NOUN_RULES)]
+    return f"""
+alltxt AS (SELECT 'r' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'j', item_id, text FROM benchmark),
+lt AS (SELECT side, id, {content(word_tokens_expr('text'))} AS toks FROM alltxt),
+lex AS (SELECT side, id, unnest(range(0, len(toks))) AS pos, unnest(toks) AS term FROM lt),
+vocab AS (SELECT DISTINCT term FROM lex),
+lcand AS (SELECT term, unnest([{', '.join(cands)}]) AS k FROM vocab),
+lhit AS (SELECT term, k.r AS r, k.c AS c FROM lcand WHERE k.c IS NOT NULL AND k.c IN (SELECT term FROM vocab)),
+lmap AS (SELECT v.term, coalesce(b.c, v.term) AS lemma FROM vocab v LEFT JOIN
+         (SELECT term, min({{'n': length(c), 'r': r, 'c': c}}).c AS c FROM lhit GROUP BY term) b ON b.term = v.term),
+lt2 AS (SELECT side, id, string_agg(m.lemma, ' ' ORDER BY pos) AS lt FROM lex x JOIN lmap m ON m.term = x.term
+        GROUP BY side, id),
+docs AS (SELECT a.side, a.id, coalesce(l.lt, '') AS lt FROM alltxt a LEFT JOIN lt2 l ON l.side = a.side AND l.id = a.id),
+vt AS (SELECT side, id, lt <> '' AS nonblank,
+              list_filter(regexp_extract_all(lower(lt), '\\b\\w\\w+\\b'), lambda t: NOT (t IN {stops2})) AS v FROM docs),
+terms AS (SELECT side, id, unnest(v || list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS term
+          FROM vt),
+tf AS (SELECT side, id, term, count(*) AS cnt FROM terms GROUP BY side, id, term),
+pairs AS (SELECT doc_id AS resume_id, doc_id % (SELECT count(*) FROM benchmark) AS job_id FROM documents),
+u0 AS (SELECT p.resume_id, p.job_id, t.term, t.cnt AS r, 0 AS j FROM pairs p JOIN tf t ON t.side = 'r' AND t.id = p.resume_id
+       UNION ALL
+       SELECT p.resume_id, p.job_id, t.term, 0 AS r, t.cnt AS j FROM pairs p JOIN tf t ON t.side = 'j' AND t.id = p.job_id),
+u1 AS (SELECT resume_id, job_id, term, sum(r) AS r, sum(j) AS j FROM u0 GROUP BY resume_id, job_id, term),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, job_id ORDER BY r + j DESC, term ASC) AS rk
+                     FROM u1) WHERE rk <= {cap}),
+wts AS (SELECT resume_id, job_id, term,
+               r * (CASE WHEN r > 0 AND j > 0 THEN 1.0 ELSE 1.0 + ln(1.5) END) AS wr,
+               j * (CASE WHEN r > 0 AND j > 0 THEN 1.0 ELSE 1.0 + ln(1.5) END) AS wj FROM u),
+nrm AS (SELECT resume_id, job_id, sqrt(sum(wr * wr)) AS nr, sqrt(sum(wj * wj)) AS nj,
+               count(*) FILTER (WHERE wr > 0 AND wj > 0) AS n_shared, count(*) AS vocab FROM wts
+        GROUP BY resume_id, job_id),
+ov AS (SELECT w.resume_id, w.job_id, w.term, w.wr * w.wj AS prod,
+              CASE WHEN n.nr > 0 AND n.nj > 0 THEN (w.wr / n.nr) * (w.wj / n.nj) ELSE 0.0 END AS ow
+       FROM wts w JOIN nrm n ON n.resume_id = w.resume_id AND n.job_id = w.job_id),
+cosv AS (SELECT resume_id, job_id, sum(ow) AS cos FROM ov GROUP BY resume_id, job_id),
+top AS (SELECT * FROM (SELECT resume_id, job_id, term, ow,
+          row_number() OVER (PARTITION BY resume_id, job_id ORDER BY prod DESC, term DESC) AS rank
+        FROM ov WHERE ow > 0) WHERE rank <= {L.TOP_SHARED_TERMS}),
+t5 AS (SELECT resume_id, job_id, string_agg(term, ', ' ORDER BY rank) AS t5 FROM top WHERE rank <= {L.EXPLAIN_TERMS}
+       GROUP BY resume_id, job_id),
+flags AS (SELECT p.resume_id, p.job_id, coalesce(vr.nonblank, false) AS rb, coalesce(vj.nonblank, false) AS jb
+          FROM pairs p LEFT JOIN vt vr ON vr.side = 'r' AND vr.id = p.resume_id
+          LEFT JOIN vt vj ON vj.side = 'j' AND vj.id = p.job_id)
+"""
+
+
+def tfidf_scores_sql(cap: int) -> str:
+    return "WITH " + tfidf_ctes(cap) + f"""
+SELECT f.resume_id, f.job_id,
+  CASE WHEN NOT (f.rb AND f.jb) OR coalesce(n.vocab, 0) = 0 THEN 0.0 ELSE round_even(coalesce(c.cos, 0.0), 4) END
+    AS cosine_similarity_score,
+  CASE WHEN NOT (f.rb AND f.jb) OR coalesce(n.vocab, 0) = 0 THEN 0.0
+       ELSE greatest(0.0, least(100.0, round_even(coalesce(c.cos, 0.0) * 100.0, 2))) END
+    AS text_similarity_percentage,
+  CAST(CASE WHEN NOT (f.rb AND f.jb) OR coalesce(n.vocab, 0) = 0 THEN 0 ELSE n.n_shared END AS BIGINT)
+    AS n_shared_terms,
+  CASE WHEN NOT (f.rb AND f.jb) THEN {q(L.SIMILARITY_EMPTY_MSG)}
+       WHEN coalesce(n.vocab, 0) = 0 THEN {q(L.SIMILARITY_EMPTY_VOCAB_MSG)}
+       WHEN t5.t5 IS NOT NULL THEN {q(L.SIMILARITY_PREFIX_MSG)} || t5.t5 || '.'
+       ELSE {q(L.SIMILARITY_NO_OVERLAP_MSG)} END AS explanation
+FROM flags f LEFT JOIN nrm n ON n.resume_id = f.resume_id AND n.job_id = f.job_id
+LEFT JOIN cosv c ON c.resume_id = f.resume_id AND c.job_id = f.job_id
+LEFT JOIN t5 ON t5.resume_id = f.resume_id AND t5.job_id = f.job_id"""
+
+
+def tfidf_top_sql(cap: int) -> str:
+    return "WITH " + tfidf_ctes(cap) + """
+SELECT resume_id, job_id, CAST(rank AS BIGINT) AS rank, term, round_even(ow, 4) AS overlap_weight FROM top"""
