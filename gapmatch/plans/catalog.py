@@ -17,6 +17,10 @@ from ..operators import documents as D
 from ..operators import extract as X
 from ..operators import sections as S
 from ..operators import similarity as SIM
+from ..operators import evidence as EV
+from ..operators import recommend as R
+from ..operators import evaluate as EVAL
+from ..operators import summary as SUM
 from ..functions import text as T
 from ..functions import skills as SK
 from ..operators import kb as K
@@ -145,6 +149,76 @@ def _tfidf(spark, sf, cap):
 TFIDF_SMALL_CAP = 300
 
 
+def _f3(spark, sf):
+    return FX.pairs(spark, sf), FX.resume_skills(spark, sf), FX.job_skills(spark, sf)
+
+
+def _match_rows(spark, sf):
+    p, h, r = _f3(spark, sf)
+    return p, h, r, M.required_rows(p, h, r)
+
+
+def _evidence_table(spark, sf):
+    p, h, r, rows = _match_rows(spark, sf)
+    return EV.evidence_table(p, h, r, rows, FX.resume_evidence(spark, sf))
+
+
+def _recs(spark, sf):
+    p, h, r, rows = _match_rows(spark, sf)
+    missing = rows.filter(~F.col("matched")).select("resume_id", "job_id", "skill")
+    return R.recommendations(missing, _kb(spark, sf))
+
+
+def _recommendations(spark, sf):
+    return _recs(spark, sf).select("resume_id", "job_id", "skill_key", "skill", "category", "priority", "reason",
+                                   "hot_technology", "in_demand", "importance_score")
+
+
+def _summary_and_prio(spark, sf):
+    p, h, r, rows = _match_rows(spark, sf)
+    summ = M.match_summary(p, h, r, rows=rows)
+    missing = rows.filter(~F.col("matched")).select("resume_id", "job_id", "skill")
+    prio = R.priority_summary(R.recommendations(missing, _kb(spark, sf)))
+    return summ, prio
+
+
+def _alignment_counts(spark, sf):
+    p, h, r, rows = _match_rows(spark, sf)
+    return SUM.alignment_counts(M.match_summary(p, h, r, rows=rows))
+
+
+def _priority_counts(spark, sf):
+    _, prio = _summary_and_prio(spark, sf)
+    return SUM.priority_counts(prio)
+
+
+def _pair_summary(spark, sf):
+    summ, prio = _summary_and_prio(spark, sf)
+    return SUM.pair_summary(summ, prio)
+
+
+def _fuzzy_pairs(spark, sf):
+    _, h, r = _f3(spark, sf)
+    return M.similarity_table(M.canon_skills(r, "job_id"), M.canon_skills(h, "resume_id"))
+
+
+def _fuzzy_assign(spark, sf):
+    p, h, r, rows = _match_rows(spark, sf)
+    return rows.filter(F.col("fuzzy_held").isNotNull()).select(
+        "resume_id", "job_id", F.col("skill").alias("req"), F.col("fuzzy_held").alias("held"),
+        F.col("fuzzy_score").alias("score"))
+
+
+def _evaluate_extraction(spark, sf):
+    p, h, r = _f3(spark, sf)
+    al = K.alias_map(spark, _kb(spark, sf))
+    truth = (p.join(r, "job_id").select("resume_id", "job_id", F.col("job_id").alias("domain"),
+                                        F.col("skill").alias("raw")))
+    truth = X.normalize(truth, al).filter(F.col("skill") != "")
+    pred = p.join(M.canon_skills(h, "resume_id"), "resume_id")
+    return EVAL.evaluate(truth, pred, keys=("resume_id", "job_id"))
+
+
 QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "match_summary": (_match_summary, O.match_summary_sql),
     "clean_documents": (lambda s, d: D.clean_documents(_docs(s, d)), O.clean_documents_sql),
@@ -168,6 +242,14 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "tfidf_similarity": (lambda s, d: _tfidf(s, d, 5000)[0], lambda: O.tfidf_scores_sql(5000)),
     "tfidf_capped": (lambda s, d: _tfidf(s, d, TFIDF_SMALL_CAP)[0], lambda: O.tfidf_scores_sql(TFIDF_SMALL_CAP)),
     "top_shared_terms": (lambda s, d: _tfidf(s, d, 5000)[1], lambda: O.tfidf_top_sql(5000)),
+    "fuzzy_pairs": (_fuzzy_pairs, O.fuzzy_pairs_sql),
+    "fuzzy_assign": (_fuzzy_assign, O.fuzzy_assign_sql),
+    "evidence_table": (_evidence_table, O.evidence_table_sql),
+    "recommendations": (_recommendations, O.recommendations_sql),
+    "alignment_counts": (_alignment_counts, O.alignment_counts_sql),
+    "priority_counts": (_priority_counts, O.priority_counts_sql),
+    "pair_summary": (_pair_summary, O.pair_summary_sql),
+    "evaluate_extraction": (_evaluate_extraction, O.evaluate_extraction_sql),
 }
 
 

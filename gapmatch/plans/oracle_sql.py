@@ -711,3 +711,166 @@ LEFT JOIN t5 ON t5.resume_id = f.resume_id AND t5.job_id = f.job_id"""
 def tfidf_top_sql(cap: int) -> str:
     return "WITH " + tfidf_ctes(cap) + """
 SELECT resume_id, job_id, CAST(rank AS BIGINT) AS rank, term, round_even(ow, 4) AS overlap_weight FROM top"""
+
+
+# ---------------------------------------------------------------------------
+# PL-02 outputs, PL-04, AG-13/14, PL-07, PL-06 on the F3 stand-ins
+# ---------------------------------------------------------------------------
+
+def fuzzy_pairs_sql() -> str:
+    return "WITH " + F3_CTES + "," + fuzzy_sim_cte() + "\nSELECT a, b, score FROM sim"
+
+
+def fuzzy_assign_sql() -> str:
+    return "WITH " + MATCH_CTES + "\nSELECT resume_id, job_id, req, held, score FROM assigned"
+
+
+EVIDENCE_CTE = """
+ev AS (
+  SELECT resume_id, skill, array_to_string(list_transform(list_sort(list(DISTINCT {'r': r, 's': s})),
+                                                          lambda x: x.s), ' + ') AS evidence
+  FROM (SELECT o.o_custkey AS resume_id, lower(p.p_name) AS skill,
+               CASE WHEN o.o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS r,
+               CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'Skills section' ELSE 'Experience section' END AS s
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+        WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH'))
+  GROUP BY resume_id, skill)
+"""
+
+
+def evidence_table_sql() -> str:
+    fuzzy = (f"coalesce(fe.evidence, {q(L.EVIDENCE_DEFAULT_MATCHED)}) || ' (fuzzy match ' || "
+             f"CAST(CAST(round_even(m.fuzzy_score, 0) AS BIGINT) AS VARCHAR) || '%)'")
+    return "WITH " + MATCH_CTES + "," + EVIDENCE_CTE + f""",
+reqrows AS (
+  SELECT m.resume_id, m.job_id, m.skill,
+         CASE WHEN m.matched THEN {q(L.STATUS_MATCHED)} ELSE {q(L.STATUS_MISSING)} END AS status,
+         CASE WHEN m.fuzzy_held IS NOT NULL THEN {fuzzy}
+              WHEN m.exact THEN coalesce(nullif(e.evidence, ''), {q(L.EVIDENCE_DEFAULT_MATCHED)})
+              ELSE {q(L.EVIDENCE_MISSING)} END AS evidence,
+         'Required' AS type, 0 AS grp
+  FROM mrows m LEFT JOIN ev e ON e.resume_id = m.resume_id AND e.skill = m.skill
+  LEFT JOIN ev fe ON fe.resume_id = m.resume_id AND fe.skill = m.fuzzy_held),
+extras AS (
+  SELECT p.resume_id, p.job_id, h.skill FROM pairs p JOIN held h ON h.resume_id = p.resume_id
+  WHERE NOT EXISTS (SELECT 1 FROM req r WHERE r.job_id = p.job_id AND r.skill = h.skill)
+    AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.resume_id = p.resume_id AND a.job_id = p.job_id
+                    AND a.held = h.skill)),
+exrows AS (
+  SELECT x.resume_id, x.job_id, x.skill, {q(L.STATUS_EXTRA)} AS status,
+         coalesce(nullif(e.evidence, ''), {q(L.EVIDENCE_DEFAULT_EXTRA)}) AS evidence, 'Additional' AS type, 1 AS grp
+  FROM extras x LEFT JOIN ev e ON e.resume_id = x.resume_id AND e.skill = x.skill),
+allr AS (SELECT * FROM reqrows UNION ALL SELECT * FROM exrows)
+SELECT resume_id, job_id, CAST(row_number() OVER (PARTITION BY resume_id, job_id ORDER BY grp, skill) AS BIGINT) AS pos,
+       skill AS skill_key, {display('skill')} AS skill, status, evidence, type
+FROM allr"""
+
+
+def _priority_sql(hot, dem, imp, occ) -> str:
+    return (f"(CASE WHEN {hot} OR {dem} OR {imp} >= 4.0 THEN {q(L.PRIORITY_HIGH)} "
+            f"WHEN {occ} >= 3 OR {imp} >= 3.0 THEN {q(L.PRIORITY_MEDIUM)} ELSE {q(L.PRIORITY_LOW)} END)")
+
+
+def _reason_sql(hot, dem, imp, occ) -> str:
+    a, b = L.REASON_IMPORTANCE.split("{importance}")
+    c, d = L.REASON_MEDIUM.split("{count}")
+    return (f"(CASE WHEN {hot} AND {dem} THEN {q(L.REASON_HOT_AND_DEMAND)} WHEN {hot} THEN {q(L.REASON_HOT)} "
+            f"WHEN {dem} THEN {q(L.REASON_DEMAND)} "
+            f"WHEN {imp} >= 4.0 THEN {q(a)} || CAST({imp} AS VARCHAR) || {q(b)} "
+            f"WHEN {occ} >= 3 OR {imp} >= 3.0 THEN {q(c)} || CAST({occ} AS VARCHAR) || {q(d)} "
+            f"ELSE {q(L.REASON_LOW)} END)")
+
+
+def recs_ctes() -> str:
+    return kb_ctes() + "," + MATCH_CTES + f""",
+missing AS (SELECT resume_id, job_id, skill FROM mrows WHERE NOT matched),
+recs0 AS (
+  SELECT m.resume_id, m.job_id, {canon('m.skill')} AS skill_key,
+         coalesce(k.name, {title('m.skill')}) AS skill,
+         coalesce(k.category, {q(L.DEFAULT_CATEGORY_MISSING)}) AS category,
+         coalesce(k.hot_technology, false) AS hot, coalesce(k.in_demand, false) AS dem,
+         coalesce(k.occupations_count, 1) AS occ, CAST(coalesce(k.importance_score, 0.0) AS DOUBLE) AS imp
+  FROM missing m LEFT JOIN kb k ON k.skill_key = {canon('m.skill')}),
+recs AS (
+  SELECT resume_id, job_id, skill_key, skill, category, {_priority_sql('hot', 'dem', 'imp', 'occ')} AS priority,
+         {_reason_sql('hot', 'dem', 'imp', 'occ')} AS reason, hot AS hot_technology, dem AS in_demand,
+         imp AS importance_score
+  FROM recs0),
+prio AS (
+  SELECT resume_id, job_id, count(*) AS total_recommended,
+         count(*) FILTER (WHERE priority = {q(L.PRIORITY_HIGH)}) AS high_count,
+         count(*) FILTER (WHERE priority = {q(L.PRIORITY_MEDIUM)}) AS medium_count,
+         count(*) FILTER (WHERE priority = {q(L.PRIORITY_LOW)}) AS low_count
+  FROM recs GROUP BY resume_id, job_id)
+"""
+
+
+def recommendations_sql() -> str:
+    return "WITH " + recs_ctes() + """
+SELECT resume_id, job_id, skill_key, skill, category, priority, reason, hot_technology, in_demand, importance_score
+FROM recs"""
+
+
+def alignment_counts_sql() -> str:
+    return "WITH " + MATCH_CTES + """
+SELECT resume_id, job_id, 'Matched Skills' AS category, CAST(total_matched AS BIGINT) AS count FROM summary
+UNION ALL SELECT resume_id, job_id, 'Missing Skills', CAST(total_missing AS BIGINT) FROM summary
+UNION ALL SELECT resume_id, job_id, 'Extra Skills', CAST(total_extra AS BIGINT) FROM summary"""
+
+
+def priority_counts_sql() -> str:
+    return "WITH " + recs_ctes() + f"""
+SELECT resume_id, job_id, {q(L.PRIORITY_HIGH)} AS priority, CAST(high_count AS BIGINT) AS count FROM prio
+UNION ALL SELECT resume_id, job_id, {q(L.PRIORITY_MEDIUM)}, CAST(medium_count AS BIGINT) FROM prio
+UNION ALL SELECT resume_id, job_id, {q(L.PRIORITY_LOW)}, CAST(low_count AS BIGINT) FROM prio"""
+
+
+def pair_summary_sql() -> str:
+    desc = " ".join(f"WHEN {q(lv)} THEN {q(d)}" for _, lv, d in L.GAP_LEVELS)
+    return "WITH " + recs_ctes() + f""",
+s AS (SELECT *, {gap_level('match_percentage')} AS gap_level FROM summary)
+SELECT s.resume_id, s.job_id, CAST(s.match_percentage AS DOUBLE) AS match_percentage, s.gap_level,
+       (CASE s.gap_level {desc} END) AS gap_description, s.total_matched, s.total_missing, s.total_extra,
+       CAST(coalesce(p.high_count, 0) AS BIGINT) AS high_priority_count
+FROM s LEFT JOIN prio p ON p.resume_id = s.resume_id AND p.job_id = s.job_id"""
+
+
+def evaluate_extraction_sql() -> str:
+    cl = f"regexp_replace({strip('lower(r.skill)')}, '^[^\\pL\\pN_+#]+|[^\\pL\\pN_+#]+$', '', 'g')"
+    return "WITH " + kb_ctes() + "," + F3_CTES + f""",
+t0 AS (SELECT p.resume_id, p.job_id, p.job_id AS domain, {cl} AS s
+       FROM pairs p JOIN req_raw r ON r.job_id = p.job_id),
+truth AS (
+  SELECT DISTINCT t0.resume_id, t0.job_id, t0.domain,
+         CASE WHEN t0.s = '' THEN '' ELSE coalesce(a0.canonical, a1.canonical, a2.canonical, t0.s) END AS skill
+  FROM t0 LEFT JOIN aliases a0 ON a0.alias = t0.s
+  LEFT JOIN aliases a1 ON a1.alias = replace(t0.s, '-', ' ')
+  LEFT JOIN aliases a2 ON a2.alias = {squash("translate(t0.s, './', '  ')")}),
+tr AS (SELECT DISTINCT resume_id, job_id, skill FROM truth WHERE skill <> ''),
+pr AS (SELECT DISTINCT p.resume_id, p.job_id, h.skill FROM pairs p JOIN held h ON h.resume_id = p.resume_id),
+j AS (SELECT coalesce(tr.resume_id, pr.resume_id) AS resume_id, coalesce(tr.job_id, pr.job_id) AS job_id,
+             coalesce(tr.skill, pr.skill) AS skill, tr.skill IS NOT NULL AS in_t, pr.skill IS NOT NULL AS in_p
+      FROM tr FULL OUTER JOIN pr ON tr.resume_id = pr.resume_id AND tr.job_id = pr.job_id AND tr.skill = pr.skill),
+per AS (
+  SELECT resume_id, job_id, count(*) FILTER (WHERE in_t AND in_p) AS tp, count(*) FILTER (WHERE NOT in_t) AS fp,
+         count(*) FILTER (WHERE NOT in_p) AS fn,
+         coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE in_t AND in_p)), '|'), '') AS tp_skills,
+         coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE NOT in_t)), '|'), '') AS fp_skills,
+         coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE NOT in_p)), '|'), '') AS fn_skills
+  FROM j GROUP BY resume_id, job_id),
+per2 AS (SELECT per.*, d.domain FROM per LEFT JOIN (SELECT DISTINCT resume_id, job_id, domain FROM truth) d
+         ON d.resume_id = per.resume_id AND d.job_id = per.job_id),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
+             CASE WHEN tp + fp + fn > 0 THEN tp::DOUBLE / (tp + fp + fn) ELSE 0.0 END AS jaccard FROM per2),
+tot AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per),
+tm AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+              CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
+              CASE WHEN tp + fp + fn > 0 THEN tp::DOUBLE / (tp + fp + fn) ELSE 0.0 END AS jaccard FROM tot)
+SELECT 'sample' AS level, resume_id, job_id, domain, tp, fp, fn, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+       jaccard, tp_skills, fp_skills, fn_skills FROM m
+UNION ALL
+SELECT 'total', NULL, NULL, NULL, CAST(tp AS BIGINT), CAST(fp AS BIGINT), CAST(fn AS BIGINT), precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END,
+       jaccard, NULL, NULL, NULL FROM tm"""

@@ -124,3 +124,22 @@ def essential_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.col("c_mktsegment"), F.lit(" Planning")))
     names = F.array(F.col("o_orderpriority"), seg, extra)
     return j.select(F.explode(names).alias("element_name"), dv.alias("data_value"))
+
+
+def resume_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 evidence: where a held skill was 'found', from the order priorities.
+
+    Parts bought in 1-URGENT orders count as 'Skills section', in 2-HIGH
+    orders as 'Experience section'; other held skills have no evidence.
+    Returns (resume_id, skill, evidence) with sections in display order.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+         .filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")))
+    sec = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Skills section")).otherwise(F.lit("Experience section"))
+    g = j.select(F.col("o_custkey").alias("resume_id"), F.lower(F.col("p_name")).alias("skill"), sec.alias("s"))
+    g = g.groupBy("resume_id", "skill").agg(F.array_sort(F.collect_set(F.struct(
+        F.when(F.col("s") == "Skills section", 0).otherwise(1).alias("r"), F.col("s")))).alias("ss"))
+    return g.select("resume_id", "skill", F.array_join(F.transform("ss", lambda x: x["s"]), " + ").alias("evidence"))
