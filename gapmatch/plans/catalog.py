@@ -21,6 +21,7 @@ from ..operators import evidence as EV
 from ..operators import recommend as R
 from ..operators import evaluate as EVAL
 from ..operators import summary as SUM
+from ..operators import normalize as NZ
 from ..functions import text as T
 from ..functions import skills as SK
 from ..operators import kb as K
@@ -219,6 +220,19 @@ def _evaluate_extraction(spark, sf):
     return EVAL.evaluate(truth, pred, keys=("resume_id", "job_id"))
 
 
+def _normalize_skills(spark, sf):
+    al = K.alias_map(spark, _kb(spark, sf), extra=FX.user_aliases(spark))
+    out = NZ.normalize_skill_list(FX.noisy_resume_skills(spark, sf), al)
+    return out.select("resume_id", "n_raw", "n_skills", F.array_join("skills", "|").alias("skills"))
+
+
+def _display_names(spark, sf):
+    terms = (_kb(spark, sf).select(F.col("skill_key").alias("term"))
+             .unionByName(FX.noisy_resume_skills(spark, sf).select(F.col("raw").alias("term"))).distinct())
+    return terms.select("term", SK.display_name("term").alias("display_name"),
+                        SK.curated_display("term").alias("curated_display"))
+
+
 QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "match_summary": (_match_summary, O.match_summary_sql),
     "clean_documents": (lambda s, d: D.clean_documents(_docs(s, d)), O.clean_documents_sql),
@@ -250,6 +264,8 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "priority_counts": (_priority_counts, O.priority_counts_sql),
     "pair_summary": (_pair_summary, O.pair_summary_sql),
     "evaluate_extraction": (_evaluate_extraction, O.evaluate_extraction_sql),
+    "normalize_skills": (_normalize_skills, O.normalize_skills_sql),
+    "display_names": (_display_names, O.display_names_sql),
 }
 
 

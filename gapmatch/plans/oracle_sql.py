@@ -874,3 +874,50 @@ UNION ALL
 SELECT 'total', NULL, NULL, NULL, CAST(tp AS BIGINT), CAST(fp AS BIGINT), CAST(fn AS BIGINT), precision, recall,
        CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END,
        jaccard, NULL, NULL, NULL FROM tm"""
+
+
+# ---------------------------------------------------------------------------
+# SC-19 / SC-06 on noisy F3 strings
+# ---------------------------------------------------------------------------
+
+NOISY_CTE = f"""
+noisy AS (
+  SELECT o.o_custkey AS resume_id, {{'a': l.l_orderkey, 'b': l.l_linenumber, 'c': l.l_partkey}} AS pos,
+         CASE l.l_linenumber WHEN 1 THEN upper(p.p_name) || ','
+                             WHEN 2 THEN replace(p.p_name, ' ', '-')
+                             WHEN 3 THEN '  ' || p.p_name || '.'
+                             WHEN 4 THEN replace(p.p_name, ' ', '.')
+                             WHEN 5 THEN replace(p.p_name, ' ', '/')
+                             WHEN 6 THEN {lst(["ML", "Power-BI", "ci/cd", "React.js", "MS Excel", "node js", "Sklearn", "(Python)", "AWS;"])}[l.l_partkey % 9 + 1]
+                             ELSE p.p_name END AS raw
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)
+"""
+
+
+def normalize_skills_sql() -> str:
+    ua = "(VALUES ('HOT ROD', ' Hot-Rod Racing ')) ua(alias, canonical)"
+    cl = f"regexp_replace({strip('lower(raw)')}, '^[^\\pL\\pN_+#]+|[^\\pL\\pN_+#]+$', '', 'g')"
+    return "WITH " + kb_ctes() + "," + NOISY_CTE + f""",
+ua2 AS (SELECT {strip('lower(alias)')} AS alias, {strip('lower(canonical)')} AS canonical FROM {ua}),
+al AS (SELECT alias, canonical FROM aliases WHERE alias NOT IN (SELECT alias FROM ua2 WHERE alias <> '' AND canonical <> '')
+       UNION ALL SELECT alias, canonical FROM ua2 WHERE alias <> '' AND canonical <> ''),
+n0 AS (SELECT resume_id, pos, {cl} AS s FROM noisy),
+n1 AS (SELECT n0.resume_id, n0.pos,
+              CASE WHEN n0.s = '' THEN '' ELSE coalesce(a0.canonical, a1.canonical, a2.canonical, n0.s) END AS skill
+       FROM n0 LEFT JOIN al a0 ON a0.alias = n0.s
+       LEFT JOIN al a1 ON a1.alias = replace(n0.s, '-', ' ')
+       LEFT JOIN al a2 ON a2.alias = {squash("translate(n0.s, './', '  ')")}),
+first AS (SELECT resume_id, skill, min(pos) AS p FROM n1 WHERE skill <> '' GROUP BY resume_id, skill),
+lists AS (SELECT resume_id, list(skill ORDER BY p) AS skills FROM first GROUP BY resume_id),
+counts AS (SELECT resume_id, count(*) AS n_raw FROM noisy GROUP BY resume_id)
+SELECT c.resume_id, c.n_raw, CAST(coalesce(len(l.skills), 0) AS BIGINT) AS n_skills,
+       coalesce(array_to_string(l.skills, '|'), '') AS skills
+FROM counts c LEFT JOIN lists l ON l.resume_id = c.resume_id"""
+
+
+def display_names_sql() -> str:
+    return "WITH " + kb_ctes() + "," + NOISY_CTE + f""",
+terms AS (SELECT DISTINCT term FROM (SELECT skill_key AS term FROM kb UNION ALL SELECT raw AS term FROM noisy))
+SELECT term, {display('term')} AS display_name,
+       CASE WHEN length(term) > 4 THEN {title('term')} ELSE upper(term) END AS curated_display
+FROM terms"""

@@ -143,3 +143,39 @@ def resume_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.groupBy("resume_id", "skill").agg(F.array_sort(F.collect_set(F.struct(
         F.when(F.col("s") == "Skills section", 0).otherwise(1).alias("r"), F.col("s")))).alias("ss"))
     return g.select("resume_id", "skill", F.array_join(F.transform("ss", lambda x: x["s"]), " + ").alias("evidence"))
+
+
+# FIXED VALUES: extra noisy skill spellings chosen by l_partkey % 9, and one
+# user alias (UX-03).
+NOISY_SKILLS = ["ML", "Power-BI", "ci/cd", "React.js", "MS Excel", "node js", "Sklearn", "(Python)", "AWS;"]
+USER_ALIASES = [("HOT ROD", " Hot-Rod Racing ")]
+
+
+def noisy_resume_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 held skills as raw, noisy strings in purchase order.
+
+    The spelling depends on l_linenumber (upper case with a comma, hyphens,
+    padding and a period, dots, slashes, a fixed noisy name, plain).
+    Returns (resume_id, pos STRUCT, raw).
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    n = F.col("p_name")
+    noisy = F.element_at(F.array(*[F.lit(x) for x in NOISY_SKILLS]),
+                         (F.col("l_partkey") % len(NOISY_SKILLS) + 1).cast("int"))
+    ln = F.col("l_linenumber")
+    raw = (F.when(ln == 1, F.concat(F.upper(n), F.lit(",")))
+           .when(ln == 2, F.replace(n, F.lit(" "), F.lit("-")))
+           .when(ln == 3, F.concat(F.lit("  "), n, F.lit(".")))
+           .when(ln == 4, F.replace(n, F.lit(" "), F.lit(".")))
+           .when(ln == 5, F.replace(n, F.lit(" "), F.lit("/")))
+           .when(ln == 6, noisy)
+           .otherwise(n))
+    return j.select(F.col("o_custkey").alias("resume_id"),
+                    F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), raw.alias("raw"))
+
+
+def user_aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(USER_ALIASES, "alias string, canonical string")
