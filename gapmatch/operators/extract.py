@@ -97,28 +97,43 @@ def special_terms(d: DataFrame) -> DataFrame:
         "doc_id", F.col("term").alias("raw"), "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
 
 
+def dictionary_tokens(dictionary: DataFrame) -> DataFrame:
+    """Every token that occurs in some dictionary phrase: (tok)."""
+    return dictionary.select(F.explode(F.split("key", " ")).alias("tok")).distinct()
+
+
 def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     """JN-02: every dictionary phrase occurrence in a line.
 
-    (doc_id, line_no, start, n, raw, section) with token positions.
+    (doc_id, line_no, start, n, raw, section) with 1-based token positions.
+
+    A phrase consists of dictionary tokens only, so tokens are first exploded
+    (a code-generated generator) and semi-joined with the dictionary's token
+    set; n-grams are then built per line over consecutive surviving tokens
+    and equi-joined with the dictionary.  Only the survivors are shuffled.
     """
     lens = sorted(r["n"] for r in dictionary.select("n").distinct().collect())
-    # section and token arrays are computed per line; exploded n-gram rows
-    # carry only small scalars (never the line's arrays)
-    t = lines.select("doc_id", "line_no", S.section_of_line("hdrs", "line_no").alias("section"),
-                     token_pieces("line").alias("pc"))
-    t = t.select("doc_id", "line_no", "section", "pc", F.transform("pc", lambda p: F.ltrim(p)).alias("tk"))
+    toks = lines.select("doc_id", "line_no", S.section_of_line("hdrs", "line_no").alias("section"),
+                        F.posexplode(token_pieces("line")).alias("i", "piece"))
+    toks = toks.withColumn("tok", F.ltrim("piece"))
+    toks = toks.join(maybe_broadcast(dictionary_tokens(dictionary), DICT_MAX_ROWS), "tok", "left_semi")
+    per_line = toks.groupBy("doc_id", "line_no").agg(
+        F.first("section").alias("section"),
+        F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("p"), "tok", "piece"))).alias("t"))
 
     def grams_of(n: int) -> Column:
-        return F.when(F.size("tk") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("tk") - n + 1),
-            lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"),
-                               F.array_join(F.slice(F.col("tk"), i, n), " ").alias("key"),
-                               F.ltrim(F.array_join(F.slice(F.col("pc"), i, n), "")).alias("raw")))
-        ).otherwise(F.array().cast("array<struct<start:int,n:int,key:string,raw:string>>"))
-
-    grams = F.flatten(F.array(*[grams_of(n) for n in lens]))
-    g = t.select("doc_id", "line_no", "section", F.explode(grams).alias("g"))
+        t = F.col("t")
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
+            lambda k: (k + n - 1 <= F.size(t))
+            & (F.element_at(t, k + n - 1)["p"] - F.element_at(t, k)["p"] == n - 1))
+        return F.transform(starts, lambda k: F.struct(
+            F.element_at(t, k)["p"].alias("start"), F.lit(n).alias("n"),
+            F.array_join(F.transform(F.slice(t, k, n), lambda x: x["tok"]), " ").alias("key"),
+            F.ltrim(F.array_join(F.transform(F.slice(t, k, n), lambda x: x["piece"]), "")).alias("raw")))
+
+    g = per_line.select("doc_id", "line_no", "section",
+                        F.explode(F.flatten(F.array(*[grams_of(n) for n in lens]))).alias("g"))
     g = g.select("doc_id", "line_no", "section", "g.start", "g.n", "g.key", "g.raw")
     m = g.join(maybe_broadcast(dictionary.select("key").distinct(), DICT_MAX_ROWS), "key", "left_semi")
     return m.select("doc_id", "line_no", "start", "n", "raw", "section")

@@ -27,12 +27,13 @@ from ..functions import skills as SK
 from ..operators import kb as K
 from ..operators import match as M
 from ..sources.tables import table
+from .broadcast import materialize
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def _match_summary(spark, sf):
-    return M.match_summary(FX.pairs(spark, sf), FX.resume_skills(spark, sf), FX.job_skills(spark, sf))
+    return M.match_summary(_mi(spark, sf))
 
 
 def _docs(spark, sf):
@@ -49,6 +50,11 @@ def _kb(spark, sf):
     return K.build_kb(spark, FX.software_records(spark, sf), FX.essential_records(spark, sf))
 
 
+def _kb_m(spark, sf):
+    """The KB, checkpointed: used by several joins of one query."""
+    return materialize(_kb(spark, sf))
+
+
 def _kb_software(spark, sf):
     s = K.software_kb(FX.software_records(spark, sf))
     return s.select("skill_key", "name", "category", "hot_technology", "in_demand", "occupations_count",
@@ -80,7 +86,7 @@ def _profiles(spark, sf):
 
 
 def _prepared(spark, sf):
-    kb = _kb(spark, sf)
+    kb = _kb_m(spark, sf)
     return kb, X.prepare(kb.select("skill_key"), K.alias_map(spark, kb))
 
 
@@ -155,19 +161,19 @@ def _f3(spark, sf):
 
 
 def _match_rows(spark, sf):
-    p, h, r = _f3(spark, sf)
-    return p, h, r, M.required_rows(p, h, r)
+    mi = _mi(spark, sf)
+    return mi, M.required_rows(mi)
 
 
 def _evidence_table(spark, sf):
-    p, h, r, rows = _match_rows(spark, sf)
-    return EV.evidence_table(p, h, r, rows, FX.resume_evidence(spark, sf))
+    mi, rows = _match_rows(spark, sf)
+    return EV.evidence_table(mi, rows, FX.resume_evidence(spark, sf))
 
 
 def _recs(spark, sf):
-    p, h, r, rows = _match_rows(spark, sf)
+    mi, rows = _match_rows(spark, sf)
     missing = rows.filter(~F.col("matched")).select("resume_id", "job_id", "skill")
-    return R.recommendations(missing, _kb(spark, sf))
+    return R.recommendations(missing, _kb_m(spark, sf))
 
 
 def _recommendations(spark, sf):
@@ -176,16 +182,16 @@ def _recommendations(spark, sf):
 
 
 def _summary_and_prio(spark, sf):
-    p, h, r, rows = _match_rows(spark, sf)
-    summ = M.match_summary(p, h, r, rows=rows)
+    mi, rows = _match_rows(spark, sf)
+    summ = M.match_summary(mi, rows=rows)
     missing = rows.filter(~F.col("matched")).select("resume_id", "job_id", "skill")
-    prio = R.priority_summary(R.recommendations(missing, _kb(spark, sf)))
+    prio = R.priority_summary(R.recommendations(missing, _kb_m(spark, sf)))
     return summ, prio
 
 
 def _alignment_counts(spark, sf):
-    p, h, r, rows = _match_rows(spark, sf)
-    return SUM.alignment_counts(M.match_summary(p, h, r, rows=rows))
+    mi, rows = _match_rows(spark, sf)
+    return SUM.alignment_counts(M.match_summary(mi, rows=rows))
 
 
 def _priority_counts(spark, sf):
@@ -204,24 +210,25 @@ def _fuzzy_pairs(spark, sf):
 
 
 def _fuzzy_assign(spark, sf):
-    p, h, r, rows = _match_rows(spark, sf)
+    mi, rows = _match_rows(spark, sf)
     return rows.filter(F.col("fuzzy_held").isNotNull()).select(
         "resume_id", "job_id", F.col("skill").alias("req"), F.col("fuzzy_held").alias("held"),
         F.col("fuzzy_score").alias("score"))
 
 
 def _evaluate_extraction(spark, sf):
-    p, h, r = _f3(spark, sf)
-    al = K.alias_map(spark, _kb(spark, sf))
-    truth = (p.join(r, "job_id").select("resume_id", "job_id", F.col("job_id").alias("domain"),
-                                        F.col("skill").alias("raw")))
-    truth = X.normalize(truth, al).filter(F.col("skill") != "")
-    pred = p.join(M.canon_skills(h, "resume_id"), "resume_id")
+    mi = _mi(spark, sf)
+    al = materialize(K.alias_map(spark, _kb_m(spark, sf)).select("alias", "canonical"))
+    # truth: the job's raw skill names, normalised per distinct job (SC-19)
+    jt = X.normalize(FX.job_skills(spark, sf).select("job_id", F.col("skill").alias("raw")), al)
+    jt = jt.filter(F.col("skill") != "").select("job_id", "skill").distinct()
+    truth = mi.pairs.join(jt, "job_id").withColumn("domain", F.col("job_id"))
+    pred = mi.pairs.join(mi.held, "resume_id")
     return EVAL.evaluate(truth, pred, keys=("resume_id", "job_id"))
 
 
 def _normalize_skills(spark, sf):
-    al = K.alias_map(spark, _kb(spark, sf), extra=FX.user_aliases(spark))
+    al = materialize(K.alias_map(spark, _kb_m(spark, sf), extra=FX.user_aliases(spark)))
     out = NZ.normalize_skill_list(FX.noisy_resume_skills(spark, sf), al)
     return out.select("resume_id", "n_raw", "n_skills", F.array_join("skills", "|").alias("skills"))
 
@@ -233,6 +240,10 @@ def _display_names(spark, sf):
                         SK.curated_display("term").alias("curated_display"))
 
 
+def _mi(spark, sf):
+    return M.match_inputs(*_f3(spark, sf))
+
+
 QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "match_summary": (_match_summary, O.match_summary_sql),
     "clean_documents": (lambda s, d: D.clean_documents(_docs(s, d)), O.clean_documents_sql),
