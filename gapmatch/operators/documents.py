@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
-from ..plans.broadcast import maybe_broadcast
+from ..plans.broadcast import materialize, maybe_broadcast
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def lemma_tokens(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame
     ex = toks.select("doc_id", F.posexplode("t").alias("pos", "term"))
     vocab = ex.select("term").distinct()
     lex = lexicon if lexicon is not None else vocab
-    lm = lemma_map(vocab, lex)
+    lm = materialize(lemma_map(vocab, lex))
     return ex.join(maybe_broadcast(lm, 2_000_000), "term")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
-from ..plans.broadcast import maybe_broadcast
+from ..plans.broadcast import materialize, maybe_broadcast
 from .documents import lemma_map
 
 K_IDF = 1.0 + math.log(1.5)
@@ -90,11 +90,14 @@ def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: D
     both = resumes.select("text").unionByName(jobs.select("text"))
     vocab = (both.select(F.explode(X.content_tokens(X.word_tokens(X.clean_text("text")))).alias("term"))
              .distinct())
-    lemmas = lemma_map(vocab, lexicon if lexicon is not None else vocab)
+    # vocabulary-level lemma table and per-document term counts are each
+    # reused by several joins below: compute once, cut lineage
+    lemmas = materialize(lemma_map(vocab, lexicon if lexicon is not None else vocab))
     dr = doc_terms(resumes, lemmas, stops)
     dj = doc_terms(jobs, lemmas, stops)
-    tr = term_counts(dr).withColumnRenamed("id", "resume_id").withColumnRenamed("cnt", "r")
-    tj = term_counts(dj).withColumnRenamed("id", "job_id").withColumnRenamed("cnt", "j")
+    dr, dj = materialize(dr), materialize(dj)
+    tr = materialize(term_counts(dr).withColumnRenamed("id", "resume_id").withColumnRenamed("cnt", "r"))
+    tj = materialize(term_counts(dj).withColumnRenamed("id", "job_id").withColumnRenamed("cnt", "j"))
     p = pairs.select("resume_id", "job_id")
 
     sr = _sums(tr.withColumnRenamed("r", "cnt"), "resume_id").withColumnRenamed("S", "Sr").withColumnRenamed("V", "Vr")
@@ -106,7 +109,7 @@ def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: D
         F.sum(F.col("j") * F.col("j")).alias("j2"), F.count("*").alias("n_shared"))
     base = (p.join(sr, "resume_id", "left").join(sj, "job_id", "left").join(sh, ["resume_id", "job_id"], "left")
             .na.fill(0, ["Sr", "Vr", "Sj", "Vj", "dot", "r2", "j2", "n_shared"]))
-    base = base.withColumn("U", F.col("Vr") + F.col("Vj") - F.col("n_shared"))
+    base = materialize(base.withColumn("U", F.col("Vr") + F.col("Vj") - F.col("n_shared")))
 
     # SO-04: pairs over the cap keep their top `max_features` terms
     capped = base.filter(F.col("U") > max_features).select("resume_id", "job_id")
