@@ -8,6 +8,49 @@ from pyspark.sql import functions as F
 from ..functions.scoring import f1, safe_ratio
 
 
+def _metrics(df):
+    p_ = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    r_ = safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    df = df.withColumn("precision", p_).withColumn("recall", r_)
+    return (df.withColumn("f1", f1("precision", "recall"))
+            .withColumn("jaccard", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))))
+
+
+def evaluate_sets(samples: DataFrame, keys=("sample_id",), truth: str = "truth", predicted: str = "predicted",
+                  domain: str = "domain") -> DataFrame:
+    """PL-06 on one row per sample holding both skill sets as arrays.
+
+    Set arithmetic (ST-03) runs inside the row; only the micro-average
+    total is an aggregate.  Same output as ``evaluate``.
+    """
+    keys = list(keys)
+    t = F.array_distinct(F.coalesce(F.col(truth), F.array().cast("array<string>")))
+    p = F.array_distinct(F.coalesce(F.col(predicted), F.array().cast("array<string>")))
+    s = samples.select(*keys, F.col(domain).alias("domain"), F.array_intersect(p, t).alias("tps"),
+                       F.array_except(p, t).alias("fps"), F.array_except(t, p).alias("fns"))
+    per = s.select(*keys, "domain", F.size("tps").cast("bigint").alias("tp"), F.size("fps").cast("bigint").alias("fp"),
+                   F.size("fns").cast("bigint").alias("fn"),
+                   F.array_join(F.array_sort("tps"), "|").alias("tp_skills"),
+                   F.array_join(F.array_sort("fps"), "|").alias("fp_skills"),
+                   F.array_join(F.array_sort("fns"), "|").alias("fn_skills"))
+    return _with_total(per, keys)
+
+
+def _with_total(per: DataFrame, keys) -> DataFrame:
+    samples = _metrics(per).select(F.lit("sample").alias("level"), *keys, "domain",
+                                   "tp", "fp", "fn", "precision", "recall", "f1", "jaccard",
+                                   "tp_skills", "fp_skills", "fn_skills")
+    tot = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    tot = _metrics(tot.na.fill(0)).select(F.lit("total").alias("level"),
+                                          *[F.lit(None).alias(k) for k in keys],
+                                          F.lit(None).cast("string").alias("domain"),
+                                          "tp", "fp", "fn", "precision", "recall", "f1", "jaccard",
+                                          F.lit(None).cast("string").alias("tp_skills"),
+                                          F.lit(None).cast("string").alias("fp_skills"),
+                                          F.lit(None).cast("string").alias("fn_skills"))
+    return samples.unionByName(tot)
+
+
 def evaluate(truth: DataFrame, predicted: DataFrame, keys=("sample_id",), domain: str | None = "domain") -> DataFrame:
     """Per-sample and micro-averaged precision / recall / F1 / Jaccard.
 
@@ -30,26 +73,7 @@ def evaluate(truth: DataFrame, predicted: DataFrame, keys=("sample_id",), domain
         F.array_join(F.sort_array(F.collect_list(F.when(fn, F.col("skill")))), "|").alias("fn_skills"),
     )
     if domain:
-        per = per.join(truth.select(*keys, domain).distinct(), keys, "left")
+        per = per.join(truth.select(*keys, F.col(domain).alias("domain")).distinct(), keys, "left")
     else:
         per = per.withColumn("domain", F.lit(None).cast("string"))
-        domain = "domain"
-
-    def metrics(df):
-        p_ = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-        r_ = safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-        df = df.withColumn("precision", p_).withColumn("recall", r_)
-        return (df.withColumn("f1", f1("precision", "recall"))
-                .withColumn("jaccard", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))))
-
-    samples = metrics(per).select(F.lit("sample").alias("level"), *keys, F.col(domain).alias("domain"),
-                                  "tp", "fp", "fn", "precision", "recall", "f1", "jaccard",
-                                  "tp_skills", "fp_skills", "fn_skills")
-    tot = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    tot = metrics(tot.na.fill(0)).select(F.lit("total").alias("level"),
-                                         *[F.lit(None).alias(k) for k in keys], F.lit(None).cast("string").alias("domain"),
-                                         "tp", "fp", "fn", "precision", "recall", "f1", "jaccard",
-                                         F.lit(None).cast("string").alias("tp_skills"),
-                                         F.lit(None).cast("string").alias("fp_skills"),
-                                         F.lit(None).cast("string").alias("fn_skills"))
-    return samples.unionByName(tot, allowMissingColumns=False)
+    return _with_total(per, keys)

@@ -27,7 +27,7 @@ from ..functions import skills as SK
 from ..operators import kb as K
 from ..operators import match as M
 from ..sources.tables import table
-from .broadcast import materialize
+from .broadcast import materialize, maybe_broadcast
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,12 @@ def _match_summary(spark, sf):
     return M.match_summary(_mi(spark, sf))
 
 
+def _frame(spark, sf):
+    """Pair rows, checkpointed: several outputs are exploded from them."""
+    mi = _mi(spark, sf)
+    return mi, materialize(M.pair_frame(mi))
+
+
 def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
@@ -161,18 +167,18 @@ def _f3(spark, sf):
 
 
 def _match_rows(spark, sf):
-    mi = _mi(spark, sf)
-    return mi, M.required_rows(mi)
+    mi, frame = _frame(spark, sf)
+    return (mi, frame), M.required_rows(mi, frame=frame)
 
 
 def _evidence_table(spark, sf):
-    mi, rows = _match_rows(spark, sf)
-    return EV.evidence_table(mi, rows, FX.resume_evidence(spark, sf))
+    (mi, frame), rows = _match_rows(spark, sf)
+    return EV.evidence_table(frame, rows, FX.resume_evidence(spark, sf))
 
 
 def _recs(spark, sf):
-    mi, rows = _match_rows(spark, sf)
-    missing = rows.filter(~F.col("matched")).select("resume_id", "job_id", "skill")
+    f = M.pair_frame(_mi(spark, sf))
+    missing = f.select("resume_id", "job_id", F.explode("missing").alias("skill"))
     return R.recommendations(missing, _kb_m(spark, sf))
 
 
@@ -182,16 +188,15 @@ def _recommendations(spark, sf):
 
 
 def _summary_and_prio(spark, sf):
-    mi, rows = _match_rows(spark, sf)
-    summ = M.match_summary(mi, rows=rows)
-    missing = rows.filter(~F.col("matched")).select("resume_id", "job_id", "skill")
+    (mi, frame), rows = _match_rows(spark, sf)
+    summ = M.match_summary(mi, frame=frame)
+    missing = frame.select("resume_id", "job_id", F.explode("missing").alias("skill"))
     prio = R.priority_summary(R.recommendations(missing, _kb_m(spark, sf)))
     return summ, prio
 
 
 def _alignment_counts(spark, sf):
-    mi, rows = _match_rows(spark, sf)
-    return SUM.alignment_counts(M.match_summary(mi, rows=rows))
+    return SUM.alignment_counts(M.match_summary(_mi(spark, sf)))
 
 
 def _priority_counts(spark, sf):
@@ -210,21 +215,21 @@ def _fuzzy_pairs(spark, sf):
 
 
 def _fuzzy_assign(spark, sf):
-    mi, rows = _match_rows(spark, sf)
-    return rows.filter(F.col("fuzzy_held").isNotNull()).select(
-        "resume_id", "job_id", F.col("skill").alias("req"), F.col("fuzzy_held").alias("held"),
-        F.col("fuzzy_score").alias("score"))
+    f = M.pair_frame(_mi(spark, sf))
+    return f.select("resume_id", "job_id", F.inline("assigned"))
 
 
 def _evaluate_extraction(spark, sf):
+    """one sample per pair; truth = the job's normalised skills (SC-19),
+    prediction = the resume's skills; sets are compared inside the pair row."""
     mi = _mi(spark, sf)
     al = materialize(K.alias_map(spark, _kb_m(spark, sf)).select("alias", "canonical"))
-    # truth: the job's raw skill names, normalised per distinct job (SC-19)
     jt = X.normalize(FX.job_skills(spark, sf).select("job_id", F.col("skill").alias("raw")), al)
-    jt = jt.filter(F.col("skill") != "").select("job_id", "skill").distinct()
-    truth = mi.pairs.join(jt, "job_id").withColumn("domain", F.col("job_id"))
-    pred = mi.pairs.join(mi.held, "resume_id")
-    return EVAL.evaluate(truth, pred, keys=("resume_id", "job_id"))
+    jt = (jt.filter(F.col("skill") != "").groupBy("job_id").agg(F.collect_set("skill").alias("truth")))
+    pr = mi.held.groupBy("resume_id").agg(F.collect_list("skill").alias("predicted"))
+    samples = (mi.pairs.join(pr, "resume_id", "left").join(maybe_broadcast(jt, 1_000_000), "job_id", "left")
+               .withColumn("domain", F.col("job_id")))
+    return EVAL.evaluate_sets(samples, keys=("resume_id", "job_id"))
 
 
 def _normalize_skills(spark, sf):
