@@ -44,22 +44,25 @@ def software_kb(sw: DataFrame) -> DataFrame:
     )
     r = r.filter((F.col("raw") != "") & (F.lower("raw") != "nan")).withColumn("skill_key", F.lower("raw"))
     r = r.filter(~F.col("skill_key").isin(sorted(L.BLOCKLIST)))
-    agg = r.groupBy("skill_key").agg(
+    # two-level aggregate in one pass: (skill, soc) first, then skill; both
+    # levels are partial aggregates, so a skill on a third of all rows is fine
+    lvl1 = r.groupBy("skill_key", "soc").agg(
+        F.min("ord").alias("o"),
         F.min_by(F.struct("raw", "category"), "ord").alias("first"),
-        F.min("ord").alias("first_ord"),
+        F.bool_or("hot").alias("hot"), F.bool_or("dem").alias("dem"), F.count("*").alias("n"))
+    agg = lvl1.groupBy("skill_key").agg(
+        F.min_by("first", "o").alias("first"),
+        F.min("o").alias("first_ord"),
         F.bool_or("hot").alias("hot_technology"),
         F.bool_or("dem").alias("in_demand"),
-        F.count("*").alias("occupations_count"),
+        F.sum("n").alias("occupations_count"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("soc") != "", F.struct("o", "soc")))),
+                    lambda x: x["soc"]).alias("soc_codes"),
     )
-    socs = (r.filter(F.col("soc") != "").groupBy("skill_key", "soc").agg(F.min("ord").alias("o"))
-            .groupBy("skill_key")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "soc"))), lambda s: s["soc"]).alias("soc_codes")))
-    return (agg.join(socs, "skill_key", "left")
-            .select("skill_key", F.col("first.raw").alias("name"), F.col("first.category").alias("category"),
-                    F.lit("software").alias("skill_type"), "hot_technology", "in_demand",
-                    F.col("occupations_count").cast("bigint").alias("occupations_count"),
-                    F.coalesce("soc_codes", F.array().cast("array<string>")).alias("soc_codes"),
-                    F.lit(0.0).alias("importance_score"), "first_ord"))
+    return agg.select("skill_key", F.col("first.raw").alias("name"), F.col("first.category").alias("category"),
+                      F.lit("software").alias("skill_type"), "hot_technology", "in_demand",
+                      F.col("occupations_count").cast("bigint").alias("occupations_count"),
+                      "soc_codes", F.lit(0.0).alias("importance_score"), "first_ord")
 
 
 def essential_kb(ess: DataFrame) -> DataFrame:

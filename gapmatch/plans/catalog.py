@@ -246,7 +246,9 @@ def _display_names(spark, sf):
 
 
 def _mi(spark, sf):
-    return M.match_inputs(*_f3(spark, sf))
+    pur = materialize(FX.purchases(spark, sf))
+    return M.match_inputs(pur.select("resume_id", "job_id"), pur.select("resume_id", "skill"),
+                          FX.job_skills(spark, sf))
 
 
 QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {

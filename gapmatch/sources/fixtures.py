@@ -65,6 +65,18 @@ def job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (customer, part name, brand) bought: the source of both the
+    F3 held skills and the F3 pairs (one three-way join for both)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+            .select(F.col("o_custkey").alias("resume_id"), F.col("p_name").alias("skill"),
+                    F.col("p_brand").alias("job_id"))
+            .distinct())
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 pairs: a customer is compared with every brand it bought from.
 
