@@ -290,3 +290,8 @@ def context_rejections(docs: DataFrame) -> DataFrame:
     line_no = F.size(F.split(F.col("clean").substr(F.lit(1), F.col("off")), "\n", -1)) - 1
     return x.select("doc_id", "term", F.col("off").cast("bigint").alias("offset"),
                     line_no.cast("bigint").alias("line_no"), window.rlike(contact).alias("rejected"))
+
+
+def skill_lists(extracted: DataFrame) -> DataFrame:
+    """SO-01: sorted distinct skill list per document -> (doc_id, skills)."""
+    return extracted.groupBy("doc_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))

@@ -34,4 +34,6 @@ def materialize(df: DataFrame) -> DataFrame:
     on a cluster), so a lost executor does not force recomputation of the
     whole upstream plan.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

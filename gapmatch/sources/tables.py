@@ -19,8 +19,12 @@ def spread(df: DataFrame) -> DataFrame:
     Projections and filters are still pushed below the round-robin
     repartition into the scan.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the scan as it is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
