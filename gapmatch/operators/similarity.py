@@ -111,23 +111,30 @@ def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: D
             .na.fill(0, ["Sr", "Vr", "Sj", "Vj", "dot", "r2", "j2", "n_shared"]))
     base = materialize(base.withColumn("U", F.col("Vr") + F.col("Vj") - F.col("n_shared")))
 
-    # SO-04: pairs over the cap keep their top `max_features` terms
+    # SO-04: pairs over the cap keep their top `max_features` terms; the branch
+    # is planned only when some pair exceeds the cap (checked on the
+    # checkpointed pair table)
     capped = base.filter(F.col("U") > max_features).select("resume_id", "job_id")
-    ur = tr.join(capped, "resume_id")
-    uj = tj.join(capped, "job_id")
-    u = ur.join(uj, ["resume_id", "job_id", "term"], "full_outer").na.fill(0, ["r", "j"])
-    w = Window.partitionBy("resume_id", "job_id").orderBy(F.desc(F.col("r") + F.col("j")), F.asc("term"))
-    kept = u.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= max_features)
-    ck = kept.groupBy("resume_id", "job_id").agg(
-        F.sum(F.col("r") * F.col("r")).alias("cSr"), F.sum(F.col("j") * F.col("j")).alias("cSj"),
-        F.sum(F.when((F.col("r") > 0) & (F.col("j") > 0), F.col("r") * F.col("j")).otherwise(0)).alias("cdot"),
-        F.sum(F.when((F.col("r") > 0) & (F.col("j") > 0), F.col("r") * F.col("r")).otherwise(0)).alias("cr2"),
-        F.sum(F.when((F.col("r") > 0) & (F.col("j") > 0), F.col("j") * F.col("j")).otherwise(0)).alias("cj2"),
-        F.count_if((F.col("r") > 0) & (F.col("j") > 0)).alias("cn"))
-    b = base.join(ck, ["resume_id", "job_id"], "left")
-    is_c = F.col("cSr").isNotNull()
-    for c, cc in [("Sr", "cSr"), ("Sj", "cSj"), ("dot", "cdot"), ("r2", "cr2"), ("j2", "cj2"), ("n_shared", "cn")]:
-        b = b.withColumn(c, F.when(is_c, F.col(cc)).otherwise(F.col(c)))
+    any_capped = not capped.isEmpty()
+    b = base
+    if any_capped:
+        ur = tr.join(capped, "resume_id")
+        uj = tj.join(capped, "job_id")
+        u = ur.join(uj, ["resume_id", "job_id", "term"], "full_outer").na.fill(0, ["r", "j"])
+        w = Window.partitionBy("resume_id", "job_id").orderBy(F.desc(F.col("r") + F.col("j")), F.asc("term"))
+        kept = u.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= max_features)
+        both_ = (F.col("r") > 0) & (F.col("j") > 0)
+        ck = kept.groupBy("resume_id", "job_id").agg(
+            F.sum(F.col("r") * F.col("r")).alias("cSr"), F.sum(F.col("j") * F.col("j")).alias("cSj"),
+            F.sum(F.when(both_, F.col("r") * F.col("j")).otherwise(0)).alias("cdot"),
+            F.sum(F.when(both_, F.col("r") * F.col("r")).otherwise(0)).alias("cr2"),
+            F.sum(F.when(both_, F.col("j") * F.col("j")).otherwise(0)).alias("cj2"),
+            F.count_if(both_).alias("cn"))
+        b = base.join(ck, ["resume_id", "job_id"], "left")
+        is_c = F.col("cSr").isNotNull()
+        for c, cc in [("Sr", "cSr"), ("Sj", "cSj"), ("dot", "cdot"), ("r2", "cr2"), ("j2", "cj2"),
+                      ("n_shared", "cn")]:
+            b = b.withColumn(c, F.when(is_c, F.col(cc)).otherwise(F.col(c)))
     nr = F.lit(K2) * F.col("Sr") - F.lit(K2 - 1.0) * F.col("r2")
     nj = F.lit(K2) * F.col("Sj") - F.lit(K2 - 1.0) * F.col("j2")
     den = F.sqrt(nr * nj)
@@ -136,10 +143,11 @@ def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: D
 
     # top shared terms (SO-03): weights of shared terms, kept terms only for capped pairs
     sw = shared.select("resume_id", "job_id", "term", "r", "j")
-    kept_terms = kept.filter((F.col("r") > 0) & (F.col("j") > 0)).select("resume_id", "job_id", "term")
-    sw = (sw.join(capped.withColumn("_c", F.lit(True)), ["resume_id", "job_id"], "left")
-          .join(kept_terms.withColumn("_k", F.lit(True)), ["resume_id", "job_id", "term"], "left")
-          .filter(F.col("_c").isNull() | F.col("_k").isNotNull()).drop("_c", "_k"))
+    if any_capped:
+        kept_terms = kept.filter((F.col("r") > 0) & (F.col("j") > 0)).select("resume_id", "job_id", "term")
+        sw = (sw.join(capped.withColumn("_c", F.lit(True)), ["resume_id", "job_id"], "left")
+              .join(kept_terms.withColumn("_k", F.lit(True)), ["resume_id", "job_id", "term"], "left")
+              .filter(F.col("_c").isNull() | F.col("_k").isNotNull()).drop("_c", "_k"))
     sw = sw.join(b.select("resume_id", "job_id", "den"), ["resume_id", "job_id"])
     sw = sw.withColumn("w", F.col("r") * F.col("j") / F.col("den")).filter(F.col("w") > 0)
     # within a pair the weight is r*j over a common denominator: rank on the

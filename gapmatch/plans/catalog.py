@@ -174,7 +174,7 @@ def _match_rows(spark, sf):
 def _evidence_table(spark, sf):
     mi, frame = _frame(spark, sf)
     vocab = mi.held.select("skill").unionByName(mi.required.select("skill"))
-    return EV.evidence_table(frame, FX.resume_evidence(spark, sf), vocab)
+    return EV.evidence_table(frame, materialize(FX.resume_evidence(spark, sf)), vocab)
 
 
 def _recs(spark, sf):
