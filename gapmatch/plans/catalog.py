@@ -178,7 +178,7 @@ def _evidence_table(spark, sf):
 
 
 def _recs(spark, sf):
-    f = M.pair_frame(_mi(spark, sf))
+    _, f = _frame(spark, sf)
     missing = f.select("resume_id", "job_id", F.explode("missing").alias("skill"))
     return R.recommendations(missing, _kb_m(spark, sf))
 
