@@ -96,3 +96,14 @@ def unigrams_bigrams(tokens) -> Column:
 def preview(text, n: int = 300) -> Column:
     """SO-06: first ``n`` characters followed by '...'."""
     return F.concat(F.substring(col(text), 1, n), F.lit("..."))
+
+
+def select_once(df, keep, **exprs):
+    """``df.select(*keep, *exprs)`` with each expression evaluated once.
+
+    Catalyst may inline a projected expression into every later use; for
+    costly ones (regex cleaning, tokenising) that repeats the work.  Emitting
+    them through a one-element ``inline`` generator makes them plain input
+    columns for everything downstream.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))

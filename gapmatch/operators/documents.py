@@ -17,7 +17,7 @@ from ..plans.broadcast import materialize, maybe_broadcast
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """SC-01 + SC-15 + FLT-01: cleaned text and its character counts."""
-    c = docs.select("doc_id", "text", X.clean_text("text").alias("clean"))
+    c = X.select_once(docs, ["doc_id", "text"], clean=X.clean_text("text"))
     return c.select(
         "doc_id",
         F.coalesce(X.char_length("text"), F.lit(0)).cast("bigint").alias("raw_chars"),
@@ -34,7 +34,7 @@ def nonblank(docs: DataFrame) -> DataFrame:
 
 def sentence_counts(docs: DataFrame) -> DataFrame:
     """SC-02: sentences of the cleaned text (rule-based splitter)."""
-    s = docs.select("doc_id", X.sentences(X.clean_text("text")).alias("sents"))
+    s = X.select_once(docs, ["doc_id"], sents=X.sentences(X.clean_text("text")))
     return s.select(
         "doc_id",
         F.size("sents").cast("bigint").alias("n_sentences"),
@@ -44,8 +44,8 @@ def sentence_counts(docs: DataFrame) -> DataFrame:
 
 def word_tokens(docs: DataFrame) -> DataFrame:
     """SC-03 + FLT-06: word tokens with and without stop words."""
-    t = docs.select("doc_id", X.word_tokens(X.clean_text("text")).alias("toks"))
-    t = t.select("doc_id", "toks", X.content_tokens("toks").alias("content"))
+    t = X.select_once(docs, ["doc_id"], toks=X.word_tokens(X.clean_text("text")))
+    t = X.select_once(t, ["doc_id", "toks"], content=X.content_tokens("toks"))
     return t.select(
         "doc_id",
         F.size("toks").cast("bigint").alias("n_tokens"),

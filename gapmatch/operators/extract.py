@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.skills import cleanup, display_name, is_valid_skill, probe_dot_slash, probe_hyphen
-from ..functions.text import clean_text, col
+from ..functions.text import clean_text, col, select_once
 from ..plans.broadcast import materialize, maybe_broadcast
 from . import sections as S
 
@@ -70,8 +70,8 @@ def phrase_dictionary(kb_keys: DataFrame, aliases: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _doc_rows(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", clean_text("text").alias("clean")).filter(F.col("clean") != "")
-    return d.withColumn("hdrs", S.headers("clean"))
+    d = select_once(docs, ["doc_id"], clean=clean_text("text")).filter(F.col("clean") != "")
+    return select_once(d, ["doc_id", "clean"], hdrs=S.headers("clean"))
 
 
 def _line_rows(d: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def context_rejections(docs: DataFrame) -> DataFrame:
     (doc_id, term, line_no, rejected).  Offsets come from the text pieces
     between mentions (per-document prefix sums over the mention list).
     """
-    d = docs.select("doc_id", clean_text("text").alias("clean")).filter(F.col("clean") != "")
+    d = select_once(docs, ["doc_id"], clean=clean_text("text")).filter(F.col("clean") != "")
     names = sorted(L.COMPANY_PLATFORM_NAMES)
     rx = r"\b(?:" + "|".join(n.replace(".", r"\.") for n in names) + r")\b"
     low = F.lower(F.col("clean"))

@@ -97,7 +97,7 @@ def _prepared(spark, sf):
 
 
 def _section_spans(spark, sf):
-    d = _profiles(spark, sf).select("doc_id", T.clean_text("text").alias("clean")).filter(F.col("clean") != "")
+    d = T.select_once(_profiles(spark, sf), ["doc_id"], clean=T.clean_text("text")).filter(F.col("clean") != "")
     return S.section_spans(d)
 
 
@@ -146,7 +146,7 @@ def _context_reject(spark, sf):
 
 
 def _valid_skills(spark, sf):
-    d = _profiles(spark, sf).select(T.word_tokens(T.clean_text("text")).alias("t"))
+    d = T.select_once(_profiles(spark, sf), [], t=T.word_tokens(T.clean_text("text")))
     terms = d.select(F.explode(T.unigrams_bigrams("t")).alias("term")).distinct()
     return terms.select("term", SK.is_valid_skill("term").alias("valid"))
 
