@@ -36,8 +36,8 @@ from . import sections as S
 # original span text.
 TOKEN_PIECE_RE = r"\s*(?:(?:https?://|www\.)\S+|\S+@\S+|[\pL\pN_]+(?:\.[\pL\pN_]+)*(?:\+\+|#)?|\S)"
 
-DICT_MAX_ROWS = 5_000_000
-ALIAS_MAX_ROWS = 5_000_000
+DICT_MAX_ROWS = 2_000_000
+ALIAS_MAX_ROWS = 2_000_000
 
 
 def token_pieces(text) -> Column:

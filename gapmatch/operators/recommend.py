@@ -10,7 +10,7 @@ from ..functions.scoring import priority, priority_reason
 from ..functions.skills import canon, title_case
 from ..plans.broadcast import maybe_broadcast
 
-KB_MAX_ROWS = 5_000_000
+KB_MAX_ROWS = 1_000_000
 
 
 def recommendations(missing: DataFrame, kb: DataFrame, keys=("resume_id", "job_id")) -> DataFrame:

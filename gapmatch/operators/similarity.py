@@ -32,7 +32,7 @@ from .documents import lemma_map
 
 K_IDF = 1.0 + math.log(1.5)
 K2 = K_IDF * K_IDF
-JOB_TF_MAX_ROWS = 5_000_000
+JOB_TF_MAX_ROWS = 2_000_000
 
 
 @lru_cache(maxsize=1)

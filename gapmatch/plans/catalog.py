@@ -228,7 +228,7 @@ def _evaluate_extraction(spark, sf):
     jt = X.normalize(FX.job_skills(spark, sf).select("job_id", F.col("skill").alias("raw")), al)
     jt = (jt.filter(F.col("skill") != "").groupBy("job_id").agg(F.collect_set("skill").alias("truth")))
     pr = mi.held.groupBy("resume_id").agg(F.collect_list("skill").alias("predicted"))
-    samples = (mi.pairs.join(pr, "resume_id", "left").join(maybe_broadcast(jt, 1_000_000), "job_id", "left")
+    samples = (mi.pairs.join(pr, "resume_id", "left").join(maybe_broadcast(jt, 200_000), "job_id", "left")
                .withColumn("domain", F.col("job_id")))
     return EVAL.evaluate_sets(samples, keys=("resume_id", "job_id"))
 
