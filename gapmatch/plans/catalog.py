@@ -233,6 +233,16 @@ def _evaluate_extraction(spark, sf):
     return EVAL.evaluate_sets(samples, keys=("resume_id", "job_id"))
 
 
+def _evaluate_profiles(spark, sf):
+    """PL-06 over PL-01: skills extracted from every F1 profile against the
+    block's labels (normalised, SC-19); one sample per document."""
+    kb, prep = _prepared(spark, sf)
+    al, _ = prep
+    pred = X.extract_skills(_profiles(spark, sf), None, None, prep).select("doc_id", "skill")
+    truth = X.normalize(FX.profile_truth(spark, sf), al).filter(F.col("skill") != "")
+    return EVAL.evaluate(truth, pred, keys=("doc_id",))
+
+
 def _normalize_skills(spark, sf):
     al = materialize(K.alias_map(spark, _kb_m(spark, sf), extra=FX.user_aliases(spark)))
     out = NZ.normalize_skill_list(FX.noisy_resume_skills(spark, sf), al)
@@ -283,6 +293,7 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "priority_counts": (_priority_counts, O.priority_counts_sql),
     "pair_summary": (_pair_summary, O.pair_summary_sql),
     "evaluate_extraction": (_evaluate_extraction, O.evaluate_extraction_sql),
+    "evaluate_profiles": (_evaluate_profiles, O.evaluate_profiles_sql),
     "normalize_skills": (_normalize_skills, O.normalize_skills_sql),
     "display_names": (_display_names, O.display_names_sql),
 }

@@ -920,3 +920,47 @@ terms AS (SELECT DISTINCT term FROM (SELECT skill_key AS term FROM kb UNION ALL
 SELECT term, {display('term')} AS display_name,
        CASE WHEN length(term) > 4 THEN {title('term')} ELSE upper(term) END AS curated_display
 FROM terms"""
+
+
+def evaluate_profiles_sql() -> str:
+    from ..sources.fixtures import PROFILE_TRUTH
+    labels = "[" + ", ".join(lst(t) for t in PROFILE_TRUTH) + "]"
+    cl = f"regexp_replace({strip('lower(raw)')}, '^[^\\pL\\pN_+#]+|[^\\pL\\pN_+#]+$', '', 'g')"
+    n = len(PROFILE_TRUTH)
+    return "WITH " + extract_ctes() + f""",
+t0 AS (SELECT doc_id, doc_id % {n} AS domain, unnest({labels}[doc_id % {n} + 1]) AS raw FROM documents),
+t1 AS (SELECT doc_id, domain, {cl} AS s FROM t0),
+truth AS (
+  SELECT DISTINCT t1.doc_id, t1.domain,
+         CASE WHEN t1.s = '' THEN '' ELSE coalesce(a0.canonical, a1.canonical, a2.canonical, t1.s) END AS skill
+  FROM t1 LEFT JOIN aliases a0 ON a0.alias = t1.s
+  LEFT JOIN aliases a1 ON a1.alias = replace(t1.s, '-', ' ')
+  LEFT JOIN aliases a2 ON a2.alias = {squash("translate(t1.s, './', '  ')")}),
+tr AS (SELECT DISTINCT doc_id, skill FROM truth WHERE skill <> ''),
+pr AS (SELECT DISTINCT doc_id, skill FROM extracted),
+j AS (SELECT coalesce(tr.doc_id, pr.doc_id) AS doc_id, coalesce(tr.skill, pr.skill) AS skill,
+             tr.skill IS NOT NULL AS in_t, pr.skill IS NOT NULL AS in_p
+      FROM tr FULL OUTER JOIN pr ON tr.doc_id = pr.doc_id AND tr.skill = pr.skill),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE in_t AND in_p) AS tp, count(*) FILTER (WHERE NOT in_t) AS fp,
+         count(*) FILTER (WHERE NOT in_p) AS fn,
+         coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE in_t AND in_p)), '|'), '') AS tp_skills,
+         coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE NOT in_t)), '|'), '') AS fp_skills,
+         coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE NOT in_p)), '|'), '') AS fn_skills
+  FROM j GROUP BY doc_id),
+per2 AS (SELECT per.*, d.domain FROM per LEFT JOIN (SELECT DISTINCT doc_id, domain FROM truth) d
+         ON d.doc_id = per.doc_id),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
+             CASE WHEN tp + fp + fn > 0 THEN tp::DOUBLE / (tp + fp + fn) ELSE 0.0 END AS jaccard FROM per2),
+tot AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per),
+tm AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+              CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
+              CASE WHEN tp + fp + fn > 0 THEN tp::DOUBLE / (tp + fp + fn) ELSE 0.0 END AS jaccard FROM tot)
+SELECT 'sample' AS level, doc_id, domain, tp, fp, fn, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+       jaccard, tp_skills, fp_skills, fn_skills FROM m
+UNION ALL
+SELECT 'total', NULL, NULL, CAST(tp AS BIGINT), CAST(fp AS BIGINT), CAST(fn AS BIGINT), precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END,
+       jaccard, NULL, NULL, NULL FROM tm"""

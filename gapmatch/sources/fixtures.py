@@ -191,3 +191,26 @@ def noisy_resume_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(USER_ALIASES, "alias string, canonical string")
+
+
+# FIXED VALUES: hand labels (expected skills) of the profile blocks above,
+# in block order; F4's labelled form for extraction output.
+PROFILE_TRUTH = [
+    ["python", "c++", "power bi", "machine learning", "aws"],
+    ["sql", "tableau", "microsoft excel", "power bi", "docker"],
+    ["natural language processing", "scikit-learn", "numpy"],
+    ["data science", "aws", "r", "c#"],
+    ["machine learning", "deep learning", "node.js", "react", ".net"],
+    ["data visualization", "data analysis", "pandas", "git", "github", "kubernetes"],
+    ["problem solving", "critical thinking", "natural language processing", "javascript", "typescript", "python"],
+    ["tensorflow", "pytorch", "etl", "big data"],
+]
+
+
+def profile_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 labels for F1: (doc_id, domain = block index, raw label)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labels = F.array(*[F.array(*[F.lit(x) for x in t]) for t in PROFILE_TRUTH])
+    blk = (F.col("doc_id") % len(PROFILE_TRUTH)).cast("int")
+    return docs.select("doc_id", blk.cast("bigint").alias("domain"),
+                       F.explode(F.element_at(labels, blk + 1)).alias("raw"))
