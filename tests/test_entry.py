@@ -23,7 +23,7 @@ def test_entry_runs(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test tables not present")
 @pytest.mark.parametrize("name", ["match_summary", "clean_documents", "kb_merge", "extract_skills",
-                                  "tfidf_capped", "evaluate_extraction"])
+                                  "tfidf_capped", "evaluate_extraction", "evaluate_profiles"])
 def test_query_matches_oracle_small(spark, name):
     import duckdb
     from gapmatch.sources.tables import TABLES
