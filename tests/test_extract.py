@@ -1,4 +1,4 @@
-"""Skill extraction (PL-01) on the reference's own test texts."""
+"""Skill extraction (PL-01) on the original tool's test texts."""
 
 import pytest
 from pyspark.sql import functions as F

@@ -38,7 +38,7 @@ def terms(text, stops):
     return toks + [a + " " + b for a, b in zip(toks, toks[1:])]
 
 
-def test_reference_pair_above_40(spark):
+def test_short_pair_above_40(spark):
     s, top = run(spark, [(RES, JOB)])
     assert s[0]["text_similarity_percentage"] > 40.0
     assert top.count() > 0
