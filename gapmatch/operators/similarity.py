@@ -15,13 +15,8 @@ recomputed from the kept terms (SO-04).
 
 from __future__ import annotations
 
-import glob
 import math
-import os
-import zipfile
-from functools import lru_cache
 
-import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +30,13 @@ K2 = K_IDF * K_IDF
 JOB_TF_MAX_ROWS = 2_000_000
 
 
-@lru_cache(maxsize=1)
-def vectorizer_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list (read from its jar resource)."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
-
-
 def doc_terms(docs: DataFrame, lemmas: DataFrame, stops=None) -> DataFrame:
     """Per document: lemmatised text flag and term counts.
 
     ``docs(id, text)`` -> ``(id, nonblank BOOLEAN, terms ARRAY<STRING>)`` where
     ``terms`` are the unigrams and bigrams of the vectorizer tokens.
     """
-    stops = list(stops or vectorizer_stop_words())
+    stops = list(stops or L.VECTORIZER_STOP_WORDS)
     toks = docs.select("id", X.content_tokens(X.word_tokens(X.clean_text("text"))).alias("t"))
     ex = toks.select("id", F.posexplode("t").alias("pos", "term"))
     lm = ex.join(maybe_broadcast(lemmas, 2_000_000), "term")

@@ -638,8 +638,7 @@ SELECT term, {valid('term')} AS valid FROM terms"""
 # ---------------------------------------------------------------------------
 
 def tfidf_ctes(cap: int) -> str:
-    from ..operators.similarity import vectorizer_stop_words
-    stops2 = inlist(vectorizer_stop_words())
+    stops2 = inlist(L.VECTORIZER_STOP_WORDS)
     cands = ["{'r': 0, 'c': term}"] + [
         f"{{'r': {i + 1}, 'c': CASE WHEN suffix(term, {q(o)}) THEN "
         f"substring(term, 1, length(term) - {len(o)}) || {q(n)} END}}"

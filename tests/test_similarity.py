@@ -52,7 +52,7 @@ def test_empty_text(spark):
 
 
 def test_closed_form_matches_direct(spark):
-    stops = set(SIM.vectorizer_stop_words())
+    stops = set(L.VECTORIZER_STOP_WORDS)
     texts = [("alpha beta gamma beta delta", "beta gamma epsilon beta beta"),
              ("one two three four five six", "four five six seven eight"),
              ("zeta zeta zeta eta", "theta iota"),
