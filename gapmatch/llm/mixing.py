@@ -6,7 +6,7 @@ these have the least relative entropy to taking every document once.  The
 convex dual has one variable per source; its Newton steps are sums over the
 histogram of sizes, computed by Spark.  Rates are then rounded to whole
 copies along the cumulated rates in order of size, so that a source's taken
-words miss its target by a few documents at most.
+words miss its target by less than its smallest documents.
 
 DataFrame operations only.  All sums are exact decimals, so that reruns agree
 whatever the order of rows.
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import n_words, written
 
-SUM = "decimal(38,9)"
+SUM, WHOLE = "decimal(38,9)", "decimal(19,0)"
 #: Newton steps planned in one job, and the most jobs.
-STEPS, JOBS = 3, 20
-TOLERANCE = 1e-9
+STEPS, JOBS = 4, 20
+TOLERANCE = 1e-7
 #: Rows of one source and size that are ranked together, at most about.
 RANKED = 1_000_000
 
@@ -93,6 +93,39 @@ def _newton(state: DataFrame, bins: DataFrame, cap: float) -> DataFrame:
     return got.withColumn("lam", lam).select(*state.columns)
 
 
+def _whole(rated: DataFrame, cap: int) -> DataFrame:
+    """Whole copies ``k`` of each source and size from the rates.
+
+    First the cumulated rates along the sizes are rounded.  What a source's
+    words then miss of its target is mended from the largest size down, each
+    size giving or taking as many copies as fit into the rest.  The array of
+    a source's sizes is bounded by the longest document, not by the rows.
+    """
+    along = Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    half = F.lit("0.5").cast("decimal(2,1)")
+    end = F.floor(F.sum((F.col("n") * F.col("rate")).cast(SUM)).over(along) + half).cast("long")
+    k = rated.withColumn("end", end)
+    k = k.withColumn("k", F.least(F.col("n") * cap, F.col("end") - F.coalesce(
+        F.lag("end").over(Window.partitionBy("skey").orderBy("size")), F.lit(0))))
+    sizes = k.filter("size > 0").groupBy("skey").agg(
+        F.round(F.first("target") - F.sum(F.col("k") * F.col("size"))).cast("long").alias("miss"),
+        F.reverse(F.array_sort(F.collect_list(F.struct("size", "k", "n")))).alias("sizes"))
+
+    def mend(acc, x):
+        d = F.greatest(-x["k"], F.least(x["n"] * cap - x["k"], (acc["miss"] / x["size"]).cast("long")))
+        one = F.array(F.struct(x["size"].alias("size"), d.alias("d")))
+        return F.when(d == 0, acc).otherwise(F.struct((acc["miss"] - d * x["size"]).alias("miss"),
+                                                      F.concat(acc["more"], one).alias("more")))
+
+    none = F.array().cast("array<struct<size:bigint,d:bigint>>")
+    mended = sizes.select("skey", F.explode(F.aggregate(
+        "sizes", F.struct(F.col("miss").alias("miss"), none.alias("more")), mend, lambda a: a["more"])).alias("m"))
+    mended = mended.select("skey", "m.size", "m.d")
+    return (k.join(mended, ["skey", "size"], "left")
+            .select("skey", "size", "source_size", "target", "rate", F.col("n").alias("n_bin"),
+                    (F.col("k") + F.coalesce("d", F.lit(0))).alias("k")))
+
+
 def units(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """One row per distinct (id, source, size), with its number of rows."""
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -125,42 +158,39 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2,
                                                      F.sum("n").alias("n")), "bins")
     src = bins.groupBy("skey").agg(
         F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"),
-        F.sum("n").alias("n_docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
-    src = written(src, "sources")
+        F.sum("n").alias("n_docs"),
+        F.sum((F.col("n") * F.col("size") * F.col("size")).cast(SUM)).cast("double").alias("squares"),
+        F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     goal = targets(src.select("skey", "source", "source_size"), weights, share, cap)
     small = F.col("least") / F.col("mean")
-    state = (goal.join(src.select("skey", "n_docs", "least"), "skey")
+    state = (goal.join(src.select("skey", "n_docs", "least", "squares"), "skey")
              .withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)))
              .withColumn("full", F.col("target") >= cap * F.col("source_size"))
-             .withColumn("lam", F.lit(0.0))
+             # a first guess: the rate that is wanted, at the size of the mean word's document
+             .withColumn("lam", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.log(
+                 F.col("target") / F.col("source_size")) / (F.col("squares") / F.col("source_size") / F.col("mean")))
+                 .otherwise(F.lit(0.0)))
+             .withColumn("done", F.lit(False))
              # rates at lo give too few words, at hi every document its cap
              .withColumn("lo", F.least(F.lit(0.0), F.coalesce(
                  F.log(F.col("target") / F.col("source_size")) / small, F.lit(0.0))) - 1e-6)
              .withColumn("hi", F.coalesce(F.log(F.lit(float(cap))) / small, F.lit(0.0)) + 1e-6)
-             .select("skey", "source_size", "target", "mean", "full", "lam", "lo", "hi"))
+             .select("skey", "source_size", "target", "mean", "full", "lam", "lo", "hi", "done"))
     state = written(state, "state")
     for _ in range(JOBS):
-        before = state
         state = written(reduce(lambda s, _: _newton(s, bins, cap), range(STEPS), state), "state")
-        moved = (state.join(before.select("skey", F.col("lam").alias("was")), "skey")
-                 .filter(F.abs(F.col("lam") - F.col("was")) > 1e-12 * F.abs(F.col("lam")) + 1e-15))
-        if moved.isEmpty():
+        if state.filter(~F.col("done")).isEmpty():
             break
     rated = bins.join(state, "skey").withColumn("rate", F.round(_rate(cap), 9).cast("decimal(11,9)"))
-    # cumulated rates of a source over its sizes, then over the salts of a size
-    along = Window.partitionBy("skey").orderBy("size")
-    rated = (rated.withColumn("end", F.sum((F.col("n") * F.col("rate")).cast(SUM)).over(along).cast(SUM))
-             .withColumn("start", F.coalesce(F.lag("end").over(along), F.lit(0).cast(SUM)))
-             .select("skey", "size", "source_size", "target", "rate", "start"))
-    c = cells.select("skey", "size", "salt", "n").join(rated, ["skey", "size"])
-    in_bin = Window.partitionBy("skey", "size").orderBy("salt")
-    c = (c.withColumn("to", (F.col("start") + F.sum((F.col("n") * F.col("rate")).cast(SUM)).over(in_bin)).cast(SUM))
-         .withColumn("from", (F.col("to") - F.col("n") * F.col("rate")).cast(SUM)))
-    half = F.lit("0.5").cast("decimal(2,1)")
-    c = c.withColumn("k", F.floor(F.col("to") + half).cast("long") - F.floor(F.col("from") + half).cast("long"))
+    k = _whole(rated, cap)
+    c = cells.select("skey", "size", "salt", "n").join(k, ["skey", "size"])
+    # the copies of a size in proportion over its salts
+    in_bin = Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
+    part = lambda n: F.floor((F.col("k").cast(WHOLE) * n) / F.col("n_bin")).cast("long")
+    c = c.withColumn("to", F.sum("n").over(in_bin))
+    c = c.withColumn("kc", part(F.col("to").cast(WHOLE)) - part((F.col("to") - F.col("n")).cast(WHOLE)))
     c = c.select("skey", "size", "salt", "source_size", "target", F.col("rate").cast("double").alias("rate"),
-                 F.floor(F.col("k") / F.col("n")).cast("long").alias("base"),
-                 F.pmod("k", "n").alias("more"))
+                 F.expr("kc div n").alias("base"), F.pmod("kc", "n").alias("more"))
     c = written(c, "copies")
     rank = (Window.partitionBy("skey", "size", "salt")
             .orderBy(F.xxhash64("doc_id", F.lit(7)), F.col("doc_id").asc_nulls_last())
