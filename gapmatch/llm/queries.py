@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, mixing, warc
+from . import importance, line_templates, mixing, warc
 from .common import table
 
 
@@ -37,6 +37,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"), "clean_text")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    out = importance.judge(table(spark, sf_dir, "documents"), trusted)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "score")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.per_document(mixing.mix(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
@@ -45,6 +52,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op10_mix": op10_mix,
 }
 
