@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, mixing, warc
+from . import importance, line_templates, mixing, rule_ensemble, warc
 from .common import table
 
 
@@ -31,6 +31,13 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs, rules).select(
+        "doc_id", rule_ensemble.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.drop_template_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
@@ -51,6 +58,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_mix": op10_mix,
