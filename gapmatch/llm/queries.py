@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, mixing, rule_ensemble, warc
+from . import importance, line_templates, mixing, pieces, rule_ensemble, warc
 from .common import table
 
 
@@ -31,6 +31,17 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def piece_model() -> str:
+    """The path of the public 32k BPE model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.load(piece_model()))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
@@ -58,6 +69,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
