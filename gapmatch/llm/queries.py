@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, mixing, pieces, rule_ensemble, warc
+from . import importance, line_templates, mixing, pieces, rule_ensemble, setsketch, warc
 from .common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents")).drop("k")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_records(index, folder).select(
@@ -68,6 +72,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
