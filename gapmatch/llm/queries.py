@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, mixing, pieces, rule_ensemble, setsketch, warc
+from . import importance, line_templates, mixing, passages, pieces, rule_ensemble, setsketch, warc
 from .common import table
 
 
@@ -66,6 +66,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "score")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
+    offsets = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("removed_words"),
+                      F.array_join(offsets, ",").alias("removed_spans"),
+                      F.transform("spans", lambda s: s["kept_doc_id"]).alias("kept_doc_ids"), "clean_text")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.per_document(mixing.mix(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
@@ -78,6 +87,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_mix": op10_mix,
 }
 
