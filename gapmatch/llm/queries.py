@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, mixing, passages, pieces, rule_ensemble, setsketch, warc
+from . import importance, line_templates, mixing, passages, pieces, rule_ensemble, setsketch, topk, warc
 from .common import table
 
 
@@ -35,6 +35,26 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def piece_model() -> str:
     """The path of the public 32k BPE model."""
     import public_tokenizers
@@ -83,6 +103,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
+    "op4_top_k": op4_top_k,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
@@ -93,4 +114,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": OP2_SQL,
+    "op4_top_k": OP4_SQL,
 }
