@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, mixing, passages, pieces, rule_ensemble, setsketch, topk, warc
+from . import importance, line_templates, lm, mixing, passages, pieces, rule_ensemble, setsketch, topk, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -103,6 +107,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
+    "op3_lm_scores": op3_lm_scores,
     "op4_top_k": op4_top_k,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
