@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -275,6 +276,34 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col="ids", name="decoded") -> Da
     return docs.withColumn(name, text(F.col(ids_col)))
 
 
+def tokenized(docs: DataFrame, pieces: Pieces, text_col="text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded_sha256`` (of the decoded ids) of its whole texts.
+
+    Columns of these names are replaced; a null text counts as empty.
+    """
+
+    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
+        for texts in batches:
+            parts = [pieces.segments(t or "") for t in texts]
+            missing = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
+            for s, ids in zip(missing, pieces.encode_segments(missing), strict=True):
+                known[s] = (np.array(ids, dtype=np.int32), pieces.spell(ids))
+            rows = []
+            for p in parts:
+                got = [known[s] for s in p]
+                ids = np.concatenate([x[0] for x in got]) if got else np.zeros(0, dtype=np.int32)
+                text = pieces.trimmed("".join([x[1] for x in got]), int(ids[0]) if len(ids) else -1)
+                rows.append((ids, len(ids), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
+            if len(known) > REMEMBERED:
+                known.clear()
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
+
+    d = docs.drop("ids", "n_tokens", "decoded_sha256").withColumn("_x", encoded(F.col(text_col)))
+    return d.select("*", "_x.*").drop("_x")
+
+
 def round_trip(docs: DataFrame, pieces: Pieces, text_col="text", id_col="doc_id") -> DataFrame:
     """Number of ids and digests of the ids and of their decoded text, of every whole text.
 
