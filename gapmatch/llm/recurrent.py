@@ -42,9 +42,10 @@ def initial(counts: np.ndarray, other: float) -> np.ndarray:
     p = unpack(flat)
     for name, scale in (("embed", 0.3), ("wx", 0.25), ("wh", 0.2), ("wc", 0.05), ("ww", 0.05)):
         p[name][...] = rng.randn(*SHAPES[name]) * scale
-    c = (counts.reshape(CLASSES, SLOTS) + 0.5).astype(np.float64)
+    # places of the vocabulary that no word has get next to nothing
+    c = np.where(counts > 0, counts + 1.0, 1e-4).reshape(CLASSES, SLOTS)
     p["bw"][..., 0] = np.log(c / c.sum(axis=1, keepdims=True))
-    mass = np.append(c.sum(axis=1), other + 0.5)
+    mass = np.append(c.sum(axis=1), other + 1.0)
     p["bc"][:, 0] = np.log(mass / mass.sum())
     return flat
 
