@@ -1,18 +1,17 @@
 """Document-level text jobs (SC-01..04, SC-15, FLT-01, FLT-06, SO-06, SRC-03).
 
 All of these are narrow (row-local) transformations over a documents table
-``(doc_id, text)`` except the lemma and page-assembly jobs, which aggregate
-per document.
+``(doc_id, text)`` except page assembly and lemmas by a lexicon table, which
+aggregate per document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
-from ..plans.broadcast import materialize, maybe_broadcast
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -27,11 +26,6 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def nonblank(docs: DataFrame) -> DataFrame:
-    """FLT-01: keep documents whose cleaned text is not empty."""
-    return docs.filter(X.clean_text("text") != "")
-
-
 def sentence_counts(docs: DataFrame) -> DataFrame:
     """SC-02: sentences of the cleaned text (rule-based splitter)."""
     s = X.select_once(docs, ["doc_id"], sents=X.sentences(X.clean_text("text")))
@@ -60,8 +54,30 @@ def word_tokens(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 # FIXED VALUES: noun suffix substitutions, tried in this order.
-NOUN_RULES = [("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
+NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
               ("shes", "sh"), ("men", "man"), ("ies", "y")]
+#: Endings of nouns that the bare ``s`` rule leaves alone.
+KEEP_S = ("ss", "us", "is")
+#: Letters that a rule has to leave.
+LEAST_STEM = 2
+
+
+def lemma(term) -> Column:
+    """Noun lemma of a token without a lexicon: the longest suffix rule that applies.
+
+    A function of the token alone, so a document's lemmas do not depend on
+    other documents.
+    """
+    t = X.col(term)
+    out = None
+    for old, new in sorted(NOUN_RULES, key=lambda r: (-len(r[0]), r[0])):
+        hit = t.endswith(old) & (F.char_length(t) >= len(old) + LEAST_STEM)
+        if old == "s":
+            for k in KEEP_S:
+                hit = hit & ~t.endswith(k)
+        cut = F.concat(F.substring(t, 1, F.char_length(t) - len(old)), F.lit(new))
+        out = F.when(hit, cut) if out is None else out.when(hit, cut)
+    return out.otherwise(t)
 
 
 def lemma_map(vocab: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
@@ -92,30 +108,33 @@ def lemma_map(vocab: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None
     return out
 
 
-def lemma_tokens(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """Content tokens of each document with their position and lemma.
+def lemmatized(docs: DataFrame, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None,
+               id_col: str = "doc_id") -> DataFrame:
+    """``(id, lemma_text)``: content tokens of each document as lemmas, joined by a space.
 
-    ``(doc_id, pos, term, lemma)``.  When no lexicon is given the corpus
-    vocabulary itself is the lexicon.
+    Without a lexicon a row-local expression.  With ``lexicon(term)``, and
+    ``exceptions(term, lemma)``, the distinct tokens are looked up by joins.
     """
-    toks = docs.select("doc_id", X.content_tokens(X.word_tokens(X.clean_text("text"))).alias("t"))
-    ex = toks.select("doc_id", F.posexplode("t").alias("pos", "term"))
+    toks = X.select_once(docs, [id_col], t=X.content_tokens(X.word_tokens(X.clean_text("text"))))
+    if lexicon is None and exceptions is None:
+        return toks.select(id_col, F.array_join(F.transform("t", lemma), " ").alias("lemma_text"))
+    ex = toks.select(id_col, F.posexplode("t").alias("pos", "term"))
     vocab = ex.select("term").distinct()
-    lex = lexicon if lexicon is not None else vocab
-    lm = materialize(lemma_map(vocab, lex))
-    return ex.join(maybe_broadcast(lm, 2_000_000), "term")
+    if lexicon is None:
+        lm = (vocab.join(exceptions.select("term", F.col("lemma").alias("x")), "term", "left")
+              .select("term", F.coalesce("x", lemma("term")).alias("lemma")))
+    else:
+        lm = lemma_map(vocab, lexicon, exceptions)
+    per = ex.join(lm, "term").groupBy(id_col).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]),
+                     " ").alias("lt"))
+    return (docs.select(id_col).join(per, id_col, "left")
+            .select(id_col, F.coalesce("lt", F.lit("")).alias("lemma_text")))
 
 
-def lemma_text(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def lemma_text(docs: DataFrame, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
     """SC-04 + SO-06: lemmatised text per document with a 300-char preview."""
-    lt = lemma_tokens(docs, lexicon)
-    per_doc = lt.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]),
-                     " ").alias("lemma_text"))
-    base = docs.select("doc_id")
-    out = base.join(per_doc, "doc_id", "left").select(
-        "doc_id", F.coalesce("lemma_text", F.lit("")).alias("lemma_text"))
-    return out.select(
+    return lemmatized(docs, lexicon, exceptions).select(
         "doc_id",
         F.char_length("lemma_text").cast("bigint").alias("lemma_chars"),
         F.md5("lemma_text").alias("lemma_md5"),

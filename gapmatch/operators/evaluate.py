@@ -37,18 +37,16 @@ def evaluate_sets(samples: DataFrame, keys=("sample_id",), truth: str = "truth",
 
 
 def _with_total(per: DataFrame, keys) -> DataFrame:
-    samples = _metrics(per).select(F.lit("sample").alias("level"), *keys, "domain",
-                                   "tp", "fp", "fn", "precision", "recall", "f1", "jaccard",
-                                   "tp_skills", "fp_skills", "fn_skills")
-    tot = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    tot = _metrics(tot.na.fill(0)).select(F.lit("total").alias("level"),
-                                          *[F.lit(None).alias(k) for k in keys],
-                                          F.lit(None).cast("string").alias("domain"),
-                                          "tp", "fp", "fn", "precision", "recall", "f1", "jaccard",
-                                          F.lit(None).cast("string").alias("tp_skills"),
-                                          F.lit(None).cast("string").alias("fp_skills"),
-                                          F.lit(None).cast("string").alias("fn_skills"))
-    return samples.unionByName(tot)
+    """Sample rows and the micro-average total in one pass (AG-07); no samples, no total."""
+    lists = ["tp_skills", "fp_skills", "fn_skills"]
+    every = [F.col(k) for k in [*keys, "domain"]]
+    g = per.groupingSets([every, []], *every).agg(
+        F.grouping_id().alias("gid"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+        *[F.first(c).alias(c) for c in lists])
+    total = F.col("gid") > 0
+    g = g.withColumns({c: F.when(~total, F.col(c)) for c in lists})
+    return _metrics(g).select(F.when(total, F.lit("total")).otherwise(F.lit("sample")).alias("level"), *keys, "domain",
+                              "tp", "fp", "fn", "precision", "recall", "f1", "jaccard", *lists)
 
 
 def evaluate(truth: DataFrame, predicted: DataFrame, keys=("sample_id",), domain: str | None = "domain") -> DataFrame:

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.skills import cleanup, display_name, is_valid_skill, probe_dot_slash, probe_hyphen
 from ..functions.text import clean_text, col, select_once
-from ..plans.broadcast import materialize, maybe_broadcast
 from . import sections as S
 
 # Token rule shared by text and dictionary (applied to lowercased text).  Each
@@ -36,8 +35,6 @@ from . import sections as S
 # original span text.
 TOKEN_PIECE_RE = r"\s*(?:(?:https?://|www\.)\S+|\S+@\S+|[\pL\pN_]+(?:\.[\pL\pN_]+)*(?:\+\+|#)?|\S)"
 
-DICT_MAX_ROWS = 2_000_000
-ALIAS_MAX_ROWS = 2_000_000
 
 
 def token_pieces(text) -> Column:
@@ -116,7 +113,7 @@ def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     toks = lines.select("doc_id", "line_no", S.section_of_line("hdrs", "line_no").alias("section"),
                         F.posexplode(token_pieces("line")).alias("i", "piece"))
     toks = toks.withColumn("tok", F.ltrim("piece"))
-    toks = toks.join(maybe_broadcast(dictionary_tokens(dictionary), DICT_MAX_ROWS), "tok", "left_semi")
+    toks = toks.join(dictionary_tokens(dictionary), "tok", "left_semi")
     per_line = toks.groupBy("doc_id", "line_no").agg(
         F.first("section").alias("section"),
         F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("p"), "tok", "piece"))).alias("t"))
@@ -135,7 +132,7 @@ def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     g = per_line.select("doc_id", "line_no", "section",
                         F.explode(F.flatten(F.array(*[grams_of(n) for n in lens]))).alias("g"))
     g = g.select("doc_id", "line_no", "section", "g.start", "g.n", "g.key", "g.raw")
-    m = g.join(maybe_broadcast(dictionary.select("key").distinct(), DICT_MAX_ROWS), "key", "left_semi")
+    m = g.join(dictionary.select("key").distinct(), "key", "left_semi")
     return m.select("doc_id", "line_no", "start", "n", "raw", "section")
 
 
@@ -182,7 +179,7 @@ def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def normalize(df: DataFrame, aliases: DataFrame, src: str = "raw", out: str = "skill") -> DataFrame:
     """Alias resolution with three probes (cleaned, hyphen->space, dot/slash->space)."""
-    a = maybe_broadcast(aliases.select("alias", "canonical"), ALIAS_MAX_ROWS)
+    a = aliases.select("alias", "canonical")
     s = df.withColumn("_s", cleanup(src))
     for i, probe in enumerate([F.col("_s"), probe_hyphen("_s"), probe_dot_slash("_s")]):
         s = s.withColumn(f"_p{i}", probe)
@@ -196,9 +193,9 @@ def normalize(df: DataFrame, aliases: DataFrame, src: str = "raw", out: str = "s
 # ---------------------------------------------------------------------------
 
 def prepare(kb_keys: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Materialise the (small, reused) alias map and phrase dictionary once."""
-    al = materialize(aliases.select("alias", "canonical"))
-    return al, materialize(phrase_dictionary(kb_keys, al))
+    """The alias map and the phrase dictionary (lazy)."""
+    al = aliases.select("alias", "canonical")
+    return al, phrase_dictionary(kb_keys, al)
 
 
 def candidates(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -245,7 +242,7 @@ def extract_skills(docs: DataFrame, kb_keys: DataFrame, aliases: DataFrame, prep
 def skill_details(extracted: DataFrame, kb: DataFrame) -> DataFrame:
     """JN-09: attach KB metadata; defaults for skills missing from the KB."""
     k = kb.select("skill_key", "category", "hot_technology", "in_demand", "importance_score")
-    j = extracted.join(maybe_broadcast(k, DICT_MAX_ROWS), extracted.skill == k.skill_key, "left")
+    j = extracted.join(k, extracted.skill == k.skill_key, "left")
     return j.select(
         "doc_id", F.col("skill").alias("skill_key"), "display_name",
         F.coalesce("category", F.lit(L.DEFAULT_CATEGORY_EXTRACTED)).alias("category"),

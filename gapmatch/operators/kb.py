@@ -150,7 +150,9 @@ def alias_map(spark: SparkSession, kb: DataFrame, extra: DataFrame | None = None
 
     A variant is kept when it differs from its key and is not a default
     alias; among keys producing the same variant the first inserted wins.
-    ``extra(alias, canonical)`` (UX-03) overrides everything.
+    ``extra(alias, canonical)`` (UX-03) overrides everything; of user aliases
+    that are equal after lower/strip the later one wins, by an ``ord`` column
+    where there is one, else the greatest original spelling.
     Returns (alias, canonical, source).
     """
     defaults = L.aliases_df(spark).select("alias", "canonical", F.lit("default").alias("source"))
@@ -164,9 +166,12 @@ def alias_map(spark: SparkSession, kb: DataFrame, extra: DataFrame | None = None
            .select("alias", "canonical", F.lit("generated").alias("source")))
     out = defaults.unionByName(gen)
     if extra is not None:
+        place = F.struct(*(["ord"] if "ord" in extra.columns else []), F.col("alias").alias("a"),
+                         F.col("canonical").alias("c"))
         ex = extra.select(py_strip(F.lower("alias")).alias("alias"), py_strip(F.lower("canonical")).alias("canonical"),
-                          F.lit("user").alias("source"))
-        ex = ex.filter((F.col("alias") != "") & (F.col("canonical") != ""))
+                          place.alias("place"))
+        ex = (ex.filter((F.col("alias") != "") & (F.col("canonical") != "")).groupBy("alias")
+              .agg(F.max_by("canonical", "place").alias("canonical")).withColumn("source", F.lit("user")))
         out = out.join(ex.select("alias"), "alias", "left_anti").unionByName(ex)
     return out
 

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.scoring import priority, priority_reason
 from ..functions.skills import canon, title_case
-from ..plans.broadcast import maybe_broadcast
 
-KB_MAX_ROWS = 1_000_000
 
 
 def recommendations(missing: DataFrame, kb: DataFrame, keys=("resume_id", "job_id")) -> DataFrame:
@@ -24,7 +22,7 @@ def recommendations(missing: DataFrame, kb: DataFrame, keys=("resume_id", "job_i
                   F.col("hot_technology").alias("_hot"), F.col("in_demand").alias("_dem"),
                   F.col("occupations_count").alias("_occ"), F.col("importance_score").alias("_imp"))
     m = missing.withColumn("skill_key", canon("skill"))
-    j = m.join(maybe_broadcast(k, KB_MAX_ROWS), F.col("skill_key") == F.col("_k"), "left")
+    j = m.join(k, F.col("skill_key") == F.col("_k"), "left")
     j = j.select(*keys, "skill_key",
                  F.coalesce("_name", title_case("skill")).alias("skill"),
                  F.coalesce("_cat", F.lit(L.DEFAULT_CATEGORY_MISSING)).alias("category"),

@@ -7,10 +7,9 @@ sums over shared terms only, the cosine is
 
     sum(r*j) / sqrt((k^2 S_r - (k^2-1) sum r^2) * (k^2 S_j - (k^2-1) sum j^2))
 
-so one inner join on ``(pair, term)`` plus per-document scalars replaces a
-per-pair vectorizer fit.  Pairs whose joint vocabulary exceeds the feature
-cap keep the ``cap`` most frequent terms (count desc, term asc) and are
-recomputed from the kept terms (SO-04).
+over the terms that the pair keeps: its ``cap`` most frequent ones (count
+desc, term asc; SO-04).  One plan for every pair: term counts per document are
+brought to the pairs, added up per (pair, term), ranked, and summed per pair.
 """
 
 from __future__ import annotations
@@ -22,43 +21,67 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
-from ..plans.broadcast import materialize, maybe_broadcast
-from .documents import lemma_map
+from .documents import lemmatized
 
 K_IDF = 1.0 + math.log(1.5)
 K2 = K_IDF * K_IDF
-JOB_TF_MAX_ROWS = 2_000_000
+PAIR = ["resume_id", "job_id"]
 
 
-def doc_terms(docs: DataFrame, lemmas: DataFrame, stops=None) -> DataFrame:
-    """Per document: lemmatised text flag and term counts.
+def doc_terms(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) -> DataFrame:
+    """Per document: lemmatised text flag and terms.
 
     ``docs(id, text)`` -> ``(id, nonblank BOOLEAN, terms ARRAY<STRING>)`` where
     ``terms`` are the unigrams and bigrams of the vectorizer tokens.
+    ``stops``: words the vectorizer drops (a list).
     """
     stops = list(stops or L.VECTORIZER_STOP_WORDS)
-    toks = docs.select("id", X.content_tokens(X.word_tokens(X.clean_text("text"))).alias("t"))
-    ex = toks.select("id", F.posexplode("t").alias("pos", "term"))
-    lm = ex.join(maybe_broadcast(lemmas, 2_000_000), "term")
-    per = lm.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]),
-                     " ").alias("lt"))
+    per = lemmatized(docs, lexicon, id_col="id")
     # the token array is projected on its own first: lambdas would otherwise
     # re-evaluate the tokenizer once per array element
-    per = per.select("id", (F.col("lt") != "").alias("nonblank"), X.vector_tokens("lt", stops).alias("vt"))
-    per = per.select("id", "nonblank", X.unigrams_bigrams("vt").alias("terms"))
-    return docs.select("id").join(per, "id", "left").select(
-        "id", F.coalesce("nonblank", F.lit(False)).alias("nonblank"),
-        F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    per = X.select_once(per, ["id"], nonblank=F.col("lemma_text") != "", vt=X.vector_tokens("lemma_text", stops))
+    return per.select("id", "nonblank", X.unigrams_bigrams("vt").alias("terms"))
 
 
 def term_counts(dt: DataFrame) -> DataFrame:
-    """(id, term, cnt) -- AG-08."""
-    return dt.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("cnt"))
-
-
-def _sums(tf: DataFrame, key: str) -> DataFrame:
-    return tf.groupBy(key).agg(F.sum(F.col("cnt") * F.col("cnt")).alias("S"), F.count("*").alias("V"))
+    """(id, nonblank, term, cnt) -- AG-08; a NULL term stands for the document itself."""
+    terms = F.concat("terms", F.array(F.lit(None).cast("string")))
+    return (dt.select("id", "nonblank", F.explode(terms).alias("term")).groupBy("id", "nonblank", "term")
+            .agg(F.count("*").alias("cnt")))
+
+
+def pair_terms(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
+               stops=None) -> DataFrame:
+    """(resume_id, job_id, term, r, j, rb, jb): counts of each term on both sides of each pair (JN-15)."""
+    # documents are dealt out by id as text; counting and the join need no further exchange
+    count = lambda d: term_counts(doc_terms(d.select("id", "text").repartition("id"), lexicon, stops))
+    p, zero = pairs.select(*PAIR), F.lit(0).cast("bigint")
+    none = F.lit(None).cast("boolean")
+    r = p.join(count(resumes).withColumnRenamed("id", "resume_id"), "resume_id").select(
+        *PAIR, "term", F.col("cnt").alias("r"), zero.alias("j"), F.col("nonblank").alias("rb"), none.alias("jb"))
+    j = p.join(count(jobs).withColumnRenamed("id", "job_id"), "job_id").select(
+        *PAIR, "term", zero.alias("r"), F.col("cnt").alias("j"), none.alias("rb"), F.col("nonblank").alias("jb"))
+    return (r.unionByName(j).repartition(*PAIR).groupBy(*PAIR, "term")
+            .agg(F.sum("r").alias("r"), F.sum("j").alias("j"), F.max("rb").alias("rb"), F.max("jb").alias("jb")))
+
+
+def per_pair(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
+             max_features: int = L.TFIDF_MAX_FEATURES, top_k: int = L.TOP_SHARED_TERMS, stops=None) -> DataFrame:
+    """One row per pair with its sums over the kept terms and its ``top_k`` shared terms."""
+    u = pair_terms(resumes, jobs, pairs, lexicon, stops)
+    w = Window.partitionBy(*PAIR).orderBy(F.col("term").isNull(), F.desc(F.col("r") + F.col("j")), "term")
+    kept = u.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= max_features) | F.col("term").isNull())
+    term = F.col("term").isNotNull()
+    both = term & (F.col("r") > 0) & (F.col("j") > 0)
+    r, j = F.col("r"), F.col("j")
+    total = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    return kept.groupBy(*PAIR).agg(
+        F.count_if(term).alias("U"), F.count_if(both).alias("n_shared"), total(term, r * r).alias("Sr"),
+        total(term, j * j).alias("Sj"), total(both, r * j).alias("dot"), total(both, r * r).alias("r2"),
+        total(both, j * j).alias("j2"), F.max("rb").alias("rb"), F.max("jb").alias("jb"),
+        # weights of a pair share one denominator: the integer product ranks, ties on the term (SO-03)
+        F.slice(F.sort_array(F.collect_list(F.when(both, F.struct((r * j).alias("w"), "term"))), False), 1, top_k)
+        .alias("top"))
 
 
 def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
@@ -67,100 +90,32 @@ def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: D
     """Cosine similarity and top shared terms for every pair.
 
     ``resumes(id, text)``, ``jobs(id, text)``, ``pairs(resume_id, job_id)``.
-    Returns (scores, top_terms):
+    Returns (scores, top_terms), lazy:
 
     * scores: resume_id, job_id, cosine_similarity_score, text_similarity_percentage,
       n_shared_terms, explanation;
     * top_terms: resume_id, job_id, rank, term, overlap_weight.
     """
-    both = resumes.select("text").unionByName(jobs.select("text"))
-    vocab = (both.select(F.explode(X.content_tokens(X.word_tokens(X.clean_text("text")))).alias("term"))
-             .distinct())
-    # vocabulary-level lemma table and per-document term counts are each
-    # reused by several joins below: compute once, cut lineage
-    lemmas = materialize(lemma_map(vocab, lexicon if lexicon is not None else vocab))
-    dr = doc_terms(resumes, lemmas, stops)
-    dj = doc_terms(jobs, lemmas, stops)
-    dr, dj = materialize(dr), materialize(dj)
-    tr = materialize(term_counts(dr).withColumnRenamed("id", "resume_id").withColumnRenamed("cnt", "r"))
-    tj = materialize(term_counts(dj).withColumnRenamed("id", "job_id").withColumnRenamed("cnt", "j"))
-    p = pairs.select("resume_id", "job_id")
-
-    sr = _sums(tr.withColumnRenamed("r", "cnt"), "resume_id").withColumnRenamed("S", "Sr").withColumnRenamed("V", "Vr")
-    sj = _sums(tj.withColumnRenamed("j", "cnt"), "job_id").withColumnRenamed("S", "Sj").withColumnRenamed("V", "Vj")
-    tj_b = maybe_broadcast(tj, JOB_TF_MAX_ROWS)
-    shared = (tr.join(p, "resume_id").join(tj_b, ["job_id", "term"]))  # JN-15
-    sh = shared.groupBy("resume_id", "job_id").agg(
-        F.sum(F.col("r") * F.col("j")).alias("dot"), F.sum(F.col("r") * F.col("r")).alias("r2"),
-        F.sum(F.col("j") * F.col("j")).alias("j2"), F.count("*").alias("n_shared"))
-    base = (p.join(sr, "resume_id", "left").join(sj, "job_id", "left").join(sh, ["resume_id", "job_id"], "left")
-            .na.fill(0, ["Sr", "Vr", "Sj", "Vj", "dot", "r2", "j2", "n_shared"]))
-    base = materialize(base.withColumn("U", F.col("Vr") + F.col("Vj") - F.col("n_shared")))
-
-    # SO-04: pairs over the cap keep their top `max_features` terms; the branch
-    # is planned only when some pair exceeds the cap (checked on the
-    # checkpointed pair table)
-    capped = base.filter(F.col("U") > max_features).select("resume_id", "job_id")
-    any_capped = not capped.isEmpty()
-    b = base
-    if any_capped:
-        ur = tr.join(capped, "resume_id")
-        uj = tj.join(capped, "job_id")
-        u = ur.join(uj, ["resume_id", "job_id", "term"], "full_outer").na.fill(0, ["r", "j"])
-        w = Window.partitionBy("resume_id", "job_id").orderBy(F.desc(F.col("r") + F.col("j")), F.asc("term"))
-        kept = u.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= max_features)
-        both_ = (F.col("r") > 0) & (F.col("j") > 0)
-        ck = kept.groupBy("resume_id", "job_id").agg(
-            F.sum(F.col("r") * F.col("r")).alias("cSr"), F.sum(F.col("j") * F.col("j")).alias("cSj"),
-            F.sum(F.when(both_, F.col("r") * F.col("j")).otherwise(0)).alias("cdot"),
-            F.sum(F.when(both_, F.col("r") * F.col("r")).otherwise(0)).alias("cr2"),
-            F.sum(F.when(both_, F.col("j") * F.col("j")).otherwise(0)).alias("cj2"),
-            F.count_if(both_).alias("cn"))
-        b = base.join(ck, ["resume_id", "job_id"], "left")
-        is_c = F.col("cSr").isNotNull()
-        for c, cc in [("Sr", "cSr"), ("Sj", "cSj"), ("dot", "cdot"), ("r2", "cr2"), ("j2", "cj2"),
-                      ("n_shared", "cn")]:
-            b = b.withColumn(c, F.when(is_c, F.col(cc)).otherwise(F.col(c)))
+    b = per_pair(resumes, jobs, pairs, lexicon, max_features, max(top_k, L.EXPLAIN_TERMS), stops)
     nr = F.lit(K2) * F.col("Sr") - F.lit(K2 - 1.0) * F.col("r2")
     nj = F.lit(K2) * F.col("Sj") - F.lit(K2 - 1.0) * F.col("j2")
-    den = F.sqrt(nr * nj)
-    b = b.withColumn("den", den).withColumn(
-        "cos", F.when(F.col("den") > 0, F.col("dot") / F.col("den")).otherwise(F.lit(0.0)))
-
-    # top shared terms (SO-03): weights of shared terms, kept terms only for capped pairs
-    sw = shared.select("resume_id", "job_id", "term", "r", "j")
-    if any_capped:
-        kept_terms = kept.filter((F.col("r") > 0) & (F.col("j") > 0)).select("resume_id", "job_id", "term")
-        sw = (sw.join(capped.withColumn("_c", F.lit(True)), ["resume_id", "job_id"], "left")
-              .join(kept_terms.withColumn("_k", F.lit(True)), ["resume_id", "job_id", "term"], "left")
-              .filter(F.col("_c").isNull() | F.col("_k").isNotNull()).drop("_c", "_k"))
-    sw = sw.join(b.select("resume_id", "job_id", "den"), ["resume_id", "job_id"])
-    sw = sw.withColumn("w", F.col("r") * F.col("j") / F.col("den")).filter(F.col("w") > 0)
-    # within a pair the weight is r*j over a common denominator: rank on the
-    # exact integer product so ties break on the term alone
-    wt = Window.partitionBy("resume_id", "job_id").orderBy(F.desc(F.col("r") * F.col("j")), F.desc("term"))
-    top = sw.withColumn("rank", F.row_number().over(wt)).filter(F.col("rank") <= top_k)
-    top_terms = top.select("resume_id", "job_id", F.col("rank").cast("bigint").alias("rank"), "term",
-                           F.bround("w", 4).alias("overlap_weight"))
-    first5 = (top.filter(F.col("rank") <= L.EXPLAIN_TERMS).groupBy("resume_id", "job_id")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
-                                            lambda s: s["term"]), ", ").alias("t5")))
-
-    flags = (p.join(dr.select(F.col("id").alias("resume_id"), F.col("nonblank").alias("rb")), "resume_id", "left")
-             .join(dj.select(F.col("id").alias("job_id"), F.col("nonblank").alias("jb")), "job_id", "left"))
-    out = (b.join(flags, ["resume_id", "job_id"], "left").join(first5, ["resume_id", "job_id"], "left"))
+    b = b.withColumn("den", F.sqrt(nr * nj))
+    b = b.withColumn("cos", F.when(F.col("den") > 0, F.col("dot") / F.col("den")).otherwise(F.lit(0.0)))
+    top = b.select(*PAIR, "den", F.posexplode(F.slice("top", 1, top_k)).alias("k", "t")).filter(F.col("den") > 0)
+    top_terms = top.select(*PAIR, (F.col("k") + 1).cast("bigint").alias("rank"), "t.term",
+                           F.bround(F.col("t.w") / F.col("den"), 4).alias("overlap_weight"))
+    out = pairs.select(*PAIR).join(b, PAIR, "left")
     blank = ~F.coalesce("rb", F.lit(False)) | ~F.coalesce("jb", F.lit(False))
-    empty_vocab = F.col("U") == 0
-    score = F.when(blank | empty_vocab, F.lit(0.0)).otherwise(F.bround("cos", 4))
-    pct = F.when(blank | empty_vocab, F.lit(0.0)).otherwise(
+    nothing = blank | (F.coalesce("U", F.lit(0)) == 0)
+    score = F.when(nothing, F.lit(0.0)).otherwise(F.bround("cos", 4))
+    pct = F.when(nothing, F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.col("cos") * 100.0, 2))))
+    first5 = F.array_join(F.transform(F.slice("top", 1, L.EXPLAIN_TERMS), lambda s: s["term"]), ", ")
     expl = (F.when(blank, F.lit(L.SIMILARITY_EMPTY_MSG))
-            .when(empty_vocab, F.lit(L.SIMILARITY_EMPTY_VOCAB_MSG))
-            .when(F.col("t5").isNotNull(), F.concat(F.lit(L.SIMILARITY_PREFIX_MSG), F.col("t5"), F.lit(".")))
+            .when(nothing, F.lit(L.SIMILARITY_EMPTY_VOCAB_MSG))
+            .when(F.size("top") > 0, F.concat(F.lit(L.SIMILARITY_PREFIX_MSG), first5, F.lit(".")))
             .otherwise(F.lit(L.SIMILARITY_NO_OVERLAP_MSG)))
-    scores = out.select("resume_id", "job_id", score.alias("cosine_similarity_score"),
-                        pct.alias("text_similarity_percentage"),
-                        F.when(blank | empty_vocab, F.lit(0)).otherwise(F.col("n_shared")).cast("bigint")
-                        .alias("n_shared_terms"),
+    scores = out.select(*PAIR, score.alias("cosine_similarity_score"), pct.alias("text_similarity_percentage"),
+                        F.when(nothing, F.lit(0)).otherwise(F.col("n_shared")).cast("bigint").alias("n_shared_terms"),
                         expl.alias("explanation"))
     return scores, top_terms

@@ -27,7 +27,7 @@ from ..functions import skills as SK
 from ..operators import kb as K
 from ..operators import match as M
 from ..sources.tables import table
-from .broadcast import materialize, maybe_broadcast
+from .reuse import materialize
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +37,8 @@ def _match_summary(spark, sf):
 
 
 def _frame(spark, sf):
-    """Pair rows, checkpointed: several outputs are exploded from them."""
     mi = _mi(spark, sf)
-    return mi, materialize(M.pair_frame(mi))
+    return mi, M.pair_frame(mi)
 
 
 def _docs(spark, sf):
@@ -154,7 +153,7 @@ def _valid_skills(spark, sf):
 def _tfidf(spark, sf, cap):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    n = bench.count()  # one scalar: pairs are doc_id % n = item_id
+    n = max(1, bench.count())  # one scalar: pairs are doc_id % n = item_id
     pairs = docs.select(F.col("id").alias("resume_id"), (F.col("id") % n).alias("job_id"))
     return SIM.similarity(docs, bench, pairs, max_features=cap)
 
@@ -166,15 +165,10 @@ def _f3(spark, sf):
     return FX.pairs(spark, sf), FX.resume_skills(spark, sf), FX.job_skills(spark, sf)
 
 
-def _match_rows(spark, sf):
-    mi, frame = _frame(spark, sf)
-    return (mi, frame), M.required_rows(mi, frame=frame)
-
-
 def _evidence_table(spark, sf):
     mi, frame = _frame(spark, sf)
     vocab = mi.held.select("skill").unionByName(mi.required.select("skill"))
-    return EV.evidence_table(frame, materialize(FX.resume_evidence(spark, sf)), vocab)
+    return EV.evidence_table(frame, FX.resume_evidence(spark, sf), vocab)
 
 
 def _recs(spark, sf):
@@ -189,7 +183,7 @@ def _recommendations(spark, sf):
 
 
 def _summary_and_prio(spark, sf):
-    (mi, frame), rows = _match_rows(spark, sf)
+    mi, frame = _frame(spark, sf)
     summ = M.match_summary(mi, frame=frame)
     missing = frame.select("resume_id", "job_id", F.explode("missing").alias("skill"))
     prio = R.priority_summary(R.recommendations(missing, _kb_m(spark, sf)))
@@ -224,11 +218,11 @@ def _evaluate_extraction(spark, sf):
     """one sample per pair; truth = the job's normalised skills (SC-19),
     prediction = the resume's skills; sets are compared inside the pair row."""
     mi = _mi(spark, sf)
-    al = materialize(K.alias_map(spark, _kb_m(spark, sf)).select("alias", "canonical"))
+    al = K.alias_map(spark, _kb_m(spark, sf)).select("alias", "canonical")
     jt = X.normalize(FX.job_skills(spark, sf).select("job_id", F.col("skill").alias("raw")), al)
     jt = (jt.filter(F.col("skill") != "").groupBy("job_id").agg(F.collect_set("skill").alias("truth")))
     pr = mi.held.groupBy("resume_id").agg(F.collect_list("skill").alias("predicted"))
-    samples = (mi.pairs.join(pr, "resume_id", "left").join(maybe_broadcast(jt, 200_000), "job_id", "left")
+    samples = (mi.pairs.join(pr, "resume_id", "left").join(jt, "job_id", "left")
                .withColumn("domain", F.col("job_id")))
     return EVAL.evaluate_sets(samples, keys=("resume_id", "job_id"))
 
@@ -244,7 +238,7 @@ def _evaluate_profiles(spark, sf):
 
 
 def _normalize_skills(spark, sf):
-    al = materialize(K.alias_map(spark, _kb_m(spark, sf), extra=FX.user_aliases(spark)))
+    al = K.alias_map(spark, _kb_m(spark, sf), extra=FX.user_aliases(spark))
     out = NZ.normalize_skill_list(FX.noisy_resume_skills(spark, sf), al)
     return out.select("resume_id", "n_raw", "n_skills", F.array_join("skills", "|").alias("skills"))
 
@@ -257,7 +251,7 @@ def _display_names(spark, sf):
 
 
 def _mi(spark, sf):
-    pur = materialize(FX.purchases(spark, sf))
+    pur = FX.purchases(spark, sf)
     return M.match_inputs(pur.select("resume_id", "job_id"), pur.select("resume_id", "skill"),
                           FX.job_skills(spark, sf))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from ..functions import lookups as L
 from ..functions.text import WS_CLASS
+from ..operators.documents import KEEP_S, LEAST_STEM, NOUN_RULES
 from ..sources.fixtures import PROFILE_BLOCKS
 
 
@@ -378,31 +379,24 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(c) AS BIGINT) AS n_c
 FROM (SELECT doc_id, t, {content('t')} AS c FROM (SELECT doc_id, {word_tokens_expr('text')} AS t FROM documents))"""
 
 
-NOUN_RULES = [("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
-              ("shes", "sh"), ("men", "man"), ("ies", "y")]
 
+def lemma(x: str) -> str:
+    """Noun lemma of a token: the longest of the suffix rules."""
+    whens = []
+    for old, new in sorted(NOUN_RULES, key=lambda r: (-len(r[0]), r[0])):
+        hit = f"suffix({x}, {q(old)}) AND length({x}) >= {len(old) + LEAST_STEM}"
+        if old == "s":
+            hit += "".join(f" AND NOT suffix({x}, {q(k)})" for k in KEEP_S)
+        whens.append(f"WHEN {hit} THEN left({x}, length({x}) - {len(old)}) || {q(new)}")
+    return f"(CASE {' '.join(whens)} ELSE {x} END)"
 
-def lemma_ctes(docs: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    cands = ["{'r': 0, 'c': term}"] + [
-        f"{{'r': {i + 1}, 'c': CASE WHEN suffix(term, {q(o)}) THEN "
-        f"substring(term, 1, length(term) - {len(o)}) || {q(n)} END}}"
-        for i, (o, n) in enumerate(NOUN_RULES)]
-    return f"""
-lt AS (SELECT {id_col} AS doc_id, {content(word_tokens_expr(text_col))} AS toks FROM {docs}),
-lex AS (SELECT doc_id, unnest(range(0, len(toks))) AS pos, unnest(toks) AS term FROM lt),
-vocab AS (SELECT DISTINCT term FROM lex),
-lcand AS (SELECT term, unnest([{', '.join(cands)}]) AS k FROM vocab),
-lhit AS (SELECT term, k.r AS r, k.c AS c FROM lcand WHERE k.c IS NOT NULL AND k.c IN (SELECT term FROM vocab)),
-lmap AS (SELECT v.term, coalesce(b.c, v.term) AS lemma FROM vocab v LEFT JOIN
-         (SELECT term, min({{'n': length(c), 'r': r, 'c': c}}).c AS c FROM lhit GROUP BY term) b ON b.term = v.term),
-lemmas AS (SELECT x.doc_id, x.pos, m.lemma FROM lex x JOIN lmap m ON m.term = x.term)
-"""
+
+def lemma_line(text: str) -> str:
+    return f"array_to_string(list_transform({content(word_tokens_expr(text))}, lambda t: {lemma('t')}), ' ')"
 
 
 def lemma_text_sql() -> str:
-    return "WITH " + lemma_ctes() + """,
-per_doc AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lt FROM lemmas GROUP BY doc_id),
-j AS (SELECT d.doc_id, coalesce(p.lt, '') AS lt FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id)
+    return f"""WITH j AS (SELECT doc_id, coalesce({lemma_line('text')}, '') AS lt FROM documents)
 SELECT doc_id, CAST(length(lt) AS BIGINT) AS lemma_chars, md5(lt) AS lemma_md5,
        substring(lt, 1, 300) || '...' AS preview FROM j"""
 
@@ -639,22 +633,9 @@ SELECT term, {valid('term')} AS valid FROM terms"""
 
 def tfidf_ctes(cap: int) -> str:
     stops2 = inlist(L.VECTORIZER_STOP_WORDS)
-    cands = ["{'r': 0, 'c': term}"] + [
-        f"{{'r': {i + 1}, 'c': CASE WHEN suffix(term, {q(o)}) THEN "
-        f"substring(term, 1, length(term) - {len(o)}) || {q(n)} END}}"
-        for i, (o, n) in enumerate(NOUN_RULES)]
     return f"""
 alltxt AS (SELECT 'r' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'j', item_id, text FROM benchmark),
-lt AS (SELECT side, id, {content(word_tokens_expr('text'))} AS toks FROM alltxt),
-lex AS (SELECT side, id, unnest(range(0, len(toks))) AS pos, unnest(toks) AS term FROM lt),
-vocab AS (SELECT DISTINCT term FROM lex),
-lcand AS (SELECT term, unnest([{', '.join(cands)}]) AS k FROM vocab),
-lhit AS (SELECT term, k.r AS r, k.c AS c FROM lcand WHERE k.c IS NOT NULL AND k.c IN (SELECT term FROM vocab)),
-lmap AS (SELECT v.term, coalesce(b.c, v.term) AS lemma FROM vocab v LEFT JOIN
-         (SELECT term, min({{'n': length(c), 'r': r, 'c': c}}).c AS c FROM lhit GROUP BY term) b ON b.term = v.term),
-lt2 AS (SELECT side, id, string_agg(m.lemma, ' ' ORDER BY pos) AS lt FROM lex x JOIN lmap m ON m.term = x.term
-        GROUP BY side, id),
-docs AS (SELECT a.side, a.id, coalesce(l.lt, '') AS lt FROM alltxt a LEFT JOIN lt2 l ON l.side = a.side AND l.id = a.id),
+docs AS (SELECT side, id, coalesce({lemma_line('text')}, '') AS lt FROM alltxt),
 vt AS (SELECT side, id, lt <> '' AS nonblank,
               list_filter(regexp_extract_all(lower(lt), '\\b\\w\\w+\\b'), lambda t: NOT (t IN {stops2})) AS v FROM docs),
 terms AS (SELECT side, id, unnest(v || list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS term

@@ -37,15 +37,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gapmatch-ckpt-"))
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a private folder is created.
+    It must be shared by driver and executors, so there is no default: a
+    cluster session that names none is an error (``local_session`` sets one).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +59,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
-        d = tempfile.mkdtemp(prefix="gapmatch-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(d)
     return d

@@ -10,23 +10,14 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an under-split input at least one partition per core.
-
-    Large inputs arrive in many file splits and are returned unchanged; a
-    small file stored as one row group would otherwise run every row-local
-    step (text cleaning, tokenising, regex matching) in a single task.
-    Projections and filters are still pushed below the round-robin
-    repartition into the scan.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave the scan as it is
-        return df
-    return df.repartition(target) if n < target else df
+#: Session option of the local benchmark: partitions that a table's scan is
+#: dealt into (unset: as the files split).  A single small file otherwise runs
+#: every row-local step in one task.
+SCAN_PARTITIONS = "spark.gapmatch.localScanPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one table; projections/filters downstream are pushed into it."""
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

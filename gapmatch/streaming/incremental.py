@@ -32,7 +32,7 @@ def start_extraction_stream(spark: SparkSession, source_dir: str, out_dir: str,
     under ``out_dir/batch_id=<n>``.  Returns the StreamingQuery.
     """
     prepared = X.prepare(kb_keys, aliases)
-    ck = checkpoint or os.path.join(spark.sparkContext.getCheckpointDir() or out_dir, "extract-stream")
+    ck = checkpoint or os.path.join(out_dir, "_progress")
     reader = spark.readStream.schema(DOC_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
