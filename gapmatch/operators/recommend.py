@@ -14,7 +14,8 @@ from ..functions.skills import canon, title_case
 def recommendations(missing: DataFrame, kb: DataFrame, keys=("resume_id", "job_id")) -> DataFrame:
     """One row per missing skill with its priority and reason.
 
-    ``missing(keys.., skill)``; ``kb`` with the knowledge-base columns.
+    ``missing(keys.., skill[, pos])``; ``kb`` with the knowledge-base columns.
+    ``pos``, the place in the missing list, is carried along.
     Skills absent from the KB get: name = title case of the skill, category
     'General Skill', no flags, frequency 1, importance 0.0.
     """
@@ -23,26 +24,32 @@ def recommendations(missing: DataFrame, kb: DataFrame, keys=("resume_id", "job_i
                   F.col("occupations_count").alias("_occ"), F.col("importance_score").alias("_imp"))
     m = missing.withColumn("skill_key", canon("skill"))
     j = m.join(k, F.col("skill_key") == F.col("_k"), "left")
-    j = j.select(*keys, "skill_key",
+    pos = ["pos"] if "pos" in missing.columns else []
+    j = j.select(*keys, *pos, "skill_key",
                  F.coalesce("_name", title_case("skill")).alias("skill"),
                  F.coalesce("_cat", F.lit(L.DEFAULT_CATEGORY_MISSING)).alias("category"),
                  F.coalesce("_hot", F.lit(False)).alias("hot_technology"),
                  F.coalesce("_dem", F.lit(False)).alias("in_demand"),
                  F.coalesce("_occ", F.lit(1).cast("bigint")).alias("occupations_count"),
                  F.coalesce("_imp", F.lit(0.0)).alias("importance_score"))
-    return j.select(*keys, "skill_key", "skill", "category",
+    return j.select(*keys, *pos, "skill_key", "skill", "category",
                     priority("hot_technology", "in_demand", "importance_score", "occupations_count").alias("priority"),
                     priority_reason("hot_technology", "in_demand", "importance_score", "occupations_count")
                     .alias("reason"),
                     "hot_technology", "in_demand", "importance_score")
 
 
+ITEM = ["skill_key", "skill", "category", "priority", "reason", "hot_technology", "in_demand", "importance_score"]
+
+
 def priority_summary(recs: DataFrame, keys=("resume_id", "job_id")) -> DataFrame:
-    """AG-11 + AG-12: bucket counts and bucket lists (missing-list order)."""
+    """AG-11 + AG-12: bucket counts and bucket lists of whole items, in the order of the missing list
+    (``pos`` where given, else by skill key)."""
+    place = [c for c in ("pos", "skill_key") if c in recs.columns]
+
     def bucket(level):
-        return F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("priority") == level, F.struct("skill_key", "skill")))),
-            lambda s: s["skill"])
+        items = F.collect_list(F.when(F.col("priority") == level, F.struct(*place, F.struct(*ITEM).alias("item"))))
+        return F.transform(F.array_sort(items), lambda s: s["item"])
 
     return recs.groupBy(*keys).agg(
         F.count("*").alias("total_recommended"),

@@ -22,8 +22,10 @@ from ..operators import recommend as R
 from ..operators import evaluate as EVAL
 from ..operators import summary as SUM
 from ..operators import normalize as NZ
+from ..functions import lookups as L
 from ..functions import text as T
 from ..functions import skills as SK
+from ..operators import analyze as AN
 from ..operators import kb as K
 from ..operators import match as M
 from ..sources.tables import table
@@ -173,10 +175,60 @@ def _evidence_table(spark, sf):
 
 def _recs(spark, sf):
     _, f = _frame(spark, sf)
-    missing = f.select("resume_id", "job_id", F.explode("missing").alias("skill"))
+    missing = f.select("resume_id", "job_id", F.posexplode("missing").alias("pos", "skill"))
     return R.recommendations(missing, _kb_m(spark, sf))
 
 
+def _priority_buckets(spark, sf):
+    """AG-12: the items of each bucket, in the order of the missing list."""
+    p = R.priority_summary(_recs(spark, sf))
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["skill_key"], x["category"])), "|")
+    return p.select("resume_id", "job_id", names("high_priority").alias("high"),
+                    names("medium_priority").alias("medium"), names("low_priority").alias("low"))
+
+
+def _evidence_map(spark, sf):
+    """SC-20: one map per pair, shown as sorted entries."""
+    m = EV.evidence_map(_evidence_table(spark, sf))
+    e = F.transform(F.array_sort(F.map_entries("skill_evidence_map")), lambda x: F.concat_ws(
+        "=", x["key"], x["value"]["status"], x["value"]["evidence"], x["value"]["display_name"]))
+    return m.select("resume_id", "job_id", F.array_join(e, "|").alias("entries"))
+
+
+def _skill_lists(spark, sf):
+    """SO-01: sorted skill list of every profile document with skills."""
+    _, ex = _extract(spark, sf)
+    return X.skill_lists(ex).select("doc_id", F.array_join("skills", "|").alias("skills"))
+
+
+def _fallback_extract(spark, sf):
+    """SRC-10: extraction with the fallback dictionary, as when no knowledge base exists."""
+    kb = X.fallback_kb(spark)
+    prep = X.prepare(kb.select("skill_key"), L.aliases_df(spark).select("alias", "canonical"))
+    ex = X.extract_skills(_profiles(spark, sf), None, None, prep)
+    return ex.select("doc_id", "skill", "display_name", "evidence")
+
+
+CUSTOM_THRESHOLD = 94.0
+CUSTOM_LEVELS = {"Strong Match": 90.0, "Good Match": 50.0, "Moderate Gap": 20.0}
+
+
+def _match_custom(spark, sf):
+    """UX-01 / UX-02: the match summary with other thresholds."""
+    return M.match_summary(_mi(spark, sf), CUSTOM_THRESHOLD, CUSTOM_LEVELS)
+
+
+def _analyze_pairs(spark, sf):
+    """The main entry: each profile as a resume against the next profile as a job."""
+    d = _profiles(spark, sf).withColumnRenamed("doc_id", "id")
+    ids = d.select(F.col("id").alias("resume_id"))
+    pairs = ids.join(d.select(F.col("id").alias("job_id"), (F.col("id") - 1).alias("resume_id")), "resume_id")
+    kb = _kb_m(spark, sf)
+    a = AN.analyze_pairs(d, d, pairs, kb, K.alias_map(spark, kb), same_texts=True)
+    skills = a.matches.select("resume_id", "job_id", "matched_skills", "missing_skills")
+    return a.summary.drop("gap_description").join(skills, ["resume_id", "job_id"])
+
+
 def _recommendations(spark, sf):
     return _recs(spark, sf).select("resume_id", "job_id", "skill_key", "skill", "category", "priority", "reason",
                                    "hot_technology", "in_demand", "importance_score")
@@ -288,6 +340,12 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "pair_summary": (_pair_summary, O.pair_summary_sql),
     "evaluate_extraction": (_evaluate_extraction, O.evaluate_extraction_sql),
     "evaluate_profiles": (_evaluate_profiles, O.evaluate_profiles_sql),
+    "analyze_pairs": (_analyze_pairs, O.analyze_pairs_sql),
+    "priority_buckets": (_priority_buckets, O.priority_buckets_sql),
+    "evidence_map": (_evidence_map, O.evidence_map_sql),
+    "skill_lists": (_skill_lists, O.skill_lists_sql),
+    "fallback_extract": (_fallback_extract, O.fallback_extract_sql),
+    "match_custom": (_match_custom, lambda: O.match_custom_sql(CUSTOM_THRESHOLD, CUSTOM_LEVELS)),
     "normalize_skills": (_normalize_skills, O.normalize_skills_sql),
     "display_names": (_display_names, O.display_names_sql),
 }

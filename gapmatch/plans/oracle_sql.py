@@ -52,9 +52,9 @@ def lcs(a: str, b: str) -> str:
             f"[length({b}) + 1] END)")
 
 
-def gap_level(p: str) -> str:
+def gap_level(p: str, thresholds: dict | None = None) -> str:
     x = f"greatest(0.0, least(100.0, {p}))"
-    parts = [f"WHEN {x} >= {lo} THEN {q(lv)}" for lo, lv, _ in L.GAP_LEVELS[:-1]]
+    parts = [f"WHEN {x} >= {(thresholds or {}).get(lv, lo)} THEN {q(lv)}" for lo, lv, _ in L.GAP_LEVELS[:-1]]
     return f"(CASE {' '.join(parts)} ELSE {q(L.GAP_LEVELS[-1][1])} END)"
 
 
@@ -93,7 +93,7 @@ sim AS (
 """
 
 
-MATCH_CTES = F3_CTES + "," + fuzzy_sim_cte() + """,
+MATCH_STEPS = """,
 rows0 AS (
   SELECT pr.resume_id, pr.job_id, r.skill, (h.skill IS NOT NULL) AS exact
   FROM pairs pr JOIN req r ON r.job_id = pr.job_id
@@ -142,15 +142,26 @@ summary AS (
 """
 
 
-def match_summary_sql() -> str:
-    return "WITH " + MATCH_CTES + f"""
+def match_ctes(threshold: float = L.FUZZY_THRESHOLD) -> str:
+    return F3_CTES + "," + fuzzy_sim_cte(threshold) + MATCH_STEPS
+
+
+MATCH_CTES = match_ctes()
+
+
+def match_custom_sql(threshold: float, thresholds: dict | None = None) -> str:
+    return "WITH " + match_ctes(threshold) + f"""
 SELECT resume_id, job_id, total_required, total_resume, total_matched, total_missing, total_extra,
-       CAST(match_percentage AS DOUBLE) AS match_percentage, {gap_level('match_percentage')} AS gap_level,
+       CAST(match_percentage AS DOUBLE) AS match_percentage, {gap_level('match_percentage', thresholds)} AS gap_level,
        matched_skills, missing_skills
 FROM summary
 """
 
 
+def match_summary_sql() -> str:
+    return match_custom_sql(L.FUZZY_THRESHOLD)
+
+
 # ---------------------------------------------------------------------------
 # Skill string helpers in SQL
 # ---------------------------------------------------------------------------
@@ -491,10 +502,10 @@ def _special_rows() -> str:
     return " UNION ALL ".join(sels)
 
 
-def extract_ctes() -> str:
+def extract_ctes(knowledge: str | None = None) -> str:
     tokens_p = f"list_transform(regexp_extract_all(lower(p), {q(TOKEN_PIECE_RE)}), lambda x: ltrim(x))"
     acr_all = " ".join(L.ACRONYM_CANDIDATES)
-    return kb_ctes() + "," + profile_ctes() + f""",
+    return (knowledge or kb_ctes()) + "," + profile_ctes() + f""",
 specials AS ({_special_rows()}),
 dict0 AS (SELECT DISTINCT p FROM (SELECT skill_key AS p FROM kb UNION ALL SELECT alias AS p FROM aliases)),
 dict1 AS (SELECT p, trim(lower(p), ' ' || chr(9) || {NL} || chr(13) || chr(11) || chr(12)) AS ps FROM dict0),
@@ -631,17 +642,21 @@ SELECT term, {valid('term')} AS valid FROM terms"""
 # PL-03 (direct TF-IDF formula, independent of the closed form)
 # ---------------------------------------------------------------------------
 
-def tfidf_ctes(cap: int) -> str:
+TFIDF_TEXTS = "SELECT 'r' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'j', item_id, text FROM benchmark"
+TFIDF_PAIRS = """
+pairs AS (SELECT doc_id AS resume_id, doc_id % (SELECT count(*) FROM benchmark) AS job_id FROM documents),"""
+
+
+def tfidf_ctes(cap: int, texts: str = TFIDF_TEXTS, pairs: str = TFIDF_PAIRS) -> str:
     stops2 = inlist(L.VECTORIZER_STOP_WORDS)
     return f"""
-alltxt AS (SELECT 'r' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'j', item_id, text FROM benchmark),
+alltxt AS ({texts}),
 docs AS (SELECT side, id, coalesce({lemma_line('text')}, '') AS lt FROM alltxt),
 vt AS (SELECT side, id, lt <> '' AS nonblank,
               list_filter(regexp_extract_all(lower(lt), '\\b\\w\\w+\\b'), lambda t: NOT (t IN {stops2})) AS v FROM docs),
 terms AS (SELECT side, id, unnest(v || list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS term
           FROM vt),
-tf AS (SELECT side, id, term, count(*) AS cnt FROM terms GROUP BY side, id, term),
-pairs AS (SELECT doc_id AS resume_id, doc_id % (SELECT count(*) FROM benchmark) AS job_id FROM documents),
+tf AS (SELECT side, id, term, count(*) AS cnt FROM terms GROUP BY side, id, term),{pairs}
 u0 AS (SELECT p.resume_id, p.job_id, t.term, t.cnt AS r, 0 AS j FROM pairs p JOIN tf t ON t.side = 'r' AND t.id = p.resume_id
        UNION ALL
        SELECT p.resume_id, p.job_id, t.term, 0 AS r, t.cnt AS j FROM pairs p JOIN tf t ON t.side = 'j' AND t.id = p.job_id),
@@ -718,7 +733,7 @@ ev AS (
 """
 
 
-def evidence_table_sql() -> str:
+def evidence_rows() -> str:
     fuzzy = (f"coalesce(fe.evidence, {q(L.EVIDENCE_DEFAULT_MATCHED)}) || ' (fuzzy match ' || "
              f"CAST(CAST(round_even(m.fuzzy_score, 0) AS BIGINT) AS VARCHAR) || '%)'")
     return "WITH " + MATCH_CTES + "," + EVIDENCE_CTE + f""",
@@ -740,10 +755,22 @@ exrows AS (
   SELECT x.resume_id, x.job_id, x.skill, {q(L.STATUS_EXTRA)} AS status,
          coalesce(nullif(e.evidence, ''), {q(L.EVIDENCE_DEFAULT_EXTRA)}) AS evidence, 'Additional' AS type, 1 AS grp
   FROM extras x LEFT JOIN ev e ON e.resume_id = x.resume_id AND e.skill = x.skill),
-allr AS (SELECT * FROM reqrows UNION ALL SELECT * FROM exrows)
-SELECT resume_id, job_id, CAST(row_number() OVER (PARTITION BY resume_id, job_id ORDER BY grp, skill) AS BIGINT) AS pos,
+allr AS (SELECT * FROM reqrows UNION ALL SELECT * FROM exrows),
+evt AS (SELECT resume_id, job_id, CAST(row_number() OVER (PARTITION BY resume_id, job_id ORDER BY grp, skill) AS BIGINT) AS pos,
        skill AS skill_key, {display('skill')} AS skill, status, evidence, type
-FROM allr"""
+FROM allr)"""
+
+
+def evidence_table_sql() -> str:
+    return evidence_rows() + "\nSELECT * FROM evt"
+
+
+def evidence_map_sql() -> str:
+    return evidence_rows() + f""",
+e AS (SELECT resume_id, job_id, skill_key || '=' || CASE WHEN status = {q(L.STATUS_EXTRA)} THEN 'extra'
+        WHEN status = {q(L.STATUS_MATCHED)} THEN 'matched' ELSE 'missing' END || '=' || evidence || '=' || skill AS x,
+        skill_key FROM evt)
+SELECT resume_id, job_id, string_agg(x, '|' ORDER BY skill_key) AS entries FROM e GROUP BY resume_id, job_id"""
 
 
 def _priority_sql(hot, dem, imp, occ) -> str:
@@ -762,7 +789,11 @@ def _reason_sql(hot, dem, imp, occ) -> str:
 
 
 def recs_ctes() -> str:
-    return kb_ctes() + "," + MATCH_CTES + f""",
+    return kb_ctes() + "," + MATCH_CTES + recs_steps()
+
+
+def recs_steps() -> str:
+    return f""",
 missing AS (SELECT resume_id, job_id, skill FROM mrows WHERE NOT matched),
 recs0 AS (
   SELECT m.resume_id, m.job_id, {canon('m.skill')} AS skill_key,
@@ -944,3 +975,43 @@ UNION ALL
 SELECT 'total', NULL, NULL, CAST(tp AS BIGINT), CAST(fp AS BIGINT), CAST(fn AS BIGINT), precision, recall,
        CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END,
        jaccard, NULL, NULL, NULL FROM tm"""
+
+
+def priority_buckets_sql() -> str:
+    level = lambda p: (f"coalesce(string_agg(skill_key || ':' || category, '|' ORDER BY pos) "
+                       f"FILTER (WHERE priority = {q(p)}), '')")
+    return "WITH " + recs_ctes() + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY resume_id, job_id ORDER BY skill_key) AS pos FROM recs)
+SELECT resume_id, job_id, {level(L.PRIORITY_HIGH)} AS high, {level(L.PRIORITY_MEDIUM)} AS medium,
+       {level(L.PRIORITY_LOW)} AS low FROM placed GROUP BY resume_id, job_id"""
+
+
+def skill_lists_sql() -> str:
+    return "WITH " + extract_ctes() + """
+SELECT doc_id, string_agg(DISTINCT skill, '|' ORDER BY skill) AS skills FROM extracted GROUP BY doc_id"""
+
+
+def fallback_extract_sql() -> str:
+    kb = f"kb AS (SELECT unnest({lst(L.FALLBACK_SKILLS)}) AS skill_key),\n"
+    al = f"aliases AS (SELECT alias, canonical, 'default' AS source FROM {defaults_values()})"
+    return "WITH " + extract_ctes(kb + al) + "\nSELECT doc_id, skill, display_name, evidence FROM extracted"
+
+
+def analyze_pairs_sql() -> str:
+    """PL-01 on both sides, PL-02, PL-03, PL-04 and PL-07 over profiles and their successors."""
+    texts = "SELECT 'r' AS side, doc_id AS id, text FROM prof UNION ALL SELECT 'j', doc_id, text FROM prof"
+    return "WITH " + extract_ctes() + """,
+pairs AS (SELECT a.doc_id AS resume_id, b.doc_id AS job_id FROM prof a JOIN prof b ON b.doc_id - 1 = a.doc_id),
+held AS (SELECT DISTINCT doc_id AS resume_id, skill FROM extracted),
+req AS (SELECT DISTINCT doc_id AS job_id, skill FROM extracted),
+""" + fuzzy_sim_cte() + MATCH_STEPS + recs_steps() + "," + tfidf_ctes(L.TFIDF_MAX_FEATURES, texts, "") + f"""
+SELECT s.resume_id, s.job_id, CAST(s.match_percentage AS DOUBLE) AS match_percentage,
+       {gap_level('s.match_percentage')} AS gap_level, s.total_matched, s.total_missing, s.total_extra,
+       CAST(coalesce(p.high_count, 0) AS BIGINT) AS high_priority_count,
+       CASE WHEN NOT (f.rb AND f.jb) OR coalesce(n.vocab, 0) = 0 THEN 0.0
+            ELSE greatest(0.0, least(100.0, round_even(coalesce(c.cos, 0.0) * 100.0, 2))) END
+         AS text_similarity_percentage, s.matched_skills, s.missing_skills
+FROM summary s LEFT JOIN prio p ON p.resume_id = s.resume_id AND p.job_id = s.job_id
+JOIN flags f ON f.resume_id = s.resume_id AND f.job_id = s.job_id
+LEFT JOIN nrm n ON n.resume_id = s.resume_id AND n.job_id = s.job_id
+LEFT JOIN cosv c ON c.resume_id = s.resume_id AND c.job_id = s.job_id"""
