@@ -12,7 +12,7 @@ Documents with equal sets are one node.  A band's bucket is not expanded into
 pairs: its members are first compared with one leader, the member that meets
 most others; most buckets are then within one component.  In buckets that
 still hold several components, pairs of different components are compared in
-blocks of bounded size, and only those whose registers agree are emitted.
+blocks of bounded size, and only links that join components are emitted.
 """
 
 from __future__ import annotations
@@ -183,15 +183,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return pair_texts.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long").distinct()
 
 
-def _open_pairs(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket, have not met as leader, and agree on their registers."""
+def _sets(docs: DataFrame, ids: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
+    """``id`` and ``shingles`` (sorted 64-bit hashes) of the documents in ``ids(id)``."""
+    def cut(batches):
+        hashes = WordHashes()
+        for b in batches:
+            t = b[["id"]].copy()
+            t["shingles"] = [shingle_set(x, hashes, width).tobytes() for x in b["text"]]
+            hashes.trim()
+            yield t
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return (texts.join(ids, "id").dropDuplicates(["id", "text"])
+            .mapInPandas(cut, "id long, shingles binary"))
+
+
+def _open_links(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders: DataFrame, docs: DataFrame,
+                percent: int, width: int, text_col: str, id_col: str) -> DataFrame:
+    """Links between different components that share a bucket and have not met through its leader.
+
+    The members of such buckets are dealt into blocks, and each pair of
+    blocks is compared in one task: registers first, then the full sets.  A
+    pair is looked at in the first band that it shares, and only as long as
+    its components are not joined already, so a cell emits fewer links than
+    it has members, however many pairs it holds.
+    """
     labelled = (buckets.join(comp, buckets["rep"] == comp["node"], "left")
-                .select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+                .select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component")))
     labelled = written(labelled, "labelled")
     mixed = (labelled.filter("n > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
              .filter("x <> y").select("key"))
-    m = (labelled.join(written(mixed, "mixed"), "key").join(leaders, "key").filter("rep <> leader")
-         .join(nodes, "rep"))
+    m = labelled.join(written(mixed, "mixed"), "key").join(leaders, "key").filter("rep <> leader")
+    m = written(m.select("key", "band", "rep", "n", "component"), "open")
+    sets = written(_sets(docs, m.select(F.col("rep").alias("id")).distinct(), width, text_col, id_col), "sets")
+    m = m.join(nodes, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     m = (m.withColumn("own", F.pmod(F.xxhash64("rep"), blocks))
          .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -200,24 +225,36 @@ def _open_pairs(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders:
     def compare(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("rep", kind="stable")
         regs = np.frombuffer(b"".join(map(bytes, t["registers"])), dtype=np.uint16).reshape(-1, M)
-        rep, comp_, own = t["rep"].to_numpy(), t["component"].to_numpy(), t["own"].to_numpy()
+        rep, own, band = t["rep"].to_numpy(), t["own"].to_numpy(), int(t["band"].iloc[0])
         n, i, j = t["n_shingles"].to_numpy(dtype=float), t["i"].iloc[0], t["j"].iloc[0]
-        a_all, b_all = [], []
+        label = t["component"].to_numpy().copy()
+        full = [np.frombuffer(x, dtype=np.uint64) for x in t["shingles"]]
+        found = []
         for x in range(len(t) - 1):
             y = np.arange(x + 1, len(t))
-            ok = (comp_[y] != comp_[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
+            ok = (label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
             if i != j:
                 ok &= own[y] != own[x]
             y = y[ok]
-            if len(y):
-                y = y[(regs[y] == regs[x]).mean(axis=1) >= percent / 100 - 0.3]
-            a_all.append(np.full(len(y), rep[x]))
-            b_all.append(rep[y])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": cat(a_all), "b": cat(b_all)})
+            if not len(y):
+                continue
+            same = regs[y] == regs[x]
+            shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
+            y = y[(shared.argmax(axis=1) == band) & (same.mean(axis=1) >= percent / 100 - SLACK - 0.05)]
+            if not len(y):
+                continue
+            each = estimate(np.repeat(regs[x][None], len(y), axis=0), regs[y], np.full(len(y), n[x]), n[y])
+            for k in y[np.argsort(-each, kind="stable")][: int((each >= percent / 100 - SLACK).sum())]:
+                if label[k] == label[x]:
+                    continue
+                both = len(np.intersect1d(full[x], full[k], assume_unique=True))
+                if 100 * both >= percent * (len(full[x]) + len(full[k]) - both):
+                    found.append((rep[x], rep[k]))
+                    label[label == label[k]] = label[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    cells = m.select("key", "i", "j", "own", "rep", "component", "n_shingles", "registers").groupBy("key", "i", "j")
-    return cells.applyInPandas(compare, "a long, b long").distinct()
+    cells = m.select("key", "i", "j", "own", "band", "rep", "component", "n_shingles", "registers", "shingles")
+    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text_col="text",
@@ -237,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
              .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                   F.first("registers").alias("registers"), F.first("bands").alias("bands")))
     nodes = written(nodes, "nodes")
-    keyed = nodes.select("rep", F.explode("bands").alias("key"))
+    keyed = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     buckets = written(keyed.join(shared, "key"), "buckets")
     meets = buckets.groupBy("rep").agg(F.sum("n").alias("meets"))
@@ -250,8 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     sketch = nodes.select("rep", "n_shingles", "registers")
     first = written(_verified(pairs, sketch, docs, percent, width, text_col, id_col), "links")
     comp = written(components(first), "components")
-    more = _open_pairs(buckets, comp, sketch, leaders, percent)
-    second = written(_verified(more, sketch, docs, percent, width, text_col, id_col), "more")
+    second = written(_open_links(buckets, comp, sketch, leaders, docs, percent, width, text_col, id_col), "more")
     if not second.isEmpty():
         comp = written(components(first.union(second)), "components")
     of_set = (nodes.join(comp, nodes["rep"] == comp["node"], "left")
