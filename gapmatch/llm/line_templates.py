@@ -9,8 +9,9 @@ many documents are boilerplate: their lines are dropped from every document.
 
 Documents count by text, so exact copies count once.  Near copies would make
 all their lines recur; so a template must also be met in documents that are
-otherwise different: a document's sketch is the least digest of its lines,
-and the sketches must be at least a share of the documents.
+otherwise different: a document's sketch is the least digest of its lines'
+leaves (words changed after the leading tokens leave it as it is), and the
+distinct sketches must be at least a share of the documents.
 
 DataFrame operations only; only digests and candidate lines are shuffled, and
 the documents once for the final join.
@@ -24,29 +25,30 @@ from pyspark.sql import functions as F
 from .common import WHITE, written
 
 VARIABLE = "<*>"
-DEPTH, MIN_TOKENS, MIN_DOCS, AGREE, DIVERSE, PREVAIL = 3, 4, 10, 0.7, 0.25, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, AGREE, DIVERSE, PREVAIL = 3, 4, 10, 0.7, 0.5, 0.5
 
 
 def tokens(line: Column | str) -> Column:
-    """The tokens of a line, those with an ASCII digit generalised."""
-    t = F.split(line, WHITE)
-    t = F.filter(t, lambda x: x != "")
-    return F.transform(t, lambda x: F.when(x.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(x))
+    """The tokens of a line."""
+    return F.filter(F.split(line, WHITE), lambda x: x != "")
+
+
+def masked(tk: Column | str) -> Column:
+    """Tokens with those that have an ASCII digit generalised."""
+    return F.transform(tk, lambda x: F.when(x.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(x))
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Lines with the keys of their document and its sketch."""
-    d = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"),
-                    F.split(text_col, "\n").alias("lines"))
-    # a sketch needs a line that is not blank; it is a property of the text alone
-    d = d.withColumn("sk", F.array_min(F.transform("lines", lambda x: F.md5(x))))
-    return d.select("k", "th", "sk", F.posexplode("lines").alias("pos", "line"))
+    """Lines with the keys of their document."""
+    return docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"),
+                       F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
 
 
 def _leaves(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     t = lines.withColumn("tk", tokens("line"))
     t = t.filter(F.size("tk") >= min_tokens)
-    return t.withColumn("leaf", F.xxhash64(F.size("tk"), F.array_join(F.slice("tk", 1, depth), " ")))
+    # only the leading tokens are generalised here, the others at the leaves that count
+    return t.withColumn("leaf", F.md5(F.concat_ws(" ", F.size("tk").cast("string"), masked(F.slice("tk", 1, depth)))))
 
 
 def line_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,
@@ -54,11 +56,12 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
                    text_col="text", id_col="doc_id") -> DataFrame:
     """Lines of recurring templates: ``k, th`` (document keys) and ``drops``, the line numbers from 0."""
     lv = _leaves(_lines(docs, text_col, id_col), depth, min_tokens)
+    met = written(lv.select("leaf", "th").distinct(), "leaves")
+    sketch = written(met.groupBy("th").agg(F.min("leaf").alias("sk")), "sketches")
     # leaves met in enough texts
-    often = (lv.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-             .filter(F.col("n") >= min_docs).select("leaf"))
-    cand = written(lv.join(written(often, "leaves"), "leaf")
-                   .select("leaf", "k", "th", "sk", "pos", "tk"), "candidates")
+    often = met.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    cand = written(lv.join(written(often, "often"), "leaf")
+                   .select("leaf", "k", "th", "pos", masked("tk").alias("tk")), "candidates")
     # the token that prevails at each position of a leaf, over distinct texts' lines
     at = cand.select("leaf", "th", F.posexplode("tk").alias("p", "tok")).distinct()
     seen = at.groupBy("leaf", "p", "tok").agg(F.count("*").alias("n"))
@@ -73,10 +76,10 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
     m = cand.join(written(tmpl, "templates"), "leaf")
     same = F.size(F.filter(F.zip_with("tk", "tmpl", lambda a, b: (a == b) & (b != VARIABLE)), lambda x: x))
     of_leaf = same >= F.lit(agree) * F.size("tk")
-    m = m.select("k", "th", "sk", "pos", F.when(of_leaf, F.xxhash64("leaf", F.lit(0)))
+    m = m.select("k", "th", "pos", F.when(of_leaf, F.xxhash64("leaf", F.lit(0)))
                  .otherwise(F.xxhash64(F.array_join("tk", " "), F.lit(1))).alias("tid"))
     m = written(m, "matched")
-    per_text = m.select("tid", "th", "sk").distinct()
+    per_text = m.select("tid", "th").distinct().join(sketch, "th")
     per_sketch = per_text.groupBy("tid", "sk").agg(F.count("*").alias("n"))
     rec = (per_sketch.groupBy("tid").agg(F.count("*").alias("sketches"), F.sum("n").alias("texts"))
            .filter((F.col("texts") >= min_docs) & (F.col("sketches") >= F.lit(diverse) * F.col("texts")))
