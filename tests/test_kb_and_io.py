@@ -114,3 +114,42 @@ def test_evaluate_micro_average(spark):
     t = rows["total"]
     assert (t["tp"], t["fp"], t["fn"]) == (2, 1, 1)
     assert abs(t["precision"] - 2 / 3) < 1e-12 and abs(t["jaccard"] - 0.5) < 1e-12
+
+
+def test_last_of_equal_user_aliases_wins(spark, tmp_path):
+    kb = build(spark, tmp_path)
+    rows = [(0, "HOT rod", "a1"), (1, "hot rod ", "a2"), (2, "js", "java scripts")]
+    extra = spark.createDataFrame(rows, "ord int, alias string, canonical string")
+    al = K.alias_map(spark, kb, extra=extra)
+    got = {r["alias"]: r["canonical"] for r in al.collect()}
+    assert got["hot rod"] == "a2" and got["js"] == "java scripts"
+    assert al.count() == len(got)
+    from gapmatch.operators.extract import normalize
+    raw = spark.createDataFrame([("Hot Rod",)], "raw string")
+    assert [r["skill"] for r in normalize(raw, al).collect()] == ["a2"]
+
+
+def test_recommendation_lists_keep_input_order(spark, tmp_path):
+    kb = build(spark, tmp_path)
+    missing = spark.createDataFrame([(1, 1, 2, "docker"), (1, 1, 0, "python"), (1, 1, 1, "sql")],
+                                    "resume_id long, job_id long, pos int, skill string")
+    high = R.priority_summary(R.recommendations(missing, kb)).first()["high_priority"]
+    assert [x["skill_key"] for x in high] == ["python", "sql", "docker"] and high[0]["category"] == "Programming"
+
+
+def test_labelled_set_end_to_end(spark, tmp_path):
+    """read_labelled -> normalised truth -> extraction -> evaluation."""
+    from gapmatch.operators import extract as X
+    p = tmp_path / "set.json"
+    p.write_text(json.dumps([
+        {"id": "a", "domain": "rail", "text": "Skills\nPython, Docker and some JS", "ground_truth_skills":
+         ["python", "JavaScript", "docker"]},
+        {"id": "b", "domain": "mail", "text": "nothing to see", "ground_truth_skills": ["ML"]}]))
+    s = RD.read_labelled(spark, str(p))
+    kb = build(spark, tmp_path)
+    al = K.alias_map(spark, kb)
+    truth = X.normalize(s.select("id", "domain", F.explode("ground_truth_skills").alias("raw")), al)
+    docs = s.select(F.col("id").alias("doc_id"), "text")
+    found = X.extract_skills(docs, kb.select("skill_key"), al).select(F.col("doc_id").alias("id"), "skill")
+    rows = {r["id"] or "total": r for r in evaluate(truth, found, keys=("id",)).collect()}
+    assert (rows["a"]["tp"], rows["a"]["fn"], rows["b"]["fn"], rows["total"]["tp"]) == (3, 0, 1, 3)
