@@ -23,6 +23,8 @@ from .common import written
 
 #: Words of a run of repeated units that is removed, at least.
 MIN_WORDS = 25
+#: The rank of rows without id; documents cut into units at a time.
+LAST, SLICE = 2**63 - 1, 500
 #: A unit ends after a line break, or after a sentence's end and the spaces that follow.
 UNIT = r"[^\n.!?]*(?:[.!?]+(?![.!?\s])[^\n.!?]*)*(?:[.!?]+[ \t\r\x0b\x0c]*\n?|\n|$)"
 
@@ -37,26 +39,33 @@ def units(text: str | None):
 
 
 def unit_table(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
-    """``k, th`` (row keys), ``no_id, doc_id`` (0 for a null) and the arrays ``starts, ends, words, d1, d2`` of a document's units."""
+    """``k, th`` (row keys), ``rank`` (the id, a null last) and the arrays of a document's units.
 
+    The arrays are ``starts, ends, words, d1, d2`` (digest) and ``fresh``: the
+    unit's first occurrence in its own text.
+    """
     def cut(batches):
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                found = list(units(text))
-                d = np.frombuffer(b"".join(u[3] for u in found), dtype=np.int64).reshape(-1, 2)
-                col = lambda k: np.array([u[k] for u in found], dtype=np.int32)  # noqa: E731, B023
-                rows.append((col(0), col(1), col(2), d[:, 0], d[:, 1]))
-            t = pd.DataFrame(rows, columns=["starts", "ends", "words", "d1", "d2"])
-            for c in ("doc_id", "no_id", "th", "k"):
-                t.insert(0, c, b[c])
-            yield t
-
-    id_ = F.col(id_col).cast("long")
-    d = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.hash(text_col).alias("th"), id_.isNull().alias("no_id"),
-                    F.coalesce(id_, F.lit(0)).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(cut, "k long, th int, no_id boolean, doc_id long, starts array<int>, ends array<int>, "
-                              "words array<int>, d1 array<long>, d2 array<long>")
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at:at + SLICE]
+                rows = []
+                for text in part["text"]:
+                    found = list(units(text))
+                    d = np.frombuffer(b"".join(u[3] for u in found), dtype=np.int64).reshape(-1, 2)
+                    col = lambda k: np.array([u[k] for u in found], dtype=np.int32)  # noqa: E731, B023
+                    fresh = np.zeros(len(found), dtype=bool)
+                    fresh[list({u[3]: k for k, u in reversed(list(enumerate(found)))}.values())] = True
+                    rows.append((col(0), col(1), col(2), d[:, 0], d[:, 1], fresh))
+                t = pd.DataFrame(rows, columns=["starts", "ends", "words", "d1", "d2", "fresh"])
+                for c in ("rank", "th", "k"):
+                    t.insert(0, c, part[c].to_numpy())
+                yield t
+
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    d = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.hash(text_col).alias("th"), rank.alias("rank"),
+                    F.col(text_col).alias("text"))
+    return d.mapInPandas(cut, "k long, th int, rank long, starts array<int>, ends array<int>, words array<int>, "
+                              "d1 array<long>, d2 array<long>, fresh array<boolean>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text", id_col="doc_id") -> DataFrame:
@@ -65,41 +74,40 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text",
     A span has ``start``, ``end`` (characters), ``words`` and
     ``kept_doc_id``, the document where its first unit stays.
     """
-    u = written(unit_table(docs, text_col, id_col).dropDuplicates(["k", "th"]), "units")
-    each = u.select("k", "th", "no_id", "doc_id", F.posexplode(
-        F.arrays_zip("starts", "d1", "d2")).alias("pos", "x")).select(
-        "k", "th", "no_id", "doc_id", "pos", "x.starts", "x.d1", "x.d2")
-    place = F.struct("no_id", "doc_id", F.col("starts").alias("start"))
-    first = (each.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    u = written(unit_table(docs, text_col, id_col), "units")
+    each = u.select("k", "th", "rank", F.posexplode(F.arrays_zip("d1", "d2", "fresh")).alias("pos", "x")).select(
+        "k", "th", "rank", "pos", "x.d1", "x.d2", "x.fresh")
+    first = (each.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
              .filter("n > 1").select("d1", "d2", "first"))
-    again = (each.join(written(first, "first"), ["d1", "d2"])
-             .filter(~F.col("first").eqNullSafe(place))
-             .groupBy("k", "th").agg(F.collect_list(F.struct("pos", F.when(~F.col("first.no_id"), F.col("first.doc_id")).alias("kept"))).alias("again")))
+    again = (each.join(written(first, "first"), ["d1", "d2"]).filter("rank <> first or not fresh")
+             .groupBy("k", "th").agg(F.collect_set(F.struct("pos", "first")).alias("again")))
 
     def runs(batches):
         for b in batches:
             rows = []
             for starts, ends, words, hits in zip(b["starts"], b["ends"], b["words"], b["again"], strict=True):
-                hits = sorted(hits, key=lambda x: x["pos"])
+                hits = sorted((x["pos"], x["first"]) for x in hits)
                 found, k = [], 0
                 while k < len(hits):
                     j = k
-                    while j + 1 < len(hits) and hits[j + 1]["pos"] == hits[j]["pos"] + 1:
+                    while j + 1 < len(hits) and hits[j + 1][0] == hits[j][0] + 1:
                         j += 1
-                    a, z = hits[k]["pos"], hits[j]["pos"]
+                    a, z = hits[k][0], hits[j][0]
                     n = int(words[a:z + 1].sum())
                     if n >= min_words:
                         found.append({"start": int(starts[a]), "end": int(ends[z]), "words": n,
-                                      "kept_doc_id": hits[k]["kept"]})
+                                      "kept_doc_id": None if hits[k][1] == LAST else int(hits[k][1])})
                     k = j + 1
                 rows.append(found)
             t = b[["k", "th"]].copy()
             t["spans"] = rows
             yield t[[len(x) > 0 for x in rows]]
 
+    # rows that repeat id and text have the same spans
     joined = u.select("k", "th", "starts", "ends", "words").join(again, ["k", "th"])
     return joined.mapInPandas(
-        runs, "k long, th int, spans array<struct<start:int,end:int,words:int,kept_doc_id:long>>")
+        runs, "k long, th int, spans array<struct<start:int,end:int,words:int,kept_doc_id:long>>"
+    ).dropDuplicates(["k", "th"])
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text", id_col="doc_id") -> DataFrame:
