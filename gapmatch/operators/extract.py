@@ -75,23 +75,33 @@ def _line_rows(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "hdrs", F.posexplode(S.lines("clean")).alias("line_no", "line"))
 
 
-def special_terms(d: DataFrame) -> DataFrame:
-    """SC-07: (doc_id, term, line_no) for every special-pattern match."""
+def special_matches() -> Column:
+    """SC-07: ARRAY<STRUCT<raw, line_no>> of every special-pattern match of ``clean``."""
     per_pat = F.array(*[
-        F.struct(F.lit(i).alias("pid"), F.lit(term).alias("term"),
-                 F.transform(F.split(F.col("clean"), pat, -1),
-                             lambda p: F.char_length(p) - F.char_length(F.replace(p, F.lit("\n"), F.lit(""))))
-                 .alias("nl"))
-        for i, (pat, term) in enumerate(L.SPECIAL_PATTERNS)
+        F.struct(F.lit(term).alias("term"), F.transform(F.split(F.col("clean"), pat, -1),
+                             lambda p: F.char_length(p) - F.char_length(F.replace(p, F.lit("\n"), F.lit("")))).alias("nl"))
+        for pat, term in L.SPECIAL_PATTERNS
     ])
-    x = d.select("doc_id", "hdrs", F.explode(per_pat).alias("m")).filter(F.size("m.nl") > 1)
-    x = x.select("doc_id", "hdrs", "m.pid", "m.term", F.size("m.nl").alias("n_pieces"),
-                 F.posexplode("m.nl").alias("k", "nl"))
-    w = Window.partitionBy("doc_id", "pid").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("line_no", F.sum("nl").over(w))
+    return F.flatten(F.transform(per_pat, _special_lines))
+
+
+def _special_lines(m) -> Column:
+    """(raw, line_no) of each match of one pattern: line breaks in the pieces before it, added up."""
+    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<raw:string,line_no:int>>").alias("out"))
+
+    def step(acc, nl):
+        at = acc["n"] + nl
+        return F.struct(at.alias("n"), F.concat(acc["out"], F.array(
+            F.struct(m["term"].alias("raw"), at.alias("line_no")))).alias("out"))
+
     # piece k precedes match k; the last piece follows the last match
-    return x.filter(F.col("k") < F.col("n_pieces") - 1).select(
-        "doc_id", F.col("term").alias("raw"), "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
+    return F.aggregate(F.slice(m["nl"], 1, F.size(m["nl"]) - 1), init, step)["out"]
+
+
+def special_terms(d: DataFrame) -> DataFrame:
+    """SC-07 as a table: (doc_id, raw, line_no, section)."""
+    x = d.select("doc_id", "hdrs", F.inline(special_matches()))
+    return x.select("doc_id", "raw", "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
 
 
 def dictionary_tokens(dictionary: DataFrame) -> DataFrame:
@@ -99,6 +109,19 @@ def dictionary_tokens(dictionary: DataFrame) -> DataFrame:
     return dictionary.select(F.explode(F.split("key", " ")).alias("tok")).distinct()
 
 
+def _grams_of(n: int) -> Column:
+    """Runs of ``n`` consecutive tokens of a line's known tokens ``t`` (position, token, piece)."""
+    t = F.col("t")
+    starts = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
+        lambda k: (k + n - 1 <= F.size(t))
+        & (F.element_at(t, k + n - 1)["p"] - F.element_at(t, k)["p"] == n - 1))
+    return F.transform(starts, lambda k: F.struct(
+        F.element_at(t, k)["p"].alias("start"), F.lit(n).alias("n"),
+        F.array_join(F.transform(F.slice(t, k, n), lambda x: x["tok"]), " ").alias("key"),
+        F.ltrim(F.array_join(F.transform(F.slice(t, k, n), lambda x: x["piece"]), "")).alias("raw")))
+
+
 def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     """JN-02: every dictionary phrase occurrence in a line.
 
@@ -118,19 +141,8 @@ def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.first("section").alias("section"),
         F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("p"), "tok", "piece"))).alias("t"))
 
-    def grams_of(n: int) -> Column:
-        t = F.col("t")
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
-            lambda k: (k + n - 1 <= F.size(t))
-            & (F.element_at(t, k + n - 1)["p"] - F.element_at(t, k)["p"] == n - 1))
-        return F.transform(starts, lambda k: F.struct(
-            F.element_at(t, k)["p"].alias("start"), F.lit(n).alias("n"),
-            F.array_join(F.transform(F.slice(t, k, n), lambda x: x["tok"]), " ").alias("key"),
-            F.ltrim(F.array_join(F.transform(F.slice(t, k, n), lambda x: x["piece"]), "")).alias("raw")))
-
     g = per_line.select("doc_id", "line_no", "section",
-                        F.explode(F.flatten(F.array(*[grams_of(n) for n in lens]))).alias("g"))
+                        F.explode(F.flatten(F.array(*[_grams_of(n) for n in lens]))).alias("g"))
     g = g.select("doc_id", "line_no", "section", "g.start", "g.n", "g.key", "g.raw")
     m = g.join(dictionary.select("key").distinct(), "key", "left_semi")
     return m.select("doc_id", "line_no", "start", "n", "raw", "section")
@@ -162,8 +174,7 @@ def longest_spans(spans: DataFrame) -> DataFrame:
 
 def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """JN-03: whole-word acronyms that are alias keys -> (doc_id, raw, line_no, section)."""
-    keys = {r["alias"] for r in aliases.filter(F.col("alias").isin(L.ACRONYM_CANDIDATES)).select("alias").collect()}
-    acr = [a for a in L.ACRONYM_CANDIDATES if a in keys]
+    acr = _acronyms(aliases)
     if not acr:
         return lines.select("doc_id", F.lit(None).cast("string").alias("raw"), "line_no",
                             F.lit(None).cast("string").alias("section")).limit(0)
@@ -198,13 +209,58 @@ def prepare(kb_keys: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFram
     return al, phrase_dictionary(kb_keys, al)
 
 
+def _acronyms(aliases: DataFrame) -> list[str]:
+    keys = {r["alias"] for r in aliases.filter(F.col("alias").isin(L.ACRONYM_CANDIDATES)).select("alias").collect()}
+    return [a for a in L.ACRONYM_CANDIDATES if a in keys]
+
+
 def candidates(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """ST-01: raw terms of the three detectors: (doc_id, raw, line_no, section)."""
+    """ST-01: raw terms of the three detectors, in one pass: (doc_id, raw, line_no, section).
+
+    A document is cleaned once.  Its lines carry their section, their special
+    and acronym terms (complete by themselves) and their tokens; only tokens
+    of the dictionary go on, are put together per line, and the phrases found
+    are resolved longest-first inside the line.
+    """
     d = _doc_rows(docs)
-    ln = _line_rows(d)
-    phr = longest_spans(phrase_spans(ln, dictionary)).select(
-        "doc_id", F.btrim(F.col("raw"), F.lit(" ")).alias("raw"), "line_no", "section")
-    return special_terms(d).unionByName(phr).unionByName(acronym_terms(ln, aliases))
+    acr = _acronyms(aliases)
+    rx = r"\b(" + "|".join(acr) + r")\b" if acr else None
+    d = select_once(d, ["doc_id", "clean", "hdrs"], sp=special_matches())
+    direct = F.transform(F.filter("sp", lambda m: m["line_no"] == F.col("line_no")), lambda m: m["raw"])
+    if rx:
+        direct = F.concat(direct, F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(rx), 1)))
+    ln = d.select("doc_id", "hdrs", "sp", F.posexplode(S.lines("clean")).alias("line_no", "line"))
+    ln = select_once(ln, ["doc_id", "line_no"], section=S.section_of_line("hdrs", "line_no"), direct=direct,
+                     pieces=token_pieces("line"))
+    # one row per token, and one without token that holds what the line has by itself
+    tok = ln.select("doc_id", "line_no", "section", F.posexplode(F.concat(
+        F.array(F.lit(None).cast("string")), F.col("pieces"))).alias("i", "piece"), "direct")
+    tok = tok.withColumn("direct", F.when(F.col("i") == 0, F.col("direct"))).withColumn("tok", F.ltrim("piece"))
+    known = dictionary_tokens(dictionary).withColumn("known", F.lit(True))
+    tok = tok.join(known, "tok", "left").filter(F.col("known") | (F.size("direct") > 0))
+    per_line = tok.groupBy("doc_id", "line_no").agg(
+        F.first("section").alias("section"), F.max("direct").alias("direct"),
+        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct(F.col("i").alias("p"), "tok", "piece")))).alias("t"))
+    lens = sorted(r["n"] for r in dictionary.select("n").distinct().collect())
+    grams = F.flatten(F.array(*[_grams_of(n) for n in lens]))
+    own = F.transform(F.coalesce("direct", F.array().cast("array<string>")), lambda r: F.struct(
+        F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("key"), r.alias("raw")))
+    g = per_line.select("doc_id", "line_no", "section", F.inline(F.concat(grams, own)))
+    phrase = dictionary.select("key").distinct().withColumn("found", F.lit(True))
+    g = g.join(phrase, "key", "left").filter(F.col("found") | (F.col("n") == 0))
+    spans = g.groupBy("doc_id", "line_no").agg(
+        F.first("section").alias("section"),
+        F.collect_list(F.when(F.col("n") == 0, F.col("raw"))).alias("direct"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(
+            (-F.col("n")).alias("neg"), "start", (F.col("start") + F.col("n")).alias("end"), "raw")))).alias("c"))
+    init = F.array().cast("array<struct<neg:int,start:int,end:int,raw:string>>")
+
+    def step(acc, x):
+        clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.transform(F.aggregate("c", init, step), lambda k: F.btrim(k["raw"], F.lit(" ")))
+    return spans.select("doc_id", F.explode(F.concat("direct", kept)).alias("raw"), "line_no", "section")
 
 
 def detections(docs: DataFrame, kb_keys: DataFrame, aliases: DataFrame, prepared=None) -> DataFrame:
@@ -265,8 +321,8 @@ def context_rejections(docs: DataFrame) -> DataFrame:
     """FLT-05 on its own: every whole-word company/platform mention with its
     +-60 character window tested against the contact indicators.
 
-    (doc_id, term, line_no, rejected).  Offsets come from the text pieces
-    between mentions (per-document prefix sums over the mention list).
+    (doc_id, term, offset, line_no, rejected).  Offsets are running sums over
+    the text pieces between mentions; only the windows leave the row.
     """
     d = select_once(docs, ["doc_id"], clean=clean_text("text")).filter(F.col("clean") != "")
     names = sorted(L.COMPANY_PLATFORM_NAMES)
@@ -275,18 +331,30 @@ def context_rejections(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", "clean", F.split(low, rx, -1).alias("pc"),
                  F.regexp_extract_all(low, F.lit(rx), 0).alias("ms"))
     d = d.filter(F.size("ms") > 0)
-    x = d.select("doc_id", "clean", "pc", "ms", F.posexplode("ms").alias("k", "term"))
-    # offset of mention k = pieces[0..k] + mentions[0..k-1]
-    off = (F.char_length(F.array_join(F.slice("pc", 1, F.col("k") + 1), ""))
-           + F.char_length(F.array_join(F.slice("ms", 1, F.col("k")), "")))
-    x = x.withColumn("off", off)
-    lo = F.greatest(F.lit(0), F.col("off") - L.CONTEXT_WINDOW)
-    hi = F.least(F.char_length("clean"), F.col("off") + F.char_length("term") + L.CONTEXT_WINDOW)
-    window = F.lower(F.col("clean").substr(lo + 1, hi - lo))
+    # one running sum over the pieces gives every mention's offset and line
+    init = F.struct(F.lit(0).alias("off"), F.lit(0).alias("nl"),
+                    F.array().cast("array<struct<term:string,off:int,line_no:int>>").alias("out"))
+
+    def step(acc, x):
+        off = acc["off"] + F.char_length(x["pc"])
+        nl = acc["nl"] + F.char_length(x["pc"]) - F.char_length(F.replace(x["pc"], F.lit("\n"), F.lit("")))
+        one = F.struct(x["ms"].alias("term"), off.alias("off"), nl.alias("line_no"))
+        return F.struct((off + F.char_length(x["ms"])).alias("off"), nl.alias("nl"),
+                        F.concat(acc["out"], F.array(one)).alias("out"))
+
+    zipped = F.arrays_zip(F.slice("pc", 1, F.size("ms")).alias("pc"), F.col("ms"))
+    d = select_once(d, ["doc_id", "clean"], found=F.aggregate(zipped, init, step)["out"])
+
+    def window(m):
+        lo = F.greatest(F.lit(0), m["off"] - L.CONTEXT_WINDOW)
+        hi = F.least(F.char_length("clean"), m["off"] + F.char_length(m["term"]) + L.CONTEXT_WINDOW)
+        return F.lower(F.substring(F.col("clean"), lo + 1, hi - lo))
+
+    x = d.select("doc_id", F.inline(F.transform("found", lambda m: F.struct(
+        m["term"].alias("term"), m["off"].alias("off"), m["line_no"].alias("line_no"), window(m).alias("window")))))
     contact = "|".join("(?:" + p + ")" for p in L.CONTACT_INDICATORS)
-    line_no = F.size(F.split(F.col("clean").substr(F.lit(1), F.col("off")), "\n", -1)) - 1
     return x.select("doc_id", "term", F.col("off").cast("bigint").alias("offset"),
-                    line_no.cast("bigint").alias("line_no"), window.rlike(contact).alias("rejected"))
+                    F.col("line_no").cast("bigint").alias("line_no"), F.col("window").rlike(contact).alias("rejected"))
 
 
 def skill_lists(extracted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..functions.text import col
+from ..functions.text import col, select_once
 
 
 def header_class(line) -> Column:
@@ -57,18 +57,22 @@ def section_spans(docs: DataFrame) -> DataFrame:
     character offsets (one character per newline), summary first.  A header
     on line one yields an empty summary span (0, 0).
     """
-    ls = lines("clean")
-    lens = F.transform(ls, lambda x: F.char_length(x) + 1)
-    d = docs.select("doc_id", ls.alias("ls"), lens.alias("lens"), headers("clean").alias("h"))
-    # starts of header lines; prefix sums over the (short) header list only
-    bounds = F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit("summary").alias("cls"))), F.col("h"))
-    total = F.aggregate("lens", F.lit(0), lambda a, x: a + x)
-    d = d.select("doc_id", "lens", bounds.alias("b"), total.alias("total"))
-    starts = F.transform("b", lambda h: F.aggregate(F.slice(F.col("lens"), 1, h["i"]), F.lit(0), lambda a, x: a + x))
-    d = d.select("doc_id", "b", starts.alias("st"), "total")
+    # one running sum of line lengths, noted where a header opens a section
+    tagged = F.transform(lines("clean"), lambda x: F.struct(
+        (F.char_length(x) + 1).alias("len"), header_class(x).alias("cls")))
+    init = F.struct(F.lit(0).alias("off"), F.array(F.struct(F.lit("summary").alias("cls"), F.lit(0).alias("start")))
+                    .alias("b"))
+
+    def step(acc, x):
+        here = F.struct(x["cls"].alias("cls"), acc["off"].alias("start"))
+        return F.struct((acc["off"] + x["len"]).alias("off"),
+                        F.when(x["cls"].isNull(), acc["b"]).otherwise(F.concat(acc["b"], F.array(here))).alias("b"))
+
+    d = select_once(docs, ["doc_id"], a=F.aggregate(tagged, init, step))
+    d = d.select("doc_id", "a.b", F.col("a.off").alias("total"))
     spans = F.transform("b", lambda h, k: F.struct(
-        h["cls"].alias("section"), F.element_at(F.col("st"), k + 1).alias("start"),
-        F.coalesce(F.try_element_at(F.col("st"), k + 2), F.col("total")).alias("end")))
+        h["cls"].alias("section"), h["start"].alias("start"),
+        F.coalesce(F.try_element_at(F.col("b"), k + 2)["start"], F.col("total")).alias("end")))
     out = d.select("doc_id", F.inline(spans))
     # the leading summary span exists only when the first header is not line one
     return out.select("doc_id", "section", F.col("start").cast("bigint").alias("start"),
