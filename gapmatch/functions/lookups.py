@@ -7,7 +7,6 @@ text in their natural order; the helpers below only split that text.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 
 def _words(block: str) -> list[str]:
@@ -663,7 +662,6 @@ STATUS_NO_TEXT = (
     "or flattened raster file. Note: OCR (Optical Character Recognition) is not "
     "implemented. Please upload a text-based PDF or copy/paste text directly."
 )
-STATUS_OK = "Successfully extracted text from {n} page(s)."
 
 SIMILARITY_EMPTY_MSG = "One or both documents contain insufficient textual content."
 SIMILARITY_NO_OVERLAP_MSG = "No significant shared vocabulary detected."
@@ -735,27 +733,12 @@ def section_classes() -> list[tuple[str, str]]:
     return [(c, "(?i)(?:" + "|".join("(?:" + p + ")" for p in pats[c]) + ")") for c in order]
 
 
-@lru_cache(maxsize=None)
-def _spark_types():
-    from pyspark.sql import types as T
-
-    return T
-
-
 def aliases_df(spark):
     """Default aliases as a DataFrame (alias, canonical, priority=0, ord)."""
     rows = [(a, c, 0, i) for i, (a, c) in enumerate(DEFAULT_ALIASES)]
     return spark.createDataFrame(rows, "alias string, canonical string, priority int, ord int")
 
 
-def display_overrides_df(spark):
-    return spark.createDataFrame(DISPLAY_OVERRIDES, "skill string, display string")
-
-
 def fallback_kb_df(spark):
     rows = [(s,) for s in FALLBACK_SKILLS]
     return spark.createDataFrame(rows, "skill_key string")
-
-
-def stop_words_df(spark, words=None):
-    return spark.createDataFrame([(w,) for w in sorted(words or STOP_WORDS)], "term string")

@@ -40,18 +40,9 @@ def priority(hot, demand, importance, count) -> Column:
             .otherwise(F.lit(L.PRIORITY_LOW)))
 
 
-def py_float_str(c) -> Column:
-    """Python ``str(float)`` for the values used in reasons (short repr)."""
-    x = col(c).cast("double")
-    s = x.cast("string")
-    # Spark prints 4.5 as '4.5' and 4.0 as '4.0', like Python, for the short
-    # decimal values that appear here (importance rounded to 2 places).
-    return s
-
-
 def priority_reason(hot, demand, importance, count) -> Column:
     hot, demand, imp, cnt = col(hot), col(demand), col(importance), col(count)
-    imp_reason = F.concat(F.lit(L.REASON_IMPORTANCE.split("{importance}")[0]), py_float_str(imp),
+    imp_reason = F.concat(F.lit(L.REASON_IMPORTANCE.split("{importance}")[0]), imp.cast("double").cast("string"),
                           F.lit(L.REASON_IMPORTANCE.split("{importance}")[1]))
     med_reason = F.concat(F.lit(L.REASON_MEDIUM.split("{count}")[0]), cnt.cast("string"),
                           F.lit(L.REASON_MEDIUM.split("{count}")[1]))

@@ -66,7 +66,11 @@ F3_CTES = """
 held_raw AS (
   SELECT DISTINCT o.o_custkey AS resume_id, p.p_name AS skill
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
-req_raw AS (SELECT DISTINCT p_brand AS job_id, p_name AS skill FROM part WHERE p_size <= 5),
+req_raw AS (
+  SELECT job_id, skill FROM (
+    SELECT p_brand AS job_id, p_name AS skill, sum(p_size) AS s, count(*) OVER (PARTITION BY p_brand) AS k,
+           sum(sum(p_size)) OVER (PARTITION BY p_brand) AS total
+    FROM part GROUP BY p_brand, p_name) WHERE s * k >= total),
 pairs AS (
   SELECT DISTINCT o.o_custkey AS resume_id, p.p_brand AS job_id
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
@@ -722,13 +726,11 @@ def fuzzy_assign_sql() -> str:
 
 EVIDENCE_CTE = """
 ev AS (
-  SELECT resume_id, skill, array_to_string(list_transform(list_sort(list(DISTINCT {'r': r, 's': s})),
-                                                          lambda x: x.s), ' + ') AS evidence
-  FROM (SELECT o.o_custkey AS resume_id, lower(p.p_name) AS skill,
-               CASE WHEN o.o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS r,
-               CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'Skills section' ELSE 'Experience section' END AS s
-        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
-        WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH'))
+  SELECT resume_id, skill, array_to_string(list_transform(list_sort(list(DISTINCT r)),
+         lambda k: ['Skills section', 'Experience section', 'Project section', 'Education section',
+                    'Summary section'][k]), ' + ') AS evidence
+  FROM (SELECT o.o_custkey AS resume_id, lower(p.p_name) AS skill, CAST(left(o.o_orderpriority, 1) AS INTEGER) AS r
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)
   GROUP BY resume_id, skill)
 """
 

@@ -58,11 +58,12 @@ def resume_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3 required skills: distinct names of a brand's parts with size <= 5 -> (job_id, skill)."""
-    p = table(spark, sf_dir, "part")
-    return (p.filter(F.col("p_size") <= 5)
-            .select(F.col("p_brand").alias("job_id"), F.col("p_name").alias("skill"))
-            .distinct())
+    """F3 required skills, from all parts: the names of a brand whose summed part sizes are at least
+    the brand's mean over its names -> (job_id, skill)."""
+    per = (table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("job_id"), F.col("p_name").alias("skill"))
+           .agg(F.sum("p_size").alias("s")))
+    tot = per.groupBy("job_id").agg(F.sum("s").alias("total"), F.count("*").alias("k"))
+    return per.join(tot, "job_id").filter(F.col("s") * F.col("k") >= F.col("total")).select("job_id", "skill")
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,23 +139,27 @@ def essential_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.explode(names).alias("element_name"), dv.alias("data_value"))
 
 
+# FIXED VALUES: the section that an order priority stands for, in display order.
+PRIORITY_SECTIONS = [("1-URGENT", "Skills section"), ("2-HIGH", "Experience section"),
+                     ("3-MEDIUM", "Project section"), ("4-NOT SPECIFIED", "Education section"),
+                     ("5-LOW", "Summary section")]
+
+
 def resume_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3 evidence: where a held skill was 'found', from the order priorities.
+    """F3 evidence: where a held skill was 'found', from the priorities of the orders it was bought in.
 
-    Parts bought in 1-URGENT orders count as 'Skills section', in 2-HIGH
-    orders as 'Experience section'; other held skills have no evidence.
     Returns (resume_id, skill, evidence) with sections in display order.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-         .filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")))
-    sec = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Skills section")).otherwise(F.lit("Experience section"))
-    g = j.select(F.col("o_custkey").alias("resume_id"), F.lower(F.col("p_name")).alias("skill"), sec.alias("s"))
-    g = g.groupBy("resume_id", "skill").agg(F.array_sort(F.collect_set(F.struct(
-        F.when(F.col("s") == "Skills section", 0).otherwise(1).alias("r"), F.col("s")))).alias("ss"))
-    return g.select("resume_id", "skill", F.array_join(F.transform("ss", lambda x: x["s"]), " + ").alias("evidence"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    place = F.array_position(F.array(*[F.lit(k) for k, _ in PRIORITY_SECTIONS]), F.col("o_orderpriority"))
+    g = (j.select(F.col("o_custkey").alias("resume_id"), F.lower("p_name").alias("skill"), place.alias("at"))
+         .groupBy("resume_id", "skill").agg(F.array_sort(F.collect_set("at")).alias("at")))
+    names = F.array(*[F.lit(s) for _, s in PRIORITY_SECTIONS])
+    return g.select("resume_id", "skill", F.array_join(F.transform(
+        "at", lambda k: F.element_at(names, k.cast("int"))), " + ").alias("evidence"))
 
 
 # FIXED VALUES: extra noisy skill spellings chosen by l_partkey % 9, and one

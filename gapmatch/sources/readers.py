@@ -57,15 +57,20 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_software_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-04: software records with normalised column names and file order."""
+    """SRC-04: software records with normalised column names and file order.
+
+    ``ord`` is the file's path, then the row's place in the file: a file is
+    read as one split (quoted fields may hold line breaks), so within it the
+    running id follows the rows.
+    """
     df = spark.read.schema(SOFTWARE_CSV_SCHEMA).option("header", True).option("multiLine", True).csv(path)
     return df.select(
         F.col("`O*NET-SOC Code`").alias("soc_code"), F.col("Title").alias("title"),
         F.col("`Workplace Example`").alias("workplace_example"), F.col("`Element ID`").alias("element_id"),
         F.col("`Element Name`").alias("element_name"), F.col("`Hot Technology`").alias("hot_technology"),
         F.col("`In Demand`").alias("in_demand"),
-        # increasing with the file offset: partition index, then row position
-        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0").alias("ord"))
+        F.concat(F.col("_metadata.file_path"), F.lit("#"),
+                 F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("ord"))
 
 
 def read_essential_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -87,15 +92,16 @@ def read_kb_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_alias_json(spark: SparkSession, path: str | None) -> DataFrame:
     """SRC-07: alias JSON over the defaults; keys/values lowercased and
-    stripped; the file wins over defaults; a non-object file adds nothing."""
+    stripped; the file wins over defaults, and of keys that become equal the
+    later one; a non-object file adds nothing."""
     defaults = L.aliases_df(spark).select("alias", "canonical", F.lit(0).alias("priority"))
     if not path:
         return defaults.select("alias", "canonical")
     txt = spark.read.text(path, wholetext=True)
     m = txt.select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
-    f = m.select(F.explode("m").alias("alias", "canonical")).select(
-        py_strip(F.lower("alias")).alias("alias"), py_strip(F.lower("canonical")).alias("canonical"),
-        F.lit(1).alias("priority"))
+    f = m.select(F.posexplode(F.map_entries("m")).alias("pos", "e")).select(
+        py_strip(F.lower("e.key")).alias("alias"), py_strip(F.lower("e.value")).alias("canonical"),
+        (F.col("pos") + 1).alias("priority"))
     allr = defaults.unionByName(f)
     return (allr.groupBy("alias").agg(F.max_by("canonical", "priority").alias("canonical")))
 

@@ -52,6 +52,14 @@ def test_kb_build(spark, tmp_path):
     assert kb["node.js"]["hot_technology"] is True   # curated flags OR-ed into an existing key
 
 
+def test_software_rows_keep_path_and_row_order(spark, tmp_path):
+    head = SW.splitlines()[0] + "\n"
+    for name, skills in (("b.csv", ["Zig", "ada"]), ("a.csv", ["Rust", "go", "lua"])):
+        (tmp_path / name).write_text(head + "".join(f"1,t,{s},E,N,N,N\n" for s in skills))
+    rows = RD.read_software_csv(spark, str(tmp_path / "*.csv")).orderBy("ord").collect()
+    assert [r["workplace_example"] for r in rows] == ["Rust", "go", "lua", "Zig", "ada"]
+
+
 def test_alias_variants(spark, tmp_path):
     kb = build(spark, tmp_path)
     al = {r["alias"]: r for r in K.alias_map(spark, kb).collect()}
@@ -73,6 +81,8 @@ def test_alias_json_overrides_defaults(spark, tmp_path):
     p.write_text(json.dumps({" ML ": "Machine Learning Ops", "k8": "Kubernetes"}))
     al = {r["alias"]: r["canonical"] for r in RD.read_alias_json(spark, str(p)).collect()}
     assert al["ml"] == "machine learning ops" and al["k8"] == "kubernetes" and al["js"] == "javascript"
+    p.write_text(json.dumps({"HOT rod": "a1", "hot rod ": "a2"}))
+    assert {r["alias"]: r["canonical"] for r in RD.read_alias_json(spark, str(p)).collect()}["hot rod"] == "a2"
     q = tmp_path / "list.json"
     q.write_text("[1, 2]")
     assert RD.read_alias_json(spark, str(q)).count() == len(L.DEFAULT_ALIASES)
