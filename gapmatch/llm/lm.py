@@ -17,6 +17,8 @@ word of the hot ones takes part in.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -30,12 +32,17 @@ from .words import split_words
 #: Words whose counts every task holds.
 HOT = 65_536
 #: Of 16 parts of the documents, the last of each training round, and the rounds' learning rates.
-ROUNDS = ((1, 0.01), (4, 0.006), (16, 0.003))
+ROUNDS = ((1, 0.015), (4, 0.01), (16, 0.005))
 #: Tokens gathered for a run of backpropagation; parameters in a row.
 PIECE, PART = 300_000, 8192
 REMEMBERED = 400_000
 
 
+def word_hash(word: bytes) -> int:
+    """A hash of 62 bits with the next bit set, so that it is above all ranks."""
+    return (xxhash.xxh3_64_intdigest(word) & (2**62 - 1)) | 2**62
+
+
 class Codes(dict):
     """Word (bytes) to its rank among the hot words, or else to a hash of 62 bits with the top bit set."""
 
@@ -44,7 +51,7 @@ class Codes(dict):
         self.rank = {} if hot is None else {int(h): r for r, h in enumerate(hot)}
 
     def __missing__(self, word: bytes) -> int:
-        h = (xxhash.xxh3_64_intdigest(word) & (2**62 - 1)) | 2**62
+        h = word_hash(word)
         h = self[word] = self.rank.get(h, h)
         return h
 
@@ -64,18 +71,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def word_counts(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
     """``word`` (hash) and count ``c`` over the training documents."""
+    def flushed(sums: Counter) -> pd.DataFrame:
+        # words that share a hash are one word from here on
+        return pd.DataFrame({"word": [word_hash(w) for w in sums], "c": list(sums.values())}, dtype="int64")
+
     def count(batches):
-        codes, sums = Codes(), {}
+        sums: Counter = Counter()
         for b in batches:
-            h, n = np.unique(np.concatenate([codes.of(t) for t in b["text"]] or [np.zeros(0, np.int64)]),
-                             return_counts=True)
-            for x, k in zip(h.tolist(), n.tolist(), strict=True):
-                sums[x] = sums.get(x, 0) + k
-            codes.trim()
-            if len(sums) > REMEMBERED:
-                yield pd.DataFrame({"word": sums.keys(), "c": sums.values()})
-                sums = {}
-        yield pd.DataFrame({"word": list(sums.keys()), "c": list(sums.values())}, dtype="int64")
+            for t in b["text"]:
+                sums.update(split_words(t, lower=True))
+                if len(sums) > REMEMBERED:
+                    yield flushed(sums)
+                    sums.clear()
+        yield flushed(sums)
 
     train = docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text"))
     return train.mapInPandas(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -83,7 +91,7 @@ def word_counts(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
 
 def network_ids(codes: np.ndarray) -> np.ndarray:
     """Ids of the network: words by rank from 1, all others one id; the text's end last."""
-    return np.append(np.where(codes < WORDS - 1, codes + 1, OTHER), END).astype(np.int32)
+    return np.append(np.where(codes < WORDS - 1, codes + 1, OTHER), END).astype(np.int16)
 
 
 def _round(docs: DataFrame, flat: np.ndarray, rate: float, hot: np.ndarray) -> np.ndarray:
@@ -163,18 +171,20 @@ def fit_and_score(docs: DataFrame, text_col="text", id_col="doc_id", rounds=ROUN
     def scored(batches):
         codes = Codes(hot)
         for b in batches:
-            all_codes = [codes.of(t) for t in b["text"]]
-            net = np.concatenate([score(flat, [network_ids(c) for c in all_codes[k:k + 2000]])
-                                  for k in range(0, len(all_codes), 2000)])
-            rows = []
-            for c, lp in zip(all_codes, net, strict=True):
-                known = c[c < HOT]
-                logs = hot_log[known]
+            rows, ids = [], []
+            for t in b["text"]:
+                c = codes.of(t)
+                at_hand = c < HOT
+                known = c[at_hand]
+                logs, other = hot_log[known], known >= WORDS - 1
+                rare = c[~at_hand]
                 rows.append((len(c) + 1, len(known) + bool(n_train), end_log + float(logs.sum()),
-                             float(logs[known >= WORDS - 1].sum()), int((c >= WORDS - 1).sum()),
-                             lp / np.log(10), c[c >= HOT]))
+                             float(logs[other].sum()), int(other.sum()) + len(rare), rare))
+                ids.append(network_ids(c))
+            net = score(flat, ids) / np.log(10)
             codes.trim()
-            t = pd.DataFrame(rows, columns=["n_tokens", "n_hot", "hot_log", "other_log", "n_other", "net", "rare"])
+            t = pd.DataFrame(rows, columns=["n_tokens", "n_hot", "hot_log", "other_log", "n_other", "rare"])
+            t.insert(5, "net", net)
             for k in ("held_out", "uid", "doc_id"):
                 t.insert(0, k, b[k])
             yield t

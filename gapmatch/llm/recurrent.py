@@ -13,11 +13,12 @@ from __future__ import annotations
 import numpy as np
 
 #: Classes, words of a class, width of word vectors and of the hidden state.
-CLASSES, SLOTS, EMBED, HIDDEN = 32, 64, 16, 24
+CLASSES, SLOTS, EMBED, HIDDEN = 32, 64, 12, 16
 #: Ids: the end of a text, then words by rank, then all others.
 WORDS = CLASSES * SLOTS
 END, OTHER = 0, WORDS
-WINDOW, STREAMS = 16, 256
+#: Steps of a training window, streams side by side in training and in scoring.
+WINDOW, STREAMS, SIDE = 16, 512, 256
 SHAPES = {
     "embed": (WORDS + 1, EMBED), "wx": (3 * HIDDEN, EMBED), "wh": (3 * HIDDEN, HIDDEN), "b": (3 * HIDDEN, 1),
     "wc": (CLASSES + 1, HIDDEN), "bc": (CLASSES + 1, 1), "ww": (CLASSES, SLOTS, HIDDEN), "bw": (CLASSES, SLOTS, 1),
@@ -222,7 +223,7 @@ class Trainer:
         self.flat -= a * self.m / d
 
 
-def score(flat: np.ndarray, docs: list[np.ndarray], streams: int = STREAMS, window: int = 32) -> np.ndarray:
+def score(flat: np.ndarray, docs: list[np.ndarray], streams: int = SIDE, window: int = 32) -> np.ndarray:
     """Natural log likelihood of each document (ids with its end), from the zero state to its end.
 
     Documents are dealt to parallel streams, longest first, each to the
@@ -235,8 +236,7 @@ def score(flat: np.ndarray, docs: list[np.ndarray], streams: int = STREAMS, wind
         return out
     p = unpack(flat)
     sizes = np.array([len(d) for d in docs])
-    # as many streams as the longest document lets run side by side
-    n = int(max(1, min(streams, len(docs), -(-sizes.sum() // sizes.max()) + 1)))
+    n = min(streams, len(docs))
     heap = [(0, s) for s in range(n)]
     lists: list[list[int]] = [[] for _ in range(n)]
     for k in np.argsort(-sizes, kind="stable"):
@@ -246,21 +246,22 @@ def score(flat: np.ndarray, docs: list[np.ndarray], streams: int = STREAMS, wind
     lists.sort(key=lambda x: -int(sizes[x].sum()))
     length = np.array([int(sizes[x].sum()) for x in lists])
     steps = int(length[0])
-    y = np.zeros((steps, n), dtype=np.int32)
+    y = np.zeros((steps, n), dtype=np.int16)
     doc = np.zeros((steps, n), dtype=np.int32)
     fresh = np.zeros((steps, n), dtype=bool)
     for s, some in enumerate(lists):
         y[:length[s], s] = np.concatenate([docs[k] for k in some])
         doc[:length[s], s] = np.repeat(some, sizes[some])
         fresh[np.append(0, np.cumsum(sizes[some])[:-1]), s] = True
-    x = np.vstack([np.zeros((1, n), dtype=np.int32), y[:-1]])
-    x[fresh] = END
-    h = np.zeros((HIDDEN, n), dtype=np.float32)
+    h, last = np.zeros((HIDDEN, n), dtype=np.float32), np.zeros((1, n), dtype=np.int16)
     for k in range(0, steps, window):
         on = int(np.searchsorted(-length, -k, side="left"))  # streams that have not ended
         at = slice(k, k + window)
-        hs, h, _, _ = _states(p, x[at, :on], fresh[at, :on], np.ascontiguousarray(h[:, :on]), False)
+        x = np.vstack([last[:, :on], y[at, :on][:-1]])
+        x[fresh[at, :on]] = END
+        last = y[at, :on][-1:]
+        hs, h, _, _ = _states(p, x, fresh[at, :on], np.ascontiguousarray(h[:, :on]), False)
         live = (np.arange(k, k + hs.shape[1])[:, None] < length[None, :on]).ravel()
-        lp = log_probabilities(p, hs.reshape(HIDDEN, -1)[:, live], y[at, :on].ravel()[live])
+        lp = log_probabilities(p, hs.reshape(HIDDEN, -1)[:, live], y[at, :on].ravel()[live].astype(np.int64))
         out += np.bincount(doc[at, :on].ravel()[live], weights=lp, minlength=len(docs))
     return out
