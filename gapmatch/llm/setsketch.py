@@ -136,8 +136,18 @@ def row_key(id_col="doc_id", text_col="text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, text_col: str,
-              id_col: str) -> DataFrame:
+def _pool(docs: DataFrame, reps: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """``id, text`` of the documents that share a bucket with others.
+
+    Neither texts nor ids are broadcast here or later: both grow with the
+    corpus.  Of repeated rows one is kept; other texts of an id are its own too.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = reps.select(F.col("rep").alias("id")).distinct()
+    return written(texts.join(ids.hint("merge"), "id").dropDuplicates(["id", "text"]), "pool")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, pool: DataFrame, percent: int, width: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that are links: estimated on the registers, then verified on full sets."""
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"),
                                   F.col("registers").alias(f"r_{x}"))
@@ -153,11 +163,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
             .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
             .filter(likely("r_a", "r_b", "n_a", "n_b") >= percent / 100 - SLACK).select("a", "b"))
     near = written(near, "near")
-    ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a text for each id; of repeated rows one is enough, other texts of an id are its own too
-    texts = written(texts.join(ids, "id").dropDuplicates(["id", "text"]), "texts")
-
     def verify(batches):
         hashes, sets = WordHashes(), {}
 
@@ -178,12 +183,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
             hashes.trim()
             yield b.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    pair_texts = (near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-                  .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"))
+    pair_texts = (near.hint("merge").join(pool.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+                  .join(pool.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"))
     return pair_texts.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
+def _sets(pool: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id`` and ``shingles`` (sorted 64-bit hashes) of the documents in ``ids(id)``."""
     def cut(batches):
         hashes = WordHashes()
@@ -193,13 +198,11 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, text_col: str, id_col: st
             hashes.trim()
             yield t
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return (texts.join(ids, "id").dropDuplicates(["id", "text"])
-            .mapInPandas(cut, "id long, shingles binary"))
+    return pool.join(ids.hint("merge"), "id").mapInPandas(cut, "id long, shingles binary")
 
 
-def _open_links(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders: DataFrame, docs: DataFrame,
-                percent: int, width: int, text_col: str, id_col: str) -> DataFrame:
+def _open_links(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders: DataFrame, pool: DataFrame,
+                percent: int, width: int) -> DataFrame:
     """Links between different components that share a bucket and have not met through its leader.
 
     The members of such buckets are dealt into blocks, and each pair of
@@ -215,8 +218,8 @@ def _open_links(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders:
              .filter("x <> y").select("key"))
     m = labelled.join(written(mixed, "mixed"), "key").join(leaders, "key").filter("rep <> leader")
     m = written(m.select("key", "band", "rep", "n", "component"), "open")
-    sets = written(_sets(docs, m.select(F.col("rep").alias("id")).distinct(), width, text_col, id_col), "sets")
-    m = m.join(nodes, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    sets = written(_sets(pool, m.select(F.col("rep").alias("id")).distinct(), width), "sets")
+    m = m.hint("merge").join(nodes, "rep").join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     m = (m.withColumn("own", F.pmod(F.xxhash64("rep"), blocks))
          .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -229,28 +232,31 @@ def _open_links(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, leaders:
         n, i, j = t["n_shingles"].to_numpy(dtype=float), t["i"].iloc[0], t["j"].iloc[0]
         label = t["component"].to_numpy().copy()
         full = [np.frombuffer(x, dtype=np.uint64) for x in t["shingles"]]
-        found = []
+        near = [np.zeros((0, 2), dtype=np.int64)]
         for x in range(len(t) - 1):
             y = np.arange(x + 1, len(t))
             ok = (label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
             if i != j:
                 ok &= own[y] != own[x]
             y = y[ok]
-            if not len(y):
-                continue
             same = regs[y] == regs[x]
-            shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
-            y = y[(shared.argmax(axis=1) == band) & (same.mean(axis=1) >= percent / 100 - SLACK - 0.05)]
-            if not len(y):
-                continue
-            each = estimate(np.repeat(regs[x][None], len(y), axis=0), regs[y], np.full(len(y), n[x]), n[y])
-            for k in y[np.argsort(-each, kind="stable")][: int((each >= percent / 100 - SLACK).sum())]:
-                if label[k] == label[x]:
-                    continue
-                both = len(np.intersect1d(full[x], full[k], assume_unique=True))
-                if 100 * both >= percent * (len(full[x]) + len(full[k]) - both):
-                    found.append((rep[x], rep[k]))
-                    label[label == label[k]] = label[x]
+            y = y[same.mean(axis=1) >= percent / 100 - SLACK - 0.05]
+            if len(y):
+                shared = (regs[y] == regs[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+                y = y[shared.argmax(axis=1) == band]
+                near.append(np.stack([np.full(len(y), x), y], axis=1))
+        pairs = np.concatenate(near)
+        each = np.concatenate([np.zeros(0)] + [
+            estimate(regs[p[:, 0]], regs[p[:, 1]], n[p[:, 0]], n[p[:, 1]])
+            for p in (pairs[k:k + 20_000] for k in range(0, len(pairs), 20_000))])
+        found = []
+        for k in np.argsort(-each, kind="stable")[:int((each >= percent / 100 - SLACK).sum())]:
+            x, y = pairs[k]
+            if label[x] != label[y]:
+                both = len(np.intersect1d(full[x], full[y], assume_unique=True))
+                if 100 * both >= percent * (len(full[x]) + len(full[y]) - both):
+                    found.append((rep[x], rep[y]))
+                    label[label == label[y]] = label[x]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     cells = m.select("key", "i", "j", "own", "band", "rep", "component", "n_shingles", "registers", "shingles")
@@ -285,9 +291,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     pairs = (buckets.join(leaders, "key").filter("rep <> leader")
              .select(F.col("rep").alias("b"), F.col("leader").alias("a")).distinct())
     sketch = nodes.select("rep", "n_shingles", "registers")
-    first = written(_verified(pairs, sketch, docs, percent, width, text_col, id_col), "links")
+    pool = _pool(docs, buckets, text_col, id_col)
+    first = written(_verified(pairs, sketch, pool, percent, width), "links")
     comp = written(components(first), "components")
-    second = written(_open_links(buckets, comp, sketch, leaders, docs, percent, width, text_col, id_col), "more")
+    second = written(_open_links(buckets, comp, sketch, leaders, pool, percent, width), "more")
     if not second.isEmpty():
         comp = written(components(first.union(second)), "components")
     of_set = (nodes.join(comp, nodes["rep"] == comp["node"], "left")
