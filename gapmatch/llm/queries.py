@@ -13,6 +13,27 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents")).drop("k")
 
 
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+      FROM w),
+e AS (SELECT rid, doc_id, len(sh) AS n, unnest(sh) AS x FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both
+      FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.rid, b.rid, a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * n_both >= 85 * (na + nb - n_both)),
+links AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, a FROM links UNION SELECT r.a, k.b FROM reach r JOIN links k ON r.b = k.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM s LEFT JOIN c ON c.a = s.doc_id
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_records(index, folder).select(
@@ -83,6 +104,37 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"), "clean_text")
 
 
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l0 AS (SELECT rid, text, unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM d WHERE text IS NOT NULL),
+l1 AS (SELECT rid, text, pos, list_transform(
+         list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''),
+         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tk FROM l0),
+l AS (SELECT *, md5(len(tk) || ' ' || array_to_string(tk[1:3], ' ')) AS leaf FROM l1 WHERE len(tk) >= 4),
+sketch AS (SELECT text, min(leaf) AS sk FROM l GROUP BY text),
+leaves AS (SELECT leaf, count(DISTINCT text) AS texts FROM l GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+cand AS (SELECT l.*, texts FROM l JOIN leaves USING (leaf)),
+at_ AS (SELECT DISTINCT leaf, texts, text, unnest(range(1, len(tk) + 1)) AS p, unnest(tk) AS tok FROM cand),
+seen AS (SELECT leaf, texts, p, tok, count(*) AS n FROM at_ GROUP BY ALL),
+top AS (SELECT leaf, p, CASE WHEN n > 0.5 * texts THEN tok ELSE '<*>' END AS tok FROM seen
+        QUALIFY row_number() OVER (PARTITION BY leaf, p ORDER BY n DESC, tok) = 1),
+tmpl AS (SELECT leaf, list(tok ORDER BY p) AS tmpl FROM top GROUP BY leaf),
+m AS (SELECT rid, text, pos, CASE WHEN len(list_filter(range(1, len(tk) + 1),
+               lambda i: tk[i] = tmpl[i] AND tmpl[i] <> '<*>')) >= 0.7 * len(tk)
+             THEN 'leaf ' || leaf ELSE 'line ' || array_to_string(tk, ' ') END AS tid
+      FROM cand JOIN tmpl USING (leaf)),
+rec AS (SELECT tid FROM (SELECT DISTINCT tid, text FROM m) JOIN sketch USING (text) GROUP BY tid
+        HAVING count(*) >= 10 AND count(DISTINCT sk) >= 0.5 * count(*)),
+drops AS (SELECT rid, list(DISTINCT pos) AS drops FROM m JOIN rec USING (tid) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped,
+       coalesce(array_to_string(list_sort(drops), ','), '') AS dropped_lines,
+       CASE WHEN drops IS NULL THEN text ELSE array_to_string(list_transform(
+         list_filter(range(0, len(lines)), lambda i: NOT list_contains(drops, i)), lambda i: lines[i + 1]), chr(10))
+       END AS clean_text
+FROM d LEFT JOIN drops USING (rid)
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     out = importance.judge(table(spark, sf_dir, "documents"), trusted)
@@ -118,6 +170,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_duplicates": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_top_k": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
 }
