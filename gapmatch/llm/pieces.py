@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
-#: Segments remembered by a task, and symbols merged in one call, at most about.
-REMEMBERED, FLAT = 300_000, 2_000_000
+#: Segments remembered by a task, symbols merged in one call, texts cut into segments at a time, at most about.
+REMEMBERED, FLAT, SLICE = 200_000, 2_000_000, 250
 
 
 class Pieces:
@@ -276,6 +276,19 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col="ids", name="decoded") -> Da
     return docs.withColumn(name, text(F.col(ids_col)))
 
 
+def _remembered(texts: pd.Series, pieces: Pieces, known: dict, make):
+    """For each text the list of ``make(ids)`` of its segments, remembered in ``known``."""
+    for k in range(0, len(texts), SLICE):
+        parts = [pieces.segments(t or "") for t in texts.iloc[k:k + SLICE]]
+        missing = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
+        for s, ids in zip(missing, pieces.encode_segments(missing), strict=True):
+            known[s] = make(ids)
+        for p in parts:
+            yield [known[s] for s in p]
+        if len(known) > REMEMBERED:
+            known.clear()
+
+
 def tokenized(docs: DataFrame, pieces: Pieces, text_col="text") -> DataFrame:
     """``docs`` with ``ids``, ``n_tokens`` and ``decoded_sha256`` (of the decoded ids) of its whole texts.
 
@@ -284,20 +297,14 @@ def tokenized(docs: DataFrame, pieces: Pieces, text_col="text") -> DataFrame:
 
     @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        make = lambda ids: (np.array(ids, dtype=np.int32).tobytes(), pieces.spell(ids))
         known: dict[str, tuple] = {}
         for texts in batches:
-            parts = [pieces.segments(t or "") for t in texts]
-            missing = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
-            for s, ids in zip(missing, pieces.encode_segments(missing), strict=True):
-                known[s] = (np.array(ids, dtype=np.int32), pieces.spell(ids))
             rows = []
-            for p in parts:
-                got = [known[s] for s in p]
-                ids = np.concatenate([x[0] for x in got]) if got else np.zeros(0, dtype=np.int32)
+            for got in _remembered(texts, pieces, known, make):
+                ids = np.frombuffer(b"".join([x[0] for x in got]), dtype=np.int32)
                 text = pieces.trimmed("".join([x[1] for x in got]), int(ids[0]) if len(ids) else -1)
                 rows.append((ids, len(ids), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            if len(known) > REMEMBERED:
-                known.clear()
             yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
 
     d = docs.drop("ids", "n_tokens", "decoded_sha256").withColumn("_x", encoded(F.col(text_col)))
@@ -314,20 +321,14 @@ def round_trip(docs: DataFrame, pieces: Pieces, text_col="text", id_col="doc_id"
     """
 
     def digests(batches):
+        make = lambda ids: (len(ids), ",".join(map(str, ids)), pieces.spell(ids), ids[0])
         known: dict[str, tuple] = {}
         for b in batches:
-            parts = [pieces.segments(t or "") for t in b["text"]]
-            missing = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
-            for s, ids in zip(missing, pieces.encode_segments(missing), strict=True):
-                known[s] = (len(ids), ",".join(map(str, ids)), pieces.spell(ids), ids[0])
             rows = []
-            for p in parts:
-                got = [known[s] for s in p]
+            for got in _remembered(b["text"], pieces, known, make):
                 text = pieces.trimmed("".join([x[2] for x in got]), got[0][3] if got else -1)
                 rows.append((sum([x[0] for x in got]), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(),
                              hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            if len(known) > REMEMBERED:
-                known.clear()
             t = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             t.insert(0, "doc_id", b["doc_id"])
             yield t
