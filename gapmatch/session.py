@@ -45,8 +45,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    It must be shared by driver and executors, so there is no default: a
-    cluster session that names none is an error (``local_session`` sets one).
+    It must be shared by driver and executors, so a cluster session that names
+    none is an error; only a local master gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # one process on one machine, as in tests; a cluster must name a shared folder
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="gapmatch-ckpt-")
     sc.setCheckpointDir(d)
     return d
