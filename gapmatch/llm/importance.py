@@ -20,8 +20,6 @@ from .words import WordHashes, statistics
 
 #: Characters (bytes) of an n-gram, buckets they hash to, smoothing, threshold.
 WIDTH, BUCKETS, ALPHA, THRESHOLD = 4, 1 << 15, 1.0, -0.4
-#: Trusted documents that the target is counted on, at most.
-TRUSTED = 20_000
 BASE = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean")
 
@@ -42,21 +40,23 @@ def grams(utf8: bytes, width: int, buckets: int) -> np.ndarray:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, width: int = WIDTH, buckets: int = BUCKETS,
-               alpha: float = ALPHA, most: int = TRUSTED, text_col="text", id_col="doc_id") -> np.ndarray:
+               alpha: float = ALPHA, text_col="text", id_col="doc_id") -> np.ndarray:
     """Log probability ratio of every bucket.
 
-    The corpus counts are those of all documents.  The target is counted on
-    at most ``most`` of the labelled rows ``trusted(doc_id)``, the first in
-    the order of a hash of the id, so their ids can be broadcast and no text
-    is shuffled.  Each task sums
+    The corpus counts are those of all documents, the target's those of all
+    documents whose id is in ``trusted(doc_id)``.  Texts are exchanged once
+    by id, at every size alike; the ids of a partition are hashed, so texts
+    are not sorted.  Each task sums
     its documents into one array of ``buckets`` counts, which Spark adds up;
     the result has ``buckets`` numbers whatever the input.  Without trusted
     documents, or without documents, all ratios are 0.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("_id"), "_id").limit(most))  # at most `most` numbers
-    marked = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-              .join(ids.withColumn("good", F.lit(True)), "_id", "left")
+    ids = ids.select("_id", F.lit(0).cast("long").alias("_deal"), F.lit(True).alias("good"))
+    # rows without id match nothing and are dealt out by their text
+    deal = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    marked = (docs.select(F.col(id_col).alias("_id"), deal.alias("_deal"), F.col(text_col).alias("text"))
+              .join(ids.hint("shuffle_hash"), ["_id", "_deal"], "left")
               .select("text", F.coalesce("good", F.lit(False)).alias("good")))
 
     def count(batches):
@@ -91,7 +91,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, wid
     never trusted.  Returns ``doc_id`` and the columns named; other columns
     are not read.  No rows in, no rows out.
     """
-    ratio = log_ratios(docs, trusted, width, buckets, alpha, TRUSTED, text_col, id_col)
+    ratio = log_ratios(docs, trusted, width, buckets, alpha, text_col, id_col)
 
     def score(batches):
         hashes = WordHashes()

@@ -349,6 +349,21 @@ def test_quality_by_likelihood_ratio(spark, docs, empty):
     assert importance.judge(empty, trusted).count() == 0
 
 
+def test_likelihood_ratio_counts_every_trusted_document(spark):
+    rows = [(k if k % 50 else None, hashlib.md5(str(k).encode()).hexdigest()[:8]) for k in range(30_000)]
+    trusted = {k for k in range(30_000) if k % 5}
+    buckets = 512
+    raw, good = np.zeros(buckets), np.zeros(buckets)
+    for i, t in rows:
+        g = np.bincount(importance.grams(t.encode(), importance.WIDTH, buckets), minlength=buckets)
+        raw += g
+        good += g * (i in trusted)
+    p = lambda c: np.log((c + importance.ALPHA) / (c.sum() + importance.ALPHA * buckets))
+    got = importance.log_ratios(spark.createDataFrame(rows, "doc_id long, text string"),
+                                spark.createDataFrame([(k,) for k in [*trusted, 1]], "doc_id long"), buckets=buckets)
+    assert np.allclose(got, p(good) - p(raw), atol=1e-6)
+
+
 def test_passages(spark, docs, empty):
     out = passages.remove_repeats(docs)
     assert out.columns == [*docs.columns, "spans", "clean_text"]
