@@ -3,7 +3,8 @@
 A text is cut into units: lines, and sentences within a line.  Units are
 normalised (words with A-Z lower-cased, one space between them) and their
 128-bit digests grouped over all documents; the occurrence with the least
-document id, then the least offset, is the one that stays.  Runs of
+document id (a null last, equal ids by a hash of id and text), then the least
+offset, is the one that stays.  Runs of
 consecutive units that all stand earlier elsewhere are repeated passages; a
 run of at least MIN_WORDS words is removed.  Spans are offsets of characters in the
 original text, so nothing is lost that could not be put back.
@@ -68,6 +69,15 @@ def unit_table(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
                               "d1 array<long>, d2 array<long>, fresh array<boolean>")
 
 
+def earliest(each: DataFrame, *keys: str) -> DataFrame:
+    """Of ``keys`` met more than once, ``first`` (the least rank) and ``first_k``, one row of that rank."""
+    # rank, then row key, as one number of fixed width, so that rows are hashed and not sorted
+    order = (F.col("rank").cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)")
+             + F.col("k").bitwiseAND(F.lit(2**62 - 1)).cast("decimal(19,0)"))
+    return (each.groupBy(*keys).agg(F.min("rank").alias("first"), F.min_by("k", order).alias("first_k"),
+                                    F.count("*").alias("n")).filter("n > 1").drop("n"))
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text", id_col="doc_id") -> DataFrame:
     """Spans to remove: ``k, th`` (row keys) and ``spans``, in order.
 
@@ -77,9 +87,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text",
     u = written(unit_table(docs, text_col, id_col), "units")
     each = u.select("k", "th", "rank", F.posexplode(F.arrays_zip("d1", "d2", "fresh")).alias("pos", "x")).select(
         "k", "th", "rank", "pos", "x.d1", "x.d2", "x.fresh")
-    first = (each.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
-             .filter("n > 1").select("d1", "d2", "first"))
-    again = (each.join(written(first, "first"), ["d1", "d2"]).filter("rank <> first or not fresh")
+    again = (each.join(written(earliest(each, "d1", "d2"), "first"), ["d1", "d2"])
+             .filter("k <> first_k or not fresh")
              .groupBy("k", "th").agg(F.collect_set(F.struct("pos", "first")).alias("again")))
 
     def runs(batches):
@@ -117,7 +126,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text",
     ``clean_text`` added; columns of these names are replaced.  Every row is
     returned; a null text stays null.  Rows that repeat id and text are one
     document and keep or lose the same spans; rows without id come after all
-    others in rank.  A unit repeated within its own document is a repeat too.
+    others in rank, and of rows with the same id or none one is first.  A unit repeated within its own document is a repeat too.
     No rows in, no rows out.
     """
     d = docs.drop("spans", "clean_text")

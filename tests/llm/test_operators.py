@@ -387,6 +387,19 @@ def test_passages(spark, docs, empty):
     assert passages.remove_repeats(empty).count() == 0
 
 
+def test_passages_among_rows_without_id_or_of_one_id(spark):
+    shared = {None: prose(60, 60), 7: prose(61, 60)}
+    rows = [(i, f"Own words {k} of {i}.\n{shared[i]}") for i in shared for k in range(5)]
+    got = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for i, t in shared.items():
+        mine = [x for x in got if x.doc_id == i]
+        assert all(x.clean_text.startswith("Own words") for x in mine)
+        assert sorted(len(x.spans) for x in mine) == [0, 1, 1, 1, 1]
+        assert [x.clean_text for x in mine if not x.spans][0].endswith(t)
+        assert all(t[:30] not in x.clean_text and x.spans[0].kept_doc_id == i for x in mine if x.spans)
+
+
 def test_units_cover_the_text():
     t = "A b c. D e!  F 3.5 g... h\n\nline two. x\r\n.\n?! end"
     assert "".join(m[0] for m in re.finditer(passages.UNIT, t)) == t
