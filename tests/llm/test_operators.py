@@ -400,6 +400,37 @@ def test_passages_among_rows_without_id_or_of_one_id(spark):
         assert all(t[:30] not in x.clean_text and x.spans[0].kept_doc_id == i for x in mine if x.spans)
 
 
+def test_passages_that_start_or_end_inside_a_unit(spark):
+    words = [w.strip(".\n") for w in prose(62, 400).split(" ")]
+    one = " ".join(words[:65])  # no sentence ends in it
+    two = " ".join(words[100:120]) + ". " + " ".join(words[120:130]) + ". " + " ".join(words[130:150])
+    rows = [(1, f"First text begins {one} and goes on. Nothing else."), (2, f"Other start of it {one} with\na new end."),
+            (3, f"Third one has {two} here."), (4, f"Then a copy\nof {two.upper()} there\ntoo."),
+            (5, " ".join(words[200:224]) + " five."), (6, "six " + " ".join(words[200:224])),
+            (7, f"seven {' '.join(words[300:340])} and once more {' '.join(words[300:340])} then."),
+            (8, "ha " * 300), (9, None)]
+    got = {x.doc_id: x for x in passages.remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[2].clean_text == "Other start of it with\na new end."
+    assert [(x.words, x.kept_doc_id) for x in got[2].spans] == [(65, 1)]
+    assert got[4].clean_text == "Then a copy\nof there\ntoo."
+    assert [(x.words, x.kept_doc_id) for x in got[4].spans] == [(50, 3)]
+    assert got[7].clean_text == f"seven {' '.join(words[300:340])} and once more then."
+    assert all(got[k].spans == [] and got[k].clean_text == dict(rows)[k] for k in (1, 3, 5, 6, 9))
+
+
+def test_every_shared_stretch_is_found():
+    r = np.random.RandomState(11)
+    for _ in range(200):
+        n = r.randint(25, 80)
+        both = r.randint(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+        mine, kept = (np.concatenate([r.randint(0, 2**63, r.randint(0, 60), dtype=np.int64).astype(np.uint64), both,
+                                      r.randint(0, 2**63, r.randint(0, 60), dtype=np.int64).astype(np.uint64)])
+                      for _ in range(2))
+        at = int(np.flatnonzero(mine == both[0])[0])
+        assert passages.agreeing(mine, kept, False, 25) == [(at, at + n)]
+
+
 def test_units_cover_the_text():
     t = "A b c. D e!  F 3.5 g... h\n\nline two. x\r\n.\n?! end"
     assert "".join(m[0] for m in re.finditer(passages.UNIT, t)) == t
