@@ -13,12 +13,12 @@ from __future__ import annotations
 import numpy as np
 
 #: Classes, words of a class, width of word vectors and of the hidden state.
-CLASSES, SLOTS, EMBED, HIDDEN = 32, 64, 12, 16
+CLASSES, SLOTS, EMBED, HIDDEN = 32, 64, 16, 24
 #: Ids: the end of a text, then words by rank, then all others.
 WORDS = CLASSES * SLOTS
 END, OTHER = 0, WORDS
 #: Steps of a training window, streams side by side in training and in scoring.
-WINDOW, STREAMS, SIDE = 16, 512, 256
+WINDOW, STREAMS, SIDE = 16, 256, 256
 SHAPES = {
     "embed": (WORDS + 1, EMBED), "wx": (3 * HIDDEN, EMBED), "wh": (3 * HIDDEN, HIDDEN), "b": (3 * HIDDEN, 1),
     "wc": (CLASSES + 1, HIDDEN), "bc": (CLASSES + 1, 1), "ww": (CLASSES, SLOTS, HIDDEN), "bw": (CLASSES, SLOTS, 1),

@@ -177,6 +177,13 @@ def test_lm_base_and_gain(docs, empty):
     assert lm.fit_and_score(empty).count() == 0
 
 
+def test_network_has_its_measured_size():
+    """The size with the better held-out score, see README; no smaller one for speed."""
+    from gapmatch.llm import recurrent as R
+
+    assert (R.HIDDEN, R.EMBED, R.STREAMS) == (24, 16, 256)
+
+
 def test_network_is_normalised_and_gradient_is_exact(monkeypatch):
     from gapmatch.llm import recurrent as R
 
