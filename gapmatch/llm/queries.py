@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_templates, lm, mixing, passages, pieces, rule_ensemble, setsketch, topk, warc
+from . import alignment, importance, line_templates, lm, mixing, passages, pieces, rule_ensemble, setsketch, topk, warc
 from .common import table
 
 
@@ -156,6 +156,13 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a = alignment.ByteTokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, alignment.PieceTokens(piece_model()))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
@@ -167,6 +174,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_mix": op10_mix,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLE_SQL = {
