@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
@@ -53,3 +53,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def n_words(text: Column | str) -> Column:
     """Number of words (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def placed(df: DataFrame, group: list[str], order: list[str], name: str = "placed") -> DataFrame:
+    """``df`` with ``pos``, each row's place (from 0) in its group by ``order``, and ``part``, its share of the group.
+
+    No group is sorted by one task: rows are dealt by ranges of group and
+    order, so a large group spreads over many parts; each part's places follow
+    on the rows of the group's earlier parts.  Rows equal in all these columns
+    take any order among them.  Groups are not null.
+    """
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    keys = [F.col(c) for c in group] + [F.col(c).asc_nulls_first() for c in order] + [F.col("_row")]
+    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    s = written(s.withColumn("part", F.shiftright("_at", 33)).drop("_row"), name)
+    parts = s.groupBy(*group, "part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*group, "part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return (s.join(parts, [*group, "part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before"))
+            .drop("_at", "_first", "_before"))

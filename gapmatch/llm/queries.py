@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, importance, line_templates, lm, mixing, passages, pieces, rule_ensemble, setsketch, topk, warc
+from . import (
+    alignment,
+    importance,
+    line_templates,
+    lm,
+    mixing,
+    passages,
+    pieces,
+    prefix_trie,
+    projection,
+    rule_ensemble,
+    setsketch,
+    topk,
+    warc,
+)
 from .common import table
 
 
@@ -163,6 +177,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), a, alignment.PieceTokens(piece_model()))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
@@ -175,6 +198,8 @@ QUERIES = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_mix": op10_mix,
     "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE_SQL = {
