@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .pieces import SPACE, load
 
-#: Links of a chunk, about at most (a longer document is a chunk of its own); B segments remembered by a task.
-CHUNK, REMEMBERED = 1_000_000, 100_000
+#: Tokens of a chunk, about at most (a longer document is a chunk of its own); B segments remembered by a task.
+CHUNK, REMEMBERED = 500_000, 100_000
 #: Fixed value: the public pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
