@@ -158,7 +158,7 @@ def _large_counts(members: DataFrame, cosine: float, whole: int) -> DataFrame:
     """The same in larger components, dealt into blocks; ``n`` is a component's number of vectors."""
     angle = math.acos(cosine)
     blocks = F.ceil(F.col("n") / whole).cast("int")
-    m = members.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), blocks))
+    m = members.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), blocks).cast("int"))
 
     def middle(key, t):
         return pa.table({"component": [key[0].as_py()], "n": [key[1].as_py()],
@@ -189,7 +189,7 @@ def _large_counts(members: DataFrame, cosine: float, whole: int) -> DataFrame:
     # every wide vector meets every member: blocks of the one with blocks of the other
     strips = F.ceil(F.col("n_wide") / whole).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    wide = (m.filter("wide").withColumn("strip", F.pmod(F.xxhash64("h2"), strips))
+    wide = (m.filter("wide").withColumn("strip", F.pmod(F.xxhash64("h2"), strips).cast("int"))
             .select(F.col("component").alias("of"), "strip", spread(blocks).alias("part"),
                     *[F.col(c).alias(c) for c in ("h1", "h2", "copies", "vec")]))  # columns of its own in the cogroup
     every = m.filter("n_wide > 0").select("component", "block", spread(strips).alias("strip"), "h1", "h2", "copies",

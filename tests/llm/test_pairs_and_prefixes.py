@@ -232,7 +232,7 @@ def vectors(n=400, width=8, seed=3):
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, h1 double"
 
 
-def test_projection_equals_all_pairs(spark):
+def test_projection_equals_all_pairs(spark, every_partition):
     rows = vectors()
     df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], SCHEMA).repartition(3)
     for sizes in ({}, {"window": 40, "cell": 120, "whole": 30}):
