@@ -6,13 +6,17 @@ test tables (or stand-ins Spark derives from them).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle_sql as O
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources import readers as RD
+from ..sources import scan as SCAN
 from ..operators import documents as D
 from ..operators import extract as X
 from ..operators import sections as S
@@ -62,6 +66,47 @@ def _kb_m(spark, sf):
     return materialize(_kb(spark, sf))
 
 
+def _shared_folder(spark):
+    """A new folder that driver and executors share, for files written and read by one query."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _csv_records(spark, sf):
+    """SRC-04: all documents as quoted CSV with line breaks inside fields, read back in byte ranges."""
+    folder = _shared_folder(spark)
+    SCAN.write_csv(table(spark, sf, "documents"), folder)
+    d = SCAN.read_csv(spark, folder)
+    return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "lang", "source",
+                    F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+def _software_csv(spark, sf):
+    """SRC-04 into PL-05: the software records as CSV files in their order, read by name, into the knowledge base."""
+    folder = _shared_folder(spark)
+    names = {v: k for k, v in RD.SOFTWARE_COLUMNS.items()}
+    rec = FX.software_records(spark, sf).orderBy("ord").drop("ord")
+    SCAN.write_csv(rec.select(*[F.col(c).alias(names[c]) for c in rec.columns]), folder)
+    s = K.software_kb(RD.read_software_csv(spark, folder))
+    return s.select("skill_key", "name", "category", "hot_technology", "in_demand", "occupations_count",
+                    F.array_join("soc_codes", "|").alias("soc_codes"), "importance_score")
+
+
+def _kb_json_round_trip(spark, sf):
+    """SNK-01, SRC-06: the knowledge base as one JSON object in parts, read back in byte ranges."""
+    folder = _shared_folder(spark)
+    RD.write_kb(_kb(spark, sf), f"{folder}/kb", f"{folder}/json")
+    kb = RD.read_kb_json(spark, f"{folder}/json")
+    return kb.select("skill_key", "name", "category", "skill_type", "hot_technology", "in_demand", "occupations_count",
+                     F.array_join("soc_codes", "|").alias("soc_codes"), "importance_score")
+
+
+def _alias_json_round_trip(spark, sf):
+    """SNK-02, SRC-07: the alias map as one JSON object in parts, read back over the defaults."""
+    folder = _shared_folder(spark)
+    RD.write_aliases(K.alias_map(spark, _kb(spark, sf)), f"{folder}/aliases", f"{folder}/json")
+    return RD.read_alias_json(spark, f"{folder}/json").select("alias", "canonical")
+
+
 def _kb_software(spark, sf):
     s = K.software_kb(FX.software_records(spark, sf))
     return s.select("skill_key", "name", "category", "hot_technology", "in_demand", "occupations_count",
@@ -316,6 +361,10 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "lemma_text": (lambda s, d: D.lemma_text(_docs(s, d)), O.lemma_text_sql),
     "assemble_pages": (_assemble_pages, O.assemble_pages_sql),
     "kb_software": (_kb_software, O.kb_software_sql),
+    "csv_records": (_csv_records, O.csv_records_sql),
+    "software_csv": (_software_csv, O.kb_software_sql),
+    "kb_json_round_trip": (_kb_json_round_trip, O.kb_merge_sql),
+    "alias_json_round_trip": (_alias_json_round_trip, O.alias_pairs_sql),
     "kb_essential": (_kb_essential, O.kb_essential_sql),
     "kb_merge": (_kb_merge, O.kb_merge_sql),
     "alias_variants": (_alias_variants, O.alias_variants_sql),

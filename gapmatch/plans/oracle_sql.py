@@ -341,6 +341,14 @@ def alias_variants_sql() -> str:
     return "WITH " + kb_ctes() + "\nSELECT alias, canonical, source FROM aliases"
 
 
+def alias_pairs_sql() -> str:
+    return "WITH " + kb_ctes() + "\nSELECT alias, canonical FROM aliases"
+
+
+def csv_records_sql() -> str:
+    return "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"
+
+
 def kb_totals_sql() -> str:
     return "WITH " + kb_ctes() + """
 SELECT 'total_skills' AS metric, count(*) AS value FROM kb

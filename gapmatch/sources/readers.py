@@ -13,23 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions import lookups as L
 from ..functions.text import py_strip
+from . import scan
 
-SOFTWARE_CSV_SCHEMA = T.StructType([
-    T.StructField("O*NET-SOC Code", T.StringType()),
-    T.StructField("Title", T.StringType()),
-    T.StructField("Workplace Example", T.StringType()),
-    T.StructField("Element ID", T.StringType()),
-    T.StructField("Element Name", T.StringType()),
-    T.StructField("Hot Technology", T.StringType()),
-    T.StructField("In Demand", T.StringType()),
-])
-
-ESSENTIAL_CSV_SCHEMA = T.StructType([
-    T.StructField("O*NET-SOC Code", T.StringType()),
-    T.StructField("Title", T.StringType()),
-    T.StructField("Element Name", T.StringType()),
-    T.StructField("Data Value", T.DoubleType()),
-])
+# FIXED VALUES: columns of the software records, by their names in the files.
+SOFTWARE_COLUMNS = {
+    "O*NET-SOC Code": "soc_code", "Title": "title", "Workplace Example": "workplace_example",
+    "Element ID": "element_id", "Element Name": "element_name", "Hot Technology": "hot_technology",
+    "In Demand": "in_demand",
+}
 
 KB_ENTRY = T.StructType([
     T.StructField("name", T.StringType()),
@@ -59,49 +50,42 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 def read_software_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-04: software records with normalised column names and file order.
 
-    ``ord`` is the file's path, then the row's place in the file: a file is
-    read as one split (quoted fields may hold line breaks), so within it the
-    running id follows the rows.
+    Files are scanned in byte ranges, also where quoted fields hold line
+    breaks.  Columns are found by name, a missing one is null; ``ord`` sorts
+    by the file's path and the row's place in it.
     """
-    df = spark.read.schema(SOFTWARE_CSV_SCHEMA).option("header", True).option("multiLine", True).csv(path)
-    return df.select(
-        F.col("`O*NET-SOC Code`").alias("soc_code"), F.col("Title").alias("title"),
-        F.col("`Workplace Example`").alias("workplace_example"), F.col("`Element ID`").alias("element_id"),
-        F.col("`Element Name`").alias("element_name"), F.col("`Hot Technology`").alias("hot_technology"),
-        F.col("`In Demand`").alias("in_demand"),
-        F.concat(F.col("_metadata.file_path"), F.lit("#"),
-                 F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("ord"))
+    df = scan.read_csv(spark, path)
+    pick = lambda c: F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")
+    return df.select(*[pick(c).alias(name) for c, name in SOFTWARE_COLUMNS.items()], "ord")
 
 
 def read_essential_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-05: essential-skill records (element_name, data_value)."""
-    df = spark.read.schema(ESSENTIAL_CSV_SCHEMA).option("header", True).csv(path)
-    return df.select(F.col("`Element Name`").alias("element_name"), F.col("`Data Value`").alias("data_value"))
+    df = scan.read_csv(spark, path)
+    return df.select(F.col("`Element Name`").alias("element_name"),
+                     F.expr("try_cast(`Data Value` AS double)").alias("data_value"))
 
 
 def read_kb_json(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: a JSON object keyed by skill -> one row per skill.
+    """SRC-06: a JSON object keyed by skill, of any size -> one row per skill.
 
-    The object is parsed as ``MAP<STRING, STRUCT>`` and exploded (reading it
-    with the JSON reader would make one column per skill).
+    The object (a file, or a folder of its parts) is scanned in byte ranges
+    and split at the commas between its members.
     """
-    txt = spark.read.text(path, wholetext=True)
-    m = txt.select(F.from_json("value", T.MapType(T.StringType(), KB_ENTRY)).alias("m"))
-    return m.select(F.explode("m").alias("skill_key", "v")).select("skill_key", "v.*")
+    m = scan.json_members(scan.json_entries(spark, path), KB_ENTRY)
+    return m.select(F.col("key").alias("skill_key"), "value.*")
 
 
 def read_alias_json(spark: SparkSession, path: str | None) -> DataFrame:
     """SRC-07: alias JSON over the defaults; keys/values lowercased and
     stripped; the file wins over defaults, and of keys that become equal the
-    later one; a non-object file adds nothing."""
-    defaults = L.aliases_df(spark).select("alias", "canonical", F.lit(0).alias("priority"))
-    if not path:
+    later one; a missing or non-object file adds nothing."""
+    defaults = L.aliases_df(spark).select("alias", "canonical", F.lit(-1).cast("long").alias("priority"))
+    if not path or not scan.exists(spark, path):
         return defaults.select("alias", "canonical")
-    txt = spark.read.text(path, wholetext=True)
-    m = txt.select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
-    f = m.select(F.posexplode(F.map_entries("m")).alias("pos", "e")).select(
-        py_strip(F.lower("e.key")).alias("alias"), py_strip(F.lower("e.value")).alias("canonical"),
-        (F.col("pos") + 1).alias("priority"))
+    m = scan.json_members(scan.json_entries(spark, path), T.StringType())
+    f = m.select(py_strip(F.lower("key")).alias("alias"), py_strip(F.lower("value")).alias("canonical"),
+                 F.col("offset").alias("priority"))
     allr = defaults.unionByName(f)
     return (allr.groupBy("alias").agg(F.max_by("canonical", "priority").alias("canonical")))
 
@@ -124,20 +108,19 @@ def kb_or_fallback(spark: SparkSession, kb: DataFrame | None) -> DataFrame:
     return kb
 
 
-def write_kb(kb: DataFrame, path: str, json_path: str | None = None) -> None:
-    """SNK-01: parquet (primary); optional single JSON object export."""
+def write_kb(kb: DataFrame, path: str, json_path: str | None = None, json_file: str | None = None) -> None:
+    """SNK-01: parquet (primary); optionally one JSON object, as a folder of its parts and also as one file."""
     cols = ["skill_key", "name", "category", "skill_type", "hot_technology", "in_demand",
             "occupations_count", "soc_codes", "importance_score"]
     kb.select(*cols).write.mode("overwrite").parquet(path)
     if json_path:
-        entry = F.struct(*[F.col(c) for c in cols[1:]])
-        (kb.select(F.to_json(F.map_from_entries(F.collect_list(F.struct("skill_key", entry)))).alias("value"))
-         .coalesce(1).write.mode("overwrite").text(json_path))
+        entry = F.to_json(F.struct(*[F.col(c) for c in cols[1:]]), {"ignoreNullFields": "false"})
+        scan.write_json_object(kb.sparkSession.read.parquet(path), "skill_key", entry, json_path, json_file)
 
 
-def write_aliases(aliases: DataFrame, path: str, json_path: str | None = None) -> None:
-    """SNK-02: alias map as parquet; optional single JSON object export."""
+def write_aliases(aliases: DataFrame, path: str, json_path: str | None = None, json_file: str | None = None) -> None:
+    """SNK-02: alias map as parquet; optionally one JSON object, as ``write_kb``."""
     aliases.select("alias", "canonical").write.mode("overwrite").parquet(path)
     if json_path:
-        (aliases.select(F.to_json(F.map_from_entries(F.collect_list(F.struct("alias", "canonical")))).alias("value"))
-         .coalesce(1).write.mode("overwrite").text(json_path))
+        text = F.regexp_replace(F.to_json(F.struct(F.col("canonical").alias("v"))), r'^\{"v":|\}\z', "")
+        scan.write_json_object(aliases.sparkSession.read.parquet(path), "alias", text, json_path, json_file)
