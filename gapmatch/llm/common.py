@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,3 +76,34 @@ def placed(df: DataFrame, group: list[str], order: list[str], name: str = "place
     parts = parts.select(*group, "part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (s.join(parts, [*group, "part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before"))
             .drop("_at", "_first", "_before"))
+
+
+def map_texts(d: DataFrame, work, schema: str, keep: list[str], rows: int | None = None, text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``d`` as they are, and the columns that ``work`` makes of its texts.
+
+    ``work`` turns an iterator of series of texts into one of pandas frames
+    with the columns of ``schema``, one for each series.  Columns kept pass by
+    as Arrow arrays, so that no id becomes a float where another is null.  A
+    series has ``rows`` texts at most, and its frame leaves the task at once.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+    d = d.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+
+    def run(batches):
+        waiting: deque = deque()
+
+        def texts():
+            for b in batches:
+                for k in range(0, b.num_rows, rows or b.num_rows):
+                    part = b.slice(k, rows or b.num_rows)
+                    waiting.append([part.column(c) for c in keep])
+                    yield pd.Series(part.column(text).to_pylist(), dtype=object)
+
+        for t in work(texts()):
+            new = [pa.Array.from_pandas(t[f.name], type=f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(waiting.popleft() + new, names=[*keep, *arrow.names])
+
+    return d.mapInArrow(run, StructType([*[f for f in d.schema.fields if f.name in keep], *made.fields]))

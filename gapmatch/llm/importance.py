@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_texts, written
 from .words import WordHashes, statistics
 
 #: Characters (bytes) of an n-gram, buckets they hash to, smoothing, threshold.
@@ -97,7 +97,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, wid
         hashes = WordHashes()
         for b in batches:
             rows = []
-            for text in b["text"]:
+            for text in b:
                 n, chars, symbols, dup, repeat, *_, utf8 = statistics(text, hashes)
                 g = grams(utf8, width, buckets)
                 mean = float(ratio[g].mean(dtype=np.float64)) if len(g) else 0.0
@@ -105,11 +105,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, wid
                 rows.append((n, chars, symbols, dup, repeat, failed, round(mean, 9),
                              bool(not failed and mean >= threshold)))
             hashes.trim()
-            t = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                            "base_failed", "score", "kept"])
-            t.insert(0, "doc_id", b["doc_id"])
-            yield t
+            yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                              "base_failed", "score", "kept"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(score, f"doc_id {kind}, {BASE}, score double, kept boolean")
+    return map_texts(d, score, f"{BASE}, score double, kept boolean", ["doc_id"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_texts, written
 from .recurrent import END, OTHER, SIZE, WORDS, Trainer, initial, score
 from .words import split_words
 
@@ -172,7 +172,7 @@ def fit_and_score(docs: DataFrame, text_col="text", id_col="doc_id", rounds=ROUN
         codes = Codes(hot)
         for b in batches:
             rows, ids = [], []
-            for t in b["text"]:
+            for t in b:
                 c = codes.of(t)
                 at_hand = c < HOT
                 known = c[at_hand]
@@ -185,15 +185,11 @@ def fit_and_score(docs: DataFrame, text_col="text", id_col="doc_id", rounds=ROUN
             codes.trim()
             t = pd.DataFrame(rows, columns=["n_tokens", "n_hot", "hot_log", "other_log", "n_other", "rare"])
             t.insert(5, "net", net)
-            for k in ("held_out", "uid", "doc_id"):
-                t.insert(0, k, b[k])
             yield t
 
     numbered = d.withColumn("uid", F.monotonically_increasing_id()).withColumn("held_out", held_out("doc_id"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    out = written(numbered.mapInPandas(
-        scored, f"doc_id {kind}, uid long, held_out boolean, n_tokens long, n_hot long, hot_log double, "
-                "other_log double, n_other long, net double, rare array<long>"), "scored")
+    out = written(map_texts(numbered, scored, "n_tokens long, n_hot long, hot_log double, other_log double, n_other long, "
+                            "net double, rare array<long>", ["doc_id", "uid", "held_out"]), "scored")
     rare = out.select("uid", F.explode("rare").alias("word")).join(counts, "word")
     found = rare.groupBy("uid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     out = out.drop("rare").join(found, "uid", "left").na.fill(0, ["n_rare", "rare_log"])

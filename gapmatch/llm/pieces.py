@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
 #: Segments remembered by a task, symbols merged in one call, texts cut into segments at a time, at most about.
-REMEMBERED, FLAT, SLICE = 200_000, 2_000_000, 250
+REMEMBERED, FLAT, SLICE = 50_000, 2_000_000, 250
 
 
 class Pieces:
@@ -276,15 +278,15 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col="ids", name="decoded") -> Da
     return docs.withColumn(name, text(F.col(ids_col)))
 
 
-def _remembered(texts: pd.Series, pieces: Pieces, known: dict, make):
-    """For each text the list of ``make(ids)`` of its segments, remembered in ``known``."""
-    for k in range(0, len(texts), SLICE):
-        parts = [pieces.segments(t or "") for t in texts.iloc[k:k + SLICE]]
+def _remembered(texts: Iterator[pd.Series], pieces: Pieces, make):
+    """For each series of texts, for each text, the list of ``make(ids)`` of its segments, remembered."""
+    known: dict[str, tuple] = {}
+    for some in texts:
+        parts = [pieces.segments(t or "") for t in some]
         missing = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
         for s, ids in zip(missing, pieces.encode_segments(missing), strict=True):
             known[s] = make(ids)
-        for p in parts:
-            yield [known[s] for s in p]
+        yield ([known[s] for s in p] for p in parts)
         if len(known) > REMEMBERED:
             known.clear()
 
@@ -292,23 +294,25 @@ def _remembered(texts: pd.Series, pieces: Pieces, known: dict, make):
 def tokenized(docs: DataFrame, pieces: Pieces, text_col="text") -> DataFrame:
     """``docs`` with ``ids``, ``n_tokens`` and ``decoded_sha256`` (of the decoded ids) of its whole texts.
 
-    Columns of these names are replaced; a null text counts as empty.
+    Columns of these names are replaced; a null text counts as empty.  Ids
+    leave the task a few hundred texts at a time.
     """
+    names = ("ids", "n_tokens", "decoded_sha256")
 
-    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(texts):
         make = lambda ids: (np.array(ids, dtype=np.int32).tobytes(), pieces.spell(ids))
-        known: dict[str, tuple] = {}
-        for texts in batches:
+        for some in _remembered(texts, pieces, make):
             rows = []
-            for got in _remembered(texts, pieces, known, make):
+            for got in some:
                 ids = np.frombuffer(b"".join([x[0] for x in got]), dtype=np.int32)
-                text = pieces.trimmed("".join([x[1] for x in got]), int(ids[0]) if len(ids) else -1)
-                rows.append((ids, len(ids), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
+                first, sha = int(ids[0]) if len(ids) else -1, hashlib.sha256()
+                for k, x in enumerate(got):
+                    sha.update((x[1] if k else pieces.trimmed(x[1], first)).encode("utf-8", "surrogatepass"))
+                rows.append((ids, len(ids), sha.hexdigest()))
+            yield pd.DataFrame(rows, columns=list(names))
 
-    d = docs.drop("ids", "n_tokens", "decoded_sha256").withColumn("_x", encoded(F.col(text_col)))
-    return d.select("*", "_x.*").drop("_x")
+    d = docs.drop(*names)
+    return map_texts(d, encoded, "ids array<int>, n_tokens long, decoded_sha256 string", d.columns, SLICE, text_col)
 
 
 def round_trip(docs: DataFrame, pieces: Pieces, text_col="text", id_col="doc_id") -> DataFrame:
@@ -320,19 +324,15 @@ def round_trip(docs: DataFrame, pieces: Pieces, text_col="text", id_col="doc_id"
     ids, their decimal form and their text are kept for its next occurrence.
     """
 
-    def digests(batches):
+    def digests(texts):
         make = lambda ids: (len(ids), ",".join(map(str, ids)), pieces.spell(ids), ids[0])
-        known: dict[str, tuple] = {}
-        for b in batches:
+        for some in _remembered(texts, pieces, make):
             rows = []
-            for got in _remembered(b["text"], pieces, known, make):
+            for got in some:
                 text = pieces.trimmed("".join([x[2] for x in got]), got[0][3] if got else -1)
                 rows.append((sum([x[0] for x in got]), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(),
                              hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            t = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            t.insert(0, "doc_id", b["doc_id"])
-            yield t
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(d, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"], SLICE)

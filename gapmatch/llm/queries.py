@@ -50,7 +50,7 @@ FROM s LEFT JOIN c ON c.a = s.doc_id
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_records(index, folder).select(
+    return warc.read_records(index, folder, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

@@ -18,10 +18,12 @@ import re
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import scratch, written
 
@@ -30,7 +32,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The tables hold no capture time; a fixed one lets reruns agree.
 DATE = "1970-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 100
-FILE_BYTES, GAP_BYTES, READ_BYTES = 64 << 20, 64 << 10, 8 << 20
+FILE_BYTES, GAP_BYTES, READ_BYTES, OUT_BYTES = 64 << 20, 64 << 10, 8 << 20, 16 << 20
 INDEX = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
          "refers_to long, file string, offset long, length long")
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -76,6 +78,12 @@ def _record(page_id, url, html: str, digest: str, refers_to) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as an Arrow batch: ids stay whole numbers beside nulls."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)],
+                                      schema=schema)
+
+
 def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``with_revisits`` rows as WARC files under ``folder``; returns the stored index."""
 
@@ -86,11 +94,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
         try:
             for b in batches:
                 rows = []
-                ids = [None if pd.isna(x) else int(x) for x in b["page_id"]]
-                refs = [None if pd.isna(x) else int(x) for x in b["refers_to"]]
-                for i, url, html, digest, size, kind, ref in zip(
-                        ids, b["url"], b["html"], b["payload_digest"], b["payload_bytes"], b["record_type"], refs,
-                        strict=True):
+                for i, url, html, size, digest, kind, ref in zip(*[x.to_pylist() for x in b.columns], strict=True):
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
@@ -100,14 +104,14 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
                     out.write(member)
                     rows.append((i, url, size, digest, kind, ref, name, at, len(member)))
                     at += len(member)
-                t = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
-                yield t.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _batch(rows, index)
         finally:
             if out is not None:
                 out.close()
 
     cols = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return written(records.select(*cols).mapInPandas(write, INDEX), "index")
+    index = to_arrow_schema(StructType.fromDDL(INDEX))
+    return written(records.select(*cols).mapInArrow(write, INDEX), "index")
 
 
 def ranges(entries, gap: int = GAP_BYTES, most: int = READ_BYTES):
@@ -140,10 +144,12 @@ def parse(record: bytes) -> tuple[dict, bytes]:
     return h, block[:n]
 
 
-def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, most: int = READ_BYTES) -> DataFrame:
+def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, most: int = READ_BYTES,
+                 payloads: bool = True) -> DataFrame:
     """The records that the given index entries name, one row per entry.
 
-    ``payload`` is null for revisits.  A response's size and digest are those
+    ``payload`` is null for revisits, and for all without ``payloads``; rows
+    leave a task in batches of at most OUT_BYTES of payloads and a record.  A response's size and digest are those
     of the payload as read, and it is an error if the digest is not the one
     in the header; a revisit's are those in its header.
     """
@@ -152,9 +158,8 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, most: int
         fs, root = pafs.FileSystem.from_uri(folder)
         opened, name = None, None
         for b in batches:
-            rows = []
-            for file, start, end, run in ranges(zip(b["file"], b["offset"], b["length"], b["url"], strict=True),
-                                                gap, most):
+            rows, held = [], 0
+            for file, start, end, run in ranges(zip(*[x.to_pylist() for x in b.columns], strict=True), gap, most):
                 if file != name:
                     if opened is not None:
                         opened.close()
@@ -172,15 +177,19 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, most: int
                     got = hashlib.sha256(payload).hexdigest()
                     if got != digest:
                         raise ValueError(f"the payload of page {page} is not the one that was written")
-                    rows.append((page, url, h["warc-type"], None, len(payload), got, payload))
-            t = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
-            yield t.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((page, url, h["warc-type"], None, len(payload), got, payload if payloads else None))
+                    held += len(payload) if payloads else 0
+                    if held >= OUT_BYTES:  # a batch of the index may name far more than fits a worker
+                        yield _batch(rows, records)
+                        rows, held = [], 0
+            yield _batch(rows, records)
         if opened is not None:
             opened.close()
 
+    records = to_arrow_schema(StructType.fromDDL(RECORDS))
     entries = index.select("file", "offset", "length", "url")
     return (entries.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-            .mapInPandas(read, RECORDS))
+            .mapInArrow(read, RECORDS))
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
