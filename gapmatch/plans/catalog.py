@@ -20,6 +20,7 @@ from ..sources import scan as SCAN
 from ..operators import documents as D
 from ..operators import extract as X
 from ..operators import sections as S
+from ..operators import sentences as SEN
 from ..operators import similarity as SIM
 from ..operators import evidence as EV
 from ..operators import recommend as R
@@ -357,6 +358,7 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "match_summary": (_match_summary, O.match_summary_sql),
     "clean_documents": (lambda s, d: D.clean_documents(_docs(s, d)), O.clean_documents_sql),
     "sentence_counts": (lambda s, d: D.sentence_counts(_docs(s, d)), O.sentence_counts_sql),
+    "trained_sentences": (lambda s, d: SEN.trained_sentences(_docs(s, d)), O.trained_sentences_sql),
     "word_tokens": (lambda s, d: D.word_tokens(_docs(s, d)), O.word_tokens_sql),
     "lemma_text": (lambda s, d: D.lemma_text(_docs(s, d)), O.lemma_text_sql),
     "assemble_pages": (_assemble_pages, O.assemble_pages_sql),

@@ -387,6 +387,58 @@ FROM (SELECT doc_id, list_filter(list_transform(string_split_regex({clean('text'
         lambda x: trim(x, ' ' || {NL})), lambda x: x <> '') AS s FROM documents)"""
 
 
+def trained_sentences_sql() -> str:
+    """SC-02 trained: counts of word pairs, likelihood ratios and decisions, all in SQL."""
+    core = lambda x: f"""regexp_replace({x}, '^["''(\\[{{]+|["'')\\]}}\\s]+\\z', '', 'g')"""
+    low = lambda x: f"lower(regexp_replace({x}, '[.,;:!?]+\\z', ''))"
+    word = lambda x: f"(CASE WHEN regexp_matches({low(x)}, '\\A[0-9][0-9.,-]*\\z') THEN '##' ELSE {low(x)} END)"
+    mark = lambda x: (f"(CASE WHEN regexp_matches({x}, '[!?]\\z|\\.\\.\\z') THEN '!' WHEN ends_with({x}, '.') THEN '.' "
+                      f"WHEN regexp_matches({x}, '\\.[,;:]+\\z') THEN ',' ELSE '' END)")
+    lg = lambda k, n, p: (f"(CASE WHEN {k} > 0 AND {p} > 0 THEN {k} * ln({p}) ELSE 0 END + "
+                          f"CASE WHEN {n} - {k} > 0 AND 1 - ({p}) > 0 THEN ({n} - {k}) * ln(1 - ({p})) ELSE 0 END)")
+    ratio = (f"CASE WHEN ab / a > b / n THEN -2 * ({lg('ab', 'a', 'b / n')} + {lg('(b - ab)', '(n - a)', 'b / n')} "
+             f"- {lg('ab', 'a', 'ab / a')} - {lg('(b - ab)', '(n - a)', '(b - ab) / greatest(n - a, 1)')}) ELSE 0 END")
+    return f"""
+WITH docs AS (SELECT doc_id, {clean('text')} AS t FROM documents),
+cores AS (SELECT doc_id, list_transform(regexp_extract_all(t, '\\S+'), lambda x: {core('x')}) AS c FROM docs),
+at_ AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM cores),
+tok AS (SELECT doc_id, i, {word('c[i]')} AS w, {mark('c[i]')} AS mark,
+               CASE WHEN i < len(c) THEN {word('c[i + 1]')} END AS x,
+               regexp_matches(c[i + 1][1:1], '[A-Z]') AS upper FROM at_),
+pairs AS (SELECT w, mark, x, count(*) AS n FROM tok GROUP BY ALL),
+words AS (SELECT w, CAST(sum(n) AS DOUBLE) AS a, CAST(sum(CASE WHEN mark IN ('.', ',') THEN n ELSE 0 END) AS DOUBLE) AS ab
+          FROM pairs GROUP BY w),
+tot AS (SELECT sum(a) AS n, sum(ab) AS p FROM words),
+abb0 AS (SELECT w, a, ab, n, p, length(replace(w, '.', '')) AS k, length(w) - length(replace(w, '.', '')) + 1 AS dots
+         FROM words, tot WHERE regexp_matches(w, '\\A[a-z][a-z.&-]*\\z') AND ab > 0),
+abb AS (SELECT w FROM abb0 WHERE -2 * ({lg('ab', 'a', 'p / n')} - {lg('ab', 'a', '0.99')}) * exp(-k) * dots
+                                 * pow(k, ab - a) >= 0.3),
+marked AS (SELECT pairs.*, abb.w IS NOT NULL OR pairs.w = '##' OR regexp_matches(pairs.w, '\\A[a-z]\\z') AS held
+           FROM pairs LEFT JOIN abb USING (w) WHERE mark IN ('.', '!')),
+ends AS (SELECT * FROM marked WHERE mark = '!' OR NOT held),
+st0 AS (SELECT x, sum(n) AS ab FROM ends WHERE regexp_matches(x, '\\A[a-z]+\\z') GROUP BY x),
+st AS (SELECT x FROM (SELECT st0.x, CAST(st0.ab AS DOUBLE) AS ab, words.a AS b, (SELECT CAST(sum(n) AS DOUBLE) FROM ends) AS a,
+                             (SELECT n FROM tot) AS n FROM st0 JOIN words ON words.w = st0.x) WHERE {ratio} >= 30),
+co0 AS (SELECT w, x, CAST(sum(n) AS DOUBLE) AS ab FROM marked
+        WHERE mark = '.' AND held AND x IS NOT NULL AND x NOT IN (SELECT x FROM st) GROUP BY w, x HAVING sum(n) > 1),
+co AS (SELECT w, x FROM (SELECT co0.w, co0.x, co0.ab, p.ab AS a, q.a AS b, (SELECT n FROM tot) AS n
+                         FROM co0 JOIN words p ON p.w = co0.w JOIN words q ON q.w = co0.x) WHERE {ratio} >= 7.88),
+held AS (SELECT doc_id, list(i) AS held FROM (
+  SELECT tok.doc_id, i FROM tok LEFT JOIN abb ON abb.w = tok.w LEFT JOIN st ON st.x = tok.x
+         LEFT JOIN co ON co.w = tok.w AND co.x = tok.x
+  WHERE mark = '.' AND tok.x IS NOT NULL
+    AND (abb.w IS NOT NULL OR tok.w = '##' OR regexp_matches(tok.w, '\\A[a-z]\\z'))
+    AND (co.w IS NOT NULL OR NOT (upper AND (tok.w = '##' OR st.x IS NOT NULL)))) GROUP BY doc_id),
+parts AS (SELECT doc_id, regexp_extract_all(t, '\\S+\\s*') AS p, coalesce(held, []) AS held
+          FROM docs LEFT JOIN held USING (doc_id)),
+cut AS (SELECT doc_id, string_split(array_to_string(list_transform(range(1, len(p) + 1), lambda i:
+          CASE WHEN regexp_matches({core('p[i]')}, '[!?]\\z|\\.\\.\\z')
+                 OR (ends_with({core('p[i]')}, '.') AND NOT list_contains(held, i)) THEN p[i] || chr(1) ELSE p[i] END), ''),
+          chr(1)) AS s FROM parts),
+fin AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x, ' ' || {NL})), lambda x: x <> '') AS s FROM cut)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, {NL})) AS sentences_md5 FROM fin"""
+
+
 def content(toks: str) -> str:
     return f"list_filter({toks}, lambda t: NOT (t IN {inlist(L.STOP_WORDS)}) AND length(t) > 1)"
 
