@@ -19,6 +19,7 @@ from ..sources import readers as RD
 from ..sources import scan as SCAN
 from ..operators import documents as D
 from ..operators import extract as X
+from ..operators import lexicon as LEX
 from ..operators import sections as S
 from ..operators import sentences as SEN
 from ..operators import similarity as SIM
@@ -361,6 +362,7 @@ QUERIES: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "trained_sentences": (lambda s, d: SEN.trained_sentences(_docs(s, d)), O.trained_sentences_sql),
     "word_tokens": (lambda s, d: D.word_tokens(_docs(s, d)), O.word_tokens_sql),
     "lemma_text": (lambda s, d: D.lemma_text(_docs(s, d)), O.lemma_text_sql),
+    "induced_lemma_text": (lambda s, d: LEX.induced_lemma_text(_docs(s, d)), O.induced_lemma_text_sql),
     "assemble_pages": (_assemble_pages, O.assemble_pages_sql),
     "kb_software": (_kb_software, O.kb_software_sql),
     "csv_records": (_csv_records, O.csv_records_sql),

@@ -476,6 +476,37 @@ SELECT doc_id, CAST(length(lt) AS BIGINT) AS lemma_chars, md5(lt) AS lemma_md5,
        substring(lt, 1, 300) || '...' AS preview FROM j"""
 
 
+def induced_lemma_text_sql() -> str:
+    """SC-04 by a lexicon that SQL induces itself; the rules are written out here."""
+    return f"""
+WITH t AS (SELECT doc_id, {content(word_tokens_expr('text'))} AS t FROM documents),
+v AS (SELECT term, count(*) AS n FROM (SELECT unnest(t) AS term FROM t) GROUP BY term),
+rules(rule, repl, k) AS (VALUES ('s', '', 1), ('ses', 's', 2), ('ves', 'f', 3), ('xes', 'x', 4), ('zes', 'z', 5),
+                                ('ches', 'ch', 6), ('shes', 'sh', 7), ('men', 'man', 8), ('ies', 'y', 9)),
+led AS (SELECT v.term, rule, b.term AS base, b.n AS base_n
+        FROM v JOIN rules ON ends_with(v.term, rule) AND length(v.term) >= length(rule) + 2
+               JOIN v b ON b.term = left(v.term, length(v.term) - length(rule)) || repl
+        WHERE regexp_matches(v.term, '\\A[a-z]+\\z') AND regexp_matches(b.term, '\\A[a-z]+\\z')),
+par AS (SELECT base, string_agg(rule, '+' ORDER BY rule) AS paradigm FROM (SELECT DISTINCT base, rule FROM led) GROUP BY base),
+lex AS (SELECT base FROM par WHERE paradigm IN (SELECT paradigm FROM par GROUP BY paradigm HAVING count(*) >= 5)),
+cand AS (SELECT term, 0 AS k, term AS c FROM v
+         UNION ALL SELECT v.term, k, left(v.term, length(v.term) - length(rule)) || repl
+         FROM v JOIN rules ON ends_with(v.term, rule)),
+ruled AS (SELECT term, c AS lemma FROM cand WHERE c IN (SELECT base FROM lex)
+          QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(c), k, c) = 1),
+known AS (SELECT * FROM led WHERE base IN (SELECT base FROM lex)),
+most AS (SELECT term, base FROM known QUALIFY row_number() OVER (PARTITION BY term ORDER BY base_n DESC, base) = 1),
+least AS (SELECT term, base FROM known QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(base), base) = 1),
+exc AS (SELECT most.term, most.base AS lemma FROM most JOIN least USING (term) WHERE most.base <> least.base),
+lem AS (SELECT v.term, coalesce(exc.lemma, ruled.lemma, v.term) AS lemma
+        FROM v LEFT JOIN exc USING (term) LEFT JOIN ruled ON ruled.term = v.term),
+j AS (SELECT t.doc_id, string_agg(lemma, ' ' ORDER BY i) AS lt
+      FROM (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS i FROM t) x JOIN lem USING (term)
+           RIGHT JOIN t ON t.doc_id = x.doc_id GROUP BY t.doc_id)
+SELECT doc_id, CAST(length(coalesce(lt, '')) AS BIGINT) AS lemma_chars, md5(coalesce(lt, '')) AS lemma_md5,
+       substring(coalesce(lt, ''), 1, 300) || '...' AS preview FROM j"""
+
+
 def assemble_pages_sql() -> str:
     ok = "'Successfully extracted text from ' || CAST(n_pages AS VARCHAR) || ' page(s).'"
     return f"""
