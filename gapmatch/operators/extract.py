@@ -314,7 +314,9 @@ def fallback_kb(spark: SparkSession) -> DataFrame:
     fb = L.fallback_kb_df(spark)
     return fb.select("skill_key", display_name("skill_key").alias("name"),
                      F.lit(L.DEFAULT_CATEGORY_EXTRACTED).alias("category"), F.lit(True).alias("hot_technology"),
-                     F.lit(True).alias("in_demand"))
+                     F.lit(True).alias("in_demand"), F.lit("software").alias("skill_type"),
+                     F.lit(0).cast("bigint").alias("occupations_count"),
+                     F.array().cast("array<string>").alias("soc_codes"), F.lit(0.0).alias("importance_score"))
 
 
 def context_rejections(docs: DataFrame) -> DataFrame:

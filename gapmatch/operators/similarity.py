@@ -8,19 +8,22 @@ sums over shared terms only, the cosine is
     sum(r*j) / sqrt((k^2 S_r - (k^2-1) sum r^2) * (k^2 S_j - (k^2-1) sum j^2))
 
 over the terms that the pair keeps: its ``cap`` most frequent ones (count
-desc, term asc; SO-04).  One plan for every pair: term counts per document are
-brought to the pairs, added up per (pair, term), ranked, and summed per pair.
+desc, term asc; SO-04).  A document's vector of counts is made once, inside
+its row.  The vectors of both sides are joined to the pairs, many pairs of one
+document spread over several copies of its vector, and merged, cut and summed
+inside the pair's row; a table of pairs and terms never exists.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
+from ..plans.skew import spread_join
 from .documents import lemmatized
 
 K_IDF = 1.0 + math.log(1.5)
@@ -43,45 +46,76 @@ def doc_terms(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) ->
     return per.select("id", "nonblank", X.unigrams_bigrams("vt").alias("terms"))
 
 
-def term_counts(dt: DataFrame) -> DataFrame:
-    """(id, nonblank, term, cnt) -- AG-08; a NULL term stands for the document itself."""
-    terms = F.concat("terms", F.array(F.lit(None).cast("string")))
-    return (dt.select("id", "nonblank", F.explode(terms).alias("term")).groupBy("id", "nonblank", "term")
-            .agg(F.count("*").alias("cnt")))
+def doc_vectors(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) -> DataFrame:
+    """(id, nonblank, v): each document's terms in order with their counts (AG-08), made inside its row.
+
+    Sorted terms stand in runs; a run's length is the way to the start of the next.
+    """
+    d = doc_terms(docs.select("id", "text"), lexicon, stops)
+    d = X.select_once(d, ["id", "nonblank"], t=F.array_sort("terms"))
+    n = F.size("t")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                      lambda i: (i < n) & ((i == 0) | (F.get("t", i) != F.get("t", i - 1))))
+    d = X.select_once(d, ["id", "nonblank", "t"], at=starts)
+    return X.select_once(d, ["id", "nonblank"], v=F.transform("at", lambda i, k: F.struct(
+        F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), n) - i).cast("bigint").alias("cnt"))))
+
+
+def with_vector(pairs: DataFrame, key: str, other: str, vectors: DataFrame, name: str) -> DataFrame:
+    """JN-15: ``pairs`` with ``name`` and ``{name}_nonblank`` of the document in ``key``, also where that has many pairs."""
+    v = vectors.select(F.col("id").alias(key), F.col("nonblank").alias(f"{name}_nonblank"), F.col("v").alias(name))
+    return spread_join(pairs, v, key, [other])
+
+
+VECTOR = "array<struct<term:string,cnt:bigint>>"
 
 
-def pair_terms(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
-               stops=None) -> DataFrame:
-    """(resume_id, job_id, term, r, j, rb, jb): counts of each term on both sides of each pair (JN-15)."""
-    # documents are dealt out by id as text; counting and the join need no further exchange
-    count = lambda d: term_counts(doc_terms(d.select("id", "text").repartition("id"), lexicon, stops))
-    p, zero = pairs.select(*PAIR), F.lit(0).cast("bigint")
-    none = F.lit(None).cast("boolean")
-    r = p.join(count(resumes).withColumnRenamed("id", "resume_id"), "resume_id").select(
-        *PAIR, "term", F.col("cnt").alias("r"), zero.alias("j"), F.col("nonblank").alias("rb"), none.alias("jb"))
-    j = p.join(count(jobs).withColumnRenamed("id", "job_id"), "job_id").select(
-        *PAIR, "term", zero.alias("r"), F.col("cnt").alias("j"), none.alias("rb"), F.col("nonblank").alias("jb"))
-    return (r.unionByName(j).repartition(*PAIR).groupBy(*PAIR, "term")
-            .agg(F.sum("r").alias("r"), F.sum("j").alias("j"), F.max("rb").alias("rb"), F.max("jb").alias("jb")))
+def side_by_side(r, j) -> Column:
+    """Both vectors as one sorted array, in which the two counts of a shared term are neighbours."""
+    side = lambda v, k: F.transform(F.coalesce(v, F.array().cast(VECTOR)), lambda x: F.struct(
+        x["term"].alias("term"), F.lit(k).alias("side"), x["cnt"].alias("cnt")))
+    return F.array_sort(F.concat(side(F.col(r), 0), side(F.col(j), 1)))
+
+
+def merged_terms(s) -> Column:
+    """The distinct terms of ``side_by_side`` with both counts: structs (less, term, r, j), ``less`` their negative sum."""
+    zero = F.lit(0).cast("bigint")
+
+    def one(x, i):
+        same = lambda k: F.coalesce(F.get(s, i + k)["term"] == x["term"], F.lit(False))
+        r = F.when(x["side"] == 0, x["cnt"]).otherwise(zero)
+        j = F.when(x["side"] == 1, x["cnt"]).when(same(1), F.get(s, i + 1)["cnt"]).otherwise(zero)
+        return F.when(~same(-1), F.struct((-(r + j)).alias("less"), x["term"].alias("term"), r.alias("r"), j.alias("j")))
+
+    return F.filter(F.transform(s, one), lambda x: x.isNotNull())
 
 
 def per_pair(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
              max_features: int = L.TFIDF_MAX_FEATURES, top_k: int = L.TOP_SHARED_TERMS, stops=None) -> DataFrame:
-    """One row per pair with its sums over the kept terms and its ``top_k`` shared terms."""
-    u = pair_terms(resumes, jobs, pairs, lexicon, stops)
-    w = Window.partitionBy(*PAIR).orderBy(F.col("term").isNull(), F.desc(F.col("r") + F.col("j")), "term")
-    kept = u.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= max_features) | F.col("term").isNull())
-    term = F.col("term").isNotNull()
-    both = term & (F.col("r") > 0) & (F.col("j") > 0)
-    r, j = F.col("r"), F.col("j")
-    total = lambda c, x: F.sum(F.when(c, x).otherwise(0))
-    return kept.groupBy(*PAIR).agg(
-        F.count_if(term).alias("U"), F.count_if(both).alias("n_shared"), total(term, r * r).alias("Sr"),
-        total(term, j * j).alias("Sj"), total(both, r * j).alias("dot"), total(both, r * r).alias("r2"),
-        total(both, j * j).alias("j2"), F.max("rb").alias("rb"), F.max("jb").alias("jb"),
+    """One row per pair with its sums over the kept terms (SO-04) and its ``top_k`` shared terms.
+
+    Ids are unique on each side; a pair whose document is missing has no terms there.  The vectors come to the pair, and everything else happens in its row.
+    """
+    p = pairs.select(*PAIR).distinct()
+    p = with_vector(p, "job_id", "resume_id", doc_vectors(jobs, lexicon, stops), "j")
+    p = with_vector(p, "resume_id", "job_id", doc_vectors(resumes, lexicon, stops), "r")
+    keep = [*PAIR, "r_nonblank", "j_nonblank"]
+    d = X.select_once(p, keep, s=side_by_side("r", "j"))
+    d = X.select_once(d, keep, m=merged_terms(F.col("s")))
+    kept = F.when(F.size("m") > max_features, F.slice(F.array_sort("m"), 1, max_features)).otherwise(F.col("m"))
+    d = X.select_once(d, keep, m=kept)
+    shared = F.filter("m", lambda x: (x["r"] > 0) & (x["j"] > 0))
+    d = X.select_once(d, [*keep, "m"], b=shared)
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + f(x))
+    top = F.slice(F.sort_array(F.transform("b", lambda x: F.struct((x["r"] * x["j"]).alias("w"), x["term"].alias("term"))),
+                               False), 1, top_k)
+    return d.select(
+        *PAIR, F.size("m").cast("bigint").alias("U"), F.size("b").cast("bigint").alias("n_shared"),
+        total("m", lambda x: x["r"] * x["r"]).alias("Sr"), total("m", lambda x: x["j"] * x["j"]).alias("Sj"),
+        total("b", lambda x: x["r"] * x["j"]).alias("dot"), total("b", lambda x: x["r"] * x["r"]).alias("r2"),
+        total("b", lambda x: x["j"] * x["j"]).alias("j2"), F.col("r_nonblank").alias("rb"), F.col("j_nonblank").alias("jb"),
         # weights of a pair share one denominator: the integer product ranks, ties on the term (SO-03)
-        F.slice(F.sort_array(F.collect_list(F.when(both, F.struct((r * j).alias("w"), "term"))), False), 1, top_k)
-        .alias("top"))
+        top.alias("top"))
 
 
 def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gapmatch.functions import lookups as L
 from gapmatch.operators import similarity as SIM
+from gapmatch.plans import skew
 
 RES = "Ran night trains: signal relays, brake tests, rail grinding, depot rosters; wrote rail safety notes."
 JOB = "Depot wants a hand for signal relays, brake tests, rail grinding, rail safety and depot rosters."
@@ -69,3 +70,27 @@ def test_score_does_not_move_with_other_documents(spark):
     alone, _ = run(spark, [pair])
     more, _ = run(spark, [pair, ("model cluster", "deploy models"), ("clusters", "cluster")])
     assert alone[0] == more[0]
+
+
+def test_many_pairs_of_one_document_spread_over_copies(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SPREAD", 7)
+    texts = {k: f"word{k % 5} signal relays brake{k % 3} tests" for k in range(60)}
+    r = spark.createDataFrame(list(texts.items()), "id long, text string")
+    j = spark.createDataFrame([(0, "signal word1 relays word2"), (1, "brake1 tests"), (2, None)], "id long, text string")
+    pairs = [(k, 0) for k in range(60)] + [(k, 1) for k in range(9)] + [(3, 2), (3, 99), (77, 0), (3, 1)]
+    p = spark.createDataFrame(pairs, "resume_id long, job_id long")
+    scores, top = SIM.similarity(r, j, p)
+    got = {(x["resume_id"], x["job_id"]): x for x in scores.collect()}
+    assert scores.count() == len(pairs) and len(got) == len(set(pairs))
+    stops = set(L.VECTORIZER_STOP_WORDS)
+    job = {0: "signal word1 relays word2", 1: "brake1 tests"}
+    for a, b in set(pairs):
+        want = direct(terms(texts[a], stops), terms(job[b], stops)) if a in texts and b in job else 0.0
+        assert abs(got[a, b]["cosine_similarity_score"] - round(want, 4)) < 1e-9, (a, b)
+    assert {(x["resume_id"], x["job_id"]) for x in top.collect()} <= set(pairs)
+
+
+def test_vectors_of_documents(spark):
+    d = spark.createDataFrame([(1, "red blue red"), (2, None), (3, "red"), (4, "red red red")], "id long, text string")
+    got = {x["id"]: {t["term"]: t["cnt"] for t in x["v"]} for x in SIM.doc_vectors(d).collect()}
+    assert got == {1: {"red": 2, "blue": 1, "red blue": 1, "blue red": 1}, 2: {}, 3: {"red": 1}, 4: {"red": 3, "red red": 2}}
