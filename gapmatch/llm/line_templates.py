@@ -1,17 +1,20 @@
 """Line dedup by a log-template tree.
 
 Lines descend a tree of fixed depth: the number of tokens, then the leading
-tokens (a token with a digit counts as variable).  At each leaf the positions
-where one token prevails make the template, the others are variable fields.
-A line that agrees with its leaf's template on enough positions takes that
-template, else its own text with digits generalised.  Templates that recur in
-many documents are boilerplate: their lines are dropped from every document.
+tokens (a token with a digit counts as variable).  At a leaf the tokens that
+many texts have at a position are fixed, the others are variable fields, and
+what a line keeps of fixed tokens is its template: a leaf has as many as it
+needs.  How many texts a fixed token needs grows with the square root of the
+leaf's, so that names stay variable in a full leaf.  A line of a template that
+few texts have takes the leaf's most frequent one if it agrees with it on
+enough positions, else its own text with digits generalised.  Templates that
+recur in many documents are boilerplate: their lines are dropped from every
+document.
 
 Documents count by text, so exact copies count once.  Near copies would make
-all their lines recur; so a template must also be met in documents that are
-otherwise different: a document's sketch is the least digest of its lines'
-leaves (words changed after the leading tokens leave it as it is), and the
-distinct sketches must be at least a share of the documents.
+all their lines recur; so a document is a witness only if a share of its lines
+is its own, lines that do not recur, and at least a share of the documents of
+a template must be witnesses.
 
 DataFrame operations only; only digests and candidate lines are shuffled, and
 the documents once for the final join.
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import WHITE, written
 
 VARIABLE = "<*>"
-DEPTH, MIN_TOKENS, MIN_DOCS, AGREE, DIVERSE, PREVAIL = 3, 4, 10, 0.7, 0.5, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, AGREE = 3, 4, 10, 0.7
+#: Share of a witness's lines that are its own, and of a template's documents that are witnesses.
+OWN, DIVERSE = 0.2, 0.5
 
 
 def tokens(line: Column | str) -> Column:
@@ -39,9 +44,11 @@ def masked(tk: Column | str) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Lines with the keys of their document."""
-    return docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"),
-                       F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    """Lines with the keys of their document and its number of lines that are not blank."""
+    lines = F.split(text_col, "\n")
+    full = F.size(F.filter(lines, lambda x: ~x.rlike(f"\\A{WHITE[:-1]}*\\z")))
+    return docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"), full.alias("n_full"),
+                       F.posexplode(lines).alias("pos", "line"))
 
 
 def _leaves(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -51,40 +58,54 @@ def _leaves(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return t.withColumn("leaf", F.md5(F.concat_ws(" ", F.size("tk").cast("string"), masked(F.slice("tk", 1, depth)))))
 
 
+def _templates(cand: DataFrame, min_docs: int, agree: float) -> DataFrame:
+    """``cand`` lines with ``tid``, the digest of their template."""
+    at = cand.select("leaf", "texts", "th", F.posexplode("tk").alias("p", "tok")).filter(F.col("tok") != VARIABLE).distinct()
+    seen = at.groupBy("leaf", "texts", "p", "tok").agg(F.count("*").alias("n"))
+    fixed = (seen.filter((F.col("n") >= min_docs) & (F.col("n") * F.col("n") >= F.col("texts")))
+             .groupBy("leaf", "p").agg(F.collect_list("tok").alias("toks"))
+             .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("p", "toks"))).alias("fixed")))
+    tmpl = F.transform("tk", lambda t, i: F.when(F.array_contains(F.element_at("fixed", i), t), t).otherwise(VARIABLE))
+    m = cand.join(written(fixed, "fixed"), "leaf", "left").select("leaf", "k", "th", "pos", "n_full", "tk", tmpl.alias("tmpl"))
+    enough = lambda n: n >= F.lit(agree) * F.size("tk")
+    whole = enough(F.size(F.filter("tmpl", lambda t: t != VARIABLE)))
+    m = m.withColumn("own", F.when(whole, F.xxhash64("leaf", F.array_join("tmpl", " "))))
+    m = written(m, "lines")
+    # templates that enough texts have, and the leaf's most frequent of them (of equal ones the first by code point)
+    often = (m.filter("own is not null").select("leaf", "own", "th", "tmpl").distinct()
+             .groupBy("leaf", "own").agg(F.count("*").alias("n"), F.first("tmpl").alias("top"))
+             .filter(F.col("n") >= min_docs))
+    often = written(often, "templates")
+    first = F.min(F.struct((-F.col("n")).alias("less"), F.array_join("top", " ").alias("text"), F.col("own").alias("id"), "top"))
+    top = often.groupBy("leaf").agg(first.alias("x")).select("leaf", F.col("x.id").alias("top_id"), F.col("x.top").alias("top"))
+    m = (m.join(often.select("own", F.lit(True).alias("recurs")), "own", "left").join(top, "leaf", "left"))
+    same = F.size(F.filter(F.zip_with("tk", "top", lambda a, b: (a == b) & (b != VARIABLE)), lambda x: x))
+    tid = (F.when(F.col("recurs"), F.col("own")).when(F.col("top").isNotNull() & enough(same), F.col("top_id"))
+           .otherwise(F.xxhash64(F.array_join("tk", " "), F.lit(1))))
+    return m.select("k", "th", "pos", "n_full", tid.alias("tid"))
+
+
 def line_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,
-                   agree: float = AGREE, diverse: float = DIVERSE, prevail: float = PREVAIL,
+                   agree: float = AGREE, diverse: float = DIVERSE, own: float = OWN,
                    text_col="text", id_col="doc_id") -> DataFrame:
     """Lines of recurring templates: ``k, th`` (document keys) and ``drops``, the line numbers from 0."""
     lv = _leaves(_lines(docs, text_col, id_col), depth, min_tokens)
-    met = written(lv.select("leaf", "th").distinct(), "leaves")
-    sketch = written(met.groupBy("th").agg(F.min("leaf").alias("sk")), "sketches")
     # leaves met in enough texts
-    often = met.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    often = (lv.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
+             .filter(F.col("texts") >= min_docs))
     cand = written(lv.join(written(often, "often"), "leaf")
-                   .select("leaf", "k", "th", "pos", masked("tk").alias("tk")), "candidates")
-    # the token that prevails at each position of a leaf, over distinct texts' lines
-    at = cand.select("leaf", "th", F.posexplode("tk").alias("p", "tok")).distinct()
-    seen = at.groupBy("leaf", "p", "tok").agg(F.count("*").alias("n"))
-    texts = cand.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
-    # of tokens met equally often the first by code point
-    top = (seen.groupBy("leaf", "p").agg(F.min(F.struct((-F.col("n")).alias("less"), "tok")).alias("top"))
-           .join(texts, "leaf"))
-    kept = F.when((-F.col("top.less") > F.lit(prevail) * F.col("texts")) & (F.col("top.tok") != VARIABLE),
-                  F.col("top.tok")).otherwise(F.lit(VARIABLE))
-    tmpl = (top.select("leaf", "p", kept.alias("tok")).groupBy("leaf")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))), lambda s: s["tok"]).alias("tmpl")))
-    m = cand.join(written(tmpl, "templates"), "leaf")
-    same = F.size(F.filter(F.zip_with("tk", "tmpl", lambda a, b: (a == b) & (b != VARIABLE)), lambda x: x))
-    of_leaf = same >= F.lit(agree) * F.size("tk")
-    m = m.select("k", "th", "pos", F.when(of_leaf, F.xxhash64("leaf", F.lit(0)))
-                 .otherwise(F.xxhash64(F.array_join("tk", " "), F.lit(1))).alias("tid"))
-    m = written(m, "matched")
-    per_text = m.select("tid", "th").distinct().join(sketch, "th")
-    per_sketch = per_text.groupBy("tid", "sk").agg(F.count("*").alias("n"))
-    rec = (per_sketch.groupBy("tid").agg(F.count("*").alias("sketches"), F.sum("n").alias("texts"))
-           .filter((F.col("texts") >= min_docs) & (F.col("sketches") >= F.lit(diverse) * F.col("texts")))
-           .select("tid"))
-    return (m.join(written(rec, "recurring"), "tid").groupBy("k", "th")
+                   .select("leaf", "texts", "k", "th", "pos", "n_full", masked("tk").alias("tk")), "candidates")
+    m = written(_templates(cand, min_docs, agree), "matched")
+    # of each text and template the number of lines, copies of a text counted once
+    each = (m.select("tid", "th", "pos", "n_full").distinct().groupBy("tid", "th")
+            .agg(F.count("*").alias("lines"), F.first("n_full").alias("n_full")))
+    often = each.groupBy("tid").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs)
+    each = written(each.join(often, "tid"), "recurring")
+    witness = (each.groupBy("th").agg(F.sum("lines").alias("lines"), F.first("n_full").alias("n_full"))
+               .filter(F.col("n_full") - F.col("lines") >= F.lit(own) * F.col("n_full")).select("th"))
+    rec = (each.select("tid", "th", "texts").join(witness, "th").groupBy("tid", "texts").agg(F.count("*").alias("seen"))
+           .filter((F.col("seen") >= min_docs) & (F.col("seen") >= F.lit(diverse) * F.col("texts"))).select("tid"))
+    return (m.join(written(rec, "boilerplate"), "tid").groupBy("k", "th")
             .agg(F.array_sort(F.collect_set("pos")).alias("drops")))
 
 

@@ -120,25 +120,37 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l0 AS (SELECT rid, text, unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM d WHERE text IS NOT NULL),
-l1 AS (SELECT rid, text, pos, list_transform(
+l0 AS (SELECT rid, text, len(list_filter(lines, lambda x: NOT regexp_full_match(x, '[\\x20\\x09-\\x0D]*'))) AS n_full,
+              unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM d WHERE text IS NOT NULL),
+l1 AS (SELECT rid, text, n_full, pos, list_transform(
          list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''),
          lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tk FROM l0),
 l AS (SELECT *, md5(len(tk) || ' ' || array_to_string(tk[1:3], ' ')) AS leaf FROM l1 WHERE len(tk) >= 4),
-sketch AS (SELECT text, min(leaf) AS sk FROM l GROUP BY text),
 leaves AS (SELECT leaf, count(DISTINCT text) AS texts FROM l GROUP BY leaf HAVING count(DISTINCT text) >= 10),
 cand AS (SELECT l.*, texts FROM l JOIN leaves USING (leaf)),
 at_ AS (SELECT DISTINCT leaf, texts, text, unnest(range(1, len(tk) + 1)) AS p, unnest(tk) AS tok FROM cand),
-seen AS (SELECT leaf, texts, p, tok, count(*) AS n FROM at_ GROUP BY ALL),
-top AS (SELECT leaf, p, CASE WHEN n > 0.5 * texts THEN tok ELSE '<*>' END AS tok FROM seen
-        QUALIFY row_number() OVER (PARTITION BY leaf, p ORDER BY n DESC, tok) = 1),
-tmpl AS (SELECT leaf, list(tok ORDER BY p) AS tmpl FROM top GROUP BY leaf),
-m AS (SELECT rid, text, pos, CASE WHEN len(list_filter(range(1, len(tk) + 1),
-               lambda i: tk[i] = tmpl[i] AND tmpl[i] <> '<*>')) >= 0.7 * len(tk)
-             THEN 'leaf ' || leaf ELSE 'line ' || array_to_string(tk, ' ') END AS tid
-      FROM cand JOIN tmpl USING (leaf)),
-rec AS (SELECT tid FROM (SELECT DISTINCT tid, text FROM m) JOIN sketch USING (text) GROUP BY tid
-        HAVING count(*) >= 10 AND count(DISTINCT sk) >= 0.5 * count(*)),
+fixed AS (SELECT leaf, list(p || ' ' || tok) AS fixed FROM
+            (SELECT leaf, p, tok FROM at_ WHERE tok <> '<*>' GROUP BY leaf, texts, p, tok
+             HAVING count(*) >= 10 AND count(*) * count(*) >= texts) GROUP BY leaf),
+t0 AS (SELECT cand.*, list_transform(range(1, len(tk) + 1), lambda i:
+                CASE WHEN list_contains(coalesce(fixed, []), i || ' ' || tk[i]) THEN tk[i] ELSE '<*>' END) AS tmpl
+       FROM cand LEFT JOIN fixed USING (leaf)),
+t1 AS (SELECT *, CASE WHEN len(list_filter(tmpl, lambda x: x <> '<*>')) >= 0.7 * len(tk)
+                      THEN array_to_string(tmpl, ' ') END AS own FROM t0),
+often AS (SELECT leaf, own, any_value(tmpl) AS tmpl, count(DISTINCT text) AS n FROM t1 WHERE own IS NOT NULL
+          GROUP BY leaf, own HAVING count(DISTINCT text) >= 10),
+top AS (SELECT leaf, own AS top_own, tmpl AS top FROM often
+        QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY n DESC, own) = 1),
+m AS (SELECT rid, text, n_full, pos, CASE WHEN often.own IS NOT NULL THEN 'leaf ' || t1.leaf || t1.own
+               WHEN top IS NOT NULL AND len(list_filter(range(1, len(tk) + 1),
+                 lambda i: tk[i] = top[i] AND top[i] <> '<*>')) >= 0.7 * len(tk) THEN 'leaf ' || t1.leaf || top_own
+               ELSE 'line ' || array_to_string(tk, ' ') END AS tid
+      FROM t1 LEFT JOIN often ON often.leaf = t1.leaf AND often.own = t1.own LEFT JOIN top ON top.leaf = t1.leaf),
+each0 AS (SELECT tid, text, any_value(n_full) AS n_full, count(DISTINCT pos) AS lines FROM m GROUP BY tid, text),
+each_ AS (SELECT *, count(*) OVER (PARTITION BY tid) AS texts FROM each0 QUALIFY texts >= 10),
+witness AS (SELECT text FROM each_ GROUP BY text HAVING any_value(n_full) - sum(lines) >= 0.2 * any_value(n_full)),
+rec AS (SELECT tid FROM each_ JOIN witness USING (text) GROUP BY tid, texts
+        HAVING count(*) >= 10 AND count(*) >= 0.5 * texts),
 drops AS (SELECT rid, list(DISTINCT pos) AS drops FROM m JOIN rec USING (tid) GROUP BY rid)
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped,
        coalesce(array_to_string(list_sort(drops), ','), '') AS dropped_lines,

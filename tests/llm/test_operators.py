@@ -336,6 +336,43 @@ def test_near_copies_keep_their_lines(spark):
     assert line_templates.drop_template_lines(d).filter("size(dropped) > 0").count() == 0
 
 
+@pytest.mark.parametrize("n_own", [1, 2, 5, 20])
+def test_boilerplate_goes_however_few_lines_are_a_text_s_own(spark, n_own):
+    boiler = ["All rights reserved by the owner of this site", "Please read our terms of use before you go on",
+              "Follow us on every network that you can think of"]
+    rows = []
+    for k in range(60):
+        lines = [" ".join(prose(1000 * n_own + 30 * k + j, 9).replace("\n", " ").split()) for j in range(n_own)]
+        rows.append((k, "\n".join([boiler[0], *lines, *boiler[1:]])))
+    rows += [(100 + k, " ".join(["unrelated", prose(9000 + k, 30)])) for k in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in line_templates.drop_template_lines(d).collect()}
+    assert all(got[k] == [0, n_own + 1, n_own + 2] for k in range(60))
+    assert all(got[100 + k] == [] for k in range(5))
+
+
+def test_several_templates_of_one_leaf(spark):
+    r = np.random.RandomState(8)
+    names = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(90)]
+    rows = []
+    for k in range(160):
+        verb = ("written", "removed", "checked", "printed")[k % 4]
+        line = f"This article was {verb} by {r.choice(names)} on a rainy day"
+        rows.append((k, "\n".join([prose(500 + k, 12).replace("\n", " "), line, prose(900 + k, 14).replace("\n", " ")])))
+    rows += [(500, "This article was never seen by anyone on that day\nand another line of its own")]
+    got = {x.doc_id: x.dropped for x in line_templates.drop_template_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == [1] for k in range(160)) and got[500] == []
+
+
+def test_copies_with_many_edits_keep_their_lines(spark):
+    w = prose(71, 400).split(" ")
+    r = np.random.RandomState(3)
+    rows = [(k, " ".join(x if r.rand() > 0.01 else f"edit{k}" for x in w)) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_templates.drop_template_lines(d).filter("size(dropped) > 0").count() == 0
+
+
 def base_counts(text):
     w = WORD.findall(text or "")
     dup = [x for x in (text or "").split("\n") if WORD.search(x)]
