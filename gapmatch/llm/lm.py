@@ -2,9 +2,11 @@
 
 Spark counts the training tokens.  The words met most get the network's
 vocabulary; the gated recurrent network (``recurrent``) is trained by all
-training documents in a few rounds: in a round each task runs truncated
-backpropagation over its documents of that round, from the parameters of the
-round before, and Spark averages the tasks' parameters, weighted by tokens.
+training documents in a few rounds.  Documents are dealt by a hash to shards
+of about equal tokens; in a round each shard runs truncated backpropagation
+over its documents of that round, in the order of the hash and from the
+parameters of the round before, and Spark averages the shards' parameters,
+weighted by tokens.  So the model does not depend on how the input is split.
 Each document is trained on in one round.  Scoring then carries the state
 through each whole text.
 
@@ -21,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +36,10 @@ from .words import split_words
 HOT = 65_536
 #: Of 16 parts of the documents, the last of each training round, and the rounds' learning rates.
 ROUNDS = ((1, 0.015), (4, 0.01), (16, 0.005))
-#: Tokens gathered for a run of backpropagation; parameters in a row.
-PIECE, PART = 300_000, 8192
+#: Tokens of a shard, about; shards averaged in one call.
+SHARD, TOGETHER = 2_000_000, 64
+#: Tokens gathered for a run of backpropagation; parameters in a row; texts coded at a time.
+PIECE, PART, SLICE = 300_000, 8192, 1000
 REMEMBERED = 400_000
 
 
@@ -94,43 +99,59 @@ def network_ids(codes: np.ndarray) -> np.ndarray:
     return np.append(np.where(codes < WORDS - 1, codes + 1, OTHER), END).astype(np.int16)
 
 
-def _round(docs: DataFrame, flat: np.ndarray, rate: float, hot: np.ndarray) -> np.ndarray:
-    """Parameters after one round over ``docs(text)``, averaged over tasks by tokens."""
-    hot = hot[:WORDS]
+def _averaged(parts: DataFrame, shards: int) -> DataFrame:
+    """``part, x``: the shards' parameters averaged by tokens, a bounded number of shards in one call."""
+    def mean(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("shard", kind="stable")  # sums in one order give one result
+        w = t["tokens"].to_numpy(dtype=np.float64)
+        x = sum(np.asarray(a, dtype=np.float64) * k for a, k in zip(t["x"], w, strict=True)) / w.sum()
+        return pd.DataFrame({"part": [t["part"].iloc[0]], "shard": [t["shard"].iloc[0] // TOGETHER],
+                             "tokens": [int(w.sum())], "x": [x]})
+
+    while shards > 1:
+        parts = (parts.withColumn("group", F.floor(F.col("shard") / TOGETHER)).groupBy("part", "group")
+                 .applyInPandas(mean, "part int, shard long, tokens long, x array<double>"))
+        shards = -(-shards // TOGETHER)
+    return parts.select("part", "x")
+
+
+def _round(docs: DataFrame, flat: np.ndarray, rate: float, shards: int) -> np.ndarray:
+    """Parameters after one round over ``docs(key, shard, ids)``, averaged over shards by tokens."""
 
     def train(batches):
-        codes, trainer, tokens = Codes(hot), Trainer(flat, rate), 0
-        held, size = [], 0
+        state = {"shard": None}
 
         def run():
-            nonlocal held, size, tokens
-            if held:
-                starts = np.zeros(size, dtype=bool)
-                starts[np.cumsum([0, *map(len, held[:-1])])] = True
-                trainer.run(np.concatenate(held), starts)
-                tokens += size
-                held, size = [], 0
+            if state["size"]:
+                starts = np.zeros(state["size"], dtype=bool)
+                starts[np.cumsum([0, *map(len, state["held"][:-1])])] = True
+                state["trainer"].run(np.concatenate(state["held"]), starts)
+                state["tokens"] += state["size"]
+                state.update(held=[], size=0)
+
+        def done():
+            if state["shard"] is None:
+                return
+            run()
+            x = state["trainer"].flat
+            yield pd.DataFrame({"part": range(0, SIZE, PART), "shard": state["shard"], "tokens": state["tokens"],
+                                "x": [x[k:k + PART].astype(np.float64) for k in range(0, SIZE, PART)]})
 
         for b in batches:
-            for t in b["text"]:
-                held.append(network_ids(codes.of(t)))
-                size += len(held[-1])
-                if size >= PIECE:
+            for shard, ids in zip(b["shard"], b["ids"], strict=True):
+                if shard != state["shard"]:
+                    yield from done()
+                    state.update(shard=shard, trainer=Trainer(flat, rate), tokens=0, held=[], size=0)
+                state["held"].append(np.frombuffer(ids, dtype=np.int16))
+                state["size"] += len(state["held"][-1])
+                if state["size"] >= PIECE:
                     run()
-            codes.trim()
-        run()
-        if tokens:
-            yield pd.DataFrame({"part": range(0, SIZE, PART), "tokens": tokens,
-                                "x": [trainer.flat[k:k + PART] for k in range(0, SIZE, PART)]})
-
-    def mean(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("tokens", kind="stable")
-        w = t["tokens"].to_numpy(dtype=np.float64)
-        x = sum(a.astype(np.float64) * k for a, k in zip(t["x"], w, strict=True)) / w.sum()
-        return pd.DataFrame({"part": [t["part"].iloc[0]], "x": [x.astype(np.float32)]})
+        yield from done()
 
-    parts = docs.mapInPandas(train, "part int, tokens long, x array<float>")
-    got = parts.groupBy("part").applyInPandas(mean, "part int, x array<float>").toPandas()  # SIZE numbers
+    # the documents of a shard stand in one order, however the input is split
+    dealt = docs.repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+    parts = dealt.mapInPandas(train, "part int, shard long, tokens long, x array<double>")
+    got = _averaged(parts, shards).toPandas()  # SIZE numbers
     if not len(got):
         return flat
     return np.concatenate(got.sort_values("part")["x"].tolist()).astype(np.float32)
@@ -159,37 +180,45 @@ def fit_and_score(docs: DataFrame, text_col="text", id_col="doc_id", rounds=ROUN
     by_id[0], by_id[1:inside + 1] = n_train, hot_c[:inside]
     n_other = total - by_id.sum()
     v_other = distinct - (n_train > 0) - inside
-    flat = initial(by_id, n_other)
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))
-    first = 0
-    for last, rate in rounds:
-        some = d.filter(~held_out("doc_id")).filter((lot >= first) & (lot < last)).select("text")
-        flat, first = _round(some, flat, rate, hot), last
     log_base, log_other = np.log10(total + distinct + 1), np.log10(n_other + v_other + 1)
     hot_log, end_log = np.log10(hot_c + 1), np.log10(n_train + 1)
 
-    def scored(batches):
+    def coded(texts):
         codes = Codes(hot)
-        for b in batches:
-            rows, ids = [], []
-            for t in b:
+        for some in texts:
+            rows = []
+            for t in some:
                 c = codes.of(t)
                 at_hand = c < HOT
                 known = c[at_hand]
                 logs, other = hot_log[known], known >= WORDS - 1
                 rare = c[~at_hand]
-                rows.append((len(c) + 1, len(known) + bool(n_train), end_log + float(logs.sum()),
+                rows.append((network_ids(c).tobytes(), len(c) + 1, len(known) + bool(n_train), end_log + float(logs.sum()),
                              float(logs[other].sum()), int(other.sum()) + len(rare), rare))
-                ids.append(network_ids(c))
-            net = score(flat, ids) / np.log(10)
             codes.trim()
-            t = pd.DataFrame(rows, columns=["n_tokens", "n_hot", "hot_log", "other_log", "n_other", "rare"])
-            t.insert(5, "net", net)
-            yield t
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "n_hot", "hot_log", "other_log", "n_other", "rare"])
 
     numbered = d.withColumn("uid", F.monotonically_increasing_id()).withColumn("held_out", held_out("doc_id"))
-    out = written(map_texts(numbered, scored, "n_tokens long, n_hot long, hot_log double, other_log double, n_other long, "
-                            "net double, rare array<long>", ["doc_id", "uid", "held_out"]), "scored")
+    c = written(map_texts(numbered, coded, "ids binary, n_tokens long, n_hot long, hot_log double, other_log double, "
+                          "n_other long, rare array<long>", ["doc_id", "uid", "held_out"], SLICE), "coded")
+
+    # shards follow from the tokens alone, and their documents from a hash
+    shards = max(1, round(total / SHARD))
+    key = F.xxhash64("doc_id", "ids")
+    t = (c.filter("not held_out").withColumn("key", key)
+         .select("key", "ids", F.pmod("key", F.lit(shards)).alias("shard"),
+                 F.pmod(F.xxhash64("key"), F.lit(16)).alias("lot")))
+    flat, first = initial(by_id, n_other), 0
+    for last, rate in rounds:
+        flat, first = _round(t.filter((F.col("lot") >= first) & (F.col("lot") < last)), flat, rate, shards), last
+
+    def scored(batches):
+        for b in batches:
+            ids = [np.frombuffer(x, dtype=np.int16) for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(score(flat, ids) / np.log(10))], names=["uid", "net"])
+
+    net = c.select("uid", "ids").mapInArrow(scored, "uid long, net double")
+    out = c.drop("ids").join(net, "uid")
     rare = out.select("uid", F.explode("rare").alias("word")).join(counts, "word")
     found = rare.groupBy("uid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     out = out.drop("rare").join(found, "uid", "left").na.fill(0, ["n_rare", "rare_log"])

@@ -246,22 +246,27 @@ def score(flat: np.ndarray, docs: list[np.ndarray], streams: int = SIDE, window:
     lists.sort(key=lambda x: -int(sizes[x].sum()))
     length = np.array([int(sizes[x].sum()) for x in lists])
     steps = int(length[0])
-    y = np.zeros((steps, n), dtype=np.int16)
-    doc = np.zeros((steps, n), dtype=np.int32)
-    fresh = np.zeros((steps, n), dtype=bool)
+    # streams stay as they are and are laid side by side a window at a time: memory follows the tokens, not the longest
+    flows = [np.concatenate([docs[k] for k in some]) for some in lists]
+    flow_doc = [np.repeat(np.array(some, dtype=np.int32), sizes[some]) for some in lists]
+    flow_new = []
     for s, some in enumerate(lists):
-        y[:length[s], s] = np.concatenate([docs[k] for k in some])
-        doc[:length[s], s] = np.repeat(some, sizes[some])
-        fresh[np.append(0, np.cumsum(sizes[some])[:-1]), s] = True
+        new = np.zeros(length[s], dtype=bool)
+        new[np.append(0, np.cumsum(sizes[some])[:-1])] = True
+        flow_new.append(new)
     h, last = np.zeros((HIDDEN, n), dtype=np.float32), np.zeros((1, n), dtype=np.int16)
     for k in range(0, steps, window):
         on = int(np.searchsorted(-length, -k, side="left"))  # streams that have not ended
-        at = slice(k, k + window)
-        x = np.vstack([last[:, :on], y[at, :on][:-1]])
-        x[fresh[at, :on]] = END
-        last = y[at, :on][-1:]
-        hs, h, _, _ = _states(p, x, fresh[at, :on], np.ascontiguousarray(h[:, :on]), False)
-        live = (np.arange(k, k + hs.shape[1])[:, None] < length[None, :on]).ravel()
-        lp = log_probabilities(p, hs.reshape(HIDDEN, -1)[:, live], y[at, :on].ravel()[live].astype(np.int64))
-        out += np.bincount(doc[at, :on].ravel()[live], weights=lp, minlength=len(docs))
+        w = min(window, steps - k)
+        y, doc, fresh = np.zeros((w, on), np.int16), np.zeros((w, on), np.int32), np.zeros((w, on), bool)
+        for s in range(on):
+            m = min(w, int(length[s]) - k)
+            y[:m, s], doc[:m, s], fresh[:m, s] = flows[s][k:k + m], flow_doc[s][k:k + m], flow_new[s][k:k + m]
+        x = np.vstack([last[:, :on], y[:-1]])
+        x[fresh] = END
+        last = y[-1:]
+        hs, h, _, _ = _states(p, x, fresh, np.ascontiguousarray(h[:, :on]), False)
+        live = (np.arange(k, k + w)[:, None] < length[None, :on]).ravel()
+        lp = log_probabilities(p, hs.reshape(HIDDEN, -1)[:, live], y.ravel()[live].astype(np.int64))
+        out += np.bincount(doc.ravel()[live], weights=lp, minlength=len(docs))
     return out

@@ -80,3 +80,31 @@ def test_vectors(spark):
     assert ids(projection.near_vectors(v), "vec_id") == sorted(BIG, key=lambda x: (x is None, x or 0))
     best = topk.top_k(v, F.lit(True), 2).collect()
     assert {r["query_id"] for r in best} == set(BIG) - {None} >= {r["vec_id"] for r in best}
+
+
+def test_scores_do_not_depend_on_how_rows_are_split(spark, monkeypatch):
+    import numpy as np
+    r = np.random.RandomState(4)
+    rows = [(k, " ".join(r.choice(["ab", "bc", "cd", "de", "ef", "fg"], r.randint(5, 60)))) for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARD", 500)  # several shards
+    monkeypatch.setattr(lm, "TOGETHER", 3)  # averaged in several steps
+    one, many = ({x["doc_id"]: x["score"] for x in lm.fit_and_score(d.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-3 for k in one)
+
+
+def test_a_very_long_text_is_scored_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from gapmatch.llm import recurrent
+    flat = recurrent.initial(np.ones(recurrent.WORDS), 1.0)
+    long, short = np.ones(200_000, dtype=np.int16), [np.ones(20, dtype=np.int16)] * 255
+    alone = recurrent.score(flat, short[:1])[0]
+    tracemalloc.start()
+    got = recurrent.score(flat, [long, *short])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 256 streams of that length would take over 350 MB
+    assert np.allclose(got[1:], alone, atol=1e-4) and np.isfinite(got[0])
