@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skills import cleanup, probe_dot_slash, probe_hyphen
+from ..plans.reuse import materialize
 from ..plans.skew import spread_join
 
 
@@ -27,7 +28,7 @@ def skill_dictionary(raw: DataFrame, aliases: DataFrame, src: str = "raw") -> Da
 
 def normalize_by_dictionary(raw: DataFrame, aliases: DataFrame, src: str = "raw") -> DataFrame:
     """``raw`` with ``skill``; a string that many rows hold is met in several places (null stays null)."""
-    words = skill_dictionary(raw, aliases, src)
+    words = materialize(skill_dictionary(raw, aliases, src))  # as large as the vocabulary, used three times
     return spread_join(raw, words.drop("n"), src, [c for c in raw.columns if c != src] or [src], words.select(src, "n"))
 
 
