@@ -12,7 +12,7 @@ from ..functions import lookups as L
 from .evidence import evidence_table
 from .extract import extract_skills, prepare
 from .match import PAIR, match_inputs, match_summary, pair_frame
-from .recommend import priority_summary, recommendations
+from .recommend import priority_summary, recommendations, with_priority_counts
 from .similarity import similarity
 from .summary import pair_summary
 
@@ -45,11 +45,12 @@ def analyze_pairs(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, kb: Dat
     required = held if same_texts else found(jobs)
     mi = match_inputs(pairs, held.select(F.col("doc_id").alias("resume_id"), "skill"),
                       required.select(F.col("doc_id").alias("job_id"), "skill"))
-    frame = pair_frame(mi, threshold)
+    frame = with_priority_counts(pair_frame(mi, threshold), mi.required, kb)
     own = held.select(F.col("doc_id").alias("resume_id"), "skill", "evidence")
-    matches = match_summary(mi, threshold, frame=frame)
+    counted = match_summary(mi, threshold, frame=frame, keep=("high_count",))
     missing = frame.select(*PAIR, F.posexplode("missing").alias("pos", "skill"))
     recs = recommendations(missing, kb)
     prio = priority_summary(recs)
     scores, _ = similarity(resumes, jobs, pairs, max_features=max_features)
-    return Analysis(matches, evidence_table(frame, own), recs, prio, scores, pair_summary(matches, prio, scores))
+    return Analysis(counted.drop("high_count"), evidence_table(frame, own), recs, prio, scores,
+                    pair_summary(counted, None, scores))

@@ -60,3 +60,20 @@ def priority_summary(recs: DataFrame, keys=("resume_id", "job_id")) -> DataFrame
         bucket(L.PRIORITY_MEDIUM).alias("medium_priority"),
         bucket(L.PRIORITY_LOW).alias("low_priority"),
     )
+
+
+def with_priority_counts(frame: DataFrame, required: DataFrame, kb: DataFrame) -> DataFrame:
+    """AG-11 inside the pair row: ``frame`` with total_recommended, high_count, medium_count and low_count.
+
+    The priorities of a job's required skills are looked up once per job,
+    before pairs exist, so missing skills are neither exploded nor shuffled.
+    ``frame`` is ``match.pair_frame``, ``required`` its canonical skills.
+    """
+    levels = (recommendations(required.select("job_id", "skill").distinct(), kb, keys=("job_id",)).groupBy("job_id")
+              .agg(F.map_from_entries(F.collect_list(F.struct("skill_key", "priority"))).alias("levels")))
+    f = frame.join(levels, "job_id", "left")
+    count = lambda level: F.size(F.filter(
+        "missing", lambda s: F.element_at("levels", s) == level)).cast("bigint")
+    return f.withColumns({
+        "total_recommended": F.size("missing").cast("bigint"), "high_count": count(L.PRIORITY_HIGH),
+        "medium_count": count(L.PRIORITY_MEDIUM), "low_count": count(L.PRIORITY_LOW)}).drop("levels")

@@ -26,10 +26,13 @@ def priority_counts(prio: DataFrame) -> DataFrame:
         f"'{L.PRIORITY_LOW}', low_count) AS (priority, count)")).withColumn("count", F.col("count").cast("bigint"))
 
 
-def pair_summary(summary: DataFrame, prio: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    """PL-07: score, level (with its sentence), missing count and high-priority count per pair."""
+def pair_summary(summary: DataFrame, prio: DataFrame | None = None, similarity: DataFrame | None = None) -> DataFrame:
+    """PL-07: score, level (with its sentence), missing count and high-priority count per pair.
+
+    ``high_count`` comes from ``prio``, or is a column of the summary (``match_summary`` with ``keep``).
+    """
     g = gap_level("match_percentage")
-    s = summary.join(prio.select(*PAIR, "high_count"), PAIR, "left")
+    s = summary if prio is None else summary.join(prio.select(*PAIR, "high_count"), PAIR, "left")
     out = s.select(*PAIR, "match_percentage", g["level"].alias("gap_level"), g["description"].alias("gap_description"),
                    "total_matched", "total_missing", "total_extra",
                    F.coalesce("high_count", F.lit(0).cast("bigint")).alias("high_priority_count"))

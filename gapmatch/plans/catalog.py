@@ -281,12 +281,10 @@ def _recommendations(spark, sf):
                                    "hot_technology", "in_demand", "importance_score")
 
 
-def _summary_and_prio(spark, sf):
+def _counted_frame(spark, sf):
+    """Pair rows with their priority counts: one frame for summary and counts."""
     mi, frame = _frame(spark, sf)
-    summ = M.match_summary(mi, frame=frame)
-    missing = frame.select("resume_id", "job_id", F.explode("missing").alias("skill"))
-    prio = R.priority_summary(R.recommendations(missing, _kb_m(spark, sf)))
-    return summ, prio
+    return mi, R.with_priority_counts(frame, mi.required, _kb_m(spark, sf))
 
 
 def _alignment_counts(spark, sf):
@@ -294,13 +292,12 @@ def _alignment_counts(spark, sf):
 
 
 def _priority_counts(spark, sf):
-    _, prio = _summary_and_prio(spark, sf)
-    return SUM.priority_counts(prio)
+    return SUM.priority_counts(_counted_frame(spark, sf)[1])
 
 
 def _pair_summary(spark, sf):
-    summ, prio = _summary_and_prio(spark, sf)
-    return SUM.pair_summary(summ, prio)
+    mi, frame = _counted_frame(spark, sf)
+    return SUM.pair_summary(M.match_summary(mi, frame=frame, keep=("high_count",)))
 
 
 def _fuzzy_pairs(spark, sf):
