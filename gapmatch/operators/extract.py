@@ -22,7 +22,6 @@ address is one token, so ``github.com/x`` does not yield ``github``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
@@ -122,65 +121,87 @@ def _grams_of(n: int) -> Column:
         F.ltrim(F.array_join(F.transform(F.slice(t, k, n), lambda x: x["piece"]), "")).alias("raw")))
 
 
-def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """JN-02: every dictionary phrase occurrence in a line.
-
-    (doc_id, line_no, start, n, raw, section) with 1-based token positions.
+def _found(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """JN-02 inside lines ``(doc_id, line_no, section, direct, pieces)``: per line ``direct`` and the phrases ``c``.
 
     A phrase consists of dictionary tokens only, so tokens are first exploded
-    (a code-generated generator) and semi-joined with the dictionary's token
-    set; n-grams are then built per line over consecutive surviving tokens
-    and equi-joined with the dictionary.  Only the survivors are shuffled.
+    (a code-generated generator) and joined with the dictionary's token set;
+    n-grams are then built per line over consecutive surviving tokens and
+    equi-joined with the dictionary.  Only survivors are shuffled.  ``direct``
+    holds the terms that a line has without the dictionary; it goes along in a
+    row of its own, whose key no token has and which spreads by line.  ``c``
+    is sorted for the longest span first: (neg, start, end, raw), start from 1.
     """
+    tok = lines.select("doc_id", "line_no", "section", F.posexplode(F.concat(
+        F.array(F.lit(None).cast("string")), F.col("pieces"))).alias("i", "piece"), "direct")
+    tok = tok.filter((F.col("i") > 0) | (F.size("direct") > 0))
+    alone = F.concat(F.lit("\n"), F.xxhash64("doc_id", "line_no").cast("string"))
+    tok = tok.withColumn("direct", F.when(F.col("i") == 0, F.col("direct"))).withColumn(
+        "tok", F.when(F.col("i") == 0, alone).otherwise(F.ltrim("piece")))
+    known = dictionary_tokens(dictionary).withColumn("known", F.lit(True))
+    tok = tok.join(known, "tok", "left").filter(F.col("known") | (F.col("i") == 0))
+    per_line = tok.groupBy("doc_id", "line_no").agg(
+        F.first("section").alias("section"), F.max("direct").alias("direct"),
+        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct(F.col("i").alias("p"), "tok", "piece")))).alias("t"))
     lens = sorted(r["n"] for r in dictionary.select("n").distinct().collect())
-    toks = lines.select("doc_id", "line_no", S.section_of_line("hdrs", "line_no").alias("section"),
-                        F.posexplode(token_pieces("line")).alias("i", "piece"))
-    toks = toks.withColumn("tok", F.ltrim("piece"))
-    toks = toks.join(dictionary_tokens(dictionary), "tok", "left_semi")
-    per_line = toks.groupBy("doc_id", "line_no").agg(
+    grams = F.flatten(F.array(*[_grams_of(n) for n in lens]))
+    own = F.transform(F.coalesce("direct", F.array().cast("array<string>")), lambda r: F.struct(
+        F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("key"), r.alias("raw")))
+    g = per_line.select("doc_id", "line_no", "section", F.inline(F.concat(grams, own)))
+    phrase = dictionary.select("key").distinct().withColumn("found", F.lit(True))
+    key = F.coalesce("key", F.concat(F.lit("\n"), F.xxhash64("doc_id", "line_no", "raw").cast("string")))
+    g = g.withColumn("key", key).join(phrase, "key", "left").filter(F.col("found") | (F.col("n") == 0))
+    return g.groupBy("doc_id", "line_no").agg(
         F.first("section").alias("section"),
-        F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("p"), "tok", "piece"))).alias("t"))
-
-    g = per_line.select("doc_id", "line_no", "section",
-                        F.explode(F.flatten(F.array(*[_grams_of(n) for n in lens]))).alias("g"))
-    g = g.select("doc_id", "line_no", "section", "g.start", "g.n", "g.key", "g.raw")
-    m = g.join(dictionary.select("key").distinct(), "key", "left_semi")
-    return m.select("doc_id", "line_no", "start", "n", "raw", "section")
+        F.collect_list(F.when(F.col("n") == 0, F.col("raw"))).alias("direct"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(
+            (-F.col("n")).alias("neg"), "start", (F.col("start") + F.col("n")).alias("end"), "raw")))).alias("c"))
 
 
-def longest_spans(spans: DataFrame) -> DataFrame:
-    """WN-02: keep longest spans first (earlier start on ties), dropping overlaps.
+def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """JN-02: every dictionary phrase occurrence in a line.
 
-    Spans are cut into overlap islands per line (running max of span ends);
-    the greedy fold runs inside each island only.
+    (doc_id, line_no, start, n, raw, section) with 1-based token positions.
     """
-    key = ["doc_id", "line_no"]
-    w = Window.partitionBy(*key).orderBy("start", "n")
-    s = spans.withColumn("end", F.col("start") + F.col("n"))
-    s = s.withColumn("prev_end", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("island", F.sum(F.when(F.col("prev_end").isNull() | (F.col("start") >= F.col("prev_end")), 1)
-                                     .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = s.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("n")).alias("neg"), "start", "end", "raw", "section"))).alias("c"))
-    init = F.array().cast("array<struct<neg:int,start:int,end:int,raw:string,section:string>>")
+    ln = lines.select("doc_id", "line_no", S.section_of_line("hdrs", "line_no").alias("section"),
+                      F.array().cast("array<string>").alias("direct"), token_pieces("line").alias("pieces"))
+    f = _found(ln, dictionary).select("doc_id", "line_no", "section", F.explode("c").alias("k"))
+    return f.select("doc_id", "line_no", "k.start", (-F.col("k.neg")).alias("n"), "k.raw", "section")
+
 
+def _longest(c, kind: str) -> Column:
+    """WN-02 in a line: of its spans, longest first, those that overlap none taken before."""
     def step(acc, x):
         clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = g.select(*key, F.explode(F.aggregate("c", init, step)).alias("k"))
-    return kept.select(*key, F.col("k.start").alias("start"), (-F.col("k.neg")).alias("n"), "k.raw", "k.section")
+    return F.aggregate(c, F.array().cast(kind), step)
 
 
-def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """JN-03: whole-word acronyms that are alias keys -> (doc_id, raw, line_no, section)."""
+SPAN = "neg:int,start:int,end:int,raw:string"
+
+
+def longest_spans(spans: DataFrame) -> DataFrame:
+    """WN-02: keep longest spans first (earlier start on ties), dropping overlaps, inside each line."""
+    g = spans.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("n")).alias("neg"), "start", (F.col("start") + F.col("n")).alias("end"), "raw", "section"))).alias("c"))
+    kept = g.select("doc_id", "line_no", F.explode(_longest("c", f"array<struct<{SPAN},section:string>>")).alias("k"))
+    return kept.select("doc_id", "line_no", F.col("k.start").alias("start"), (-F.col("k.neg")).alias("n"), "k.raw", "k.section")
+
+
+def _acronym_matches(aliases: DataFrame) -> Column | None:
+    """JN-03: the whole-word acronyms of ``line`` that are alias keys, None where no alias is one."""
     acr = _acronyms(aliases)
-    if not acr:
-        return lines.select("doc_id", F.lit(None).cast("string").alias("raw"), "line_no",
-                            F.lit(None).cast("string").alias("section")).limit(0)
     rx = r"\b(" + "|".join(acr) + r")\b"
-    x = lines.select("doc_id", "line_no", "hdrs",
-                     F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(rx), 1))).alias("raw"))
+    return F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(rx), 1)) if acr else None
+
+
+def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+    """JN-03: whole-word acronyms that are alias keys -> (doc_id, raw, line_no, section)."""
+    found = _acronym_matches(aliases)
+    if found is None:
+        found = F.array().cast("array<string>")
+    x = lines.select("doc_id", "line_no", "hdrs", F.explode(found).alias("raw"))
     return x.select("doc_id", "raw", "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
 
 
@@ -222,44 +243,16 @@ def candidates(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame) -> Da
     of the dictionary go on, are put together per line, and the phrases found
     are resolved longest-first inside the line.
     """
-    d = _doc_rows(docs)
-    acr = _acronyms(aliases)
-    rx = r"\b(" + "|".join(acr) + r")\b" if acr else None
-    d = select_once(d, ["doc_id", "clean", "hdrs"], sp=special_matches())
+    d = select_once(_doc_rows(docs), ["doc_id", "clean", "hdrs"], sp=special_matches())
     direct = F.transform(F.filter("sp", lambda m: m["line_no"] == F.col("line_no")), lambda m: m["raw"])
-    if rx:
-        direct = F.concat(direct, F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(rx), 1)))
+    acronyms = _acronym_matches(aliases)
+    if acronyms is not None:
+        direct = F.concat(direct, acronyms)
     ln = d.select("doc_id", "hdrs", "sp", F.posexplode(S.lines("clean")).alias("line_no", "line"))
     ln = select_once(ln, ["doc_id", "line_no"], section=S.section_of_line("hdrs", "line_no"), direct=direct,
                      pieces=token_pieces("line"))
-    # one row per token, and one without token that holds what the line has by itself
-    tok = ln.select("doc_id", "line_no", "section", F.posexplode(F.concat(
-        F.array(F.lit(None).cast("string")), F.col("pieces"))).alias("i", "piece"), "direct")
-    tok = tok.withColumn("direct", F.when(F.col("i") == 0, F.col("direct"))).withColumn("tok", F.ltrim("piece"))
-    known = dictionary_tokens(dictionary).withColumn("known", F.lit(True))
-    tok = tok.join(known, "tok", "left").filter(F.col("known") | (F.size("direct") > 0))
-    per_line = tok.groupBy("doc_id", "line_no").agg(
-        F.first("section").alias("section"), F.max("direct").alias("direct"),
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct(F.col("i").alias("p"), "tok", "piece")))).alias("t"))
-    lens = sorted(r["n"] for r in dictionary.select("n").distinct().collect())
-    grams = F.flatten(F.array(*[_grams_of(n) for n in lens]))
-    own = F.transform(F.coalesce("direct", F.array().cast("array<string>")), lambda r: F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("key"), r.alias("raw")))
-    g = per_line.select("doc_id", "line_no", "section", F.inline(F.concat(grams, own)))
-    phrase = dictionary.select("key").distinct().withColumn("found", F.lit(True))
-    g = g.join(phrase, "key", "left").filter(F.col("found") | (F.col("n") == 0))
-    spans = g.groupBy("doc_id", "line_no").agg(
-        F.first("section").alias("section"),
-        F.collect_list(F.when(F.col("n") == 0, F.col("raw"))).alias("direct"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(
-            (-F.col("n")).alias("neg"), "start", (F.col("start") + F.col("n")).alias("end"), "raw")))).alias("c"))
-    init = F.array().cast("array<struct<neg:int,start:int,end:int,raw:string>>")
-
-    def step(acc, x):
-        clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
-
-    kept = F.transform(F.aggregate("c", init, step), lambda k: F.btrim(k["raw"], F.lit(" ")))
+    spans = _found(ln, dictionary)
+    kept = F.transform(_longest("c", f"array<struct<{SPAN}>>"), lambda k: F.btrim(k["raw"], F.lit(" ")))
     return spans.select("doc_id", F.explode(F.concat("direct", kept)).alias("raw"), "line_no", "section")
 
 
