@@ -45,10 +45,11 @@ def masked(tk: Column | str) -> Column:
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Lines with the keys of their document and its number of lines that are not blank."""
-    lines = F.split(text_col, "\n")
-    full = F.size(F.filter(lines, lambda x: ~x.rlike(f"\\A{WHITE[:-1]}*\\z")))
-    return docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"), full.alias("n_full"),
-                       F.posexplode(lines).alias("pos", "line"))
+    # made before the lines are dealt out, so once a document and not once a line
+    d = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"),
+                    F.split(text_col, "\n").alias("lines"))
+    d = d.withColumn("n_full", F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")))
+    return d.select("k", "th", "n_full", F.posexplode("lines").alias("pos", "line"))
 
 
 def _leaves(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
