@@ -43,18 +43,21 @@ def masked(tk: Column | str) -> Column:
     return F.transform(tk, lambda x: F.when(x.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(x))
 
 
+def _once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """``df.select(*keep, **made)`` with every expression evaluated once, however often it is used after."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Lines with the keys of their document and its number of lines that are not blank."""
     # made before the lines are dealt out, so once a document and not once a line
-    d = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"),
-                    F.split(text_col, "\n").alias("lines"))
+    d = _once(docs, k=F.xxhash64(id_col, text_col), th=F.xxhash64(text_col), lines=F.split(text_col, "\n"))
     d = d.withColumn("n_full", F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")))
     return d.select("k", "th", "n_full", F.posexplode("lines").alias("pos", "line"))
 
 
 def _leaves(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    t = lines.withColumn("tk", tokens("line"))
-    t = t.filter(F.size("tk") >= min_tokens)
+    t = _once(lines, "k", "th", "n_full", "pos", tk=tokens("line")).filter(F.size("tk") >= min_tokens)
     # only the leading tokens are generalised here, the others at the leaves that count
     return t.withColumn("leaf", F.md5(F.concat_ws(" ", F.size("tk").cast("string"), masked(F.slice("tk", 1, depth)))))
 
