@@ -194,10 +194,56 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
 
 
+OP12_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role, text) AS turns,
+               list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)) AS bytes
+        FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(bytes,
+        lambda b: [CAST(b AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 4 AS h
+      FROM own),
+full_ AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h], h.turns[h + 1:]) AS turns
+          FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+at_ AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM full_),
+pre AS (SELECT conv_id, d, d = len(turns) AS ends, md5(CAST(turns[1:d] AS VARCHAR)) AS k,
+               CASE WHEN d > 0 THEN md5(CAST(turns[1:d - 1] AS VARCHAR)) END AS pk,
+               CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS w FROM at_),
+node AS (SELECT k, d, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+                coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+         FROM pre GROUP BY k, d),
+kids AS (SELECT pk, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY pk, d),
+n2 AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.pk = node.k AND kids.d = node.d),
+up AS (SELECT a.k, a.d, count(*) FILTER (WHERE n2.n_children = 0) AS n_leaves, sum((n2.n_convs - 1) * n2.w) AS saved
+       FROM n2 JOIN pre a ON a.conv_id = n2.conv_id AND a.d <= n2.d GROUP BY a.k, a.d)
+SELECT n2.conv_id, n2.d AS depth, p.conv_id AS parent_conv_id, n2.n_convs, n2.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(n2.ends) AS ends_sha256
+FROM n2 JOIN up ON up.k = n2.k AND up.d = n2.d LEFT JOIN node p ON p.k = n2.pk AND p.d = n2.d - 1
+"""
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
@@ -219,4 +265,6 @@ ORACLE_SQL = {
     "op2_warc": OP2_SQL,
     "op4_top_k": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_near_vectors": OP13_SQL,
 }
