@@ -93,7 +93,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
                .agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("at"), "piece"))).alias("lines"))
                .select("path", "offset", F.array_join(F.transform("lines", lambda x: x["piece"]), "\n").alias("record")))
     record = F.regexp_replace("record", "\\r\\z", "")
-    record = F.when(F.col("offset") == 0, F.regexp_replace(record, "^﻿", "")).otherwise(record)
+    record = F.when(F.col("offset") == 0, F.regexp_replace(record, r"^\uFEFF", "")).otherwise(record)
     return single.union(several).select("path", "offset", record.alias("record")).filter("record <> ''")
 
 
@@ -175,11 +175,10 @@ def json_entries(spark: SparkSession, path: str) -> DataFrame:
                .agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("at"), text.alias("text")))).alias("x"),
                     last.alias("closes"))
                .withColumn("entry", F.array_join(F.transform("x", lambda x: x["text"]), "")))
-    entry = F.trim(F.col("entry"))
     entry = F.when(F.col("closes"), F.regexp_replace("entry", r"\}\s*\z", "")).otherwise(F.col("entry"))
-    is_object = p.filter("offset = 0").select(F.ltrim(F.regexp_replace("piece", r"^﻿?\s*", "")).startswith("{")
+    is_object = p.filter("offset = 0").select(F.ltrim(F.regexp_replace("piece", r"^\uFEFF?\s*", "")).startswith("{")
                                               .alias("ok")).filter("ok").limit(1)
-    entry = F.when(F.col("offset") == 0, F.regexp_replace(entry, r"^﻿?\s*\{", "")).otherwise(entry)
+    entry = F.when(F.col("offset") == 0, F.regexp_replace(entry, r"^\uFEFF?\s*\{", "")).otherwise(entry)
     out = members.select("offset", entry.alias("entry")).filter("entry rlike '\\\\S'")
     return out.join(F.broadcast(is_object), F.lit(True), "left_semi")
 
