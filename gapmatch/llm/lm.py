@@ -218,10 +218,9 @@ def fit_and_score(docs: DataFrame, text_col="text", id_col="doc_id", rounds=ROUN
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(score(flat, ids) / np.log(10))], names=["uid", "net"])
 
     net = c.select("uid", "ids").mapInArrow(scored, "uid long, net double")
-    out = c.drop("ids").join(net, "uid")
-    rare = out.select("uid", F.explode("rare").alias("word")).join(counts, "word")
+    rare = c.select("uid", F.explode("rare").alias("word")).join(counts, "word")
     found = rare.groupBy("uid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
-    out = out.drop("rare").join(found, "uid", "left").na.fill(0, ["n_rare", "rare_log"])
+    out = c.drop("ids", "rare").join(net, "uid").join(found, "uid", "left").na.fill(0, ["n_rare", "rare_log"])
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.col("n_rare")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
