@@ -12,7 +12,7 @@ from ..functions import lookups as L
 from .evidence import evidence_table
 from .extract import extract_skills, prepare
 from .match import PAIR, match_inputs, match_summary, pair_frame
-from .recommend import priority_summary, recommendations, with_priority_counts
+from .recommend import job_levels, priority_summary, recommendations, with_priority_counts
 from .similarity import similarity
 from .summary import pair_summary
 
@@ -25,6 +25,7 @@ class Analysis(NamedTuple):
     priorities: DataFrame       # priority_summary per pair with something missing
     similarity: DataFrame       # scores per pair
     summary: DataFrame          # pair_summary per pair, with the similarity
+    listed: DataFrame           # the summary with the lists of matched and missing skills, from one computation
 
 
 def analyze_pairs(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, kb: DataFrame, aliases: DataFrame,
@@ -45,12 +46,14 @@ def analyze_pairs(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, kb: Dat
     required = held if same_texts else found(jobs)
     mi = match_inputs(pairs, held.select(F.col("doc_id").alias("resume_id"), "skill"),
                       required.select(F.col("doc_id").alias("job_id"), "skill"))
-    frame = with_priority_counts(pair_frame(mi, threshold), mi.required, kb)
+    frame = with_priority_counts(pair_frame(mi, threshold, of_jobs=job_levels(mi.required, kb)))
     own = held.select(F.col("doc_id").alias("resume_id"), "skill", "evidence")
     counted = match_summary(mi, threshold, frame=frame, keep=("high_count",))
     missing = frame.select(*PAIR, F.posexplode("missing").alias("pos", "skill"))
     recs = recommendations(missing, kb)
     prio = priority_summary(recs)
     scores, _ = similarity(resumes, jobs, pairs, max_features=max_features)
-    return Analysis(counted.drop("high_count"), evidence_table(frame, own), recs, prio, scores,
-                    pair_summary(counted, None, scores))
+    lists = ("matched_skills", "missing_skills")
+    listed = pair_summary(counted, None, scores, keep=lists)
+    return Analysis(counted.drop("high_count"), evidence_table(frame, own), recs, prio, scores, listed.drop(*lists),
+                    listed)

@@ -21,7 +21,7 @@ def evaluate_sets(samples: DataFrame, keys=("sample_id",), truth: str = "truth",
     """PL-06 on one row per sample holding both skill sets as arrays.
 
     Set arithmetic (ST-03) runs inside the row; only the micro-average
-    total is an aggregate.  Same output as ``evaluate``.
+    total is an aggregate, beside the rows.  Same output as ``evaluate``.
     """
     keys = list(keys)
     t = F.array_distinct(F.coalesce(F.col(truth), F.array().cast("array<string>")))
@@ -33,7 +33,23 @@ def evaluate_sets(samples: DataFrame, keys=("sample_id",), truth: str = "truth",
                    F.array_join(F.array_sort("tps"), "|").alias("tp_skills"),
                    F.array_join(F.array_sort("fps"), "|").alias("fp_skills"),
                    F.array_join(F.array_sort("fns"), "|").alias("fn_skills"))
-    return _with_total(per, keys)
+    return _metrics(per.select(F.lit("sample").alias("level"), *per.columns).unionByName(
+        _total(per, keys))).select(*_columns(keys))
+
+
+LISTS = ["tp_skills", "fp_skills", "fn_skills"]
+
+
+def _columns(keys) -> list[str]:
+    return ["level", *keys, "domain", "tp", "fp", "fn", "precision", "recall", "f1", "jaccard", *LISTS]
+
+
+def _total(per: DataFrame, keys) -> DataFrame:
+    """The micro-average's one row (AG-07): three sums, so no sample row is shuffled; no samples, no total."""
+    t = per.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).filter("n > 0")
+    return t.select(F.lit("total").alias("level"), *[F.lit(None).cast(per.schema[c].dataType).alias(c)
+                                                     for c in [*keys, "domain"]], "tp", "fp", "fn",
+                    *[F.lit(None).cast("string").alias(c) for c in LISTS])
 
 
 def _with_total(per: DataFrame, keys) -> DataFrame:

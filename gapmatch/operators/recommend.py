@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.scoring import priority, priority_reason
 from ..functions.skills import canon, title_case
+from ..functions.text import select_once
 
 
 
@@ -62,18 +63,47 @@ def priority_summary(recs: DataFrame, keys=("resume_id", "job_id")) -> DataFrame
     )
 
 
-def with_priority_counts(frame: DataFrame, required: DataFrame, kb: DataFrame) -> DataFrame:
+def job_items(required: DataFrame, kb: DataFrame) -> DataFrame:
+    """(job_id, items): the recommendation of every required skill of a job, in the order of its list.
+
+    Made once per job, before pairs exist, for ``match.pair_frame`` (``of_jobs``).
+    """
+    recs = recommendations(required.select("job_id", "skill").distinct(), kb, keys=("job_id",))
+    return recs.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(*ITEM))).alias("items"))
+
+
+def job_levels(required: DataFrame, kb: DataFrame) -> DataFrame:
+    """(job_id, levels): the priority of every required skill of a job, as ``job_items``."""
+    recs = recommendations(required.select("job_id", "skill").distinct(), kb, keys=("job_id",))
+    return recs.groupBy("job_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("skill_key", "priority"))).alias("levels"))
+
+
+def with_priority_counts(frame: DataFrame) -> DataFrame:
     """AG-11 inside the pair row: ``frame`` with total_recommended, high_count, medium_count and low_count.
 
-    The priorities of a job's required skills are looked up once per job,
-    before pairs exist, so missing skills are neither exploded nor shuffled.
-    ``frame`` is ``match.pair_frame``, ``required`` its canonical skills.
+    ``frame`` is ``match.pair_frame`` with ``job_levels``, so missing skills are
+    neither exploded nor shuffled, and no row with lists is.
     """
-    levels = (recommendations(required.select("job_id", "skill").distinct(), kb, keys=("job_id",)).groupBy("job_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct("skill_key", "priority"))).alias("levels")))
-    f = frame.join(levels, "job_id", "left")
-    count = lambda level: F.size(F.filter(
-        "missing", lambda s: F.element_at("levels", s) == level)).cast("bigint")
+    f = select_once(frame, [c for c in frame.columns if c != "levels"],
+                    _lv=F.transform("missing", lambda s: F.element_at("levels", s)))
+    count = lambda level: (F.size("_lv") - F.size(F.array_remove("_lv", level))).cast("bigint")
     return f.withColumns({
         "total_recommended": F.size("missing").cast("bigint"), "high_count": count(L.PRIORITY_HIGH),
-        "medium_count": count(L.PRIORITY_MEDIUM), "low_count": count(L.PRIORITY_LOW)}).drop("levels")
+        "medium_count": count(L.PRIORITY_MEDIUM), "low_count": count(L.PRIORITY_LOW)}).drop("_lv")
+
+
+def pair_priorities(frame: DataFrame, keys=("resume_id", "job_id")) -> DataFrame:
+    """``priority_summary`` inside the pair row; ``frame`` is ``match.pair_frame`` with ``job_items``.
+
+    Items stand in the order of the job's list, which is that of the missing list.
+    """
+    open_ = F.filter("items", lambda x: F.array_contains("missing", x["skill_key"]))
+    f = select_once(frame, keys, _open=open_).filter(F.size("_open") > 0)
+    bucket = lambda level: F.filter("_open", lambda x: x["priority"] == level)
+    f = select_once(f, [*keys, "_open"], high_priority=bucket(L.PRIORITY_HIGH),
+                    medium_priority=bucket(L.PRIORITY_MEDIUM), low_priority=bucket(L.PRIORITY_LOW))
+    size = lambda c: F.size(c).cast("bigint")
+    return f.select(*keys, size("_open").alias("total_recommended"), size("high_priority").alias("high_count"),
+                    size("medium_priority").alias("medium_count"), size("low_priority").alias("low_count"),
+                    "high_priority", "medium_priority", "low_priority")

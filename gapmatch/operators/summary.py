@@ -26,16 +26,18 @@ def priority_counts(prio: DataFrame) -> DataFrame:
         f"'{L.PRIORITY_LOW}', low_count) AS (priority, count)")).withColumn("count", F.col("count").cast("bigint"))
 
 
-def pair_summary(summary: DataFrame, prio: DataFrame | None = None, similarity: DataFrame | None = None) -> DataFrame:
+def pair_summary(summary: DataFrame, prio: DataFrame | None = None, similarity: DataFrame | None = None,
+                 keep: tuple = ()) -> DataFrame:
     """PL-07: score, level (with its sentence), missing count and high-priority count per pair.
 
     ``high_count`` comes from ``prio``, or is a column of the summary (``match_summary`` with ``keep``).
+    ``keep``: further columns of the summary to carry along, put last.
     """
     g = gap_level("match_percentage")
     s = summary if prio is None else summary.join(prio.select(*PAIR, "high_count"), PAIR, "left")
     out = s.select(*PAIR, "match_percentage", g["level"].alias("gap_level"), g["description"].alias("gap_description"),
                    "total_matched", "total_missing", "total_extra",
-                   F.coalesce("high_count", F.lit(0).cast("bigint")).alias("high_priority_count"))
+                   F.coalesce("high_count", F.lit(0).cast("bigint")).alias("high_priority_count"), *keep)
     if similarity is not None:
         out = out.join(similarity.select(*PAIR, "text_similarity_percentage"), PAIR, "left")
-    return out
+    return out.select(*[c for c in out.columns if c not in keep], *keep)
