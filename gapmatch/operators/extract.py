@@ -99,7 +99,7 @@ def _special_lines(m) -> Column:
 
 def special_terms(d: DataFrame) -> DataFrame:
     """SC-07 as a table: (doc_id, raw, line_no, section)."""
-    x = d.select("doc_id", "hdrs", F.inline(special_matches()))
+    x = select_once(d, ["doc_id", "hdrs"], _m=special_matches()).select("doc_id", "hdrs", F.inline("_m"))
     return x.select("doc_id", "raw", "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
 
 
@@ -142,19 +142,21 @@ def _found(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     tok = tok.join(known, "tok", "left").filter(F.col("known") | (F.col("i") == 0))
     per_line = tok.groupBy("doc_id", "line_no").agg(
         F.first("section").alias("section"), F.max("direct").alias("direct"),
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct(F.col("i").alias("p"), "tok", "piece")))).alias("t"))
+        F.sort_array(F.collect_list(F.when(F.col("known"), F.struct(F.col("i").alias("p"), "tok", "piece")))).alias("t"))
     lens = sorted(r["n"] for r in dictionary.select("n").distinct().collect())
     grams = F.flatten(F.array(*[_grams_of(n) for n in lens]))
     own = F.transform(F.coalesce("direct", F.array().cast("array<string>")), lambda r: F.struct(
         F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("key"), r.alias("raw")))
-    g = per_line.select("doc_id", "line_no", "section", F.inline(F.concat(grams, own)))
+    # a computed list leaves through ``select_once``: an explode's own condition on it would build it once more
+    g = select_once(per_line, ["doc_id", "line_no", "section"], _g=F.concat(grams, own)).select(
+        "doc_id", "line_no", "section", F.inline("_g"))
     phrase = dictionary.select("key").distinct().withColumn("found", F.lit(True))
     key = F.coalesce("key", F.concat(F.lit("\n"), F.xxhash64("doc_id", "line_no", "raw").cast("string")))
     g = g.withColumn("key", key).join(phrase, "key", "left").filter(F.col("found") | (F.col("n") == 0))
     return g.groupBy("doc_id", "line_no").agg(
         F.first("section").alias("section"),
         F.collect_list(F.when(F.col("n") == 0, F.col("raw"))).alias("direct"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(
+        F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct(
             (-F.col("n")).alias("neg"), "start", (F.col("start") + F.col("n")).alias("end"), "raw")))).alias("c"))
 
 
@@ -163,8 +165,8 @@ def phrase_spans(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     (doc_id, line_no, start, n, raw, section) with 1-based token positions.
     """
-    ln = lines.select("doc_id", "line_no", S.section_of_line("hdrs", "line_no").alias("section"),
-                      F.array().cast("array<string>").alias("direct"), token_pieces("line").alias("pieces"))
+    ln = select_once(lines, ["doc_id", "line_no"], section=S.section_of_line("hdrs", "line_no"),
+                     direct=F.array().cast("array<string>"), pieces=token_pieces("line"))
     f = _found(ln, dictionary).select("doc_id", "line_no", "section", F.explode("c").alias("k"))
     return f.select("doc_id", "line_no", "k.start", (-F.col("k.neg")).alias("n"), "k.raw", "section")
 
@@ -183,9 +185,10 @@ SPAN = "neg:int,start:int,end:int,raw:string"
 
 def longest_spans(spans: DataFrame) -> DataFrame:
     """WN-02: keep longest spans first (earlier start on ties), dropping overlaps, inside each line."""
-    g = spans.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct(
+    g = spans.groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("n")).alias("neg"), "start", (F.col("start") + F.col("n")).alias("end"), "raw", "section"))).alias("c"))
-    kept = g.select("doc_id", "line_no", F.explode(_longest("c", f"array<struct<{SPAN},section:string>>")).alias("k"))
+    g = select_once(g, ["doc_id", "line_no"], kept=_longest("c", f"array<struct<{SPAN},section:string>>"))
+    kept = g.select("doc_id", "line_no", F.explode("kept").alias("k"))
     return kept.select("doc_id", "line_no", F.col("k.start").alias("start"), (-F.col("k.neg")).alias("n"), "k.raw", "k.section")
 
 
@@ -201,7 +204,8 @@ def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     found = _acronym_matches(aliases)
     if found is None:
         found = F.array().cast("array<string>")
-    x = lines.select("doc_id", "line_no", "hdrs", F.explode(found).alias("raw"))
+    x = select_once(lines, ["doc_id", "line_no", "hdrs"], _raw=found).select(
+        "doc_id", "line_no", "hdrs", F.explode("_raw").alias("raw"))
     return x.select("doc_id", "raw", "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
 
 
@@ -253,7 +257,8 @@ def candidates(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame) -> Da
                      pieces=token_pieces("line"))
     spans = _found(ln, dictionary)
     kept = F.transform(_longest("c", f"array<struct<{SPAN}>>"), lambda k: F.btrim(k["raw"], F.lit(" ")))
-    return spans.select("doc_id", F.explode(F.concat("direct", kept)).alias("raw"), "line_no", "section")
+    spans = select_once(spans, ["doc_id", "line_no", "section"], _raw=F.concat("direct", kept))
+    return spans.select("doc_id", F.explode("_raw").alias("raw"), "line_no", "section")
 
 
 def detections(docs: DataFrame, kb_keys: DataFrame, aliases: DataFrame, prepared=None) -> DataFrame:
@@ -281,7 +286,7 @@ def extract_skills(docs: DataFrame, kb_keys: DataFrame, aliases: DataFrame, prep
     """
     det = detections(docs, kb_keys, aliases, prepared)
     g = det.groupBy("doc_id", "skill").agg(F.collect_set("section").alias("secs"))
-    ordered = F.transform(F.array_sort(F.transform("secs", lambda s: F.struct(section_rank(s).alias("r"),
+    ordered = F.transform(F.sort_array(F.transform("secs", lambda s: F.struct(section_rank(s).alias("r"),
                                                                                s.alias("s")))),
                           lambda x: x["s"])
     return g.select("doc_id", "skill", display_name("skill").alias("display_name"), ordered.alias("sections"),

@@ -68,7 +68,7 @@ def induced_lemmas(docs: DataFrame, lexicon: Lexicon | None = None, id_col: str
     lemmas = lemma_map(lex.vocabulary, lex.words.select("term"), lex.exceptions)
     changes = materialize(lemmas.filter("lemma <> term"))
     t = _terms(docs, id_col)
-    own = (t.select(id_col, F.explode(F.array_distinct("t")).alias("term")).join(changes, "term")
+    own = (X.select_once(t, [id_col], d=F.array_distinct("t")).select(id_col, F.explode("d").alias("term")).join(changes, "term")
            .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "lemma"))).alias("changed")))
     out = t.join(own, id_col, "left")
     text = F.array_join(F.transform("t", lambda x: F.coalesce(F.element_at("changed", x), x)), " ")

@@ -57,7 +57,8 @@ def _tokens(docs: DataFrame, id_col: str) -> DataFrame:
     t = X.select_once(d, [id_col], t=F.transform("c", lambda c: F.struct(
         _word(c).alias("w"), _mark(c).alias("mark"), F.substring(c, 1, 1).rlike("[A-Z]").alias("upper"))))
     nxt = F.slice("t", 2, F.size("t"))
-    rows = t.select(id_col, F.posexplode(F.arrays_zip(F.col("t").alias("a"), nxt.alias("b"))).alias("pos", "p"))
+    t = X.select_once(t, [id_col], z=F.arrays_zip(F.col("t").alias("a"), nxt.alias("b")))
+    rows = t.select(id_col, F.posexplode("z").alias("pos", "p"))
     return rows.select(id_col, "pos", F.col("p.a.w").alias("w"), F.col("p.a.mark").alias("mark"),
                        F.col("p.b.w").alias("x"), F.col("p.b.upper").alias("upper"))
 

@@ -52,7 +52,7 @@ def doc_vectors(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) -
     Sorted terms stand in runs; a run's length is the way to the start of the next.
     """
     d = doc_terms(docs.select("id", "text"), lexicon, stops)
-    d = X.select_once(d, ["id", "nonblank"], t=F.array_sort("terms"))
+    d = X.select_once(d, ["id", "nonblank"], t=F.sort_array("terms"))
     n = F.size("t")
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
                       lambda i: (i < n) & ((i == 0) | (F.get("t", i) != F.get("t", i - 1))))
@@ -74,7 +74,7 @@ def side_by_side(r, j) -> Column:
     """Both vectors as one sorted array, in which the two counts of a shared term are neighbours."""
     side = lambda v, k: F.transform(F.coalesce(v, F.array().cast(VECTOR)), lambda x: F.struct(
         x["term"].alias("term"), F.lit(k).alias("side"), x["cnt"].alias("cnt")))
-    return F.array_sort(F.concat(side(F.col(r), 0), side(F.col(j), 1)))
+    return F.sort_array(F.concat(side(F.col(r), 0), side(F.col(j), 1)))
 
 
 def merged_terms(s) -> Column:
@@ -102,20 +102,21 @@ def per_pair(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: Dat
     keep = [*PAIR, "r_nonblank", "j_nonblank"]
     d = X.select_once(p, keep, s=side_by_side("r", "j"))
     d = X.select_once(d, keep, m=merged_terms(F.col("s")))
-    kept = F.when(F.size("m") > max_features, F.slice(F.array_sort("m"), 1, max_features)).otherwise(F.col("m"))
+    kept = F.when(F.size("m") > max_features, F.slice(F.sort_array("m"), 1, max_features)).otherwise(F.col("m"))
     d = X.select_once(d, keep, m=kept)
     shared = F.filter("m", lambda x: (x["r"] > 0) & (x["j"] > 0))
     d = X.select_once(d, [*keep, "m"], b=shared)
     total = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + f(x))
     top = F.slice(F.sort_array(F.transform("b", lambda x: F.struct((x["r"] * x["j"]).alias("w"), x["term"].alias("term"))),
                                False), 1, top_k)
-    return d.select(
-        *PAIR, F.size("m").cast("bigint").alias("U"), F.size("b").cast("bigint").alias("n_shared"),
-        total("m", lambda x: x["r"] * x["r"]).alias("Sr"), total("m", lambda x: x["j"] * x["j"]).alias("Sj"),
-        total("b", lambda x: x["r"] * x["j"]).alias("dot"), total("b", lambda x: x["r"] * x["r"]).alias("r2"),
-        total("b", lambda x: x["j"] * x["j"]).alias("j2"), F.col("r_nonblank").alias("rb"), F.col("j_nonblank").alias("jb"),
+    # the sums leave their row once: a condition on one of them is not moved below and made again
+    return X.select_once(
+        d, PAIR, U=F.size("m").cast("bigint"), n_shared=F.size("b").cast("bigint"),
+        Sr=total("m", lambda x: x["r"] * x["r"]), Sj=total("m", lambda x: x["j"] * x["j"]),
+        dot=total("b", lambda x: x["r"] * x["j"]), r2=total("b", lambda x: x["r"] * x["r"]),
+        j2=total("b", lambda x: x["j"] * x["j"]), rb=F.col("r_nonblank"), jb=F.col("j_nonblank"),
         # weights of a pair share one denominator: the integer product ranks, ties on the term (SO-03)
-        top.alias("top"))
+        top=top)
 
 
 def similarity(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
