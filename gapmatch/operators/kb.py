@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.skills import alias_variant, curated_display, is_valid_skill
-from ..functions.text import py_strip
+from ..functions.text import py_strip, select_once
 
 KB_COLUMNS = ["skill_key", "name", "category", "skill_type", "hot_technology", "in_demand",
               "occupations_count", "soc_codes", "importance_score"]
@@ -33,23 +33,25 @@ def _pystr(c):
 
 def software_kb(sw: DataFrame) -> DataFrame:
     """AG-01 (+ FLT-03, FLT-07): one row per lowercased software skill."""
-    raw = py_strip(_pystr("workplace_example"))
-    r = sw.select(
-        raw.alias("raw"),
-        (F.upper(py_strip(_pystr("hot_technology"))) == "Y").alias("hot"),
-        (F.upper(py_strip(_pystr("in_demand"))) == "Y").alias("dem"),
-        py_strip(_pystr("element_name")).alias("category"),
-        py_strip(F.coalesce(F.col("soc_code").cast("string"), F.lit(""))).alias("soc"),
-        F.col("ord"),
+    # equal records first: their cells are stripped once, not in every record
+    g = sw.groupBy("workplace_example", "soc_code", "hot_technology", "in_demand").agg(
+        F.min_by("element_name", "ord").alias("element_name"), F.min("ord").alias("ord"), F.count("*").alias("n"))
+    r = select_once(
+        g, ["ord", "n"],
+        raw=py_strip(_pystr("workplace_example")),
+        hot=F.upper(py_strip(_pystr("hot_technology"))) == "Y",
+        dem=F.upper(py_strip(_pystr("in_demand"))) == "Y",
+        category=py_strip(_pystr("element_name")),
+        soc=py_strip(F.coalesce(F.col("soc_code").cast("string"), F.lit(""))),
     )
     r = r.filter((F.col("raw") != "") & (F.lower("raw") != "nan")).withColumn("skill_key", F.lower("raw"))
     r = r.filter(~F.col("skill_key").isin(sorted(L.BLOCKLIST)))
-    # two-level aggregate in one pass: (skill, soc) first, then skill; both
-    # levels are partial aggregates, so a skill on a third of all rows is fine
+    # two levels: (skill, soc) first, then skill; all levels are partial
+    # aggregates, so a skill on a third of all rows is fine
     lvl1 = r.groupBy("skill_key", "soc").agg(
         F.min("ord").alias("o"),
         F.min_by(F.struct("raw", "category"), "ord").alias("first"),
-        F.bool_or("hot").alias("hot"), F.bool_or("dem").alias("dem"), F.count("*").alias("n"))
+        F.bool_or("hot").alias("hot"), F.bool_or("dem").alias("dem"), F.sum("n").alias("n"))
     agg = lvl1.groupBy("skill_key").agg(
         F.min_by("first", "o").alias("first"),
         F.min("o").alias("first_ord"),
@@ -74,7 +76,8 @@ def essential_kb(ess: DataFrame) -> DataFrame:
     g = (ess.filter(F.col("element_name").isNotNull())
          .groupBy("element_name")
          .agg(F.avg("data_value").alias("mean"), F.count("data_value").alias("cnt")))
-    g = g.select("element_name", py_strip(F.col("element_name")).alias("raw"), "mean", "cnt")
+    # names are judged once each: a condition on a grouping column would be moved below the aggregate, to every record
+    g = select_once(g, ["element_name", "mean", "cnt"], raw=py_strip("element_name"))
     g = g.filter((F.col("raw") != "") & (F.lower("raw") != "nan")).withColumn("skill_key", F.lower("raw"))
     g = g.filter(~F.col("skill_key").isin(sorted(L.BLOCKLIST)) & is_valid_skill("skill_key"))
     per_key = g.groupBy("skill_key").agg(

@@ -89,7 +89,7 @@ def with_priority_counts(frame: DataFrame) -> DataFrame:
                     _lv=F.transform("missing", lambda s: F.element_at("levels", s)))
     count = lambda level: (F.size("_lv") - F.size(F.array_remove("_lv", level))).cast("bigint")
     return f.withColumns({
-        "total_recommended": F.size("missing").cast("bigint"), "high_count": count(L.PRIORITY_HIGH),
+        "total_recommended": F.size("_lv").cast("bigint"), "high_count": count(L.PRIORITY_HIGH),
         "medium_count": count(L.PRIORITY_MEDIUM), "low_count": count(L.PRIORITY_LOW)}).drop("_lv")
 
 

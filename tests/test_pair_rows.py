@@ -6,8 +6,10 @@ from gapmatch.functions import lookups as L
 from gapmatch.operators import evaluate as EVAL
 from gapmatch.operators import evidence as EV
 from gapmatch.operators import extract as X
+from gapmatch.operators import kb as K
 from gapmatch.operators import match as M
 from gapmatch.operators import recommend as R
+from gapmatch.plans.reuse import stored
 
 KB = ("skill_key string, name string, category string, hot_technology boolean, in_demand boolean, "
       "occupations_count bigint, importance_score double")
@@ -77,3 +79,42 @@ def test_spans_are_resolved_once(spark):
     out = X.longest_spans(sp)
     assert [r["raw"] for r in out.collect()] == ["a b"]
     assert _plan(out).count("aggregate(c") <= 1
+
+
+def test_pairs_are_not_shuffled_by_job_to_meet_few_jobs(spark):
+    mi, kb = _inputs(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")  # less than Spark's guess of the joined size
+    try:
+        jobs = stored(M.job_lists(mi, R.job_items(mi.required, kb)))
+        f = R.pair_priorities(M.pair_frame(mi, jobs=jobs))
+        plan = f._jdf.queryExecution().sparkPlan().toString()
+        top = plan[:plan.index("resume_id#", plan.index("LeftOuter"))]
+        assert "BroadcastHashJoin [job_id#" in top
+        got = f.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = R.pair_priorities(M.pair_frame(mi, of_jobs=R.job_items(mi.required, kb))).collect()
+    assert sorted(got) == sorted(want) and len(want) == 2
+
+
+def test_essential_names_are_judged_once_not_in_every_record(spark):
+    ess = spark.createDataFrame([("Python Work", 3.0), ("python work", 5.0), (None, 1.0), ("it", 2.0)],
+                                "element_name string, data_value double")
+    out = K.essential_kb(ess)
+    plan = _plan(out)
+    assert "regexp_replace" not in plan[plan.rindex("Aggregate [element_name"):]
+    assert [(r["skill_key"], r["name"], r["importance_score"]) for r in out.collect()] == [("python work", "Python Work", 5.0)]
+
+
+def test_software_cells_are_stripped_after_equal_records_are_counted(spark):
+    rows = [("s1", " SQL ", "x", "N", "y", "2"), ("s1", " SQL ", "first", "N", "y", "1"), ("s2", "sql", None, "Y", None, "3"),
+            ("s2", "sql", "late", "Y", None, None)]
+    sw = spark.createDataFrame(rows, "soc_code string, workplace_example string, element_name string, "
+                                     "hot_technology string, in_demand string, ord string")
+    out = K.software_kb(sw)
+    plan = _plan(out)
+    assert "regexp_replace" not in plan[plan.rindex("Aggregate [workplace_example"):]
+    r = out.first()
+    assert (r["name"], r["category"], r["hot_technology"], r["in_demand"], r["occupations_count"], r["soc_codes"]) == (
+        "SQL", "first", True, True, 4, ["s1", "s2"])
