@@ -84,25 +84,33 @@ def curated_display(c) -> Column:
 
 
 def is_valid_skill(c) -> Column:
-    """FLT-02: skill validity rules, in order, as one boolean expression."""
-    x = col(c)
-    s = py_strip(F.lower(x))
-    s_sp = F.replace(s, F.lit("-"), F.lit(" "))
-    toks = py_split(s)
-    n = F.size(toks)
-    n_sp = F.size(py_split(s_sp))
+    """FLT-02: skill validity rules, in order, as one boolean expression.
+
+    The string and its words are bound as lambda variables: each is made once
+    for all rules.
+    """
     req = sorted(L.REQUIRED_MULTI)
     allowed = sorted(L.ALLOWED_SINGLE)
     block = sorted(L.BLOCKLIST)
-    rule1 = ((n > 1) & s.isin(req)) | ((n_sp > 1) & s_sp.isin(req))
-    rule2 = ((n == 1) & s.isin(allowed)) | ((n_sp == 1) & s_sp.isin(allowed))
-    rule3 = (n == 1) & s.isin(block)
-    all_blocked = F.forall(toks, lambda t: t.isin(block))
-    return (
-        F.when(x.isNull() | (s == ""), F.lit(False))
-        .when(rule1, F.lit(True))
-        .when(rule2, F.lit(True))
-        .when(rule3, F.lit(False))
-        .when(n > 1, ~all_blocked)
-        .otherwise(F.lit(False))
-    )
+
+    def parts(s):
+        s_sp = probe_hyphen(s)
+        toks = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS_CLASS}+", -1))
+        return F.struct(s.alias("s"), s_sp.alias("s_sp"), toks.alias("toks"),
+                        F.when(s_sp == s, F.size(toks)).otherwise(F.size(py_split(s_sp))).alias("n_sp"))
+
+    def rules(v):
+        s, s_sp, n, n_sp = v["s"], v["s_sp"], F.size(v["toks"]), v["n_sp"]
+        rule1 = ((n > 1) & s.isin(req)) | ((n_sp > 1) & s_sp.isin(req))
+        rule2 = ((n == 1) & s.isin(allowed)) | ((n_sp == 1) & s_sp.isin(allowed))
+        rule3 = (n == 1) & s.isin(block)
+        return (
+            F.when(s.isNull() | (s == ""), F.lit(False))
+            .when(rule1, F.lit(True))
+            .when(rule2, F.lit(True))
+            .when(rule3, F.lit(False))
+            .when(n > 1, ~F.forall(v["toks"], lambda t: t.isin(block)))
+            .otherwise(F.lit(False))
+        )
+
+    return F.exists(F.transform(F.array(py_strip(F.lower(col(c)))), parts), rules)
