@@ -24,6 +24,8 @@ ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Likelihood of a period after an abbreviation.
 AFTER_ABBREVIATION = 0.99
 NUMBER = "##"
+#: A token of letters alone has neither marks nor quotes, and no further rule is tried on it.
+LETTERS = r"\A[A-Za-z]+\z"
 
 
 class SentenceModel(NamedTuple):
@@ -52,10 +54,13 @@ def _mark(core) -> Column:
 
 def _tokens(docs: DataFrame, id_col: str) -> DataFrame:
     """``id, pos, w, mark, x, upper``: every token, the word after it and whether that begins in upper case."""
-    cores = F.transform(F.regexp_extract_all(X.clean_text("text"), F.lit(r"\S+"), 0), _core)
+    cores = F.transform(F.regexp_extract_all(X.clean_text("text"), F.lit(r"\S+"), 0),
+                        lambda p: F.when(p.rlike(LETTERS), p).otherwise(_core(p)))
     d = X.select_once(docs, [id_col], c=cores)
-    t = X.select_once(d, [id_col], t=F.transform("c", lambda c: F.struct(
-        _word(c).alias("w"), _mark(c).alias("mark"), F.substring(c, 1, 1).rlike("[A-Z]").alias("upper"))))
+    token = lambda w, mark, upper: F.struct(w.alias("w"), mark.alias("mark"), upper.alias("upper"))
+    t = X.select_once(d, [id_col], t=F.transform("c", lambda c: F.when(
+        c.rlike(LETTERS), token(F.lower(c), F.lit(""), c < "a")).otherwise(
+        token(_word(c), _mark(c), F.substring(c, 1, 1).rlike("[A-Z]")))))
     nxt = F.slice("t", 2, F.size("t"))
     t = X.select_once(t, [id_col], z=F.arrays_zip(F.col("t").alias("a"), nxt.alias("b")))
     rows = t.select(id_col, F.posexplode("z").alias("pos", "p"))
@@ -125,10 +130,9 @@ def held_periods(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id")
     that go together are never parted.
     """
     t = _tokens(docs, id_col).filter("mark = '.' and x is not null")
-    short = t.join(model.abbreviations.select("w"), "w", "left_semi")
-    other = F.col("w").rlike(r"\A[a-z]\z") | (F.col("w") == NUMBER)
-    rest = t.filter(other).join(model.abbreviations.select("w"), "w", "left_anti").select(*short.columns)
-    cand = (short.union(rest).join(model.starters.select("x", F.lit(True).alias("starts")), "x", "left")
+    t = t.join(model.abbreviations.select("w", F.lit(True).alias("short")), "w", "left")
+    short = F.col("short") | F.col("w").rlike(r"\A[a-z]\z") | (F.col("w") == NUMBER)
+    cand = (t.filter(short).join(model.starters.select("x", F.lit(True).alias("starts")), "x", "left")
             .join(model.collocations.select("w", "x", F.lit(True).alias("together")), ["w", "x"], "left"))
     begins = F.col("upper") & ((F.col("w") == NUMBER) | F.col("starts").isNotNull())
     return (cand.filter(F.col("together").isNotNull() | ~begins).groupBy(id_col)
@@ -147,7 +151,8 @@ def split_sentences(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id
         core = _core(p)
         ends = core.rlike(r"[.!?]\z") & (~F.endswith(core, F.lit(".")) | F.endswith(core, F.lit(".."))
                                          | ~F.array_contains("held", i))
-        return F.when(ends, F.concat(p, F.lit("\x01"))).otherwise(p)  # cleaned text holds no such character
+        # cleaned text holds no such character; without a mark nothing ends
+        return F.when(~p.rlike("[.!?]"), p).when(ends, F.concat(p, F.lit("\x01"))).otherwise(p)
 
     marked = F.array_join(F.transform("parts", cut), "")
     sentences = F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.btrim(s, F.lit(" \n"))), lambda s: s != "")

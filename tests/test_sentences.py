@@ -59,3 +59,13 @@ def test_the_ratio_is_zero_where_a_pair_is_rarer_than_by_chance(spark):
     r = spark.range(1).select(S._ratio(F.lit(100.0), F.lit(50.0), F.lit(40.0), F.lit(1000.0)).alias("often"),
                               S._ratio(F.lit(100.0), F.lit(500.0), F.lit(1.0), F.lit(1000.0)).alias("rarely")).first()
     assert r["often"] > 100 and r["rarely"] == 0
+
+
+def test_held_periods_cut_the_texts_once(spark):
+    docs = spark.createDataFrame([(1, "See Dr. Who. \"J. Doe\" met no. 5. It ended! A.B. x"), (2, None)], "doc_id bigint, text string")
+    one = lambda rows, cols: spark.createDataFrame(rows, cols)
+    model = S.SentenceModel(one([("dr", 9.0), ("j", 9.0)], "w string, score double"), one([("it", 9.0)], "x string, score double"),
+                              one([("no", "##", 9.0)], "w string, x string, score double"))
+    held = S.held_periods(docs, model)
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r["doc_id"]: sorted(r["held"]) for r in held.collect()} == {1: [1, 3]}
