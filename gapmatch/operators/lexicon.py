@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.reuse import materialize
+from ..plans.reuse import materialize, stored
 from .documents import LEAST_STEM, NOUN_RULES, lemma_map
 
 #: Bases that a paradigm needs.
@@ -39,7 +39,11 @@ def _terms(docs: DataFrame, id_col: str) -> DataFrame:
 
 def induce_lexicon(docs: DataFrame, id_col: str = "doc_id", support: int = SUPPORT) -> Lexicon:
     """The lexicon and exceptions of all ``docs(id, text)``."""
-    vocab = materialize(_terms(docs, id_col).select(F.explode("t").alias("term")).groupBy("term")
+    return _induce(_terms(docs, id_col), support)
+
+
+def _induce(terms: DataFrame, support: int = SUPPORT) -> Lexicon:
+    vocab = materialize(terms.select(F.explode("t").alias("term")).groupBy("term")
                         .agg(F.count("*").alias("n")))
     alpha = vocab.filter(F.col("term").rlike(r"\A[a-z]+\z"))
     rewrites = F.filter(F.array(*[
@@ -64,12 +68,13 @@ def induce_lexicon(docs: DataFrame, id_col: str = "doc_id", support: int = SUPPO
 
 def induced_lemmas(docs: DataFrame, lexicon: Lexicon | None = None, id_col: str = "doc_id") -> DataFrame:
     """``id, lemma_text``: content words of every document as lemmas by an induced lexicon, joined by a space."""
-    lex = lexicon or induce_lexicon(docs, id_col)
+    # the words are needed up to three times: written once, not cut from the texts again
+    t = stored(_terms(docs, id_col))
+    lex = lexicon or _induce(t)
     lemmas = lemma_map(lex.vocabulary, lex.words.select("term"), lex.exceptions)
     changes = materialize(lemmas.filter("lemma <> term"))
-    t = _terms(docs, id_col)
     own = (X.select_once(t, [id_col], d=F.array_distinct("t")).select(id_col, F.explode("d").alias("term")).join(changes, "term")
-           .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "lemma"))).alias("changed")))
+           .groupBy(id_col).agg(F.map_from_entries(F.collect_set(F.struct("term", "lemma"))).alias("changed")))
     out = t.join(own, id_col, "left")
     text = F.array_join(F.transform("t", lambda x: F.coalesce(F.element_at("changed", x), x)), " ")
     return out.select(id_col, text.alias("lemma_text"))

@@ -47,7 +47,7 @@ def _match_summary(spark, sf):
 
 def _pair_frame(mi, threshold=L.FUZZY_THRESHOLD, resumes=None, of_jobs=None):
     """The pair rows of the stand-ins, with the jobs' lists (one row a brand) written first."""
-    return M.pair_frame(mi, threshold, resumes, jobs=stored(M.job_lists(mi, of_jobs)))
+    return M.pair_frame(mi, threshold, resumes, jobs=stored(M.job_lists(mi, of_jobs), plain=True))
 
 
 def _frame(spark, sf):

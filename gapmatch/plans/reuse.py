@@ -22,14 +22,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write an intermediate to ``spark.checkpoint.dir`` as plain Parquet and read it back.
+def stored(df: DataFrame, plain: bool = False) -> DataFrame:
+    """Write an intermediate to ``spark.checkpoint.dir`` as Parquet and read it back.
 
     Unlike a checkpoint it has a size that is known before the query runs, so
-    a join with it is planned by that size.  Neither dictionary nor codec:
-    the files are about as large as the rows in memory.
+    a join with it is planned by that size.  ``plain``: neither dictionary nor
+    codec, so that the files are about as large as the rows in memory.
     """
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    w = df.write
+    if plain:
+        w = w.option("compression", "none").option("parquet.enable.dictionary", "false")
+    w.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,3 +48,19 @@ def test_lemmas_of_documents(docs):
 
 def test_no_documents(docs):
     assert LX.induced_lemma_text(docs.limit(0)).collect() == []
+
+
+def test_texts_are_cut_once_for_lexicon_and_lemmas(spark):
+    docs = spark.createDataFrame([(1, "Many wolves and dogs"), (2, None)], "doc_id bigint, text string")
+    out = LX.induced_lemma_text(docs)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["lemma_chars"] for r in out.collect()} == {1: len("many wolves dogs"), 2: 0}
+
+
+def test_an_id_that_comes_twice_has_its_lemmas(spark):
+    docs = spark.createDataFrame([(1, "Grey wolves"), (1, "Grey wolves"), (2, "wolves")], "doc_id bigint, text string")
+    terms = spark.createDataFrame([("wolves", 3), ("wolf", 1), ("grey", 2)], "term string, n bigint")
+    lex = LX.Lexicon(spark.createDataFrame([("wolf", "ves")], "term string, paradigm string"),
+                     spark.createDataFrame([], "term string, lemma string"), terms)
+    got = [(r["doc_id"], r["lemma_text"]) for r in LX.induced_lemmas(docs, lex).collect()]
+    assert sorted(got) == [(1, "grey wolf"), (1, "grey wolf"), (2, "wolf")]

@@ -86,7 +86,7 @@ def test_pairs_are_not_shuffled_by_job_to_meet_few_jobs(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")  # less than Spark's guess of the joined size
     try:
-        jobs = stored(M.job_lists(mi, R.job_items(mi.required, kb)))
+        jobs = stored(M.job_lists(mi, R.job_items(mi.required, kb)), plain=True)
         f = R.pair_priorities(M.pair_frame(mi, jobs=jobs))
         plan = f._jdf.queryExecution().sparkPlan().toString()
         top = plan[:plan.index("resume_id#", plan.index("LeftOuter"))]
