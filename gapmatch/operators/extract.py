@@ -21,23 +21,38 @@ address is one token, so ``github.com/x`` does not yield ``github``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.skills import cleanup, display_name, is_valid_skill, probe_dot_slash, probe_hyphen
-from ..functions.text import clean_text, col, select_once
+from ..functions.text import bound, clean_text, col, select_once
+from ..plans.reuse import stored
 from . import sections as S
 
 # Token rule shared by text and dictionary (applied to lowercased text).  Each
 # piece carries its leading whitespace so that consecutive pieces rebuild the
 # original span text.
 TOKEN_PIECE_RE = r"\s*(?:(?:https?://|www\.)\S+|\S+@\S+|[\pL\pN_]+(?:\.[\pL\pN_]+)*(?:\+\+|#)?|\S)"
+# The same pieces of ASCII text that holds neither a URL nor an e-mail address.
+PLAIN_PIECE_RE = r"\s*+(?:\w++(?:\.\w++)*+(?:\+\+|#)?+|\S)"
+
+def token_pieces(text) -> Column:
+    return bound(F.lower(col(text)), _pieces_of_low)
 
 
+def _pieces_of_low(low) -> Column:
+    """The token pieces of lowercased text."""
+    def cut(s):
+        odd = F.octet_length(s) != F.char_length(s)
+        for mark in ("@", "http", "www."):
+            odd = odd | F.contains(s, F.lit(mark))
+        return (F.when(odd, F.regexp_extract_all(s, F.lit(TOKEN_PIECE_RE), 0))
+                .otherwise(F.regexp_extract_all(s, F.lit(PLAIN_PIECE_RE), 0)))
 
-def token_pieces(text) -> Column:
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN_PIECE_RE), 0)
+    return bound(col(low), cut)
 
 
 def tokens_of(text) -> Column:
@@ -74,14 +89,33 @@ def _line_rows(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "hdrs", F.posexplode(S.lines("clean")).alias("line_no", "line"))
 
 
-def special_matches() -> Column:
-    """SC-07: ARRAY<STRUCT<raw, line_no>> of every special-pattern match of ``clean``."""
-    per_pat = F.array(*[
-        F.struct(F.lit(term).alias("term"), F.transform(F.split(F.col("clean"), pat, -1),
-                             lambda p: F.char_length(p) - F.char_length(F.replace(p, F.lit("\n"), F.lit("")))).alias("nl"))
-        for pat, term in L.SPECIAL_PATTERNS
-    ])
-    return F.flatten(F.transform(per_pat, _special_lines))
+def special_matches(text="clean") -> Column:
+    """SC-07: ARRAY<STRUCT<raw, line_no>> of every special-pattern match of cleaned ``text``, in any case.
+
+    A text is cut only at the patterns whose fixed characters it holds.
+    """
+    breaks = lambda p: F.char_length(p) - F.char_length(F.replace(p, F.lit("\n"), F.lit("")))
+
+    def cut(low):
+        return F.array(*[F.struct(F.lit(term).alias("term"), F.when(
+            F.contains(low, F.lit(fixed)), F.transform(F.split(low, rx, -1), breaks))
+            .otherwise(F.array(F.lit(0))).alias("nl")) for fixed, rx, term in _special_patterns()])
+
+    return F.flatten(F.transform(bound(F.lower(col(text)), cut), _special_lines))
+
+
+def _special_patterns() -> list[tuple[str, str, str]]:
+    """(fixed characters of every match in lower case, pattern, term).
+
+    A pattern that opens with a word boundary tests it after its characters:
+    the search then tries a boundary only where they stand.
+    """
+    out = []
+    for pat, term in L.SPECIAL_PATTERNS:
+        chars = re.fullmatch(r"\(\?i\)(?:\\b|\(\?<![^)]*\))?((?:[\w#]|\\[.+])+?)((?:\\b)?(?:\(\?[!=].*\))?)", pat)
+        opens, (body, rest) = pat.startswith(r"(?i)\b"), chars.groups()
+        out.append((re.sub(r"\\(.)", r"\1", body).lower(), rf"(?i){body}(?<=\b{body}){rest}" if opens else pat, term))
+    return out
 
 
 def _special_lines(m) -> Column:
@@ -193,10 +227,10 @@ def longest_spans(spans: DataFrame) -> DataFrame:
 
 
 def _acronym_matches(aliases: DataFrame) -> Column | None:
-    """JN-03: the whole-word acronyms of ``line`` that are alias keys, None where no alias is one."""
+    """JN-03: the whole-word acronyms of the lowercased ``line`` that are alias keys, None where no alias is one."""
     acr = _acronyms(aliases)
     rx = r"\b(" + "|".join(acr) + r")\b"
-    return F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(rx), 1)) if acr else None
+    return F.array_distinct(F.regexp_extract_all(F.col("line"), F.lit(rx), 1)) if acr else None
 
 
 def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -204,6 +238,7 @@ def acronym_terms(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     found = _acronym_matches(aliases)
     if found is None:
         found = F.array().cast("array<string>")
+    lines = lines.withColumn("line", F.lower("line"))
     x = select_once(lines, ["doc_id", "line_no", "hdrs"], _raw=found).select(
         "doc_id", "line_no", "hdrs", F.explode("_raw").alias("raw"))
     return x.select("doc_id", "raw", "line_no", S.section_of_line("hdrs", "line_no").alias("section"))
@@ -229,9 +264,13 @@ def normalize(df: DataFrame, aliases: DataFrame, src: str = "raw", out: str = "s
 # ---------------------------------------------------------------------------
 
 def prepare(kb_keys: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The alias map and the phrase dictionary (lazy)."""
-    al = aliases.select("alias", "canonical")
-    return al, phrase_dictionary(kb_keys, al)
+    """The alias map and the phrase dictionary, each written once.
+
+    Vocabulary-sized files have a size that is known before the texts are
+    read, so a small one is sent to the tokens and no token is shuffled.
+    """
+    al = stored(aliases.select("alias", "canonical"))
+    return al, stored(phrase_dictionary(kb_keys, al))
 
 
 def _acronyms(aliases: DataFrame) -> list[str]:
@@ -242,19 +281,20 @@ def _acronyms(aliases: DataFrame) -> list[str]:
 def candidates(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame) -> DataFrame:
     """ST-01: raw terms of the three detectors, in one pass: (doc_id, raw, line_no, section).
 
-    A document is cleaned once.  Its lines carry their section, their special
+    A document is cleaned and lowercased once.  Its lines carry their section, their special
     and acronym terms (complete by themselves) and their tokens; only tokens
     of the dictionary go on, are put together per line, and the phrases found
     are resolved longest-first inside the line.
     """
-    d = select_once(_doc_rows(docs), ["doc_id", "clean", "hdrs"], sp=special_matches())
+    d = select_once(_doc_rows(docs), ["doc_id", "hdrs"], low=F.lower("clean"))
+    d = select_once(d, ["doc_id", "low", "hdrs"], sp=special_matches("low"))
     direct = F.transform(F.filter("sp", lambda m: m["line_no"] == F.col("line_no")), lambda m: m["raw"])
     acronyms = _acronym_matches(aliases)
     if acronyms is not None:
         direct = F.concat(direct, acronyms)
-    ln = d.select("doc_id", "hdrs", "sp", F.posexplode(S.lines("clean")).alias("line_no", "line"))
+    ln = d.select("doc_id", "hdrs", "sp", F.posexplode(S.lines("low")).alias("line_no", "line"))
     ln = select_once(ln, ["doc_id", "line_no"], section=S.section_of_line("hdrs", "line_no"), direct=direct,
-                     pieces=token_pieces("line"))
+                     pieces=_pieces_of_low("line"))
     spans = _found(ln, dictionary)
     kept = F.transform(_longest("c", f"array<struct<{SPAN}>>"), lambda k: F.btrim(k["raw"], F.lit(" ")))
     spans = select_once(spans, ["doc_id", "line_no", "section"], _raw=F.concat("direct", kept))

@@ -13,17 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..functions.text import col, select_once
+from ..functions.text import bound, col, select_once
 
 
 def header_class(line) -> Column:
     """SC-08: section class of a stripped line, or NULL (first class wins)."""
-    s = F.btrim(col(line), F.lit(" "))  # cleaned lines hold only printable ASCII
-    expr = None
-    for cls, rx in L.section_classes():
-        cond = s.rlike(rx)
-        expr = F.when(cond, F.lit(cls)) if expr is None else expr.when(cond, F.lit(cls))
-    return expr
+    def first(s):
+        expr = None
+        for cls, rx in L.section_classes():
+            # every pattern starts with ^; only in front of them all it keeps the search from trying each position
+            cond = s.rlike(rx.replace("(?i)", "(?i)^", 1))
+            expr = F.when(cond, F.lit(cls)) if expr is None else expr.when(cond, F.lit(cls))
+        return expr
+
+    return bound(F.btrim(col(line), F.lit(" ")), first)  # cleaned lines hold only printable ASCII
 
 
 def lines(cleaned) -> Column:

@@ -96,3 +96,36 @@ def test_context_reject(spark):
                                  "doc_id long, text string")
     got = {(r["doc_id"], r["term"]): r["rejected"] for r in X.context_rejections(docs).collect()}
     assert got[(1, "linkedin")] is True and got[(2, "oracle")] is False
+
+
+def test_tokens_are_not_shuffled_for_a_small_dictionary(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    al, dic = X.prepare(X.fallback_kb(spark).select("skill_key"), X.L.aliases_df(spark))
+    plan = X.candidates(docs, al, dic)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [tok" in plan and "SortMergeJoin" not in plan
+
+
+ODD = ["See https://x.y/z, WWW.a.b or me@x.org; c++/C# .NET 4.5 a.b..c _d_ é.ü++ ½", "a.b++ c##  x\ty R, r script r; C,\nc \n r",
+       "xr, r\n\n,NODE.JS node.jsx react.js vue.js? c++c c++", "  SKILLS : \n my skills\nWork  Experience:", "", "r", "@ http www."]
+
+
+def test_shorter_searches_find_the_same(spark):
+    """Pieces, special terms and headers are those of the plain patterns."""
+    df = spark.createDataFrame([(s,) for s in ODD], "clean string")
+    plain = [F.split("clean", pat, -1) for pat, _ in X.L.SPECIAL_PATTERNS]
+    line = F.col("clean")
+    cls = F.coalesce(*[F.when(F.btrim(line, F.lit(" ")).rlike(rx), F.lit(c)) for c, rx in X.L.section_classes()])
+    got = df.select(
+        "clean", X.token_pieces("clean").alias("p"), X.special_matches().alias("m"), S.header_class("clean").alias("h"),
+        F.regexp_extract_all(F.lower("clean"), F.lit(X.TOKEN_PIECE_RE), 0).alias("p0"), cls.alias("h0"),
+        F.array(*plain).alias("m0")).collect()
+    for r in got:
+        want = [(t, sum(p.count("\n") for p in cut[:k])) for (_, t), cut in zip(X.L.SPECIAL_PATTERNS, r["m0"], strict=True)
+                for k in range(1, len(cut))]
+        assert r["p"] == r["p0"] and r["h"] == r["h0"] and [tuple(m) for m in r["m"]] == want, r["clean"]
+    assert any(r["m"] for r in got) and any(r["h0"] for r in got)
+
+
+def test_header_search_is_tried_once_a_line():
+    """Only where every pattern starts with ^ may one ^ stand in front of them all."""
+    assert all(p.replace("(?i)", "", 1).startswith("^") for _, p in X.L.SECTION_PATTERNS)
