@@ -106,7 +106,7 @@ def test_tokens_are_not_shuffled_for_a_small_dictionary(spark):
 
 
 ODD = ["See https://x.y/z, WWW.a.b or me@x.org; c++/C# .NET 4.5 a.b..c _d_ é.ü++ ½", "a.b++ c##  x\ty R, r script r; C,\nc \n r",
-       "xr, r\n\n,NODE.JS node.jsx react.js vue.js? c++c c++", "  SKILLS : \n my skills\nWork  Experience:", "", "r", "@ http www."]
+       "xr, r\n\n,NODE.JS node.jsx react.js vue.js? c++c c++", "  SKILLS : \n my skills\nWork  Experience:", "  Technical  SKILLS : ", "", "r", "@ http www."]
 
 
 def test_shorter_searches_find_the_same(spark):
