@@ -215,8 +215,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text",
             t["spans"] = rows
             yield t[[len(x) > 0 for x in rows]]
 
-    # rows that repeat id and text have the same spans
-    more = agreeing_spans(docs, u, min_words, text_col, id_col)
+    # rows that repeat id and text have the same spans; each part is written, so that its shuffles end with it
+    again = written(again, "again")
+    more = written(agreeing_spans(docs, u, min_words, text_col, id_col), "more")
     joined = u.select("k", "th", "starts", "ends", "words").join(again.join(more, ["k", "th"], "full"), ["k", "th"])
     return joined.mapInPandas(
         runs, "k long, th int, spans array<struct<start:int,end:int,words:int,kept_doc_id:long>>"
@@ -234,7 +235,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text_col="text",
     No rows in, no rows out.
     """
     d = docs.drop("spans", "clean_text")
-    s = repeated_spans(d, min_words, text_col, id_col).withColumnsRenamed({"k": "_k", "th": "_th", "spans": "_spans"})
+    s = written(repeated_spans(d, min_words, text_col, id_col), "spans")
+    s = s.withColumnsRenamed({"k": "_k", "th": "_th", "spans": "_spans"})
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:

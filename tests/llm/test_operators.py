@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -475,6 +476,23 @@ def test_every_shared_stretch_is_found():
         assert passages.agreeing(mine, kept, False, 25) == [(at, at + n)]
 
 
+def test_building_passages_leaves_no_shuffle_files(spark):
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(k).getName() for k in range(files.size())) if f.startswith("shuffle_")}
+
+    rows = [(k, prose(5, 60) + "\n" + prose(k, 30)) for k in range(8)]
+    before = shuffle_files()
+    out = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    for _ in range(50):  # files are removed by another thread
+        left = shuffle_files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert out.filter("size(spans) > 0").count() == 7
+
+
 def test_units_cover_the_text():
     t = "A b c. D e!  F 3.5 g... h\n\nline two. x\r\n.\n?! end"
     assert "".join(m[0] for m in re.finditer(passages.UNIT, t)) == t
