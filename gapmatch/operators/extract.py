@@ -38,6 +38,8 @@ from . import sections as S
 TOKEN_PIECE_RE = r"\s*(?:(?:https?://|www\.)\S+|\S+@\S+|[\pL\pN_]+(?:\.[\pL\pN_]+)*(?:\+\+|#)?|\S)"
 # The same pieces of ASCII text that holds neither a URL nor an e-mail address.
 PLAIN_PIECE_RE = r"\s*+(?:\w++(?:\.\w++)*+(?:\+\+|#)?+|\S)"
+#: Tokens, one of each phrase, that a line is tested for by itself, at most; with more, lines go to the join untested.
+ANCHORS = 20_000
 
 def token_pieces(text) -> Column:
     return bound(F.lower(col(text)), _pieces_of_low)
@@ -68,11 +70,16 @@ def phrase_dictionary(kb_keys: DataFrame, aliases: DataFrame) -> DataFrame:
 
     Returns (key STRING tokens joined by ' ', n INT token count).
     """
+    return _phrases(kb_keys, aliases).select("key", "n").distinct()
+
+
+def _phrases(kb_keys: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The dictionary's phrases with their text: (key, n, text), a key once for each of its texts."""
     ph = kb_keys.select(F.col("skill_key").alias("p")).unionByName(aliases.select(F.col("alias").alias("p")))
     ph = ph.select(F.col("p"), F.btrim(F.lower("p"), F.lit(" \t\n\r\x0b\x0c")).alias("ps")).distinct()
     ph = ph.filter((F.char_length("ps") >= 2) & ~F.col("ps").isin(sorted(L.BLOCKLIST)) & is_valid_skill("ps"))
     toks = tokens_of("p")
-    return (ph.select(F.array_join(toks, " ").alias("key"), F.size(toks).alias("n"))
+    return (ph.select(F.array_join(toks, " ").alias("key"), F.size(toks).alias("n"), F.col("ps").alias("text"))
             .filter(F.col("n") > 0).distinct())
 
 
@@ -92,16 +99,30 @@ def _line_rows(d: DataFrame) -> DataFrame:
 def special_matches(text="clean") -> Column:
     """SC-07: ARRAY<STRUCT<raw, line_no>> of every special-pattern match of cleaned ``text``, in any case.
 
-    A text is cut only at the patterns whose fixed characters it holds.
+    A text is cut only at the patterns whose fixed characters it holds; those
+    of one letter, which every text holds, are looked for first, all at once.
     """
-    breaks = lambda p: F.char_length(p) - F.char_length(F.replace(p, F.lit("\n"), F.lit("")))
+    return bound(F.lower(col(text)), _special_of_low)
+
 
-    def cut(low):
+def _special_of_low(low) -> Column:
+    """The special-pattern matches of lowercased text."""
+    breaks = lambda p: F.size(F.split(p, "\n", -1)) - 1
+    patterns = _special_patterns()
+    letters = [x for x in patterns if len(x[0]) == 1]
+    # the letters first and then the patterns: other places fail at their first character
+    any_letter = "(?=[" + "".join(x[0] for x in letters) + "])(?:" + "|".join(x[1] for x in letters) + ")"
+
+    def cut(v):
+        s = v["s"]
         return F.array(*[F.struct(F.lit(term).alias("term"), F.when(
-            F.contains(low, F.lit(fixed)), F.transform(F.split(low, rx, -1), breaks))
-            .otherwise(F.array(F.lit(0))).alias("nl")) for fixed, rx, term in _special_patterns()])
+            v["letter"] & F.contains(s, F.lit(fixed)) if len(fixed) == 1 else F.contains(s, F.lit(fixed)),
+            F.transform(F.split(s, rx, -1), breaks)).otherwise(F.array(F.lit(0))).alias("nl"))
+            for fixed, rx, term in patterns])
 
-    return F.flatten(F.transform(bound(F.lower(col(text)), cut), _special_lines))
+    once = bound(col(low), lambda s: F.struct(
+        s.alias("s"), (s.rlike(any_letter) if letters else F.lit(False)).alias("letter")))
+    return F.flatten(F.transform(bound(once, cut), _special_lines))
 
 
 def _special_patterns() -> list[tuple[str, str, str]]:
@@ -142,6 +163,18 @@ def dictionary_tokens(dictionary: DataFrame) -> DataFrame:
     return dictionary.select(F.explode(F.split("key", " ")).alias("tok")).distinct()
 
 
+def _few_anchors(dictionary: DataFrame) -> list[str] | None:
+    """The longest token of each phrase, if they are few enough to be tested inside a line, else None.
+
+    A line that holds none of them holds no phrase, whatever full stops and
+    hyphens it shares with the dictionary.
+    """
+    longest = F.array_max(F.transform(F.split("key", " "), lambda t: F.struct(
+        F.char_length(t).alias("n"), t.alias("tok"))))
+    rows = dictionary.select(longest["tok"].alias("tok")).distinct().limit(ANCHORS + 1).collect()
+    return sorted(r["tok"] for r in rows) if len(rows) <= ANCHORS else None
+
+
 def _grams_of(n: int) -> Column:
     """Runs of ``n`` consecutive tokens of a line's known tokens ``t`` (position, token, piece)."""
     t = F.col("t")
@@ -160,14 +193,19 @@ def _found(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     A phrase consists of dictionary tokens only, so tokens are first exploded
     (a code-generated generator) and joined with the dictionary's token set;
+    a line without the longest token of any phrase is not exploded;
     n-grams are then built per line over consecutive surviving tokens and
     equi-joined with the dictionary.  Only survivors are shuffled.  ``direct``
     holds the terms that a line has without the dictionary; it goes along in a
     row of its own, whose key no token has and which spreads by line.  ``c``
     is sorted for the longest span first: (neg, start, end, raw), start from 1.
     """
+    pieces, few = F.col("pieces"), _few_anchors(dictionary)
+    if few is not None:
+        known_here = F.exists(pieces, lambda p: F.ltrim(p).isin(few)) if few else F.lit(False)
+        pieces = F.when(known_here, pieces).otherwise(F.array().cast("array<string>"))
     tok = lines.select("doc_id", "line_no", "section", F.posexplode(F.concat(
-        F.array(F.lit(None).cast("string")), F.col("pieces"))).alias("i", "piece"), "direct")
+        F.array(F.lit(None).cast("string")), pieces)).alias("i", "piece"), "direct")
     tok = tok.filter((F.col("i") > 0) | (F.size("direct") > 0))
     alone = F.concat(F.lit("\n"), F.xxhash64("doc_id", "line_no").cast("string"))
     tok = tok.withColumn("direct", F.when(F.col("i") == 0, F.col("direct"))).withColumn(
@@ -264,13 +302,13 @@ def normalize(df: DataFrame, aliases: DataFrame, src: str = "raw", out: str = "s
 # ---------------------------------------------------------------------------
 
 def prepare(kb_keys: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The alias map and the phrase dictionary, each written once.
+    """The alias map and the phrase dictionary (with its texts), each written once.
 
     Vocabulary-sized files have a size that is known before the texts are
     read, so a small one is sent to the tokens and no token is shuffled.
     """
     al = stored(aliases.select("alias", "canonical"))
-    return al, stored(phrase_dictionary(kb_keys, al))
+    return al, stored(_phrases(kb_keys, al))
 
 
 def _acronyms(aliases: DataFrame) -> list[str]:
@@ -287,7 +325,7 @@ def candidates(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame) -> Da
     are resolved longest-first inside the line.
     """
     d = select_once(_doc_rows(docs), ["doc_id", "hdrs"], low=F.lower("clean"))
-    d = select_once(d, ["doc_id", "low", "hdrs"], sp=special_matches("low"))
+    d = select_once(d, ["doc_id", "low", "hdrs"], sp=_special_of_low("low"))
     direct = F.transform(F.filter("sp", lambda m: m["line_no"] == F.col("line_no")), lambda m: m["raw"])
     acronyms = _acronym_matches(aliases)
     if acronyms is not None:
@@ -305,12 +343,22 @@ def detections(docs: DataFrame, kb_keys: DataFrame, aliases: DataFrame, prepared
     """All accepted detections: (doc_id, skill, section display name)."""
     al, dictionary = prepared or prepare(kb_keys, aliases)
     cand = candidates(docs, al, dictionary)
-    cand = cand.filter(is_valid_skill("raw"))
-    cand = normalize(cand, al)
-    cand = cand.filter((F.col("skill") != "") & is_valid_skill("skill"))
+    # the terms that texts hold as the dictionary writes them are judged once, all others row by row
+    texts = dictionary.select(F.col("text").alias("raw"))
+    texts = texts.unionByName(al.select(F.col("alias").alias("raw"))).filter("raw is not null").distinct()
+    cand = cand.join(_skill_of(texts, al).withColumnRenamed("skill", "_known"), "raw", "left")
+    cand = cand.withColumn("_row", F.when(F.col("_known").isNull(), F.col("raw")))
+    cand = _skill_of(cand, al, "_row").withColumn("skill", F.coalesce("_known", "skill")).filter(F.col("skill") != "")
     return cand.select("doc_id", "skill", S.display("section").alias("section"))
 
 
+def _skill_of(terms: DataFrame, aliases: DataFrame, raw: str = "raw") -> DataFrame:
+    """``terms`` with ``skill``: the valid normalised form of a valid ``raw``, else '' or null."""
+    t = normalize(terms.withColumn("_valid", is_valid_skill(raw)), aliases, F.when(F.col("_valid"), F.col(raw)))
+    return t.withColumn("skill", F.when(F.col("_valid") & is_valid_skill("skill"), F.col("skill"))
+                        .otherwise(F.lit(""))).drop("_valid")
+
+
 def section_rank(sec) -> Column:
     kv = []
     for i, s in enumerate(L.SECTION_ORDER):
