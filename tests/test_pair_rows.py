@@ -10,6 +10,7 @@ from gapmatch.operators import kb as K
 from gapmatch.operators import match as M
 from gapmatch.operators import recommend as R
 from gapmatch.plans.reuse import stored
+from gapmatch.sources import fixtures as FX
 
 KB = ("skill_key string, name string, category string, hot_technology boolean, in_demand boolean, "
       "occupations_count bigint, importance_score double")
@@ -118,3 +119,62 @@ def test_software_cells_are_stripped_after_equal_records_are_counted(spark):
     r = out.first()
     assert (r["name"], r["category"], r["hot_technology"], r["in_demand"], r["occupations_count"], r["soc_codes"]) == (
         "SQL", "first", True, True, 4, ["s1", "s2"])
+
+
+def _detailed_frames(spark):
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (1, "none")], "resume_id bigint, job_id string")
+    held = spark.createDataFrame([(1, "cold gear"), (1, "Python"), (1, "sql"), (1, "old gear"), (2, "old rod"), (2, "sql")],
+                                 "resume_id bigint, skill string")
+    req = spark.createDataFrame([("a", "cold rod"), ("a", "python"), ("a", "docker"), ("b", "sql"), ("b", "old gear")],
+                                "job_id string, skill string")
+    own = spark.createDataFrame([(1, "python", "Skills section"), (1, "sql", ""), (1, "old gear", None),
+                                 (2, "old rod", "Summary section"), (1, None, "x")],
+                                "resume_id bigint, skill string, evidence string")
+    mi = M.match_inputs(pairs, held, req)
+    names = EV.display_table(mi.held.select("skill").unionByName(mi.required.select("skill")))
+
+    def frame(made):
+        required = made(EV.detailed(mi.required, "job_id", names))
+        return M.pair_frame(mi, jobs=M.job_lists(mi, required=required), held=made(EV.detailed(mi.held, "resume_id", names, own)))
+
+    resumes = EV.evidence_by_resume(own).join(EV.names_by(mi.held, "resume_id", names, "held_names"), "resume_id", "full")
+    maps = M.pair_frame(mi, resumes=resumes, of_jobs=EV.names_by(mi.required, "job_id", names, "req_names"))
+    return mi, own, frame, maps
+
+
+def test_evidence_rows_take_names_and_evidence_from_their_places(spark):
+    mi, own, frame, _ = _detailed_frames(spark)
+    out = EV.evidence_table(frame(lambda d: d))
+    top = _plan(out)
+    assert "Join" not in top[:top.index("posexplode")]  # no row of a pair and a skill meets another table
+    assert "array_intersect" not in top  # status comes from the place in the held list
+    want = EV.evidence_table(M.pair_frame(mi), own)
+    key = lambda r: (r["resume_id"], r["job_id"], r["pos"])
+    got = sorted(out.collect(), key=key)
+    assert got == sorted(want.collect(), key=key)
+    row = {(r["resume_id"], r["job_id"], r["skill_key"]): r for r in got}
+    assert row[1, "a", "python"]["evidence"] == "Skills section" and row[1, "a", "python"]["skill"] == "Python"
+    assert row[2, "a", "cold rod"]["evidence"] == "Summary section (fuzzy match 93%)"
+    assert row[1, "b", "sql"]["evidence"] == row[1, "b", "old gear"]["evidence"] == L.EVIDENCE_DEFAULT_MATCHED
+    assert (2, "a", "old rod") not in row and row[2, "a", "sql"]["pos"] == 4
+    assert row[3, "a", "docker"]["status"] == L.STATUS_MISSING and len([r for r in got if r["job_id"] == "none"]) == 4
+
+
+def test_evidence_map_is_merged_by_keys_and_searches_no_list(spark):
+    mi, own, frame, maps = _detailed_frames(spark)
+    out = EV.evidence_map(frame(EV.with_entries))
+    assert "map_zip_with" in _plan(out) and "array_except" not in _plan(out)
+    got = {(m["resume_id"], m["job_id"]): m["skill_evidence_map"] for m in out.collect()}
+    assert got == {(m["resume_id"], m["job_id"]): m["skill_evidence_map"] for m in EV.evidence_map(maps).collect()}
+    word = {L.STATUS_EXTRA: "extra", L.STATUS_MATCHED: "matched", L.STATUS_MISSING: "missing"}
+    flat = {(*p, k, v["evidence"], v["display_name"], v["status"]) for p, m in got.items() for k, v in m.items()}
+    assert flat == {(r["resume_id"], r["job_id"], r["skill_key"], r["evidence"], r["skill"], word[r["status"]])
+                    for r in EV.evidence_table(M.pair_frame(mi), own).collect()}
+
+
+def test_purchases_and_evidence_come_from_one_table_of_lines(spark):
+    lines = spark.createDataFrame([(1, "Cold gear", "b1", "5-LOW"), (1, "Cold gear", "b1", "1-URGENT"), (1, "sql", "b2", None)],
+                                  "resume_id bigint, skill string, job_id string, o_orderpriority string")
+    assert sorted(FX.purchases(spark, "/nowhere", lines).collect()) == [(1, "Cold gear", "b1"), (1, "sql", "b2")]
+    assert sorted(FX.resume_evidence(spark, "/nowhere", lines).collect()) == [
+        (1, "cold gear", "Skills section + Summary section"), (1, "sql", "")]
