@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import f1, safe_ratio
+from ..functions.text import col
 
 
 def _metrics(df):
@@ -16,23 +17,30 @@ def _metrics(df):
             .withColumn("jaccard", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))))
 
 
+def as_set(c) -> Column:
+    """A list as ``evaluate_sets`` compares it: sorted, nothing twice, [] for NULL."""
+    return F.sort_array(F.array_distinct(F.coalesce(col(c), F.array().cast("array<string>"))))
+
+
 def evaluate_sets(samples: DataFrame, keys=("sample_id",), truth: str = "truth", predicted: str = "predicted",
-                  domain: str = "domain") -> DataFrame:
+                  domain: str = "domain", sets: bool = False) -> DataFrame:
     """PL-06 on one row per sample holding both skill sets as arrays.
 
     Set arithmetic (ST-03) runs inside the row; only the micro-average
-    total is an aggregate, beside the rows.  Same output as ``evaluate``.
+    total is an aggregate, beside the rows, for which common skills alone are
+    looked for: the other counts follow from the sizes.  Same output as
+    ``evaluate``.  ``sets``: both lists are ``as_set`` or NULL already, which
+    the caller does once per list where many samples share it.
     """
     keys = list(keys)
-    t = F.array_distinct(F.coalesce(F.col(truth), F.array().cast("array<string>")))
-    p = F.array_distinct(F.coalesce(F.col(predicted), F.array().cast("array<string>")))
-    s = samples.select(*keys, F.col(domain).alias("domain"), F.array_intersect(p, t).alias("tps"),
-                       F.array_except(p, t).alias("fps"), F.array_except(t, p).alias("fns"))
-    per = s.select(*keys, "domain", F.size("tps").cast("bigint").alias("tp"), F.size("fps").cast("bigint").alias("fp"),
-                   F.size("fns").cast("bigint").alias("fn"),
-                   F.array_join(F.array_sort("tps"), "|").alias("tp_skills"),
-                   F.array_join(F.array_sort("fps"), "|").alias("fp_skills"),
-                   F.array_join(F.array_sort("fns"), "|").alias("fn_skills"))
+    one = (lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))) if sets else as_set
+    s = samples.select(*keys, F.col(domain).alias("domain"), one(predicted).alias("p"), one(truth).alias("t"))
+    s = s.select("*", F.array_intersect("p", "t").alias("tps"))
+    tp = F.size("tps")
+    per = s.select(*keys, "domain", tp.cast("bigint").alias("tp"), (F.size("p") - tp).cast("bigint").alias("fp"),
+                   (F.size("t") - tp).cast("bigint").alias("fn"), F.array_join("tps", "|").alias("tp_skills"),
+                   F.array_join(F.array_except("p", "t"), "|").alias("fp_skills"),
+                   F.array_join(F.array_except("t", "p"), "|").alias("fn_skills"))
     return _metrics(per.select(F.lit("sample").alias("level"), *per.columns).unionByName(
         _total(per, keys))).select(*_columns(keys))
 

@@ -178,3 +178,17 @@ def test_purchases_and_evidence_come_from_one_table_of_lines(spark):
     assert sorted(FX.purchases(spark, "/nowhere", lines).collect()) == [(1, "Cold gear", "b1"), (1, "sql", "b2")]
     assert sorted(FX.resume_evidence(spark, "/nowhere", lines).collect()) == [
         (1, "cold gear", "Skills section + Summary section"), (1, "sql", "")]
+
+
+def test_samples_of_shared_sets_are_compared_without_sorting_them_again(spark):
+    rows = [(1, "d", ["b", "a", "b", None], ["c", "a"]), (2, "d", None, ["z"]), (3, "d", ["q"], None), (4, "d", [], [])]
+    s = spark.createDataFrame(rows, "sample_id int, domain string, truth array<string>, predicted array<string>")
+    out = EVAL.evaluate_sets(s)
+    got = {r["sample_id"]: r for r in out.collect()}
+    assert tuple(got[1][c] for c in ("tp", "fp", "fn", "tp_skills", "fp_skills", "fn_skills")) == (1, 1, 2, "a", "c", "b")
+    assert (got[None]["tp"], got[None]["fp"], got[None]["fn"]) == (1, 2, 3)
+    ready = s.select("sample_id", "domain", EVAL.as_set("truth").alias("truth"), EVAL.as_set("predicted").alias("predicted"))
+    lean = EVAL.evaluate_sets(ready.localCheckpoint(), sets=True)
+    assert "array_sort" not in _plan(lean) and "array_distinct" not in _plan(lean)
+    assert _plan(out).count("array_except") == 2  # the total takes sizes and common skills
+    assert sorted(lean.collect(), key=str) == sorted(out.collect(), key=str)
