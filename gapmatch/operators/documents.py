@@ -7,6 +7,9 @@ aggregate per document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +80,9 @@ def lemma(term) -> Column:
                 hit = hit & ~t.endswith(k)
         cut = F.concat(F.substring(t, 1, F.char_length(t) - len(old)), F.lit(new))
         out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    return out.otherwise(t)
+    # two tests spare most tokens all the others
+    last = {old if not old.endswith("s") else "s" for old, _ in NOUN_RULES}
+    return F.when(reduce(or_, [t.endswith(x) for x in sorted(last)]), out.otherwise(t)).otherwise(t)
 
 
 def lemma_map(vocab: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:

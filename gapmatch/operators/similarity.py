@@ -47,74 +47,92 @@ def doc_terms(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) ->
 
 
 def doc_vectors(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) -> DataFrame:
-    """(id, nonblank, v): each document's terms in order with their counts (AG-08), made inside its row.
+    """(id, nonblank, v): each document's terms in order with their counts (AG-08)."""
+    return doc_maps(docs, lexicon, stops).select(
+        "id", "nonblank", F.map_entries("v").cast("array<struct<term:string,cnt:bigint>>").alias("v"))
+
+
+def doc_maps(docs: DataFrame, lexicon: DataFrame | None = None, stops=None) -> DataFrame:
+    """(id, nonblank, v, s2): each document's vector as a map made inside its row, and the sum of its squared counts.
 
     Sorted terms stand in runs; a run's length is the way to the start of the next.
     """
     d = doc_terms(docs.select("id", "text"), lexicon, stops)
     d = X.select_once(d, ["id", "nonblank"], t=F.sort_array("terms"))
     n = F.size("t")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                      lambda i: (i < n) & ((i == 0) | (F.get("t", i) != F.get("t", i - 1))))
+    starts = F.filter(F.transform("t", lambda x, i: F.when(~F.get("t", i - 1).eqNullSafe(x), i)), lambda i: i.isNotNull())
     d = X.select_once(d, ["id", "nonblank", "t"], at=starts)
-    return X.select_once(d, ["id", "nonblank"], v=F.transform("at", lambda i, k: F.struct(
-        F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), n) - i).cast("bigint").alias("cnt"))))
+    # sorted terms without repetition stand in the order of their starts
+    counts = F.transform("at", lambda i, k: (F.coalesce(F.get("at", k + 1), n) - i).cast("bigint"))
+    d = X.select_once(d, ["id", "nonblank"], terms=F.array_distinct("t"), cnts=counts)
+    return X.select_once(d, ["id", "nonblank"], v=F.map_from_arrays("terms", "cnts"),
+                         s2=_total("cnts", lambda c: c * c))
 
 
-def with_vector(pairs: DataFrame, key: str, other: str, vectors: DataFrame, name: str) -> DataFrame:
-    """JN-15: ``pairs`` with ``name`` and ``{name}_nonblank`` of the document in ``key``, also where that has many pairs."""
-    v = vectors.select(F.col("id").alias(key), F.col("nonblank").alias(f"{name}_nonblank"), F.col("v").alias(name))
-    return spread_join(pairs, v, key, [other])
+def _total(c, f) -> Column:
+    return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + f(x))
 
 
-VECTOR = "array<struct<term:string,cnt:bigint>>"
+def with_vector(pairs: DataFrame, key: str, other: str, vectors: DataFrame, name: str,
+                counts: DataFrame | None = None) -> DataFrame:
+    """JN-15: ``pairs`` with ``name``, ``{name}_s2`` and ``{name}_nonblank`` of the document in ``key``, also where that
+    has many pairs.  ``counts``: pairs of each key, where ``pairs`` has been joined already and would be made twice."""
+    v = vectors.select(F.col("id").alias(key), F.col("nonblank").alias(f"{name}_nonblank"), F.col("v").alias(name),
+                       F.col("s2").alias(f"{name}_s2"))
+    return spread_join(pairs, v, key, [other], counts)
 
 
-def side_by_side(r, j) -> Column:
-    """Both vectors as one sorted array, in which the two counts of a shared term are neighbours."""
-    side = lambda v, k: F.transform(F.coalesce(v, F.array().cast(VECTOR)), lambda x: F.struct(
-        x["term"].alias("term"), F.lit(k).alias("side"), x["cnt"].alias("cnt")))
-    return F.sort_array(F.concat(side(F.col(r), 0), side(F.col(j), 1)))
+VECTOR = "map<string,bigint>"
 
 
-def merged_terms(s) -> Column:
-    """The distinct terms of ``side_by_side`` with both counts: structs (less, term, r, j), ``less`` their negative sum."""
-    zero = F.lit(0).cast("bigint")
+def shared_terms(r, j) -> Column:
+    """The terms of both vectors with their counts: structs (term, r, j)."""
+    both = F.map_zip_with(r, j, lambda k, a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(
+        k.alias("term"), a.alias("r"), b.alias("j"))))
+    return F.filter(F.map_values(both), lambda x: x.isNotNull())
 
-    def one(x, i):
-        same = lambda k: F.coalesce(F.get(s, i + k)["term"] == x["term"], F.lit(False))
-        r = F.when(x["side"] == 0, x["cnt"]).otherwise(zero)
-        j = F.when(x["side"] == 1, x["cnt"]).when(same(1), F.get(s, i + 1)["cnt"]).otherwise(zero)
-        return F.when(~same(-1), F.struct((-(r + j)).alias("less"), x["term"].alias("term"), r.alias("r"), j.alias("j")))
 
-    return F.filter(F.transform(s, one), lambda x: x.isNotNull())
+def merged_terms(r, j) -> Column:
+    """The distinct terms of two vectors with both counts: structs (less, term, r, j), ``less`` their negative sum."""
+    zero = F.lit(0).cast("bigint")
+    return F.map_values(F.map_zip_with(r, j, lambda k, a, b: F.struct(
+        (-(F.coalesce(a, zero) + F.coalesce(b, zero))).alias("less"), k.alias("term"),
+        F.coalesce(a, zero).alias("r"), F.coalesce(b, zero).alias("j"))))
 
 
 def per_pair(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, lexicon: DataFrame | None = None,
              max_features: int = L.TFIDF_MAX_FEATURES, top_k: int = L.TOP_SHARED_TERMS, stops=None) -> DataFrame:
     """One row per pair with its sums over the kept terms (SO-04) and its ``top_k`` shared terms.
 
-    Ids are unique on each side; a pair whose document is missing has no terms there.  The vectors come to the pair, and everything else happens in its row.
+    Ids are unique on each side; a pair whose document is missing has no terms there.  The vectors come to the pair, and
+    everything else happens in its row: the terms of both are looked for, and where the pair has no more terms than it
+    keeps, the sums of squares are those of its documents.  Only a pair with more merges, sorts and cuts its terms.
     """
     p = pairs.select(*PAIR).distinct()
-    p = with_vector(p, "job_id", "resume_id", doc_vectors(jobs, lexicon, stops), "j")
-    p = with_vector(p, "resume_id", "job_id", doc_vectors(resumes, lexicon, stops), "r")
+    # counted before the vectors come: a count of the joined pairs would make the vectors once more
+    hot = lambda key: p.groupBy(key).agg(F.count("*").alias("n"))
+    d = with_vector(p, "job_id", "resume_id", doc_maps(jobs, lexicon, stops), "j", hot("job_id"))
+    d = with_vector(d, "resume_id", "job_id", doc_maps(resumes, lexicon, stops), "r", hot("resume_id"))
     keep = [*PAIR, "r_nonblank", "j_nonblank"]
-    d = X.select_once(p, keep, s=side_by_side("r", "j"))
-    d = X.select_once(d, keep, m=merged_terms(F.col("s")))
-    kept = F.when(F.size("m") > max_features, F.slice(F.sort_array("m"), 1, max_features)).otherwise(F.col("m"))
-    d = X.select_once(d, keep, m=kept)
-    shared = F.filter("m", lambda x: (x["r"] > 0) & (x["j"] > 0))
-    d = X.select_once(d, [*keep, "m"], b=shared)
-    total = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + f(x))
+    zero, none = F.lit(0).cast("bigint"), F.create_map().cast(VECTOR)
+    d = d.select(*keep, F.coalesce("r", none).alias("r"), F.coalesce("j", none).alias("j"),
+                 F.coalesce("r_s2", zero).alias("r_s2"), F.coalesce("j_s2", zero).alias("j_s2"))
+    d = X.select_once(d, [*keep, "r", "j", "r_s2", "j_s2"], b=shared_terms("r", "j"))
+    n_terms = F.size("r") + F.size("j") - F.size("b")
+    cut = F.when(n_terms > max_features, F.slice(F.sort_array(merged_terms("r", "j")), 1, max_features))
+    d = X.select_once(d, [*keep, "r_s2", "j_s2", "b"], U=F.least(n_terms, F.lit(max_features)), m=cut)
+    kept = F.when(F.col("m").isNull(), F.col("b")).otherwise(F.transform(
+        F.filter("m", lambda x: (x["r"] > 0) & (x["j"] > 0)),
+        lambda x: F.struct(x["term"].alias("term"), x["r"].alias("r"), x["j"].alias("j"))))
+    squares = lambda c, s2: F.when(F.col("m").isNull(), F.col(s2)).otherwise(_total("m", lambda x: x[c] * x[c]))
+    d = X.select_once(d, [*keep, "U"], b=kept, Sr=squares("r", "r_s2"), Sj=squares("j", "j_s2"))
     top = F.slice(F.sort_array(F.transform("b", lambda x: F.struct((x["r"] * x["j"]).alias("w"), x["term"].alias("term"))),
                                False), 1, top_k)
     # the sums leave their row once: a condition on one of them is not moved below and made again
     return X.select_once(
-        d, PAIR, U=F.size("m").cast("bigint"), n_shared=F.size("b").cast("bigint"),
-        Sr=total("m", lambda x: x["r"] * x["r"]), Sj=total("m", lambda x: x["j"] * x["j"]),
-        dot=total("b", lambda x: x["r"] * x["j"]), r2=total("b", lambda x: x["r"] * x["r"]),
-        j2=total("b", lambda x: x["j"] * x["j"]), rb=F.col("r_nonblank"), jb=F.col("j_nonblank"),
+        d, PAIR, U=F.col("U").cast("bigint"), n_shared=F.size("b").cast("bigint"), Sr=F.col("Sr"), Sj=F.col("Sj"),
+        dot=_total("b", lambda x: x["r"] * x["j"]), r2=_total("b", lambda x: x["r"] * x["r"]),
+        j2=_total("b", lambda x: x["j"] * x["j"]), rb=F.col("r_nonblank"), jb=F.col("j_nonblank"),
         # weights of a pair share one denominator: the integer product ranks, ties on the term (SO-03)
         top=top)
 

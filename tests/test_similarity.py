@@ -94,3 +94,31 @@ def test_vectors_of_documents(spark):
     d = spark.createDataFrame([(1, "red blue red"), (2, None), (3, "red"), (4, "red red red")], "id long, text string")
     got = {x["id"]: {t["term"]: t["cnt"] for t in x["v"]} for x in SIM.doc_vectors(d).collect()}
     assert got == {1: {"red": 2, "blue": 1, "red blue": 1, "blue red": 1}, 2: {}, 3: {"red": 1}, 4: {"red": 3, "red red": 2}}
+
+
+def test_vectors_are_made_once_a_side_and_squares_once_a_document(spark):
+    texts = ["alpha beta gamma beta delta", "beta gamma epsilon beta beta", None, "of the", "zeta"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    p = spark.createDataFrame([(0, 1), (1, 0), (0, 0), (0, 2), (3, 1), (4, 0), (9, 0), (0, 1)], "resume_id long, job_id long")
+    scores, _ = SIM.similarity(d, d, p)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    # two searches for tokens make a vector; counting the pairs of a document makes none
+    assert plan.count("regexp_extract_all(") == 4
+    got = {(r["resume_id"], r["job_id"]): r for r in scores.collect()}
+    stops = set(L.VECTORIZER_STOP_WORDS)
+    of = lambda k: terms(texts[k] or "", stops) if k < len(texts) else []
+    for a, b in got:
+        assert abs(got[a, b]["cosine_similarity_score"] - round(direct(of(a), of(b)), 4)) < 1e-9, (a, b)
+        assert got[a, b]["n_shared_terms"] == len(set(of(a)) & set(of(b)))
+    assert scores.count() == 8
+
+
+def test_sums_follow_the_cut_only_where_terms_are_cut(spark):
+    d = spark.createDataFrame([(0, "red red blue green"), (1, "red blue blue pink")], "id long, text string")
+    p = spark.createDataFrame([(0, 1)], "resume_id long, job_id long")
+    # both have red (2, 1), blue (1, 2) and "red blue" (1, 1), each three terms of its own
+    all_, cut = (SIM.per_pair(d, d, p, max_features=n).first() for n in (9, 2))
+    sums = ("U", "Sr", "Sj", "dot", "r2", "j2", "n_shared")
+    assert tuple(all_[c] for c in sums) == (9, 9, 9, 5, 6, 6, 3)
+    assert tuple(cut[c] for c in sums) == (2, 5, 5, 4, 5, 5, 2)
+    assert [x["term"] for x in cut["top"]] == ["red", "blue"]
