@@ -192,3 +192,20 @@ def test_samples_of_shared_sets_are_compared_without_sorting_them_again(spark):
     assert "array_sort" not in _plan(lean) and "array_distinct" not in _plan(lean)
     assert _plan(out).count("array_except") == 2  # the total takes sizes and common skills
     assert sorted(lean.collect(), key=str) == sorted(out.collect(), key=str)
+
+
+def test_held_skills_are_not_shuffled_by_skill_to_meet_few_similar_ones(spark):
+    pairs = spark.createDataFrame([(1, "a"), (2, "a")], "resume_id bigint, job_id string")
+    held = spark.createDataFrame([(1, "old rod"), (1, "sql"), (2, "sql")], "resume_id bigint, skill string")
+    req = spark.createDataFrame([("a", "cold rod"), ("a", "python")], "job_id string, skill string")
+    mi = M.match_inputs(pairs, held, req)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")
+    try:
+        f = M.pair_frame(mi, near=stored(M.near_skills(mi), plain=True))
+        assert "BroadcastHashJoin [skill#" in f._jdf.queryExecution().sparkPlan().toString()
+        got = f.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(got) == sorted(M.pair_frame(mi).collect())
+    assert [(r["resume_id"], a["req"], a["held"]) for r in got for a in r["assigned"]] == [(1, "cold rod", "old rod")]
